@@ -5,7 +5,7 @@ Aho-Corasick automaton finds all pieces, a piece's place bounds the window in wh
 bounded-error matching verifies the edits there and gives the span.
 
 The text is searched as its lower-cased words joined by single spaces, so spans are in words. Defined results: null and empty texts have
-no words, no labels and score 0. Of overlapping spans of one notice the one with fewer edits stays, then the earlier one. Repeated rows
+no words, no labels and score 0. Of overlapping spans the one with the fewest edits stays, then the longest notice, then the earliest. Repeated rows
 get equal results.
 """
 
@@ -89,7 +89,7 @@ def searcher(notices: tuple[Notice, ...] = NOTICES):
 
 
 def fuzzy(joined: str, notices: tuple[Notice, ...] = NOTICES) -> list[tuple[int, int, int, int]]:
-    """(notice, start, end, edits) of the verified spans in a text of joined words."""
+    """(notice, start, end, edits) of the verified spans in a text of joined words; spans don't overlap."""
     automaton, patterns = searcher(notices)
     windows: dict[int, list[list[int]]] = {}
     for end, (size, own) in automaton.iter(joined):
@@ -114,7 +114,11 @@ def fuzzy(joined: str, notices: tuple[Notice, ...] = NOTICES) -> list[tuple[int,
             while a < b and (m := patterns[i].search(joined, a, b)):
                 found.append((i, m.start(), m.end(), sum(m.fuzzy_counts)))
                 a = max(m.end(), m.start() + 1)
-    return found
+    kept: list[tuple[int, int, int, int]] = []
+    for x in sorted(found, key=lambda x: (x[3], -len(notices[x[0]].text), x[1], x[0])):
+        if all(x[2] <= y[1] or y[2] <= x[1] for y in kept):
+            kept.append(x)
+    return sorted(kept, key=lambda x: (x[1], x[0]))
 
 
 def scan(text: bytes, notices: tuple[Notice, ...] = NOTICES) -> tuple[int, list[tuple[str, int]], list[Span]]:

@@ -6,13 +6,29 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import warc
+from .interpolate import op7_interpolation
+from .langid import op5_langid
+from .licenses import op3_licenses
+from .media import op6_media
+from .packing import op8_packing
+from .quality import op2_quality
 from .simhash import op10_simhash
 from .toxicity import op1_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
+    "op2_quality": op2_quality,
+    "op3_licenses": op3_licenses,
+    "op4_warc": warc.op4_warc,
+    "op5_langid": op5_langid,
+    "op6_media": op6_media,
+    "op7_interpolation": op7_interpolation,
+    "op8_packing": op8_packing,
     "op10_simhash": op10_simhash,
 }
 
-#: None: each query's method goes beyond SQL; the tests compare with brute force instead.
-ORACLE_SQL: dict[str, str] = {}
+#: Queries without SQL have methods beyond it; the tests compare them with brute force.
+ORACLE_SQL: dict[str, str] = {
+    "op4_warc": warc.ORACLE,
+}
