@@ -78,7 +78,7 @@ def slices(batch: pa.RecordBatch, text: str = "text", most: int = SLICE_BYTES) -
         at = stop
 
 
-def map_text(df: DataFrame, columns: list[str], schema: str, f: Callable[[pa.RecordBatch], dict | None]) -> DataFrame:
+def map_text(df: DataFrame, columns: list[str], schema: str, f: Callable[[pa.RecordBatch], dict | None], most: int = SLICE_BYTES) -> DataFrame:
     """Applies ``f`` to slices of the named columns; ``f`` returns columns of the output schema."""
     spark = df.sparkSession
     ship(spark)
@@ -86,7 +86,7 @@ def map_text(df: DataFrame, columns: list[str], schema: str, f: Callable[[pa.Rec
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, most=most):
                 got = f(part)
                 if got is not None:
                     yield as_batch(got, out)

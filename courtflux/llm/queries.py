@@ -13,6 +13,7 @@ from .licenses import op3_licenses
 from .media import op6_media
 from .packing import op8_packing
 from .quality import op2_quality
+from .segment import op9_segmentations
 from .simhash import op10_simhash
 from .toxicity import op1_toxicity
 
@@ -25,6 +26,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_media": op6_media,
     "op7_interpolation": op7_interpolation,
     "op8_packing": op8_packing,
+    "op9_segmentations": op9_segmentations,
     "op10_simhash": op10_simhash,
 }
 
