@@ -1,7 +1,7 @@
 """Packing along a space-filling curve.
 
 A document's distinct words are hashed and projected to ``DIMS`` dimensions, each of about unit spread whatever the length; the point's
-Hilbert key orders documents so that neighbours on the curve share words. Documents are range-partitioned and sorted by (key, doc_id),
+Hilbert key orders documents so that neighbours on the curve share words. Documents are dealt by ranges and sorted by (key, doc_id),
 tokenized where they then lie, and laid end to end: a document's place is its partition's base plus the tokens before it there. Sequences
 are cut every ``LENGTH`` tokens of the one stream, so only the very last is ever padded.
 
@@ -15,13 +15,14 @@ packed as often as they stand there. An empty table gives no pieces.
 from __future__ import annotations
 
 import os
+from bisect import bisect_right
 from collections.abc import Iterator
 from functools import cache, lru_cache
+from operator import add
 from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,8 +31,12 @@ from . import common as C
 
 LENGTH, END = 2048, 1
 DIMS, BITS = 4, 12
+#: One in so many documents is looked at to part the curve into even ranges.
+SAMPLED = 16
+NO_ID = -(1 << 63)
 #: Words whose ids a worker keeps at most; the store is emptied beyond.
-KEPT_WORDS = 300_000
+KEPT_WORDS = 400_000
+PUNCTUATION = bytes(i for i in range(33, 127) if not chr(i).isalnum())
 
 
 # -- order ---------------------------------------------------------------------------------------------------------------------
@@ -72,20 +77,42 @@ def projected(texts: list[bytes]) -> np.ndarray:
     return np.minimum((share * (1 << BITS)).astype(np.int64), (1 << BITS) - 1)
 
 
+def bounds(docs: DataFrame, partitions: int) -> list[tuple[int, int]]:
+    """(key, doc_id) pairs that part the documents about evenly, from those that ``SAMPLED`` of all ids' hashes pick; they only balance the load."""
+
+    def key(part: pa.RecordBatch) -> dict:
+        return {"key": hilbert(projected(C.utf8_list(part.column("text"))), BITS), "doc_id": part.column("doc_id").fill_null(NO_ID)}
+
+    some = docs.select("doc_id", "text").where(F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(SAMPLED)) == 0)
+    keys = C.map_text(some, ["doc_id", "text"], "key long, doc_id long", key)
+    most = 64 * partitions  # those of lowest hashes; a bound on what reaches the driver
+    got = sorted((r[0], r[1]) for r in keys.orderBy(F.xxhash64("doc_id", F.lit(13)), "doc_id").limit(most).collect())
+    return [got[len(got) * i // partitions] for i in range(1, partitions)] if got else []
+
+
 def ordered(docs: DataFrame) -> DataFrame:
-    """doc_id and text, range-partitioned and sorted by (key, doc_id, text)."""
+    """doc_id, text and pid, dealt by range and sorted by (key, doc_id, text)."""
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    edges = bounds(docs, n)
 
     def key(part: pa.RecordBatch) -> dict:
-        return {"doc_id": part.column("doc_id"), "text": part.column("text"), "key": hilbert(projected(C.utf8_list(part.column("text"))), BITS)}
+        keys = hilbert(projected(C.utf8_list(part.column("text"))), BITS)
+        ids = part.column("doc_id").fill_null(NO_ID).to_pylist()
+        return {"doc_id": part.column("doc_id"), "text": part.column("text"), "key": keys, "pid": [bisect_right(edges, x) for x in zip(keys.tolist(), ids)]}
 
-    return C.map_text(docs, ["doc_id", "text"], "doc_id long, text string, key long", key).repartitionByRange("key", "doc_id").sortWithinPartitions("key", "doc_id", "text")
+    dealt = C.map_text(docs, ["doc_id", "text"], "doc_id long, text string, key long, pid int", key).repartitionById(n, "pid")
+    return dealt.sortWithinPartitions("pid", "key", "doc_id", "text")
 
 
 # -- tokens --------------------------------------------------------------------------------------------------------------------
 
 
 class Words:
-    """Ids of a text's words as little-endian 16-bit (or 32-bit) numbers."""
+    """Ids of a text's words as little-endian 16-bit (or 32-bit) numbers.
+
+    A word of letters and punctuation behind it is two pre-tokens, so its ids are the letters' and the punctuation's. Runs of letters are
+    encoded many at once, joined by spaces; each run's last piece carries the end-of-word mark, which tells them apart again.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -93,18 +120,60 @@ class Words:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.kind = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
+        size = self.tokenizer.get_vocab_size()
+        self.kind = "<u2" if size <= 1 << 16 else "<u4"
+        self.ends = np.zeros(size, bool)
+        for piece, i in self.tokenizer.get_vocab().items():
+            self.ends[i] = piece.endswith("</w>")
         self.known: dict[bytes, bytes] = {}
+        self.runs: dict[bytes, bytes] = {}
+
+    def _each(self, words: list[bytes]) -> list[bytes]:
+        out = []
+        for at in range(0, len(words), 10_000):
+            some = [w.decode() for w in words[at : at + 10_000]]
+            out += [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(some, add_special_tokens=False)]
+        return out
+
+    def _learn_runs(self, runs: list[bytes]) -> None:
+        size = np.dtype(self.kind).itemsize
+        for at in range(0, len(runs), 256):
+            some = runs[at : at + 256]
+            ids = np.array(self.tokenizer.encode_batch_fast([b" ".join(some).decode()], add_special_tokens=False)[0].ids, self.kind)
+            cut = ((np.flatnonzero(self.ends[ids]) + 1) * size).tolist()
+            raw = ids.tobytes()
+            self.runs.update(zip(some, [raw[a:z] for a, z in zip([0, *cut], cut)] if len(cut) == len(some) else self._each(some)))
+
+    def _learn(self, words: list[bytes]) -> None:
+        bare = [w.rstrip(PUNCTUATION) for w in words]
+        tails = [w[len(b) :] for w, b in zip(words, bare)]
+        keys = [b.lower() for b in bare]  # lowers ASCII alone; the tokenizer lowers the rest
+        letters, single, whole = [], [], set()
+        for k in set(keys).difference(self.runs):
+            t = k.decode()
+            if t.isalpha():
+                letters.append(k)
+            elif not t or t[-1].isalnum():
+                single.append(k)
+            else:
+                whole.add(k)  # ends in other punctuation, which joins what is behind it
+        self._learn_runs(letters)
+        single += set(tails).difference(self.runs, single)
+        self.runs.update(zip(single, self._each(single)))
+        if whole:
+            some = [w for w, k in zip(words, keys) if k in whole]
+            self.known.update(zip(some, self._each(some)))
+            rest = [i for i, k in enumerate(keys) if k not in whole]
+            words, keys, tails = ([x[i] for i in rest] for x in (words, keys, tails))
+        get = self.runs.__getitem__
+        self.known.update(zip(words, map(add, map(get, keys), map(get, tails))))
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
-        if len(self.known) > KEPT_WORDS:
-            self.known.clear()
+        for store in (self.known, self.runs):
+            if len(store) > KEPT_WORDS:
+                store.clear()
         split = [t.split() for t in texts]
-        new = list(set().union(*split).difference(self.known)) if split else []
-        for at in range(0, len(new), 10_000):
-            some = new[at : at + 10_000]
-            for w, e in zip(some, self.tokenizer.encode_batch([w.decode() for w in some], add_special_tokens=False)):
-                self.known[w] = np.array(e.ids, self.kind).tobytes()
+        self._learn(list(set().union(*split).difference(self.known)) if split else [])
         end, get = np.array([END], self.kind).tobytes(), self.known.__getitem__
         return [b"".join(map(get, words)) + end for words in split]
 
@@ -129,18 +198,22 @@ def tokenized(docs: DataFrame, tokenizer: str | None) -> DataFrame:
     out = C.arrow_schema(docs.sparkSession, schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part_id, at = TaskContext.get().partitionId(), 0
+        own, at = -1, 0
         words = words_of(tokenizer)
         size = np.dtype(words.kind).itemsize
         for batch in batches:
             for part in C.slices(batch):
                 ids = words.encode(C.utf8_list(part.column("text")))
                 n = np.fromiter(map(len, ids), np.int64, len(ids)) // size
-                start = at + np.cumsum(n) - n
-                at += int(n.sum())
-                yield C.as_batch({"part": np.full(len(n), part_id), "start": start, "n": n, "doc_id": part.column("doc_id"), "ids": ids}, out)
-
-    return ordered(docs).select("doc_id", "text").mapInArrow(run, schema)
+                pid = part.column("pid").to_pylist()
+                start = []
+                for p, k in zip(pid, n.tolist()):
+                    own, at = p, at if p == own else 0
+                    start.append(at)
+                    at += k
+                yield C.as_batch({"part": pid, "start": start, "n": n, "doc_id": part.column("doc_id"), "ids": ids}, out)
+
+    return ordered(docs).select("doc_id", "text", "pid").mapInArrow(run, schema)
 
 
 # -- packing -------------------------------------------------------------------------------------------------------------------
