@@ -271,6 +271,7 @@ def scores(docs: DataFrame, block_bytes: int = BLOCK_BYTES, bucket_bytes: int =
     made = spark.table(name)
     size = made.agg(F.count("*"), F.sum(F.octet_length("ids")), F.sum(F.octet_length("words"))).first()
     if not size[0]:
+        spark.sql(f"DROP TABLE {name}")
         return spark.createDataFrame([], SCHEMA)
     # A token's number takes two bytes packed; as many bigram keys of eight bytes are the most there can be.
     buckets = {"w": max(least, ceil(size[2] / bucket_bytes)), "p": max(least, ceil(4 * size[1] / bucket_bytes))}
@@ -316,7 +317,9 @@ def scores(docs: DataFrame, block_bytes: int = BLOCK_BYTES, bucket_bytes: int =
                 rows = len(b.sizes)
                 yield C.as_batch({"doc_id": row["doc_ids"], "held_out": ~b.train, "n_tokens": b.sizes, "n_known": np.add.reduceat((of > 0).astype(np.int64), b.start), "train_tokens": [n] * rows, "base_score": np.add.reduceat(base, b.start), "score": np.add.reduceat(model, b.start)}, out)
 
-    return joined.mapInArrow(score, SCHEMA)
+    result = joined.mapInArrow(score, SCHEMA)
+    spark.sql(f"DROP TABLE {name}")  # the name alone; the files stay in the shared folder for the result
+    return result
 
 
 def op7_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
