@@ -60,7 +60,7 @@ def fields(df: DataFrame, separator: str, names: list[str], least: int | None =
     """Lines as numbers by name; lines of too few fields or with anything else than numbers are dropped."""
     parts = F.split("value", separator)
     ok = F.size(parts) == len(names) if exact else F.size(parts) >= (least or len(names))
-    num = df.where(ok).select("path", *(F.expr(f"try_cast(split(value, '{separator}')[{i}] as double)").alias(n) for i, n in enumerate(names)))
+    num = df.where(ok).select("path", *(F.get(parts, F.lit(i)).try_cast("double").alias(n) for i, n in enumerate(names)))
     return num.dropna(subset=names)
 
 
@@ -73,7 +73,7 @@ def corner_box(width: Column | int, height: Column | int) -> list[Column]:
 
 def mot_yolo(spark: SparkSession, path: str, width: int, height: int) -> DataFrame:
     """`frame track class cx cy w h` by spaces, normalised; tracks below 0 are dropped."""
-    t = fields(lines(spark, path), r"\\s+", ["frame", "track", "cls", "cx", "cy", "w", "h"]).where("track >= 0")
+    t = fields(lines(spark, path), r"\s+", ["frame", "track", "cls", "cx", "cy", "w", "h"]).where("track >= 0")
     return t.select("path", F.col("frame").cast("long").alias("frame_id"), F.col("track").cast("long").alias("id"), F.col("cls").cast("long").alias("class_id"), *corner_box(width, height))
 
 
@@ -106,7 +106,7 @@ def as_detections(gt: DataFrame, class_id: int = 2) -> DataFrame:
 
 def yolo_labels(spark: SparkSession, path: str, width: int, height: int, low: int = 2, high: int = 8) -> DataFrame:
     """`cls cx cy w h` of a file per image; clipped to it, empty boxes dropped."""
-    t = fields(lines(spark, path), r"\\s+", ["cls", "cx", "cy", "w", "h"]).where(F.col("cls").between(low, high))
+    t = fields(lines(spark, path), r"\s+", ["cls", "cx", "cy", "w", "h"]).where(F.col("cls").between(low, high))
     box = t.select("path", F.col("cls").cast("long").alias("class_id"), *corner_box(width, height))
     clip = box.select("path", "class_id", F.greatest("x1", F.lit(0)).alias("x1"), F.greatest("y1", F.lit(0)).alias("y1"), F.least("x2", F.lit(width)).alias("x2"), F.least("y2", F.lit(height)).alias("y2"))
     return clip.where("x2 > x1 and y2 > y1")
@@ -114,7 +114,7 @@ def yolo_labels(spark: SparkSession, path: str, width: int, height: int, low: in
 
 def multishot_labels(spark: SparkSession, path: str, width: int, height: int) -> DataFrame:
     """`track cx cy w h` (exactly five fields) in labels/<sample>/<frame>.txt; boxes under 5 pixels dropped; tracks under 5 are team 0."""
-    t = fields(lines(spark, path), r"\\s+", ["track", "cx", "cy", "w", "h"], exact=True)
+    t = fields(lines(spark, path), r"\s+", ["track", "cx", "cy", "w", "h"], exact=True)
     box = t.select(F.element_at(F.split("path", "/"), -2).alias("sample_id"), F.regexp_extract("path", r"([^/]+)\.txt$", 1).alias("frame"), F.col("track").cast("long").alias("track_id"), *corner_box(width, height))
     clip = box.withColumn("x1", F.greatest("x1", F.lit(0))).withColumn("y1", F.greatest("y1", F.lit(0))).withColumn("x2", F.least("x2", F.lit(width))).withColumn("y2", F.least("y2", F.lit(height)))
     return clip.where("x2 - x1 >= 5 and y2 - y1 >= 5").withColumn("gt", F.when(F.col("track_id") < 5, 0).otherwise(1))
