@@ -570,3 +570,123 @@ def f18(t: Tables) -> DataFrame:
 
 
 
+
+
+# -- timelines, counts, further metrics ----------------------------------------------------------------------------------------
+
+
+@query("f8_class_accuracy", sql("SELECT label, count(*) AS n, round(avg(CASE WHEN label = pred THEN 1e0 ELSE 0e0 END), 6) AS accuracy FROM (SELECT label, CASE WHEN frame_id % 4 = 0 THEN 0 ELSE label END AS pred FROM labels) GROUP BY ROLLUP (label)", "labels"))
+def f8(t: Tables) -> DataFrame:
+    rows = t.labels.selectExpr("label", "CASE WHEN frame_id % 4 = 0 THEN 0 ELSE label END AS pred")
+    return metrics.class_accuracy(rows).withColumn("accuracy", F.round("accuracy", 6))
+
+
+@query("f20_team_summary", sql("""WITH s AS (SELECT video_id * 8 + frame_id % 8 AS sample, team_id AS gt, (x1 + det_idx * det_idx) % 2 AS pred FROM players),
+e AS (SELECT sample, greatest(sum(CASE WHEN pred = gt THEN 1 ELSE 0 END), sum(CASE WHEN pred = 1 - gt THEN 1 ELSE 0 END)) AS r, count(*) AS n FROM s GROUP BY 1)
+SELECT round(sum(r) / CAST(sum(n) AS DOUBLE), 6) AS micro, round(avg(r / CAST(n AS DOUBLE)), 6) AS mean, round(median(r / CAST(n AS DOUBLE)), 6) AS median, count(*) AS samples FROM e""", "players"))
+def f20(t: Tables) -> DataFrame:
+    rows = t.players.selectExpr("video_id * 8 + frame_id % 8 AS sample", "team_id AS gt", "(x1 + det_idx * det_idx) % 2 AS pred")
+    s = teams.split_summary(teams.split_accuracy(rows, "sample"))
+    return s.select(*(F.round(c, 6).alias(c) for c in ("micro", "mean", "median")), "samples")
+
+
+@query("f25_weighted_histogram", sql("""WITH w AS (SELECT video_id, least(CAST(floor(y1 * 8 / 1080e0) AS BIGINT), 7) AS bin, sum(confidence) AS w FROM det GROUP BY 1, 2)
+SELECT video_id, bin, round(w, 6) AS w, round(w / sum(w) OVER (PARTITION BY video_id), 6) AS share FROM w""", "det"))
+def f25(t: Tables) -> DataFrame:
+    h = teams.weighted_histogram(t.det, ["video_id"], "y1", "confidence", 8, 1080.0)
+    return h.select("video_id", "bin", F.round("w", 6).alias("w"), F.round("share", 6).alias("share"))
+
+
+@query("f26_event_counts", sql(f"""WITH {SHOTS}, p AS (SELECT video_id, count(*) AS passes FROM labels WHERE frame_id % 11 = 0 GROUP BY 1), s AS (SELECT video_id, count(*) AS shots FROM shots GROUP BY 1), c AS (SELECT video_id, count(*) AS comments FROM labels WHERE frame_id % 13 = 5 GROUP BY 1)
+SELECT video_id, coalesce(passes, 0) AS passes, coalesce(shots, 0) AS shots, coalesce(comments, 0) AS comments FROM p FULL JOIN s USING (video_id) FULL JOIN c USING (video_id)""", "labels"))
+def f26(t: Tables) -> DataFrame:
+    from .timeline import counts
+
+    lab = t.labels
+    return counts(lab.where("frame_id % 11 = 0"), shots.shot_events(lab), lab.where("frame_id % 13 = 5"))
+
+
+@query("f27_frame_step", sql("SELECT video_id, 3 + video_id % 4 AS step FROM det WHERE frame_id % (3 + video_id % 4) = 0 GROUP BY video_id HAVING count(DISTINCT frame_id) > 1", "det"))
+def f27(t: Tables) -> DataFrame:
+    from .timeline import frame_step
+
+    return frame_step(t.det.where("frame_id % (3 + video_id % 4) = 0").select(*FRAME).distinct())
+
+
+@query("e24_overlay", sql("""WITH f AS (SELECT DISTINCT video_id, frame_id FROM det WHERE frame_id % 10 = 0), e AS (SELECT DISTINCT video_id, frame_id - 5 AS start, frame_id AS "end" FROM det WHERE frame_id % 7 = 3)
+SELECT f.video_id, f.frame_id, e.start, e."end" FROM f JOIN e ON f.video_id = e.video_id AND f.frame_id BETWEEN e."end" - 12 AND e."end" + 55 QUALIFY row_number() OVER (PARTITION BY f.video_id, f.frame_id ORDER BY e."end" DESC, e.start DESC) <= 6""", "det"))
+def e24(t: Tables) -> DataFrame:
+    from .timeline import overlay
+
+    frames = t.det.select(*FRAME).distinct()
+    return overlay(frames.where("frame_id % 7 = 3").selectExpr("video_id", "frame_id - 5 AS start", "frame_id AS end"), frames.where("frame_id % 10 = 0"))
+
+
+@query("o8_viewer_counts", sql("""WITH p AS (SELECT video_id, frame_id, count(*) AS n FROM players WHERE frame_id % 3 <> 1 GROUP BY 1, 2), b AS (SELECT video_id, frame_id, count(*) AS n FROM balls GROUP BY 1, 2), m AS (SELECT video_id, max(frame_id) + 1 AS total_frames FROM det GROUP BY 1)
+SELECT m.video_id, (SELECT max(n) FROM p WHERE p.video_id = m.video_id) AS max_players, (SELECT max(n) FROM b WHERE b.video_id = m.video_id) AS max_balls, round((SELECT sum(n) FROM p WHERE p.video_id = m.video_id) / CAST(total_frames AS DOUBLE), 6) AS mean_players FROM m""", "players", "balls"))
+def o8(t: Tables) -> DataFrame:
+    from .timeline import viewer_counts
+
+    meta = t.det.groupBy("video_id").agg((F.max("frame_id") + 1).alias("total_frames"))
+    return viewer_counts(t.players.where("frame_id % 3 <> 1"), t.balls, meta).withColumn("mean_players", F.round("mean_players", 6))
+
+
+@query("o2_ball_handler", sql("""WITH h AS (SELECT p.video_id, p.frame_id, p.det_idx, h.x, h.y FROM players p, LATERAL (SELECT p.x1 AS x, p.y1 + 70 AS y UNION ALL SELECT p.x2, p.y1 + 70) h), b AS (SELECT video_id, frame_id, (x1 + x2) * 0.5e0 AS bx, (y1 + y2) * 0.5e0 AS bd FROM balls),
+d AS (SELECT h.*, sqrt(pow(x - bx, 2) + pow(y - bd, 2)) AS distance FROM h JOIN b USING (video_id, frame_id))
+SELECT video_id, frame_id, det_idx, round(min(distance), 6) AS distance FROM (SELECT * FROM d QUALIFY row_number() OVER (PARTITION BY video_id, frame_id ORDER BY distance, det_idx) = 1) WHERE distance <= 30 GROUP BY 1, 2, 3""", "players", "balls"))
+def o2(t: Tables) -> DataFrame:
+    hands = t.players.select(*FRAME, "det_idx", F.explode(F.array(F.struct(F.col("x1").alias("x"), (F.col("y1") + 70).alias("y")), F.struct(F.col("x2").alias("x"), (F.col("y1") + 70).alias("y")))).alias("h")).select(*FRAME, "det_idx", "h.*")
+    at = t.balls.select(*FRAME, ((F.col("x1") + F.col("x2")) * 0.5).alias("cx"), ((F.col("y1") + F.col("y2")) * 0.5).alias("cy"))
+    return enrich.nearest_hand(hands, at).select(*FRAME, "det_idx", F.round("distance", 6).alias("distance"))
+
+
+@query("c13_rims", sql("""WITH r AS (SELECT *, CASE WHEN CASE WHEN det_idx % 2 = 0 THEN CAST(x1 AS DOUBLE) - 900 END < 0 THEN 'left' WHEN det_idx % 2 = 0 THEN 'right' WHEN x1 / 1920e0 < 0.5 THEN 'left' ELSE 'right' END AS side FROM det)
+SELECT video_id, frame_id, side, det_idx FROM r QUALIFY row_number() OVER (PARTITION BY video_id, frame_id, side ORDER BY confidence DESC, det_idx) = 1""", "det"))
+def c13(t: Tables) -> DataFrame:
+    rows = t.det.withColumn("court_x", F.expr("CASE WHEN det_idx % 2 = 0 THEN CAST(x1 AS DOUBLE) - 900 END")).withColumn("x_rel", F.col("x1") / WIDTH)
+    return detect.left_right_rims(rows).select(*FRAME, "side", "det_idx")
+
+
+@query("h3_game_events", sql(f"""WITH {SHOTS}, u AS (SELECT video_id, start_frame AS s, end_frame AS e, 'shot' AS kind FROM shots UNION ALL SELECT video_id, frame_id, frame_id + 4, 'pass' FROM labels WHERE frame_id % 9 = 2)
+SELECT video_id, s AS start, e AS "end", kind FROM u""", "labels"))
+def h3(t: Tables) -> DataFrame:
+    from .timeline import game_events
+
+    lab = t.labels
+    return game_events(lab.where("frame_id % 9 = 2").selectExpr("video_id", "frame_id AS start", "frame_id + 4 AS end"), shots.shot_events(lab).selectExpr("video_id", "start_frame AS start", "end_frame AS end"))
+
+
+@query("h8_current_owner", sql("SELECT video_id, frame_id, arg_min(player_id, det_idx) AS player_id FROM players WHERE is_dribble GROUP BY 1, 2", "players"))
+def h8(t: Tables) -> DataFrame:
+    from .timeline import owner
+
+    return owner(t.players.withColumn("is_possession", F.col("is_dribble")))
+
+
+@query("o6_unfinished", sql("SELECT DISTINCT video_id FROM det WHERE frame_id % 20 = 0 AND (video_id, frame_id) NOT IN (SELECT video_id, frame_id FROM det WHERE (frame_id + video_id) % 40 < 20 OR video_id % 2 = 0)", "det"))
+def o6(t: Tables) -> DataFrame:
+    from .timeline import unfinished
+
+    frames = t.det.select("video_id", F.col("frame_id").alias("physical")).distinct()
+    return unfinished(frames.select("video_id").distinct(), frames.where("physical % 20 = 0"), frames.where("(physical + video_id) % 40 < 20 OR video_id % 2 = 0"))
+
+
+@query("d17_annotation_faults", sql("""WITH a AS (SELECT video_id, frame_id AS shot_start_frame, frame_id + det_idx - 4 AS shot_end_frame, det_idx FROM det WHERE frame_id % 25 = 0)
+SELECT video_id, shot_start_frame, det_idx, shot_start_frame >= shot_end_frame AS bad_order, shot_start_frame < 10 OR shot_end_frame > 200 AS outside FROM a""", "det"))
+def d17(t: Tables) -> DataFrame:
+    none = F.lit(None).cast("long")
+    a = t.det.where("frame_id % 25 = 0").select("video_id", "det_idx", F.col("frame_id").alias("shot_start_frame"), (F.col("frame_id") + F.col("det_idx") - 4).alias("shot_end_frame"), F.lit(10).alias("start_frame"), F.lit(200).alias("finish_frame"), none.alias("make_start_frame"), none.alias("make_end_frame"))
+    f = shots.annotation_faults(a)
+    return f.select("video_id", "shot_start_frame", "det_idx", F.array_contains("faults", "shot_order").alias("bad_order"), F.array_contains("faults", "shot_outside_clip").alias("outside"))
+
+
+@query("e16_optimal_pairs")
+def e16(t: Tables) -> DataFrame:
+    gt = t.players.withColumnRenamed("player_id", "id")
+    return metrics.optimal_frame_pairs(gt, _poses(t).withColumn("id", F.col("det_idx")), 0.3)
+
+
+@query("f11_mean_average_precision")
+def f11(t: Tables) -> DataFrame:
+    pred = _poses(t).withColumn("confidence", F.expr("CAST((x1 * 31 + y1) % 1000 AS DOUBLE) / 1000"))
+    return metrics.mean_average_precision(t.players, pred)
