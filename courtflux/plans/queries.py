@@ -331,7 +331,7 @@ def e12(t: Tables) -> DataFrame:
     return rows.select("frame_id", F.get("prev_ids", "i").alias("prev_id"), "curr_ids", F.posexplode("row").alias("j", "d")).select("frame_id", "prev_id", F.get("curr_ids", "j").alias("curr_id"), F.round("d", 4).alias("d"))
 
 
-@query("e13_band_links", sql("SELECT a.video_id, b.frame_id - a.frame_id AS gap, count(*) AS links, sum(abs(a.x1 - b.x1)) AS dx FROM players a JOIN players b ON a.video_id = b.video_id AND b.frame_id - a.frame_id BETWEEN 1 AND 15 GROUP BY 1, 2", "players"))
+@query("e13_band_links", sql("SELECT a.video_id, b.frame_id - a.frame_id AS gap, count(*) AS links, CAST(sum(abs(a.x1 - b.x1)) AS BIGINT) AS dx FROM players a JOIN players b ON a.video_id = b.video_id AND b.frame_id - a.frame_id BETWEEN 1 AND 15 GROUP BY 1, 2", "players"))
 def e13(t: Tables) -> DataFrame:
     p = t.players
     pairs = band_join(p.select("video_id", "frame_id", "x1"), p.select("video_id", F.col("frame_id").alias("f2"), F.col("x1").alias("x2")), ["video_id"], "frame_id", "f2", 1, 15)
@@ -416,7 +416,7 @@ def f7(t: Tables) -> DataFrame:
     return pairs.groupBy("a", "b").agg(F.round(F.min(V.cosine_distance(F.col("ea"), F.col("eb"))), 6).alias("least"))
 
 
-@query("f19_team_accuracy", sql("WITH s AS (SELECT video_id, team_id AS gt, CASE WHEN det_idx % 5 = 0 THEN NULL ELSE (x1 + frame_id) % 2 END AS pred FROM players) SELECT video_id, greatest(sum(CASE WHEN pred = gt THEN 1 ELSE 0 END), sum(CASE WHEN pred = 1 - gt THEN 1 ELSE 0 END)) AS right_n, count(*) AS total FROM s GROUP BY 1", "players"))
+@query("f19_team_accuracy", sql("WITH s AS (SELECT video_id, team_id AS gt, CASE WHEN det_idx % 5 = 0 THEN NULL ELSE (x1 + frame_id) % 2 END AS pred FROM players) SELECT video_id, CAST(greatest(sum(CASE WHEN pred = gt THEN 1 ELSE 0 END), sum(CASE WHEN pred = 1 - gt THEN 1 ELSE 0 END)) AS BIGINT) AS right_n, count(*) AS total FROM s GROUP BY 1", "players"))
 def f19(t: Tables) -> DataFrame:
     rows = t.players.selectExpr("video_id", "team_id AS gt", "CASE WHEN det_idx % 5 = 0 THEN NULL ELSE (x1 + frame_id) % 2 END AS pred")
     return teams.split_accuracy(rows, "video_id").select("video_id", F.col("right").alias("right_n"), "total")
@@ -458,7 +458,7 @@ def f9(t: Tables) -> DataFrame:
 # -- sequences -----------------------------------------------------------------------------------------------------------------
 
 
-@query("g6_chunks", sql("WITH x AS (SELECT video_id, player_id, frame_id, frame_id - lag(frame_id) OVER (PARTITION BY video_id, player_id ORDER BY frame_id) AS d FROM players WHERE (frame_id + player_id * 7) % 60 < 25) SELECT video_id, player_id, frame_id, sum(CASE WHEN d <= 20 THEN 0 ELSE 1 END) OVER (PARTITION BY video_id, player_id ORDER BY frame_id) - 1 AS chunk FROM x", "players"))
+@query("g6_chunks", sql("WITH x AS (SELECT video_id, player_id, frame_id, frame_id - lag(frame_id) OVER (PARTITION BY video_id, player_id ORDER BY frame_id) AS d FROM players WHERE (frame_id + player_id * 7) % 60 < 25) SELECT video_id, player_id, frame_id, CAST(sum(CASE WHEN d <= 20 THEN 0 ELSE 1 END) OVER (PARTITION BY video_id, player_id ORDER BY frame_id) AS BIGINT) - 1 AS chunk FROM x", "players"))
 def g6(t: Tables) -> DataFrame:
     return smooth.chunks(t.players.where("(frame_id + player_id * 7) % 60 < 25")).select("video_id", "player_id", "frame_id", "chunk")
 
@@ -482,7 +482,7 @@ def g12(t: Tables) -> DataFrame:
     return ball.interpolate(t.balls.where("frame_id % 5 IN (0, 1) AND frame_id % 70 < 66"))
 
 
-@query("g14_trails", sql("SELECT video_id, player_id, frame_id, count(*) OVER w AS n, sum(x1) OVER w AS s FROM players WINDOW w AS (PARTITION BY video_id, player_id ORDER BY frame_id ROWS BETWEEN 29 PRECEDING AND CURRENT ROW)", "players"))
+@query("g14_trails", sql("SELECT video_id, player_id, frame_id, count(*) OVER w AS n, CAST(sum(x1) OVER w AS BIGINT) AS s FROM players WINDOW w AS (PARTITION BY video_id, player_id ORDER BY frame_id ROWS BETWEEN 29 PRECEDING AND CURRENT ROW)", "players"))
 def g14(t: Tables) -> DataFrame:
     tr = smooth.trails(t.players.selectExpr("video_id", "player_id", "frame_id", "x1 AS court_x", "y1 AS court_y"))
     return tr.select("video_id", "player_id", "frame_id", F.size("trail").cast("long").alias("n"), F.aggregate("trail", F.lit(0).cast("long"), lambda s, x: s + x["court_x"]).alias("s"))
