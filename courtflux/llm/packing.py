@@ -19,6 +19,7 @@ from bisect import bisect_right
 from collections.abc import Iterator
 from functools import cache, lru_cache
 from operator import add
+from unicodedata import normalize
 from zlib import crc32
 
 import numpy as np
@@ -116,10 +117,16 @@ class Words:
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        # Runs of a-z need no normalizer and no pre-tokenizer but white space, if the vocabulary agrees on a probe.
+        self.plain = Tokenizer(self.tokenizer.model)
+        self.plain.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        probe = " ".join(["a", "the", "zq", "abcdefghijklmnopqrstuvwxyz", "internationalisation", "sst", "dll"])
+        if self.plain.encode(probe, add_special_tokens=False).ids != self.tokenizer.encode(probe, add_special_tokens=False).ids:
+            self.plain = self.tokenizer
         size = self.tokenizer.get_vocab_size()
         self.kind = "<u2" if size <= 1 << 16 else "<u4"
         self.ends = np.zeros(size, bool)
@@ -135,11 +142,11 @@ class Words:
             out += [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(some, add_special_tokens=False)]
         return out
 
-    def _learn_runs(self, runs: list[bytes]) -> None:
+    def _learn_runs(self, runs: list[bytes], tokenizer) -> None:
         size = np.dtype(self.kind).itemsize
-        for at in range(0, len(runs), 256):
-            some = runs[at : at + 256]
-            ids = np.array(self.tokenizer.encode_batch_fast([b" ".join(some).decode()], add_special_tokens=False)[0].ids, self.kind)
+        for at in range(0, len(runs), 1024):
+            some = runs[at : at + 1024]
+            ids = np.array(tokenizer.encode_batch_fast([b" ".join(some).decode()], add_special_tokens=False)[0].ids, self.kind)
             cut = ((np.flatnonzero(self.ends[ids]) + 1) * size).tolist()
             raw = ids.tobytes()
             self.runs.update(zip(some, [raw[a:z] for a, z in zip([0, *cut], cut)] if len(cut) == len(some) else self._each(some)))
@@ -147,17 +154,20 @@ class Words:
     def _learn(self, words: list[bytes]) -> None:
         bare = [w.rstrip(PUNCTUATION) for w in words]
         tails = [w[len(b) :] for w, b in zip(words, bare)]
-        keys = [b.lower() for b in bare]  # lowers ASCII alone; the tokenizer lowers the rest
+        keys = [b.lower() if b.isascii() else b for b in bare]  # the tokenizer composes characters before it lowers them
+        new = set(keys).difference(self.runs)
+        ascii_runs = [k for k in new if k.isalpha()]
         letters, single, whole = [], [], set()
-        for k in set(keys).difference(self.runs):
-            t = k.decode()
+        for k in new.difference(ascii_runs):
+            t = normalize("NFC", k.decode()).lower()  # what the pre-tokenizer sees
             if t.isalpha():
                 letters.append(k)
             elif not t or t[-1].isalnum():
                 single.append(k)
             else:
                 whole.add(k)  # ends in other punctuation, which joins what is behind it
-        self._learn_runs(letters)
+        self._learn_runs(ascii_runs, self.plain)
+        self._learn_runs(letters, self.tokenizer)
         single += set(tails).difference(self.runs, single)
         self.runs.update(zip(single, self._each(single)))
         if whole:
@@ -172,7 +182,7 @@ class Words:
         for store in (self.known, self.runs):
             if len(store) > KEPT_WORDS:
                 store.clear()
-        split = [t.split() for t in texts]
+        split = [t.lower().split() if t.isascii() else t.split() for t in texts]
         self._learn(list(set().union(*split).difference(self.known)) if split else [])
         end, get = np.array([END], self.kind).tobytes(), self.known.__getitem__
         return [b"".join(map(get, words)) + end for words in split]

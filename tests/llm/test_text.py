@@ -227,7 +227,7 @@ def test_packing(docs, corpus, no_docs):
 
 
 @given(st.text(st.sampled_from("abAéÉ'sStTmM.,!3½ \n\t \x1c…”́ßΣİ한"), max_size=40))
-@settings(max_examples=300, deadline=None)
+@settings(max_examples=1500, deadline=None)
 def test_words_as_whole_texts(text):
     w = packing.words_of(None)
     assert np.frombuffer(w.encode([text.encode()])[0], w.kind).tolist() == w.tokenizer.encode(text, add_special_tokens=False).ids + [1]
