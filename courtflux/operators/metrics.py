@@ -244,15 +244,18 @@ def hota(seq: Sequence) -> dict[str, float]:
             den = s.sum(0, keepdims=True) + s.sum(1, keepdims=True) - s
             soft[np.ix_(gi, pi)] += np.where(den > 1e-12, s / np.maximum(den, 1e-12), 0)
     align = soft / np.maximum(1e-12, g_count[:, None] + p_count[None] - soft)
+    # Thresholds come after the matching, so one matching of each frame serves all.
+    pairs = []
+    for gi, pi, s in seq.frames:
+        if s.size:
+            r, c = assignment(-align[np.ix_(gi, pi)] * s)
+            pairs.append((gi[r], pi[c], s[r, c]))
+    g, p, value = (np.concatenate(x) for x in zip(*pairs)) if pairs else (np.empty(0, int), np.empty(0, int), np.empty(0))
     found = []
     for a in np.arange(0.05, 0.99, 0.05):
-        tp, hits = 0, np.zeros_like(soft)
-        for gi, pi, s in seq.frames:
-            if s.size:
-                r, c = assignment(-align[np.ix_(gi, pi)] * s)
-                ok = s[r, c] >= a - 1e-12
-                tp += int(ok.sum())
-                np.add.at(hits, (gi[r[ok]], pi[c[ok]]), 1)
+        ok = value >= a - 1e-12
+        tp, hits = int(ok.sum()), np.zeros_like(soft)
+        np.add.at(hits, (g[ok], p[ok]), 1)
         det = tp / max(1, seq.n_gt + seq.n_pred - tp)
         ass = float((hits * hits / np.maximum(1, g_count[:, None] + p_count[None] - hits)).sum() / max(1, tp))
         found.append((np.sqrt(det * ass), det, ass))
