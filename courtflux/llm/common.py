@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from ..runtime import ship
 
 #: Bytes of text that one step of a vectorised Python function handles; bounds its temporary arrays.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
