@@ -177,3 +177,23 @@ def grid_errors(pairs: DataFrame, court: str, side: int = 20) -> DataFrame:
 def error_summary(errors: DataFrame, key: str = "video_id") -> DataFrame:
     """RMSE, mean and median for each video and over all."""
     return errors.rollup(key).agg(F.sqrt(F.avg(F.col("error") * F.col("error"))).alias("rmse"), F.avg("error").alias("mean"), F.median("error").alias("median"), F.count("*").alias("points"))
+
+
+# -- augmentation --------------------------------------------------------------------------------------------------------------
+
+
+def augment_points(points: DataFrame, flip: bool = False, **move: float) -> DataFrame:
+    """Keypoints (point, px, py) under an affine map about the picture's centre; a flip mirrors x and takes each point's mirrored class."""
+    x, y = G.affine(F.col("px"), F.col("py"), **move)
+    if not flip:
+        return points.withColumn("__x", x).withColumn("py", y).withColumn("px", F.col("__x")).drop("__x")
+    to = F.element_at(F.array(*(F.lit(mirrored(i)) for i in range(POINTS))), F.col("point") + 1)
+    return points.withColumn("__x", 1 - x).withColumn("py", y).withColumn("px", F.col("__x")).withColumn("point", to).drop("__x")
+
+
+def augment_boxes(boxes: DataFrame, flip: bool = False, **move: float) -> DataFrame:
+    """Boxes (x1..y2 in [0, 1]) under the same map: the box around the moved corners."""
+    corners = [G.affine(F.col(a), F.col(b), **move) for a in ("x1", "x2") for b in ("y1", "y2")]
+    xs, ys = [1 - x if flip else x for x, _ in corners], [y for _, y in corners]
+    new = {"x1": F.least(*xs), "y1": F.least(*ys), "x2": F.greatest(*xs), "y2": F.greatest(*ys)}
+    return boxes.withColumns(new)

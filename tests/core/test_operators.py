@@ -382,3 +382,12 @@ def test_streams(spark, tmp_path, batch):
     q.processAllAvailable()
     q.stop()
     assert {(r.frame_id, r.x) for r in spark.table(f"balls{batch}").collect()} == want
+
+
+def test_augmentation(spark):
+    pts = spark.createDataFrame([(0, 0.25, 0.5), (14, 0.5, 0.5)], "point int, px double, py double")
+    got = {r.point: (round(r.px, 9), round(r.py, 9)) for r in court.augment_points(pts, flip=True, scale=2.0).collect()}
+    assert got == {16: (1.0, 0.5), 14: (0.5, 0.5)}
+    box = spark.createDataFrame([(0.4, 0.4, 0.6, 0.5)], "x1 double, y1 double, x2 double, y2 double")
+    r = court.augment_boxes(box, angle=np.pi / 2).first()
+    assert [round(v, 9) for v in r] == [0.5, 0.4, 0.6, 0.6]
