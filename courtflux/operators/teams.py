@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -78,3 +79,47 @@ def weighted_moments(pixels: DataFrame, keys: list[str], value: str, weight: str
     sums = pixels.groupBy(*keys).agg(F.sum(w).alias("w"), F.sum(w * x).alias("s"), F.sum(w * x * x).alias("q"))
     mean = F.col("s") / F.col("w")
     return sums.select(*keys, mean.alias("mean"), F.sqrt(F.greatest(F.col("q") / F.col("w") - mean * mean, F.lit(0.0))).alias("std"))
+
+
+# -- distances of galleries ----------------------------------------------------------------------------------------------------
+
+
+def least_distance(a: list, b: list) -> float:
+    """The least cosine distance of two lists of vectors, as ``vectors.cosine_distance`` gives it for each pair."""
+
+    def by_size(rows: list) -> tuple[dict[int, np.ndarray], bool]:
+        sizes: dict[int, list] = {}
+        odd = False
+        for x in rows:
+            v = None if x is None else np.array(x, float)  # a null element is nan
+            n = np.nan if v is None else np.sqrt(v @ v)
+            if np.isfinite(n) and n >= 1e-8:
+                sizes.setdefault(len(v), []).append(v / n)
+            else:
+                odd = True
+        return {k: np.array(v) for k, v in sizes.items()}, odd
+
+    (one, odd_a), (two, odd_b) = by_size(a), by_size(b)
+    near = [float(1 - (x @ two[k].T).max()) for k, x in one.items() if k in two]
+    if odd_a or odd_b or len(one.keys() | two.keys()) > 1:
+        near.append(1.0)
+    return min(near)
+
+
+def gallery_distances(vectors: DataFrame, block: int = 2048) -> DataFrame:
+    """a, b, least: the least cosine distance of all vectors of two labels, for each a < b.
+
+    Vectors are gathered into blocks of one label and ``block`` consecutive ids; each pair of blocks is one matrix product.
+    """
+    ship(vectors.sparkSession)
+    blocks = vectors.where("label is not null").groupBy("label", F.floor(F.col("vec_id") / block).alias("part")).agg(F.collect_list(F.struct("embedding")).alias("rows"))
+    pairs = blocks.select(F.col("label").alias("a"), F.col("rows").alias("ra")).join(blocks.select(F.col("label").alias("b"), F.col("rows").alias("rb")), F.col("a") < F.col("b"))
+
+    def run(batches):
+        for batch in batches:
+            ra, rb = batch.column("ra"), batch.column("rb")
+            least = [least_distance([x["embedding"] for x in ra[i].as_py()], [x["embedding"] for x in rb[i].as_py()]) for i in range(batch.num_rows)]
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(least, pa.float64())], names=["a", "b", "least"])
+
+    kind = vectors.schema["label"].dataType.simpleString()
+    return pairs.mapInArrow(run, f"a {kind}, b {kind}, least double").groupBy("a", "b").agg(F.min("least").alias("least"))

@@ -411,9 +411,7 @@ def f5(t: Tables) -> DataFrame:
 
 @query("f7_gallery_distances", sql(f"WITH g AS (SELECT * FROM vectors WHERE vec_id < 400 AND vec_id % 2 = 0) SELECT a.label AS a, b.label AS b, round(min({_COS}), 6) AS least FROM g a JOIN g b ON a.label < b.label GROUP BY 1, 2", "vectors"))
 def f7(t: Tables) -> DataFrame:
-    g = t.vectors.where("vec_id < 400 and vec_id % 2 = 0").select("label", "embedding")
-    pairs = g.selectExpr("label AS a", "embedding AS ea").join(g.selectExpr("label AS b", "embedding AS eb"), F.col("a") < F.col("b"))
-    return pairs.groupBy("a", "b").agg(F.round(F.min(V.cosine_distance(F.col("ea"), F.col("eb"))), 6).alias("least"))
+    return teams.gallery_distances(t.vectors).withColumn("least", F.round("least", 6))
 
 
 @query("f19_team_accuracy", sql("WITH s AS (SELECT video_id, team_id AS gt, CASE WHEN det_idx % 5 = 0 THEN NULL ELSE (x1 + frame_id) % 2 END AS pred FROM players) SELECT video_id, CAST(greatest(sum(CASE WHEN pred = gt THEN 1 ELSE 0 END), sum(CASE WHEN pred = 1 - gt THEN 1 ELSE 0 END)) AS BIGINT) AS right_n, count(*) AS total FROM s GROUP BY 1", "players"))
