@@ -108,7 +108,7 @@ def e7(t: Tables) -> DataFrame:
 SELECT a.video_id, a.player_id, a.at, arg_min(k.frame_id % 2 + 2 * k.team_id + CAST((k.frame_id - k.frame_id % 8) / 8 AS BIGINT) % 5, abs(k.frame_id - a.at) * 2 + CASE WHEN k.frame_id > a.at THEN 1 ELSE 0 END) AS team_id
 FROM asked a JOIN known k ON k.video_id = a.video_id AND k.player_id = a.player_id AND k.frame_id BETWEEN a.at - 5 AND a.at + 5 GROUP BY 1, 2, 3""", "players"))
 def e8(t: Tables) -> DataFrame:
-    asked = t.players.where("frame_id % 10 = 0").select("video_id", "player_id", F.col("frame_id").alias("at"))
+    asked = t.players.select("video_id", "player_id", F.col("frame_id").alias("at"))
     known = t.players.where("frame_id % 4 = 1").withColumn("team_id", F.expr("frame_id % 2 + 2 * team_id + CAST((frame_id - frame_id % 8) / 8 AS BIGINT) % 5"))
     return possession.team_near(asked, known)
 
@@ -153,7 +153,7 @@ def a1(t: Tables) -> DataFrame:
 
 @query("a2_nearest_logical", f"WITH {_MAP} SELECT m.video_id, p AS physical, arg_min(f.logical, abs(f.physical - p) * 100000 + f.logical) AS logical FROM meta m, LATERAL (SELECT unnest(range(0, 60, 7)) AS p) a JOIN fm f ON f.video_id = m.video_id GROUP BY 1, 2")
 def a2(t: Tables) -> DataFrame:
-    asked = _meta(t).select("video_id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(59).cast("long"), F.lit(7).cast("long"))).alias("physical"))
+    asked = _meta(t).select("video_id", F.explode(F.sequence(F.lit(0).cast("long"), F.col("src_total").cast("long") - 1)).alias("physical"))
     return readers.nearest_logical(readers.frame_map(_meta(t)), asked)
 
 
@@ -523,7 +523,7 @@ def _few(t: Tables) -> DataFrame:
 
 @query("i2_flow_tracks")
 def i2(t: Tables) -> DataFrame:
-    return tracking.track_flow(t.players.drop("player_id"), FPS, tracking.FlowConfig(passes=2, tracks=8, max_skip=3)).select(*FRAME, "det_idx", "player_id")
+    return tracking.track_flow(t.players.drop("player_id"), FPS, tracking.FlowConfig(tracks=8)).select(*FRAME, "det_idx", "player_id")
 
 
 @query("i6_court_tracks")
@@ -549,7 +549,7 @@ def i13(t: Tables) -> DataFrame:
 
 @query("i14_homographies")
 def i14(t: Tables) -> DataFrame:
-    slots = court.keypoint_slots(_homographies(t).where("frame_id % 50 = 0"), "nba")
+    slots = court.keypoint_slots(_homographies(t), "nba")
     pts = court.points_table(t.spark, "nba").select("point", "u", "v")
     return court.fit_frames(slots.join(F.broadcast(pts), "point").selectExpr("video_id", "frame_id", "px AS sx", "py AS sy", "u AS dx", "v AS dy"))
 
@@ -626,7 +626,7 @@ def o8(t: Tables) -> DataFrame:
     from .timeline import viewer_counts
 
     meta = t.det.groupBy("video_id").agg((F.max("frame_id") + 1).alias("total_frames"))
-    return viewer_counts(t.players.where("frame_id % 3 <> 1"), t.balls, meta).withColumn("mean_players", F.round("mean_players", 6))
+    return viewer_counts(t.players, t.balls, meta).withColumn("mean_players", F.round("mean_players", 6))
 
 
 @query("o2_ball_handler", sql("""WITH h AS (SELECT p.video_id, p.frame_id, p.det_idx, h.x, h.y FROM players p, LATERAL (SELECT p.x1 AS x, p.y1 + 70 AS y UNION ALL SELECT p.x2, p.y1 + 70) h), b AS (SELECT video_id, frame_id, (x1 + x2) * 0.5e0 AS bx, (y1 + y2) * 0.5e0 AS bd FROM balls),
@@ -673,7 +673,7 @@ def o6(t: Tables) -> DataFrame:
 SELECT video_id, shot_start_frame, det_idx, shot_start_frame >= shot_end_frame AS bad_order, shot_start_frame < 10 OR shot_end_frame > 200 AS outside FROM a""", "det"))
 def d17(t: Tables) -> DataFrame:
     none = F.lit(None).cast("long")
-    a = t.det.where("frame_id % 25 = 0").select("video_id", "det_idx", F.col("frame_id").alias("shot_start_frame"), (F.col("frame_id") + F.col("det_idx") - 4).alias("shot_end_frame"), F.lit(10).alias("start_frame"), F.lit(200).alias("finish_frame"), none.alias("make_start_frame"), none.alias("make_end_frame"))
+    a = t.det.select("video_id", "det_idx", F.col("frame_id").alias("shot_start_frame"), (F.col("frame_id") + F.col("det_idx") - 4).alias("shot_end_frame"), F.lit(10).alias("start_frame"), F.lit(200).alias("finish_frame"), none.alias("make_start_frame"), none.alias("make_end_frame"))
     f = shots.annotation_faults(a)
     return f.select("video_id", "shot_start_frame", "det_idx", F.array_contains("faults", "shot_order").alias("bad_order"), F.array_contains("faults", "shot_outside_clip").alias("outside"))
 

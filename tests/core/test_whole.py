@@ -38,3 +38,25 @@ def test_f7_all_vectors(spark, small):
     x = {k: v / np.linalg.norm(v, axis=1, keepdims=True) for k, v in x.items()}
     got = {(r.a, r.b): r.least for r in QUERIES["f7_gallery_distances"](spark, d).collect()}
     assert len(got) == 6 and all(abs(v - (1 - (x[a] @ x[b].T).max())) < 2e-6 for (a, b), v in got.items())
+
+
+def test_every_frame(spark, small, monkeypatch):
+    d, _ = small
+    from courtflux.operators import court, tracking
+    from courtflux.plans.derive import Tables
+    from courtflux.plans.queries import _homographies
+
+    t = Tables(spark, d)
+    slots = court.keypoint_slots(_homographies(t), "nba").select("video_id", "frame_id").distinct().count()
+    assert slots > 80 and QUERIES["i14_homographies"](spark, d).count() == slots
+    assert QUERIES["d17_annotation_faults"](spark, d).count() == t.det.count()
+    assert {tuple(r) for r in QUERIES["a2_nearest_logical"](spark, d).select("video_id", "physical").collect()} == {(v, p) for v in (0, 3) for p in range(90 + 3 * v)}
+    near = {tuple(r) for r in QUERIES["e8_team_near"](spark, d).select("video_id", "player_id", "at").collect()}
+    players = t.players.toPandas()
+    assert near == set(zip(players.video_id, players.player_id, players.frame_id))
+    o8 = QUERIES["o8_viewer_counts"](spark, d).first()
+    assert o8.mean_players == round(len(players) / 130, 6)
+    seen = []
+    monkeypatch.setattr(tracking, "track_flow", lambda rows, fps, cfg: seen.append(cfg) or rows.withColumn("player_id", F.lit(0)))
+    QUERIES["i2_flow_tracks"](spark, d)
+    assert (seen[0].passes, seen[0].max_skip) == (tracking.FlowConfig().passes, tracking.FlowConfig().max_skip)
