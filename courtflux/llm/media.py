@@ -1,11 +1,13 @@
-"""Media columns: signature sniffing.
+"""Media columns: signature sniffing and carving.
 
 An Aho-Corasick automaton locates magic bytes in a blob. For each place the format's validator confirms structure and lengths; the first
 confirmed format at offset 0 is the blob's type and corrects a wrong declared one, confirmed formats further in are embedded media that
-can be carved. Payloads are stored losslessly as 8-bit samples in one of three containers, chosen by the payload's checksum, so equal
+``carve`` gives as rows' arrays, for any binary column. Payloads are stored losslessly as 8-bit samples in one of three containers, chosen by the payload's checksum, so equal
 payloads are stored equally: WAV (mono), BMP (grey, 576 wide) and AU (linear 8 bit).
 
-Defined results: null and empty payloads are one padded unit. Bytes that only look like a signature are passed over. Places that lie
+Defined results: null and empty payloads are one padded unit. A blob without a confirmed format at offset 0 (unknown, truncated, or media
+behind a prefix) keeps its declared type, else it is application/octet-stream; its payload is the whole blob. A null blob has a null type,
+payload, digests and feature, and no carved media. Bytes that only look like a signature are passed over. Places that lie
 inside a confirmed format's bytes are carved too if they are confirmed; of places at one offset the first in order of FORMATS counts.
 Repeated rows get equal results.
 """
@@ -23,7 +25,11 @@ import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import BinaryType, StringType, StructField, StructType, _parse_datatype_string
 
+from ..runtime import ship
 from . import common as C
 
 UNIT = 576  # samples in a row of a stored picture
@@ -193,8 +199,46 @@ def store(docs: DataFrame) -> DataFrame:
     return C.map_text(docs, ["doc_id", "text"], "doc_id long, n_bytes long, declared string, media binary", f)
 
 
+CARVED = "array<struct<kind:string,start:long,end:long,bytes:binary>>"
+
+
+def carve(df: DataFrame, column: str = "media", declared: str | None = "declared") -> DataFrame:
+    """``df`` with ``type`` (the corrected one), ``payload`` (of the format at offset 0) and ``carved``: (kind, start, end, bytes) of each embedded media.
+
+    ``column`` is any binary column, ``declared`` a column of types or None.
+    """
+    ship(df.sparkSession)
+    schema = StructType([*df.schema, StructField("type", StringType()), StructField("payload", BinaryType()), StructField("carved", _parse_datatype_string(CARVED))])
+    out, names = to_arrow_schema(schema), df.columns
+
+    def run(batches):
+        for batch in batches:
+            for part in C.slices(batch, column):
+                said = part.column(declared).to_pylist() if declared else [None] * part.num_rows
+                kinds, payloads, carved = [], [], []
+                for blob, name in zip(part.column(column).to_pylist(), said):
+                    kind, payload, inner = read(blob, name)
+                    kinds.append(kind)
+                    payloads.append(payload)
+                    carved.append([{"kind": x.kind, "start": x.start, "end": x.end, "bytes": blob[x.start : x.end]} for x in inner])
+                own = {n: part.column(n) for n in names}
+                yield C.as_batch(own | {"type": kinds, "payload": payloads, "carved": carved}, out)
+
+    return df.mapInArrow(run, schema)
+
+
+def read(blob: bytes | None, declared: str | None) -> tuple[str | None, bytes | None, list[Found]]:
+    """The corrected type, the payload of the format at offset 0 (else the blob), and the embedded media."""
+    if blob is None:
+        return None, None, []
+    found = sniff(blob)
+    if found and found[0].start == 0:
+        return found[0].kind, blob[found[0].payload_start : found[0].payload_end], found[1:]
+    return declared or "application/octet-stream", blob, found
+
+
 def features(stored: DataFrame) -> DataFrame:
-    """From stored media: the payload read back, its digests, and what sniffing says of the type."""
+    """From stored media: the payload read back, its digests, and what carving says of the type and of embedded media."""
     schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
     out = C.arrow_schema(stored.sparkSession, schema)
 
@@ -202,25 +246,18 @@ def features(stored: DataFrame) -> DataFrame:
         for batch in batches:
             for part in C.slices(batch, "media"):
                 cols: dict[str, list] = {k: [] for k in ("payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")}
-                for blob, declared in zip(part.column("media").to_pylist(), part.column("declared").to_pylist()):
-                    kind, inner = corrected(blob, declared)
-                    whole = next(x for x in sniff_at(blob, kind))
-                    x = blob[whole.payload_start : whole.payload_end]
-                    for k, v in zip(cols, (len(x), hashlib.sha256(x).hexdigest(), zlib.crc32(x[-32:]), len(blob), hashlib.sha256(blob).hexdigest(), feature(kind, declared, inner, x))):
+                for blob, declared, kind, x, inner in zip(*(part.column(c).to_pylist() for c in ("media", "declared", "type", "payload", "embedded"))):
+                    row = (None,) * len(cols) if blob is None else (len(x), hashlib.sha256(x).hexdigest(), zlib.crc32(x[-32:]), len(blob), hashlib.sha256(blob).hexdigest(), feature(kind, declared, inner, x))
+                    for k, v in zip(cols, row):
                         cols[k].append(v)
                 yield C.as_batch(cols | {"doc_id": part.column("doc_id"), "n_bytes": part.column("n_bytes")}, out)
 
-    return stored.mapInArrow(run, schema)
-
-
-def sniff_at(blob: bytes, kind: str) -> list[Found]:
-    """The format confirmed at offset 0."""
-    return [x for magic, check in FORMATS.items() if blob.startswith(magic) and (x := check(blob, 0)) and x.kind == kind]
+    return carve(stored).withColumn("embedded", F.size("carved")).drop("carved").mapInArrow(run, schema)
 
 
-def feature(kind: str, declared: str | None, inner: list[Found], payload: bytes) -> str:
-    mean = float(np.frombuffer(payload, np.uint8).mean())
-    return f"{kind};{'as declared' if kind == declared else f'declared {declared}'};embedded={len(inner)};mean={mean:.4f}"
+def feature(kind: str, declared: str | None, embedded: int, payload: bytes) -> str:
+    mean = float(np.frombuffer(payload, np.uint8).mean()) if payload else 0.0
+    return f"{kind};{'as declared' if kind == declared else f'declared {declared}'};embedded={embedded};mean={mean:.4f}"
 
 
 def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
