@@ -5,8 +5,8 @@ Aho-Corasick automaton finds all pieces, a piece's place bounds the window in wh
 bounded-error matching verifies the edits there and gives the span.
 
 The text is searched as its lower-cased words joined by single spaces, so spans are in words. Defined results: null and empty texts have
-no words, no labels and score 0. Of overlapping spans the one with the fewest edits stays, then the longest notice, then the earliest. Repeated rows
-get equal results.
+no words, no labels and score 0. Of overlapping spans the one with the fewest edits stays, then the longest notice, then the earliest; the
+bare names of licenses, which match whole words only, give way to the other notices. Repeated rows get equal results.
 """
 
 from __future__ import annotations
@@ -35,6 +35,7 @@ class Notice(NamedTuple):
     label: str
     text: str
     edits: int
+    bare: bool = False  # a license's bare name: whole words only
 
 
 #: Short notices, lower-cased words, with the edits allowed.
@@ -53,6 +54,11 @@ NOTICES = (
     Notice("cc-by", "creative commons attribution", 2),
     Notice("cc0", "creative commons zero", 2),
     Notice("unlicense", "released into the public domain", 3),
+    # One edit more and "its license" would be "mit license", and with any edit "c by" would be "cc by".
+    Notice("mit", "mit license", 1, True),
+    Notice("apache", "apache license", 2, True),
+    Notice("gpl", "gnu general public license", 3, True),
+    Notice("cc-by", "cc by", 0, True),
 )
 
 #: Maps bytes to lower case and what is no part of a word to spaces: words are [0-9a-z] and all beyond ASCII.
@@ -84,13 +90,15 @@ def searcher(notices: tuple[Notice, ...] = NOTICES):
     for piece, own in owners.items():
         automaton.add_word(piece, (len(piece), own))
     automaton.make_automaton()
-    patterns = [regex.compile(rf"(?b)(?:{regex.escape(x.text)}){{e<={x.edits}}}") for x in notices]
+    edge = [" " if x.bare else "" for x in notices]
+    patterns = [regex.compile(rf"(?b){e}((?:{regex.escape(x.text, literal_spaces=True)}){{e<={x.edits}}}){e}") for x, e in zip(notices, edge)]
     return automaton, patterns
 
 
 def fuzzy(joined: str, notices: tuple[Notice, ...] = NOTICES) -> list[tuple[int, int, int, int]]:
     """(notice, start, end, edits) of the verified spans in a text of joined words; spans don't overlap."""
     automaton, patterns = searcher(notices)
+    spaced = f" {joined} "
     windows: dict[int, list[list[int]]] = {}
     for end, (size, own) in automaton.iter(joined):
         for i, at in own:
@@ -110,12 +118,16 @@ def fuzzy(joined: str, notices: tuple[Notice, ...] = NOTICES) -> list[tuple[int,
                 merged[-1][1] = max(merged[-1][1], b)
             else:
                 merged.append([a, b])
-        for a, b in merged:
-            while a < b and (m := patterns[i].search(joined, a, b)):
-                found.append((i, m.start(), m.end(), sum(m.fuzzy_counts)))
-                a = max(m.end(), m.start() + 1)
+        edge = int(notices[i].bare)  # a bare name's pattern has the spaces around it, which two matches may share
+        todo = [(a, b + 2 * edge) for a, b in merged]
+        while todo:
+            a, b = todo.pop()
+            if a < b and (m := patterns[i].search(spaced if edge else joined, a, b)):
+                found.append((i, m.start(1) - edge, m.end(1) - edge, sum(m.fuzzy_counts)))
+                # The best match of a window; others may stand on both of its sides.
+                todo += [(a, m.start() + edge), (max(m.end() - edge, m.start() + 1), b)]
     kept: list[tuple[int, int, int, int]] = []
-    for x in sorted(found, key=lambda x: (x[3], -len(notices[x[0]].text), x[1], x[0])):
+    for x in sorted(found, key=lambda x: (notices[x[0]].bare, x[3], -len(notices[x[0]].text), x[1], x[0])):
         if all(x[2] <= y[1] or y[2] <= x[1] for y in kept):
             kept.append(x)
     return sorted(kept, key=lambda x: (x[1], x[0]))
