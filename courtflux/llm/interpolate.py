@@ -192,7 +192,7 @@ def answers(asked: DataFrame, buckets: dict[str, int]) -> DataFrame:
 
 
 def answered(b: Block, got: list[dict], words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of each token the corpus counts u of its word, C of its context (-1: the text's start) and c of the bigram."""
+    """Of each token the corpus counts u of its word, C of its context (the training texts for a text's start) and c of the bigram."""
     parts = sorted((x["bucket"], x["n"]) for x in got)
     by = np.argsort(b.words)
     u = np.empty(len(b.words), np.int64)
@@ -202,7 +202,7 @@ def answered(b: Block, got: list[dict], words: int) -> tuple[np.ndarray, np.ndar
     of = u[b.ids]
     context = np.empty(len(of), np.int64)
     context[1:] = of[:-1]
-    context[b.start] = -1
+    context[b.start] = of[b.start + b.sizes - 1]  # a training text has one end token, and one start
     return of, context, c[at]
 
 
@@ -291,8 +291,7 @@ def scores(docs: DataFrame, block_bytes: int = BLOCK_BYTES, bucket_bytes: int =
                 row = batch.slice(i, 1).to_pylist()[0]
                 b = opened(row)
                 of, context, c = answered(b, row["got"], words)
-                of_train = b.of_train & (context >= 0)
-                cell, k = held_out_cells(of[of_train], context[of_train], c[of_train], n)
+                cell, k = held_out_cells(of[b.of_train], context[b.of_train], c[b.of_train], n)
                 yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(k)], names=["cell", "k"])
 
     cells = joined.select("block", "sizes", "train", "words", "ids", "got").mapInArrow(learn, "cell long, k long").groupBy("cell").agg(F.sum("k").alias("k")).toArrow()  # at most LEVELS * GRID**2 rows
@@ -308,7 +307,6 @@ def scores(docs: DataFrame, block_bytes: int = BLOCK_BYTES, bucket_bytes: int =
                 if n:
                     base = np.log10((of + 1) / (n + v + 1))
                     w = weights[level(context)]
-                    w[context < 0] = (0.0, 0.9, 0.1)
                     p = w[:, 0] * c / np.maximum(context, 1) + w[:, 1] * (of / n) + w[:, 2] * uniform
                     p = p / np.where(context == 0, w[:, 1] + w[:, 2], 1.0)
                     model = np.log10(p)
