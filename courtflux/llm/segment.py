@@ -84,16 +84,28 @@ class Vocabulary:
         hashes = np.concatenate([self.hashes(np.array([list(map(ord, x)) for x in pieces if len(x) == n], np.uint64)) for n in range(1, self.longest + 1) if any(len(x) == n for x in pieces)])
         order = [x for n in range(1, self.longest + 1) for x in pieces if len(x) == n]
         by = np.argsort(hashes)
-        self.hash = hashes[by]
-        if (self.hash[1:] == self.hash[:-1]).any():
+        self.hash = np.append(hashes[by], np.uint64(2**64 - 1))  # the end stops a search
+        if (self.hash[1:-1] == self.hash[:-2]).any():
             raise ValueError("two pieces have one hash")
-        self.hash_log = np.array([self.log_weight[x][0] for x in order])[by]
-        self.hash_id = np.array([self.log_weight[x][1] for x in order])[by]
-        self.seen, self.begins = np.zeros(1 << 20, bool), np.zeros(1 << 20, bool)
-        self.seen[self.hash >> np.uint64(44)] = True
-        for n in range(1, self.longest + 1):  # beginnings of pieces
-            rows = np.array([list(map(ord, x[:n])) for x in pieces if len(x) >= n], np.uint64)
-            self.begins[self.hashes(rows) >> np.uint64(44)] = True
+        # By a piece's place in the order of hashes plus one; 0 is no piece, and behind the pieces come 1 to 4 bytes of a character.
+        logs = np.concatenate([[-np.inf], np.array([self.log_weight[x][0] for x in order])[by], self.log_byte * np.arange(1, 5)])
+        self.weight = np.exp(logs)
+        self.piece_id = np.concatenate([[0], np.array([self.log_weight[x][1] for x in order])[by], [0] * 4])
+        self.seen = np.zeros(1 << 20, bool)
+        self.seen[self.hash[:-1] >> np.uint64(44)] = True
+        self.near = np.searchsorted(self.hash[:-1], np.arange(1 << 18, dtype=np.uint64) << np.uint64(46)).astype(np.int32)
+
+    def find(self, m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which of the hashes are pieces', and their numbers in ``weight``."""
+        may = np.flatnonzero(self.seen[m >> np.uint64(44)])
+        m = m[may]
+        at = self.near[m >> np.uint64(46)]
+        late = np.flatnonzero(self.hash[at] < m)
+        while len(late):
+            at[late] += 1
+            late = late[self.hash[at[late]] < m[late]]
+        hit = np.flatnonzero(self.hash[at] == m)
+        return may[hit], at[hit] + 1
 
     @staticmethod
     def hashes(rows: np.ndarray) -> np.ndarray:
@@ -126,7 +138,11 @@ class Vocabulary:
 
 
 class Lattices:
-    """Lattices of distinct units laid end to end: a node for each character, edges by node with probabilities and their running sums."""
+    """Lattices of distinct units laid end to end: a node for each character, edges by node, the longest first, with running sums of their probabilities.
+
+    They are made level by level from the units' ends. Units stand in order of falling length there, so a level, and where its edges of
+    one size lead, are slices.
+    """
 
     def __init__(self, v: Vocabulary, units: list[str]):
         self.length = np.fromiter(map(len, units), np.int64, len(units))
@@ -134,63 +150,71 @@ class Lattices:
         self.first = stop - self.length
         joined = "".join(units)
         cp = np.frombuffer(joined.encode("utf-32-le"), np.uint32).astype(np.uint64)
-        n = len(cp)
+        n, top = len(cp), int(self.length.max()) if len(units) else 0
+        by = np.argsort(-self.length, kind="stable")
+        rank = np.empty(len(by), np.int64)
+        rank[by] = np.arange(len(by))
+        width = len(units) - np.concatenate([[0], np.cumsum(np.bincount(self.length, minlength=top + 1))[:-1]])  # units of a length or more
+        level = np.concatenate([[0, 0], np.cumsum(width[1:])])  # where each level begins
         left = np.repeat(stop, self.length) - np.arange(n)  # characters from a node to its unit's end
-        h, nodes = np.zeros(n, np.uint64), np.arange(n)
-        parts: list[tuple[np.ndarray, int, np.ndarray, np.ndarray]] = []
-        single = np.zeros(n, bool)
-        for size in range(1, v.longest + 1):
-            ok = left[nodes] >= size
-            nodes, h = nodes[ok], h[ok] * _BASE + cp[nodes[ok] + size - 1]
-            if not len(nodes):
-                break
-            m = mixed(h)
-            live = v.begins[m >> np.uint64(44)]
-            nodes, h, m = nodes[live], h[live], m[live]
-            may = np.flatnonzero(v.seen[m >> np.uint64(44)])
-            at = np.minimum(np.searchsorted(v.hash, m[may]), len(v.hash) - 1)
-            hit = v.hash[at] == m[may]
-            start, at = nodes[may[hit]], at[hit]
-            if size == 1:
-                single[start] = True
-            parts.append((start, size, v.hash_log[at], v.hash_id[at]))
-        bare = np.flatnonzero(~single)
+        place = level[left] + np.repeat(rank, self.length)
+        chars = np.empty(n, np.uint64)
+        chars[place] = cp
+        before = np.repeat(np.concatenate([[0], width[1:-1]]), width[1:]) if top else place  # from a node back to the next character's
+        size = min(v.longest, top)
+        piece = np.zeros((size, n), np.uint16 if len(v.weight) <= 1 << 16 else np.int32)
+        h, at = np.zeros(n, np.uint64), np.arange(n)
+        for k in range(size):
+            h = h * _BASE + chars[at]
+            hit, number = v.find(mixed(h))
+            piece[k, hit + level[k + 1]] = number
+            if k + 1 < size:
+                beyond = level[k + 2] - level[k + 1]  # these end here
+                h, at = h[beyond:], (at - before[at])[beyond:]
+        bare = np.flatnonzero(piece[0] == 0) if n else place
+        own = np.array([v.bytes_of(chr(int(c))) for c in chars[bare]], np.int64)
         if len(bare):
-            fall = [v.bytes_of(joined[i]) for i in bare.tolist()]
-            parts.insert(0, (bare, 1, np.array([v.log_byte * (1 if i >= 0 else len(v.fallback[-i - 1])) for i in fall]), np.array(fall)))
-        # Edges by node, then by length: the parts come in order of length, so each edge's place is its node's begin plus those before it.
-        per_node = np.zeros(n, np.int64)
-        for at, *_ in parts:
-            per_node[at] += 1  # a part has a node once
-        self.edge_start = np.concatenate([[0], np.cumsum(per_node)])
+            piece[0, bare] = len(v.weight) - 5 + np.array([len(chr(int(c)).encode()) for c in chars[bare]])
+        # Backward masses: of a level and the sizes before it; all of a unit's are scaled up before they vanish.
+        mass = np.zeros((size + 1, len(units)))
+        mass[0] = 1.0
+        share = np.zeros((size, n))
+        for k in range(1, top + 1):
+            a, z, m = level[k], level[k + 1], min(k, size)
+            rows = np.arange(k - 1, k - 1 - m, -1) % (size + 1)
+            q = v.weight[piece[:m, a:z]] * mass[rows, : z - a]
+            total = q.sum(0)
+            if total.min() < 1e-200:
+                small = np.flatnonzero(total < 1e-200)
+                mass[:, small] *= 1e200
+                total_up = total.copy()
+                total_up[small] *= 1e200
+                mass[k % (size + 1), : z - a] = total_up
+            else:
+                mass[k % (size + 1), : z - a] = total
+            q /= total
+            share[:m, a:z] = q
+        # Edges by node in the units' order, from the longest.
+        count = (piece > 0).sum(0)
+        self.edge_start = np.concatenate([[0], np.cumsum(count[place])])
+        free = np.empty(n, np.int64)
+        free[place] = self.edge_start[:-1]
         m = int(self.edge_start[-1])
-        start, step, log_w, self.id = np.empty(m, np.int64), np.empty(m, np.int64), np.empty(m), np.empty(m, np.int32)
-        free = self.edge_start[:-1].copy()
-        for at, size, w, i in parts:
-            to = free[at]
-            start[to], step[to], log_w[to], self.id[to] = at, size, w, i
+        self.step, self.id, self.cum, q = np.empty(m, np.int32), np.empty(m, np.int32), np.empty(m), np.empty(m)
+        run, ids = np.zeros(n), v.piece_id
+        for k in range(size - 1, -1, -1):
+            at = np.flatnonzero(piece[k])
+            to, p = free[at], share[k, at]
+            run[at] += p
+            self.step[to], self.id[to], self.cum[to], q[to] = k + 1, ids[piece[k, at]], run[at], p
+            if k == 0 and len(bare):
+                self.id[free[bare]] = own
             free[at] += 1
-        self.step = step.astype(np.int32)
-        last = step == left[start]
-        # Backward log masses, from the units' ends; nodes as far from their end go together.
-        beta = np.zeros(n)
-        to = np.where(last, 0, start + step)
-        far = np.argsort(left.astype(np.uint16) if n and left.max() < 1 << 16 else left, kind="stable")
-        cut = np.concatenate([[0], np.flatnonzero(np.diff(left[far])) + 1, [n]]) if n else [0]
-        for a, z in zip(cut, cut[1:]):
-            nodes = np.sort(far[a:z])
-            size = per_node[nodes]
-            begin = np.cumsum(size) - size
-            e = np.repeat(self.edge_start[nodes] - begin, size) + np.arange(int(size.sum()))
-            mass = log_w[e] + np.where(last[e], 0.0, beta[to[e]])
-            top = np.maximum.reduceat(mass, begin)
-            beta[nodes] = top + np.log(np.add.reduceat(np.exp(mass - np.repeat(top, size)), begin))
-        self.log_q = log_w + np.where(last, 0.0, beta[to]) - beta[start]
-        self.q = np.exp(self.log_q)
-        run = np.concatenate([[0.0], np.cumsum(self.q)])
-        self.cum = run[1:] - run[self.edge_start[start]]
         if n:
             self.cum[self.edge_start[1:] - 1] = 1.0
+        with np.errstate(divide="ignore"):
+            self.log_q = np.log(q)
+        self.q = q
 
 
 class Texts:
