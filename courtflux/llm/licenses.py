@@ -2,11 +2,13 @@
 
 Each notice with at most k edits is split into k + 1 pieces; by the pigeonhole principle one piece stands unchanged in any match. One
 Aho-Corasick automaton finds all pieces, a piece's place bounds the window in which its notice can lie, and the ``regex`` library's
-bounded-error matching verifies the edits there and gives the span.
+bounded-error matching verifies the edits there and gives the span. Words that tell one license from another (``exact``: "mit", "nc", a
+version's numbers) must stand as whole words without an edit; a pattern takes them literally and allows edits only between them.
 
 The text is searched as its lower-cased words joined by single spaces, so spans are in words. Defined results: null and empty texts have
 no words, no labels and score 0. Of overlapping spans the one with the fewest edits stays, then the longest notice, then the earliest; the
-bare names of licenses, which match whole words only, give way to the other notices. Repeated rows get equal results.
+bare names of licenses, which match whole words only, give way to the other notices. Repeated rows get equal results, an empty table
+gives an empty one. Texts of any length are searched whole, a window at a time; other columns of the input are not read.
 """
 
 from __future__ import annotations
@@ -35,30 +37,37 @@ class Notice(NamedTuple):
     label: str
     text: str
     edits: int
+    exact: tuple[str, ...] = ()  # words that bear no edit
     bare: bool = False  # a license's bare name: whole words only
 
 
-#: Short notices, lower-cased words, with the edits allowed.
+#: Short notices, lower-cased words, with the edits allowed and the words that must stand as they are.
 NOTICES = (
-    Notice("apache-2.0", "licensed under the apache license version 2 0", 4),
-    Notice("gpl-3.0", "gnu general public license version 3", 3),
-    Notice("gpl-2.0", "gnu general public license version 2", 3),
-    Notice("lgpl", "gnu lesser general public license", 3),
-    Notice("agpl", "gnu affero general public license", 3),
-    Notice("mit", "released under the mit license", 3),
+    Notice("apache-2.0", "licensed under the apache license version 2 0", 4, ("apache", "2", "0")),
+    Notice("gpl-3.0", "gnu general public license version 3", 3, ("gnu", "3")),
+    Notice("gpl-2.0", "gnu general public license version 2", 3, ("gnu", "2")),
+    Notice("lgpl", "gnu lesser general public license", 3, ("gnu",)),
+    Notice("agpl", "gnu affero general public license", 3, ("gnu",)),
+    Notice("mit", "released under the mit license", 3, ("mit",)),
     Notice("mit", "permission is hereby granted free of charge to any person", 5),
     Notice("bsd", "redistribution and use in source and binary forms", 4),
-    Notice("mpl-2.0", "mozilla public license version 2 0", 3),
-    Notice("cc-by-nc", "licensed under cc by nc 4 0", 2),
-    Notice("cc-by-sa", "licensed under cc by sa 4 0", 2),
+    Notice("bsd", "released under the bsd license", 3, ("bsd",)),
+    Notice("isc", "released under the isc license", 3, ("isc",)),
+    Notice("mpl-2.0", "mozilla public license version 2 0", 3, ("mozilla", "2", "0")),
+    Notice("mpl", "mozilla public license", 2, ("mozilla",)),
+    Notice("cc-by-nc", "licensed under cc by nc 4 0", 2, ("cc", "by", "nc")),
+    Notice("cc-by-sa", "licensed under cc by sa 4 0", 2, ("cc", "by", "sa")),
+    Notice("cc-by-nd", "licensed under cc by nd 4 0", 2, ("cc", "by", "nd")),
+    Notice("cc-by-nc", "creative commons attribution noncommercial", 3),
+    Notice("cc-by-sa", "creative commons attribution sharealike", 3),
+    Notice("cc-by-nd", "creative commons attribution noderivatives", 3),
     Notice("cc-by", "creative commons attribution", 2),
     Notice("cc0", "creative commons zero", 2),
     Notice("unlicense", "released into the public domain", 3),
-    # One edit more and "its license" would be "mit license", and with any edit "c by" would be "cc by".
-    Notice("mit", "mit license", 1, True),
-    Notice("apache", "apache license", 2, True),
-    Notice("gpl", "gnu general public license", 3, True),
-    Notice("cc-by", "cc by", 0, True),
+    Notice("mit", "mit license", 2, ("mit",), True),
+    Notice("apache", "apache license", 2, ("apache",), True),
+    Notice("gpl", "gnu general public license", 3, ("gnu",), True),
+    Notice("cc-by", "cc by", 0, (), True),
 )
 
 #: Maps bytes to lower case and what is no part of a word to spaces: words are [0-9a-z] and all beyond ASCII.
@@ -79,6 +88,18 @@ def pieces(text: str, edits: int) -> list[tuple[int, str]]:
     return [(a, text[a:b]) for a, b in zip(cuts, cuts[1:])]
 
 
+def pattern(x: Notice) -> regex.Pattern:
+    """The notice with at most ``edits`` edits in each part between its exact words; the sum is tested on what is found."""
+    parts, at = [], 0
+    for m in regex.finditer("|".join(rf"(?<![^ ]){regex.escape(w)}(?![^ ])" for w in x.exact) or r"(?!)", x.text):
+        parts += [(x.text[at : m.start()], False), (m.group(), True)]
+        at = m.end()
+    parts.append((x.text[at:], False))
+    body = "".join(rf"(?<![^ ]){regex.escape(t)}(?![^ ])" if exact else rf"(?:{regex.escape(t, literal_spaces=True)}){{e<={x.edits}}}" for t, exact in parts if t)
+    edge = " " if x.bare else ""
+    return regex.compile(rf"(?b){edge}({body}){edge}")
+
+
 @cache
 def searcher(notices: tuple[Notice, ...] = NOTICES):
     """The automaton of all pieces, with (notice, place in it) of each, and the notices' patterns."""
@@ -90,14 +111,12 @@ def searcher(notices: tuple[Notice, ...] = NOTICES):
     for piece, own in owners.items():
         automaton.add_word(piece, (len(piece), own))
     automaton.make_automaton()
-    edge = [" " if x.bare else "" for x in notices]
-    patterns = [regex.compile(rf"(?b){e}((?:{regex.escape(x.text, literal_spaces=True)}){{e<={x.edits}}}){e}") for x, e in zip(notices, edge)]
-    return automaton, patterns
+    return automaton, [pattern(x) for x in notices], [[f" {w} " for w in x.exact] for x in notices]
 
 
 def fuzzy(joined: str, notices: tuple[Notice, ...] = NOTICES) -> list[tuple[int, int, int, int]]:
     """(notice, start, end, edits) of the verified spans in a text of joined words; spans don't overlap."""
-    automaton, patterns = searcher(notices)
+    automaton, patterns, needed = searcher(notices)
     spaced = f" {joined} "
     windows: dict[int, list[list[int]]] = {}
     for end, (size, own) in automaton.iter(joined):
@@ -122,9 +141,11 @@ def fuzzy(joined: str, notices: tuple[Notice, ...] = NOTICES) -> list[tuple[int,
         todo = [(a, b + 2 * edge) for a, b in merged]
         while todo:
             a, b = todo.pop()
-            if a < b and (m := patterns[i].search(spaced if edge else joined, a, b)):
+            if a >= b or not all(w in spaced[a : b + 2] for w in needed[i]):
+                continue
+            # The best match of a window: if it has too many edits, all have. Others may stand on both of its sides.
+            if (m := patterns[i].search(spaced if edge else joined, a, b)) and sum(m.fuzzy_counts) <= notices[i].edits:
                 found.append((i, m.start(1) - edge, m.end(1) - edge, sum(m.fuzzy_counts)))
-                # The best match of a window; others may stand on both of its sides.
                 todo += [(a, m.start() + edge), (max(m.end() - edge, m.start() + 1), b)]
     kept: list[tuple[int, int, int, int]] = []
     for x in sorted(found, key=lambda x: (notices[x[0]].bare, x[3], -len(notices[x[0]].text), x[1], x[0])):
