@@ -230,7 +230,7 @@ def test_packing(docs, corpus, no_docs):
 @settings(max_examples=1500, deadline=None)
 def test_words_as_whole_texts(text):
     w = packing.words_of(None)
-    assert np.frombuffer(w.encode([text.encode()])[0], w.kind).tolist() == w.tokenizer.encode(text, add_special_tokens=False).ids + [1]
+    assert np.frombuffer(w.encode([text])[1][0], w.kind).tolist() == w.tokenizer.encode(text, add_special_tokens=False).ids + [1]
 
 
 # -- segmentations -------------------------------------------------------------------------------------------------------------
