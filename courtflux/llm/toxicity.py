@@ -2,11 +2,15 @@
 
 A document's terms are its distinct lower-cased words and their five-byte prefixes, hashed into ``2**BITS`` buckets. The machine
 adds a weight for each term and the products of latent vectors for each pair of terms, so that pairs such as an insult beside a
-group's name count beyond their sum. Terms without a proven link to the label (likelihood ratio under ``MIN_G2``) keep weight 0.
+group's name count beyond their sum. Terms take part that are linked to the label alone (likelihood ratio of ``MIN_G2`` or more) or in a
+pair: among the rows that hold one of the pair, the other is linked to the label (``PAIR_G2``, as millions of pairs are tried). Pairs are
+looked for among the linked terms and those most frequent in toxic rows, ``CANDIDATES`` in all. Other terms keep weight 0.
 
 Defined results: a null or empty text has no terms and gets the score of the intercept alone. A tie of 0.5 predicts 1. Repeated rows
 get equal scores. Without any labelled row of both kinds the score is the smoothed share of toxic labels. Duplicate labels of one id
-count as toxic if any is. A null doc_id matches no label.
+count as toxic if any is. A null doc_id matches no label. Of rows that share an id one text is learned from (that of the smallest terms).
+An empty table gives no scores, an empty label table the score 0.25 for all. Texts of any length are read whole. Only doc_id and text
+(and from labels doc_id and toxic) are read, so other columns don't clash; ``drop_toxic`` passes them on.
 """
 
 from __future__ import annotations
@@ -25,8 +29,10 @@ from . import common as C
 BITS = 20
 #: At most so many labelled rows of each kind are learned from; those with the smallest hashes of their ids.
 MAX_TOXIC, MAX_CLEAN = 4_000, 8_000
-MIN_DF, MIN_G2 = 3, 12.0
-FACTORS, EPOCHS, RATE, L2, SEED = 8, 12, 0.1, 1e-3, 42
+MIN_DF, MIN_G2, PAIR_G2 = 3, 12.0, 60.0
+CANDIDATES, MIN_PAIRS = 2048, 20
+#: Passes over the rows; so many that there are LEAST_STEPS at least.
+FACTORS, EPOCHS, LEAST_STEPS, RATE, L2, SEED = 8, 12, 2000, 0.1, 1e-3, 42
 
 #: Maps bytes that are no part of an ASCII word to spaces; bytes of other letters stay.
 WORD_BYTES = bytes(b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
@@ -45,20 +51,49 @@ def terms(text: str) -> np.ndarray:
     return np.unique(np.concatenate([whole, start]) >> np.uint32(32 - BITS)).astype(np.int64)
 
 
-def link(rows: list[np.ndarray], y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets whose presence depends on the label, by the likelihood ratio, and all buckets' document frequencies."""
-    size = 1 << BITS
-    pos = np.bincount(np.concatenate([r for r, t in zip(rows, y) if t] or [np.empty(0, np.int64)]), minlength=size)
-    neg = np.bincount(np.concatenate([r for r, t in zip(rows, y) if not t] or [np.empty(0, np.int64)]), minlength=size)
-    n1, n0 = y.sum(), len(y) - y.sum()
-    cells = [(pos, n1), (n1 - pos, n1), (neg, n0), (n0 - neg, n0)]
-    with_term, n = pos + neg, n1 + n0
-    expected = [with_term * n1 / n, (n - with_term) * n1 / n, with_term * n0 / n, (n - with_term) * n0 / n]
-    g2 = np.zeros(size)
-    for (seen, _), e in zip(cells, expected):
+def g2(pos: np.ndarray, neg: np.ndarray, n1: np.ndarray | int, n0: np.ndarray | int) -> np.ndarray:
+    """Likelihood ratio of presence against label: ``pos`` of n1 toxic and ``neg`` of n0 other rows hold a term."""
+    n = np.maximum(n1 + n0, 1)
+    out = np.zeros(np.broadcast(pos, neg, n1, n0).shape)
+    for seen, row, column in ((pos, pos + neg, n1), (n1 - pos, n - pos - neg, n1), (neg, pos + neg, n0), (n0 - neg, n - pos - neg, n0)):
+        e = row * column / n
         ok = (seen > 0) & (e > 0)
-        g2[ok] += 2 * seen[ok] * np.log(seen[ok] / e[ok])
-    return np.flatnonzero((g2 >= MIN_G2) & (with_term >= MIN_DF)), with_term
+        out += np.where(ok, 2 * seen * np.log(np.where(ok, seen, 1) / np.where(ok, e, 1)), 0)
+    return out
+
+
+def link(rows: list[np.ndarray], y: np.ndarray) -> np.ndarray:
+    """Buckets whose presence depends on the label, alone or among the rows that hold another bucket."""
+    size = 1 << BITS
+    empty = [np.empty(0, np.int64)]
+    pos = np.bincount(np.concatenate([r for r, t in zip(rows, y) if t] or empty), minlength=size)
+    neg = np.bincount(np.concatenate([r for r, t in zip(rows, y) if not t] or empty), minlength=size)
+    n1 = int(y.sum())
+    alone = np.flatnonzero((g2(pos, neg, n1, len(y) - n1) >= MIN_G2) & (pos + neg >= MIN_DF))
+    order = np.lexsort((np.arange(size), -pos))[: CANDIDATES + len(alone)]
+    frequent = order[(pos[order] >= MIN_PAIRS) & ~np.isin(order, alone)]
+    by_link = alone[np.argsort(-pos[alone], kind="stable")][: CANDIDATES // 2]
+    terms = np.concatenate([by_link, frequent])[:CANDIDATES]
+    at = np.full(size, -1)
+    at[terms] = np.arange(len(terms))
+    both = []  # by label, in how many rows each pair of the candidates stands
+    for label in (1, 0):
+        held = [k[k >= 0] for k in (at[r] for r, t in zip(rows, y) if t == label)]
+        count = np.zeros((len(terms), len(terms)), np.float32)
+        for i in range(0, len(held), 1024):
+            x = np.zeros((len(held[i : i + 1024]), len(terms)), np.float32)
+            for row, k in zip(x, held[i : i + 1024]):
+                row[k] = 1
+            count += x.T @ x
+        both.append(count)
+    found = np.zeros(len(terms), bool)
+    for i in range(0, len(terms), 256):
+        c1, c0 = both[0][i : i + 256], both[1][i : i + 256]
+        own = np.arange(i, i + len(c1))
+        hit = (g2(c1, c0, both[0][own, own][:, None], both[1][own, own][:, None]) >= PAIR_G2) & (c1 + c0 >= MIN_PAIRS) & ~np.isin(terms, alone)
+        found |= hit.any(0)
+        found[own] |= hit.any(1)
+    return np.union1d(alone, terms[found])
 
 
 class Machine:
@@ -90,7 +125,7 @@ def fit(rows: list[np.ndarray], y: np.ndarray) -> Machine:
     prior = math.log((n1 + 0.5) / (n0 + 1.5))
     if not n1 or not n0:
         return Machine(np.empty(0, np.int64), prior, np.empty(0), np.empty((0, FACTORS)))
-    active, _ = link(rows, y)
+    active = link(rows, y)
     at = np.full(1 << BITS, -1)
     at[active] = np.arange(len(active))
     own = [k[k >= 0] for k in (at[r] for r in rows)]
@@ -103,7 +138,7 @@ def fit(rows: list[np.ndarray], y: np.ndarray) -> Machine:
         key = (k.tobytes(), int(t))
         groups[key] = groups.get(key, 0) + 1
     items = [(np.frombuffer(k, at.dtype), t, c) for (k, t), c in groups.items()]
-    for _ in range(EPOCHS):
+    for _ in range(max(EPOCHS, -(-LEAST_STEPS // len(items)))):
         for i in rng.permutation(len(items)):
             k, t, c = items[i]
             vk = v[k]
@@ -142,7 +177,7 @@ def learn(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_cl
     def gather(part: pa.RecordBatch) -> dict:
         return {"doc_id": part.column("doc_id"), "terms": [terms(t).astype(np.int32).tobytes() for t in C.text_list(part.column("text"))]}
 
-    found = C.map_text(sample, ["doc_id", "text"], "doc_id long, terms binary", gather).dropDuplicates().toArrow().sort_by([("doc_id", "ascending"), ("terms", "ascending")])
+    found = C.map_text(sample, ["doc_id", "text"], "doc_id long, terms binary", gather).groupBy("doc_id").agg(F.min("terms").alias("terms")).toArrow().sort_by("doc_id")  # a row for each chosen id
     rows = [np.frombuffer(x, np.int32).astype(np.int64) for x in found.column("terms").to_pylist()]
     return fit(rows, np.array([ids[i] for i in found.column("doc_id").to_pylist()], int))
 
