@@ -12,7 +12,9 @@ of the inclusion scores, 1 - exp(-exp(log_prob - threshold)).
 
 Random numbers depend on the row's key, the round and the place only. Defined results: null and empty texts have one segmentation, without
 pieces; a text with fewer than k segmentations gives them all, and inclusion 1 each. A null key counts as 0. A U+2581 in a text is taken
-as a space, as the vocabulary does. Repeated rows get equal samples.
+as a space, as the vocabulary does. Repeated rows get equal samples. An empty table gives none. Texts of any length are segmented whole;
+the work of a text grows with its length. Paths of equal perturbed value (which random numbers don't give) keep the order they were found
+in. Columns besides the key and the text are not read, so their names don't clash.
 """
 
 from __future__ import annotations
