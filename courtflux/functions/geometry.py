@@ -183,6 +183,23 @@ def line_meet(m: Line, n: Line) -> tuple[Column, Column]:
     return F.when(ok, (m.b * n.c - n.b * m.c) / det), F.when(ok, (n.a * m.c - m.a * n.c) / det)
 
 
+def crop_segment(x1: Column, y1: Column, x2: Column, y2: Column, low: Column, high: Column) -> Column:
+    """The part of a segment between two x, as a struct; null if none of it lies there. An upright segment stays whole or goes."""
+    dx = x2 - x1
+    at = lambda x: F.when(dx == 0, y1).otherwise(y1 + (y2 - y1) * ((x - x1) / F.when(dx != 0, dx)))
+    a, b = F.greatest(F.least(x1, x2), low), F.least(F.greatest(x1, x2), high)
+    upright = F.struct(x1.cast("double").alias("x1"), y1.cast("double").alias("y1"), x2.cast("double").alias("x2"), y2.cast("double").alias("y2"))
+    cut = F.struct(a.cast("double").alias("x1"), at(a).cast("double").alias("y1"), b.cast("double").alias("x2"), at(b).cast("double").alias("y2"))
+    return F.when((dx == 0) & x1.between(low, high), upright).when((dx != 0) & (a < b), cut)
+
+
+def extend_segment(x1: Column, y1: Column, x2: Column, y2: Column, by: Column | float) -> Column:
+    """The segment made longer by ``by`` at both ends, as a struct; a point stays."""
+    n = F.hypot(x2 - x1, y2 - y1)
+    ux, uy = F.when(n > 0, (x2 - x1) / n * by).otherwise(0.0), F.when(n > 0, (y2 - y1) / n * by).otherwise(0.0)
+    return F.struct((x1 - ux).alias("x1"), (y1 - uy).alias("y1"), (x2 + ux).alias("x2"), (y2 + uy).alias("y2"))
+
+
 def hands(keypoints: Column, least: float = 0.1) -> Column:
     """Wrists (keypoints 9 and 10) seen with at least that confidence."""
     return F.filter(F.slice(keypoints, 10, 2), lambda p: p["c"] >= least)

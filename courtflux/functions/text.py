@@ -35,12 +35,13 @@ def ctc_collapse(ids: Column, blank: int = 0) -> Column:
 
 
 def ascii_only(text: Column) -> Column:
-    """NFKD, then what is ASCII; no built-in function decomposes characters."""
+    """NFKD, then what is ASCII; no built-in function decomposes characters, so texts that have others than ASCII go to Python."""
 
     def bare(s: pd.Series) -> pd.Series:
         return s.map(lambda t: None if t is None else unicodedata.normalize("NFKD", t).encode("ascii", "ignore").decode())
 
-    return pandas_udf(bare, "string")(text)
+    beyond = text.rlike(r"[^\x00-\x7F]")
+    return F.when(beyond, pandas_udf(bare, "string")(F.when(beyond, text))).otherwise(text)
 
 
 def label(text: Column, charset: str, longest: int = 25) -> Column:
@@ -61,5 +62,6 @@ def stem(path: Column) -> Column:
 
 
 def file_name(name: Column) -> Column:
-    """An upload's name with unsafe characters replaced, at most 100 long."""
-    return F.substring(F.regexp_replace(name, r"[^A-Za-z0-9._ -]", "_"), 1, 100)
+    """An upload's name without folders, unsafe characters replaced."""
+    base = F.regexp_replace(F.regexp_extract(name, r"([^/]*)$", 1), r"(?U)[^\w\-. ]", "_")
+    return F.when(base == "", "video.mp4").otherwise(base)

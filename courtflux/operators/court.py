@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import geometry as G
 from ..runtime import ship
 from .detect import FRAME
+from .relops import paired
 
 #: Fixed values by court type, in metres: half length and width; corner mark, its length, key width, free-throw line, rim, arc, box line.
 COURTS = {
@@ -161,6 +162,59 @@ def fit_frames(points: DataFrame, seed: int = 0) -> DataFrame:
     return points.groupBy(*FRAME).applyInPandas(run, "video_id long, frame_id long, h array<double>")
 
 
+def homographies_of(points: DataFrame, stored: DataFrame, seed: int = 0) -> DataFrame:
+    """Each frame's homography: the stored one, else the one that its keypoints give (none under four of them); ``stored`` tells which."""
+    missing = points.join(stored.select(*FRAME), FRAME, "left_anti")
+    made = fit_frames(missing, seed).where("h is not null").withColumn("stored", F.lit(False))
+    return stored.select(*FRAME, "h").withColumn("stored", F.lit(True)).unionByName(made)
+
+
+def least_squares(points: DataFrame, keep: float = 0.02, tries: int = 200, seed: int = 0) -> DataFrame:
+    """The baseline homography of each frame: that of four pairs with the most pairs within ``keep``, fitted anew to all of those."""
+    ship(points.sparkSession)
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        key = pdf[["video_id", "frame_id"]].iloc[0]
+        src, dst = pdf[["sx", "sy"]].to_numpy(float), pdf[["dx", "dy"]].to_numpy(float)
+        h = None
+        if len(src) >= 4:
+            rng = np.random.default_rng(seed + int(key.video_id) * 1_000_003 + int(key.frame_id))
+            pick = rng.random((tries, len(src))).argsort(1)[:, :4]
+            near = [np.hypot(*(apply(m, src) - dst).T) <= keep for m in from_points(src[pick], dst[pick])]
+            inside = near[int(np.argmax([x.sum() for x in near]))]
+            if inside.sum() >= 4:
+                h = from_points(src[inside], dst[inside])
+                h = (h / h[2, 2]).ravel().tolist() if abs(h[2, 2]) > 1e-12 else h.ravel().tolist()
+        return pd.DataFrame({"video_id": [key.video_id], "frame_id": [key.frame_id], "h": [h]})
+
+    return points.groupBy(*FRAME).applyInPandas(run, "video_id long, frame_id long, h array<double>")
+
+
+def replace_segments(frames: DataFrame, points: DataFrame, eps: float = 0.05) -> DataFrame:
+    """``best_segments`` of each video: frames (own homography h or null, and the map ``step`` from the frame before, null for none) scored
+    by how many of their keypoints (sx, sy) -> (dx, dy) the homography brings near their place. A video is one task's group."""
+    ship(frames.sparkSession)
+
+    def run(f: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
+        f = f.sort_values("frame_id")
+        own = [None if h is None else np.asarray(h, float).reshape(3, 3) for h in f.h]
+        steps = [None if h is None else np.asarray(h, float).reshape(3, 3) for h in f.step.iloc[1:]]
+        by = {k: (x[["sx", "sy"]].to_numpy(float), x[["dx", "dy"]].to_numpy(float)) for k, x in p.groupby("frame_id")}
+        ids = f.frame_id.tolist()
+
+        def score(t: int, h: np.ndarray | None) -> float:
+            if h is None or ids[t] not in by:
+                return 0.0
+            src, dst = by[ids[t]]
+            d = ((apply(h, src) - dst) ** 2).sum(1)
+            return float(np.exp(-d / eps**2).sum())
+
+        got = best_segments(own, chain(steps), score)
+        return pd.DataFrame({"video_id": f.video_id.to_numpy(), "frame_id": ids, "h": [None if h is None else (h / h[2, 2]).ravel().tolist() for h in got]})
+
+    return paired(frames.select(*FRAME, "h", "step"), points.select(*FRAME, "sx", "sy", "dx", "dy"), "video_id", run, "video_id long, frame_id long, h array<double>")
+
+
 def grid_errors(pairs: DataFrame, court: str, side: int = 20) -> DataFrame:
     """For (gt, pred) homographies the errors in metres of the grid points that the frame shows, as rows."""
     length, width = SIZES[court]
@@ -175,8 +229,8 @@ def grid_errors(pairs: DataFrame, court: str, side: int = 20) -> DataFrame:
 
 
 def error_summary(errors: DataFrame, key: str = "video_id") -> DataFrame:
-    """RMSE, mean and median for each video and over all."""
-    return errors.rollup(key).agg(F.sqrt(F.avg(F.col("error") * F.col("error"))).alias("rmse"), F.avg("error").alias("mean"), F.median("error").alias("median"), F.count("*").alias("points"))
+    """RMSE, mean and median for each video, and over all (``overall``)."""
+    return errors.rollup(key).agg((F.grouping(key) == 1).alias("overall"), F.sqrt(F.avg(F.col("error") * F.col("error"))).alias("rmse"), F.avg("error").alias("mean"), F.median("error").alias("median"), F.count("*").alias("points"))
 
 
 # -- augmentation --------------------------------------------------------------------------------------------------------------

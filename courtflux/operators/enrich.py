@@ -56,6 +56,12 @@ def match_poses_best(players: DataFrame, poses: DataFrame, cfg: Config = DEFAULT
     return top_k(pair_ious(players, poses, cfg.pose_iou), [*FRAME, "l_det_idx"], [F.desc("iou"), F.col("r_det_idx")], 1)
 
 
+def match_masks(boxes: DataFrame, masks: DataFrame) -> DataFrame:
+    """Each box's mask (by its bounding box) of the largest IoU above 0; boxes and masks without a whole pixel have none."""
+    some = "x2 > x1 and y2 > y1"
+    return top_k(pair_ious(boxes.where(some), masks.where(some), 0.0).where("iou > 0"), [*FRAME, "l_det_idx"], [F.desc("iou"), F.col("r_det_idx")], 1)
+
+
 def track_numbers(rows: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
     """Each track's most frequent number if its share is large enough; ties go to the number seen first."""
     some = rows.where("player_id >= 0 and num is not null")

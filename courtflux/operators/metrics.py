@@ -4,17 +4,18 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import geometry as G
 from ..functions.text import normalized_edit_similarity
-from ..functions.vectors import squared_distance
 from ..runtime import ship
 from .assign import assignment
 from .detect import FRAME
 from .enrich import prefixed
+from .relops import paired, top_k
 from .tracking import ious
 
 IOUS = [round(0.5 + 0.05 * i, 2) for i in range(10)]
@@ -30,83 +31,155 @@ def precision_recall(tp: Column, fp: Column, fn: Column) -> tuple[Column, Column
 # -- detections ----------------------------------------------------------------------------------------------------------------
 
 
-def greedy_matches(gt: DataFrame, pred: DataFrame, least: float) -> DataFrame:
-    """Predictions with ``hit``: by falling confidence each takes the free ground-truth box of largest IoU, if it reaches ``least``.
+_NEAR = "array<struct<o:double,i:bigint>>"
+_TAKEN = "array<array<struct<det_idx:bigint,confidence:double,hit:bigint>>>"
+
 
-    A fold over an image's predictions, whose state is what is taken.
+def matched(gt: DataFrame, pred: DataFrame, least: list[float], by: list[str] = ()) -> DataFrame:
+    """Predictions at each IoU limit (column iou): ``gt_idx`` is the box taken, ``hit`` whether there is one.
+
+    By falling confidence each prediction takes the free ground-truth box of largest IoU, if it reaches the limit. One fold over an
+    image's predictions serves all limits; its state is what each has taken, and boxes under the lowest limit are left out beforehand.
+    ``by`` are keys besides the image within which boxes meet.
     """
-    g = gt.groupBy(*FRAME).agg(F.collect_list(F.struct("det_idx", "x1", "y1", "x2", "y2")).alias("gt"))
+    keys = [*FRAME, *by]
+    g = gt.groupBy(*keys).agg(F.collect_list(F.struct("det_idx", "x1", "y1", "x2", "y2")).alias("gt"))
     order = F.struct((-F.col("confidence")).alias("o"), "det_idx", "x1", "y1", "x2", "y2")
-    p = pred.groupBy(*FRAME).agg(F.array_sort(F.collect_list(order)).alias("pred")).join(g, FRAME, "left")
-    none = F.array().cast("array<struct<det_idx:bigint,hit:bigint>>")
+    p = pred.groupBy(*keys).agg(F.array_sort(F.collect_list(order)).alias("pred")).join(g, keys, "left")
+
+    def candidate(x: Column) -> Column:
+        scored = F.transform("gt", lambda k: F.struct((-G.iou(G.box_of(x), G.box_of(k))).alias("o"), k["det_idx"].cast("long").alias("i")))
+        near = F.array_sort(F.filter(scored, lambda n: -n["o"] >= min(least)))
+        return F.struct(x["det_idx"].cast("long").alias("det_idx"), (-x["o"]).cast("double").alias("confidence"), F.coalesce(near.cast(_NEAR), F.array().cast(_NEAR)).alias("near"))
+
+    limits = F.array(*(F.lit(float(t)) for t in least))
 
     def step(state: Column, x: Column) -> Column:
-        taken = F.transform(state, lambda s: s["hit"])
-        free = F.filter(F.coalesce("gt", F.array().cast("array<struct<det_idx:bigint,x1:bigint,y1:bigint,x2:bigint,y2:bigint>>")), lambda k: ~F.coalesce(F.array_contains(taken, k["det_idx"]), F.lit(False)))
-        scored = F.transform(free, lambda k: F.struct((-G.iou(G.box_of(x), G.box_of(k))).alias("o"), k["det_idx"].alias("i")))
-        best = F.array_min(scored)
-        hit = F.when(-best["o"] >= least, best["i"])
-        return F.concat(state, F.array(F.struct(x["det_idx"].alias("det_idx"), hit.alias("hit"))))
-
-    folded = p.select(*FRAME, F.explode(F.aggregate("pred", none, step)).alias("m"))
-    flags = folded.select(*FRAME, F.col("m.det_idx").alias("det_idx"), F.col("m.hit").alias("gt_idx"), F.col("m.hit").isNotNull().alias("hit"))
-    return pred.select(*FRAME, "det_idx", "confidence").join(flags, [*FRAME, "det_idx"])
-
-
-def detection_scores(gt: DataFrame, pred: DataFrame, least: float = 0.5) -> DataFrame:
-    """TP, FP, FN and their ratios over all images."""
-    n = gt.agg(F.count("*").alias("n"))
-    hits = greedy_matches(gt, pred, least).agg(F.sum(F.col("hit").cast("int")).alias("tp"), F.count("*").alias("m"))
-    one = hits.select(F.coalesce("tp", F.lit(0)).alias("tp"), "m", F.lit(1).alias("k")).join(n.withColumn("k", F.lit(1)), "k")
+        def one(own: Column, limit: Column) -> Column:
+            free = F.filter(x["near"], lambda n: ~F.exists(own, lambda s: s["hit"].eqNullSafe(n["i"])))
+            best = F.get(free, F.lit(0))
+            return F.concat(own, F.array(F.struct(x["det_idx"].alias("det_idx"), x["confidence"].alias("confidence"), F.when(-best["o"] >= limit, best["i"]).alias("hit"))))
+
+        return F.zip_with(state, limits, one)
+
+    begin = F.array_repeat(F.array().cast("array<struct<det_idx:bigint,confidence:double,hit:bigint>>"), len(least)).cast(_TAKEN)
+    folded = p.withColumn("pred", F.transform("pred", candidate)).select(*keys, F.posexplode(F.aggregate("pred", begin, step)).alias("t", "own"))
+    rows = folded.select(*keys, F.get(limits, F.col("t")).alias("iou"), F.explode("own").alias("m"))
+    return rows.select(*keys, "iou", F.col("m.det_idx").alias("det_idx"), F.col("m.confidence").alias("confidence"), F.col("m.hit").alias("gt_idx"), F.col("m.hit").isNotNull().alias("hit"))
+
+
+def greedy_matches(gt: DataFrame, pred: DataFrame, least: float) -> DataFrame:
+    """``matched`` at one limit."""
+    return matched(gt, pred, [least]).drop("iou")
+
+
+def _beside(rows: DataFrame, one: DataFrame, by: list[str]) -> DataFrame:
+    """Rows with a small table's columns, by keys or, without keys, from its one row."""
+    if by:
+        return rows.join(F.broadcast(one), by, "left")
+    return rows.withColumn("__k", F.lit(1)).join(F.broadcast(one.withColumn("__k", F.lit(1))), "__k").drop("__k")
+
+
+def detection_scores(gt: DataFrame, pred: DataFrame, least: float = 0.5, by: list[str] = ()) -> DataFrame:
+    """TP, FP, FN and their ratios over all images, for each value of ``by`` that the ground truth has."""
+    by = list(by)
+    hits = matched(gt, pred, [least], by).groupBy(*by).agg(F.sum(F.col("hit").cast("int")).alias("tp"), F.count("*").alias("m"))
+    one = _beside(gt.groupBy(*by).agg(F.count("*").alias("n")), hits, by)
+    one = one.withColumn("tp", F.coalesce("tp", F.lit(0))).withColumn("m", F.coalesce("m", F.lit(0)))
     tp, fp, fn = F.col("tp"), F.col("m") - F.col("tp"), F.col("n") - F.col("tp")
     p, r, f = precision_recall(tp, fp, fn)
-    return one.select("tp", fp.alias("fp"), fn.alias("fn"), p.alias("precision"), r.alias("recall"), f.alias("f1"))
+    return one.select(*by, "tp", fp.alias("fp"), fn.alias("fn"), p.alias("precision"), r.alias("recall"), f.alias("f1"))
 
 
-def precision_curve(matches: DataFrame, total: int) -> DataFrame:
-    """Cumulative precision and recall by falling confidence.
+def precision_curve(matches: DataFrame, total: int | DataFrame, by: list[str] = ()) -> DataFrame:
+    """Cumulative precision and recall by falling confidence, within each value of ``by``.
 
-    Running sums are taken within coarse confidence bins and added to the bins' totals, so that no window holds all rows.
+    Running sums are taken within coarse confidence bins and added to the bins' totals, so that no window holds all rows. ``total`` is
+    the number of ground-truth boxes, or a table of it (column total, and those of ``by`` that it depends on).
     """
+    by = list(by)
     m = matches.withColumn("bin", F.floor(F.col("confidence") * 1024))
-    bins = m.groupBy("bin").agg(F.sum(F.col("hit").cast("long")).alias("h"), F.count("*").alias("c"))
-    over = Window.orderBy(F.desc("bin")).rowsBetween(Window.unboundedPreceding, -1)
-    base = bins.select("bin", F.coalesce(F.sum("h").over(over), F.lit(0)).alias("h0"), F.coalesce(F.sum("c").over(over), F.lit(0)).alias("c0"))
-    w = Window.partitionBy("bin").orderBy(F.desc("confidence"), *(F.col(c) for c in (*FRAME, "det_idx"))).rowsBetween(Window.unboundedPreceding, 0)
-    run = m.withColumn("h1", F.sum(F.col("hit").cast("long")).over(w)).withColumn("c1", F.count("*").over(w)).join(F.broadcast(base), "bin")
+    bins = m.groupBy(*by, "bin").agg(F.sum(F.col("hit").cast("long")).alias("h"), F.count("*").alias("c"))
+    over = Window.partitionBy(*by).orderBy(F.desc("bin")).rowsBetween(Window.unboundedPreceding, -1)
+    base = bins.select(*by, "bin", F.coalesce(F.sum("h").over(over), F.lit(0)).alias("h0"), F.coalesce(F.sum("c").over(over), F.lit(0)).alias("c0"))
+    ties = [F.col(c) for c in (*FRAME, "det_idx")]
+    w = Window.partitionBy(*by, "bin").orderBy(F.desc("confidence"), *ties).rowsBetween(Window.unboundedPreceding, 0)
+    run = m.withColumn("h1", F.sum(F.col("hit").cast("long")).over(w)).withColumn("c1", F.count("*").over(w)).join(F.broadcast(base), [*by, "bin"])
+    run = run.withColumn("total", F.lit(total)) if isinstance(total, int) else _beside(run, total, [c for c in by if c in total.columns])
     tp, n = F.col("h0") + F.col("h1"), F.col("c0") + F.col("c1")
-    return run.select("confidence", *FRAME, "det_idx", (tp / n).alias("precision"), (tp / F.lit(max(total, 1))).alias("recall"))
+    return run.select(*by, "confidence", *FRAME, "det_idx", (tp / n).alias("precision"), (tp / F.greatest("total", F.lit(1))).alias("recall"))
 
 
-def average_precision(curve: DataFrame, points: int = 101) -> DataFrame:
-    """Mean over evenly spaced recalls of the best precision at that recall or beyond."""
-    # A row counts for all thresholds up to its recall, so the maximum by its highest threshold, then a running maximum, is enough.
+def average_precision(curve: DataFrame, points: int = 101, by: list[str] = (), groups: DataFrame | None = None) -> DataFrame:
+    """Mean over evenly spaced recalls of the best precision at that recall or beyond, for each of ``groups`` (else of the curve's)."""
+    # A row counts for all recalls up to its own, so the maximum by its highest one, then a running maximum, is enough.
+    by = list(by)
     step = points - 1
-    top = curve.groupBy(F.floor(F.col("recall") * step + 1e-9).cast("long").alias("t")).agg(F.max("precision").alias("p"))
-    grid = curve.sparkSession.range(points).withColumnRenamed("id", "t").join(top, "t", "left")
-    w = Window.orderBy(F.desc("t")).rowsBetween(Window.unboundedPreceding, 0)
-    return grid.select(F.coalesce(F.max("p").over(w), F.lit(0.0)).alias("p")).agg(F.avg("p").alias("ap"))
+    top = curve.groupBy(*by, F.floor(F.col("recall") * step + 1e-9).cast("long").alias("t")).agg(F.max("precision").alias("p"))
+    grid = curve.sparkSession.range(points).withColumnRenamed("id", "t")
+    if by:
+        all_groups = curve.select(*by).distinct() if groups is None else groups
+        grid = all_groups.withColumn("t", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(step).cast("long"))))
+    w = Window.partitionBy(*by).orderBy(F.desc("t")).rowsBetween(Window.unboundedPreceding, 0)
+    return grid.join(top, [*by, "t"], "left").select(*by, F.coalesce(F.max("p").over(w), F.lit(0.0)).alias("p")).groupBy(*by).agg(F.avg("p").alias("ap"))
+
+
+def _total(gt: DataFrame, by: list[str] = ()) -> DataFrame:
+    return gt.groupBy(*by).agg(F.count("*").alias("total"))
+
+
+def average_precisions(gt: DataFrame, pred: DataFrame, least: list[float], by: list[str] = ()) -> DataFrame:
+    """ap at each IoU limit (column iou), for each value of ``by`` that the ground truth has; one matching serves all."""
+    by = list(by)
+    total = _total(gt, by)
+    limits = F.array(*(F.lit(float(t)) for t in least))
+    groups = total.select(*by, F.explode(limits).alias("iou"))
+    return average_precision(precision_curve(matched(gt, pred, least, by), total, [*by, "iou"]), by=[*by, "iou"], groups=groups)
 
 
 def average_precision_at(gt: DataFrame, pred: DataFrame, least: float) -> DataFrame:
-    return average_precision(precision_curve(greedy_matches(gt, pred, least), gt.count()))
+    return average_precisions(gt, pred, [least]).select("ap")
 
 
 def mean_average_precision(gt: DataFrame, pred: DataFrame) -> DataFrame:
     """ap at each of ten IoUs, and their mean as the row without one."""
-    rows = None
-    for t in IOUS:
-        one = average_precision_at(gt, pred, t).select(F.lit(t).alias("iou"), "ap")
-        rows = one if rows is None else rows.unionAll(one)
-    return rows.unionAll(rows.agg(F.lit(None).cast("double").alias("iou"), F.avg("ap").alias("ap")))
+    each = average_precisions(gt, pred, IOUS)
+    return each.unionByName(each.agg(F.lit(None).cast("double").alias("iou"), F.avg("ap").alias("ap")))
 
 
-def best_f1(curve: DataFrame) -> DataFrame:
-    """The operating point with the largest F1."""
+def best_f1(curve: DataFrame, by: list[str] = ()) -> DataFrame:
+    """The operating point with the largest F1; of equals the one of highest confidence."""
     p, r = F.col("precision"), F.col("recall")
     f = F.when(p + r > 0, 2 * p * r / (p + r)).otherwise(0.0)
-    pick = curve.withColumn("f1", f).agg(F.max_by(F.struct("confidence", "precision", "recall", "f1"), F.struct("f1", "confidence")).alias("x"))
-    return pick.select("x.*")
+    pick = curve.withColumn("f1", f).groupBy(*by).agg(F.max_by(F.struct("confidence", "precision", "recall", "f1"), F.struct("f1", "confidence")).alias("x"))
+    return pick.select(*by, "x.*")
+
+
+def detector_report(gt: DataFrame, pred: DataFrame, kinds: dict[str, tuple[int, int]]) -> DataFrame:
+    """For each kind of object (a range of class ids): P, R and F1 at IoU 0.5, AP there, and the mean AP over ten IoUs."""
+    kind = F.coalesce(*(F.when(F.col("class_id").between(a, b), F.lit(k)) for k, (a, b) in kinds.items()))
+    g, p = (d.withColumn("kind", kind).where("kind is not null") for d in (gt, pred))
+    ap = average_precisions(g, p, IOUS, ["kind"]).groupBy("kind").agg(F.max(F.when(F.col("iou") == 0.5, F.col("ap"))).alias("ap50"), F.avg("ap").alias("map"))
+    return detection_scores(g, p, 0.5, ["kind"]).join(ap, "kind")
+
+
+def coco_summary(gt: DataFrame, pred: DataFrame, most: int = 100) -> DataFrame:
+    """AP (mean over ten IoUs), AP50, AP75, AR (mean over them of the recall), and the best F1 at IoU 0.5; of an image's predictions the ``most`` surest count."""
+    some = top_k(pred, FRAME, [F.desc("confidence"), F.col("det_idx")], most)
+    curve = precision_curve(matched(gt, some, IOUS), _total(gt), ["iou"])
+    ap = average_precision(curve, by=["iou"], groups=gt.sparkSession.createDataFrame([(t,) for t in IOUS], "iou double"))
+    recall = curve.groupBy("iou").agg(F.max("recall").alias("r"))
+    means = ap.join(recall, "iou", "left").agg(F.avg("ap").alias("ap"), *(F.max(F.when(F.col("iou") == t, F.col("ap"))).alias(n) for n, t in (("ap50", 0.5), ("ap75", 0.75))), (F.sum(F.coalesce("r", F.lit(0.0))) / len(IOUS)).alias("ar"))
+    return _beside(means, best_f1(curve.where("iou = 0.5")).select(F.col("f1").alias("max_f1"), F.col("confidence").alias("max_f1_confidence")), [])
+
+
+def true_positives(gt: DataFrame, pred: DataFrame) -> DataFrame:
+    """Predictions with ``hits``, a flag for each of ten IoUs: each prediction keeps its nearest box, each box its nearest prediction."""
+    pairs = prefixed(gt, "g_").join(prefixed(pred, "p_"), FRAME).select(*FRAME, "g_det_idx", "p_det_idx", G.iou(G.box("g_"), G.box("p_")).alias("near")).where(F.col("near") >= IOUS[0])
+    mine = top_k(pairs, [*FRAME, "p_det_idx"], [F.desc("near"), F.col("g_det_idx")], 1)
+    both = top_k(mine, [*FRAME, "g_det_idx"], [F.desc("near"), F.col("p_det_idx")], 1).select(*FRAME, F.col("p_det_idx").alias("det_idx"), "near")
+    flags = F.array(*(F.coalesce(F.col("near") >= t, F.lit(False)) for t in IOUS))
+    return pred.select(*FRAME, "det_idx", "confidence").join(both, [*FRAME, "det_idx"], "left").withColumn("hits", flags).drop("near")
 
 
 # -- segments ------------------------------------------------------------------------------------------------------------------
@@ -141,24 +214,73 @@ def segment_f1(gt: DataFrame, pred: DataFrame, least: float, keys: tuple[str, ..
 
 
 def class_accuracy(rows: DataFrame) -> DataFrame:
-    """Share of right labels of each class and over all (label null)."""
-    return rows.rollup("label").agg(F.count("*").alias("n"), F.avg((F.col("label") == F.col("pred")).cast("double")).alias("accuracy"))
+    """Share of right labels of each class, and over all (``overall``, where label is null too)."""
+    return rows.rollup("label").agg((F.grouping("label") == 1).alias("overall"), F.count("*").alias("n"), F.avg((F.col("label") == F.col("pred")).cast("double")).alias("accuracy"))
 
 
 # -- identities ----------------------------------------------------------------------------------------------------------------
 
 
-def reid_ranks(queries: DataFrame, gallery: DataFrame) -> DataFrame:
-    """Every (query, gallery) pair with its 1-based rank by distance; a stated query set against all rows, the queries broadcast only if few."""
-    q = queries.select(F.col("id").alias("q"), F.col("pid").alias("q_pid"), F.col("v").alias("q_v"), F.lit(1).alias("k"))
-    g = gallery.select(F.col("id").alias("g"), F.col("pid").alias("g_pid"), F.col("v").alias("g_v"), F.lit(1).alias("k"))
-    d = g.join(q, "k").select("q", "q_pid", "g", "g_pid", squared_distance(F.col("q_v"), F.col("g_v")).alias("d"))
-    return d.withColumn("rank", F.row_number().over(Window.partitionBy("q").orderBy("d", "g")))
+def reid_ranks(queries: DataFrame, gallery: DataFrame, block: int = 4096) -> DataFrame:
+    """For each query (id, pid, v) the 1-based ranks by distance (then id) of the gallery rows that share its pid, but not its id.
+
+    Blocks of queries meet blocks of the gallery, a stated query set against all rows: first for the distances of their matches, then to
+    count, block by block, how many rows lie before each match. Neither side is gathered in one place, and no pair becomes a row.
+    """
+    ship(queries.sparkSession)
+
+    def blocks(df: DataFrame, name: str) -> DataFrame:
+        part = F.pmod(F.xxhash64("id"), F.ceil(F.col("__n") / block))
+        counted = _beside(df.select("id", "pid", "v"), df.agg(F.greatest(F.count("*"), F.lit(1)).alias("__n")), [])
+        return counted.groupBy(part.alias(f"{name}_part")).agg(F.collect_list(F.struct("id", "pid", "v")).alias(name))
+
+    def opened(rows: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        return np.array([r["id"] for r in rows]), np.array([r["pid"] for r in rows]), np.array([r["v"] for r in rows], float)
+
+    q, g = blocks(queries, "q"), blocks(gallery, "g")
+    parts = gallery.agg((F.greatest(F.ceil(F.count("*") / block), F.lit(1)) - 1).alias("__last"))
+    asked = _beside(q, parts, []).withColumn("g_part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__last")))).drop("__last")
+
+    def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return np.stack([((b - x) ** 2).sum(1) for x in a])
+
+    def matches(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                (qi, qp, qv), (gi, gp, gv) = opened(batch.column("q")[i].as_py()), opened(batch.column("g")[i].as_py())
+                d = distances(qv, gv)
+                at, to = np.nonzero((qp[:, None] == gp) & (qi[:, None] != gi))
+                yield pa.RecordBatch.from_arrays([pa.array([batch.column("q_part")[i].as_py()] * len(at), pa.int64()), pa.array(qi[at], pa.int64()), pa.array(gi[to], pa.int64()), pa.array(d[at, to])], names=["q_part", "q", "g", "d"])
+
+    pairs = asked.join(g, "g_part")
+    found = pairs.select("q_part", "q", "g").mapInArrow(matches, "q_part long, q long, g long, d double")
+    wanted = found.groupBy("q_part").agg(F.collect_list(F.struct("q", "d", "g")).alias("m"))
+
+    def before(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                (qi, _, qv), (gi, _, gv) = opened(batch.column("q")[i].as_py()), opened(batch.column("g")[i].as_py())
+                d, row = distances(qv, gv), {v: k for k, v in enumerate(qi.tolist())}
+                m = batch.column("m")[i].as_py()
+                n = np.empty(len(m), np.int64)
+                own = np.array([row[x["q"]] for x in m])
+                for k in np.unique(own):
+                    keep = gi != qi[k]
+                    order = np.lexsort((gi[keep], d[k][keep]))
+                    key = np.empty(len(order), [("d", float), ("g", np.int64)])
+                    key["d"], key["g"] = d[k][keep][order], gi[keep][order]
+                    at = np.flatnonzero(own == k)
+                    ask = np.array([(m[j]["d"], m[j]["g"]) for j in at], key.dtype)
+                    n[at] = np.searchsorted(key, ask)
+                yield pa.RecordBatch.from_arrays([pa.array([x["q"] for x in m], pa.int64()), pa.array([x["g"] for x in m], pa.int64()), pa.array(n)], names=["q", "g", "n"])
+
+    counted = pairs.join(wanted, "q_part").select("q", "g", "m").mapInArrow(before, "q long, g long, n long")
+    return counted.groupBy("q", "g").agg((F.sum("n") + 1).alias("rank"))
 
 
 def reid_scores(ranks: DataFrame, tops: tuple[int, ...] = (1, 5, 10)) -> DataFrame:
     """mAP and CMC over the queries that have a match."""
-    hits = ranks.where("q_pid = g_pid").withColumn("n", F.row_number().over(Window.partitionBy("q").orderBy("rank")))
+    hits = ranks.withColumn("n", F.row_number().over(Window.partitionBy("q").orderBy("rank")))
     each = hits.groupBy("q").agg(F.avg(F.col("n") / F.col("rank")).alias("ap"), F.min("rank").alias("first"))
     return each.agg(F.count("*").alias("queries"), F.avg("ap").alias("map"), *(F.avg((F.col("first") <= k).cast("double")).alias(f"rank{k}") for k in tops))
 
@@ -167,9 +289,9 @@ def reid_scores(ranks: DataFrame, tops: tuple[int, ...] = (1, 5, 10)) -> DataFra
 
 
 def text_scores(rows: DataFrame, key: str = "dataset") -> DataFrame:
-    """Accuracy, mean 1 - normalised edit distance, confidence and length of each data set and over all."""
+    """Accuracy, mean 1 - normalised edit distance, confidence and length of each data set, and over all (``overall``)."""
     sim = normalized_edit_similarity(F.col("pred"), F.col("gt"))
-    return rows.rollup(key).agg(F.count("*").alias("n"), F.avg((F.col("pred") == F.col("gt")).cast("double")).alias("accuracy"), F.avg(sim).alias("ned"), F.avg("conf").alias("confidence"), F.avg(F.length("pred")).alias("length"))
+    return rows.rollup(key).agg((F.grouping(key) == 1).alias("overall"), F.count("*").alias("n"), F.avg((F.col("pred") == F.col("gt")).cast("double")).alias("accuracy"), F.avg(sim).alias("ned"), F.avg("conf").alias("confidence"), F.avg(F.length("pred")).alias("length"))
 
 
 # -- tracks --------------------------------------------------------------------------------------------------------------------
@@ -275,7 +397,7 @@ def track_scores(gt: DataFrame, pred: DataFrame, least: float = 0.5) -> DataFram
 
     cols = ["video_id", "frame_id", "id", "x1", "y1", "x2", "y2"]
     schema = "video_id long, " + ", ".join(f"{n} double" for n in names)
-    return gt.select(*cols).groupBy("video_id").cogroup(pred.select(*cols).groupBy("video_id")).applyInPandas(run, schema)
+    return paired(gt.select(*cols), pred.select(*cols), "video_id", run, schema)
 
 
 def overall(scores: DataFrame) -> DataFrame:
@@ -319,5 +441,5 @@ def optimal_frame_pairs(gt: DataFrame, pred: DataFrame, least: float = 0.5) -> D
         return pd.DataFrame(out, columns=["video_id", "frame_id", "gt_id", "pred_id"])
 
     cols = ["video_id", "frame_id", "id", *box]
-    return gt.select(*cols).groupBy("video_id").cogroup(pred.select(*cols).groupBy("video_id")).applyInPandas(run, "video_id long, frame_id long, gt_id long, pred_id long")
+    return paired(gt.select(*cols), pred.select(*cols), "video_id", run, "video_id long, frame_id long, gt_id long, pred_id long")
 

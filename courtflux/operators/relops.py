@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -41,6 +42,20 @@ def band_join(left: DataFrame, right: DataFrame, on: Sequence[str], left_at: str
     return spread.join(there, cond, how).drop("__b", "__rb", *(f"__r_{c}" for c in on))
 
 
+def paired(left: DataFrame, right: DataFrame, key: str, run: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
+    """``run`` on both tables' rows of each key, as one grouped map over their union.
+
+    Not a cogroup: where both sides come from one table and not all output columns are asked for, Spark 4.1 prunes the right side's input.
+    """
+    own = left.columns, right.columns
+    both = left.withColumn("__side", F.lit(0)).unionByName(right.withColumn("__side", F.lit(1)), allowMissingColumns=True)
+
+    def each(rows: pd.DataFrame) -> pd.DataFrame:
+        return run(*(rows.loc[rows["__side"] == i, c].reset_index(drop=True) for i, c in enumerate(own)))
+
+    return both.groupBy(key).applyInPandas(each, schema)
+
+
 def islands(df: DataFrame, keys: Sequence[str], order: str, same: Column, name: str = "island") -> DataFrame:
     """Numbers maximal runs: a row begins a new one where ``same`` (of it and the row before) is not true."""
     w = Window.partitionBy(*keys).orderBy(order)

@@ -60,6 +60,19 @@ def split_accuracy(rows: DataFrame, key: str) -> DataFrame:
     return some.groupBy(key).agg(F.greatest(direct, swapped).alias("right"), F.count("*").alias("total")).withColumn("accuracy", F.col("right") / F.col("total"))
 
 
+def sample_accuracy(rows: DataFrame, key: str, least: int = 2) -> DataFrame:
+    """``split_accuracy`` of the samples that have at least ``least`` tracks (column track_id)."""
+    enough = rows.groupBy(key).agg(F.countDistinct("track_id").alias("__n")).where(F.col("__n") >= least).select(key)
+    return split_accuracy(rows.join(enough, key, "left_semi"), key)
+
+
+def track_vectors(rows: DataFrame, value: str, keys: tuple[str, ...] = ("video_id", "player_id")) -> DataFrame:
+    """Each track's vectors and their frames, in frame order; untracked rows and null vectors don't count."""
+    some = rows.where(F.col(value).isNotNull() & (F.col(keys[-1]) >= 0))
+    got = some.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("frame_id", value))).alias("__v"))
+    return got.select(*keys, F.transform("__v", lambda s: s["frame_id"]).alias("frames"), F.transform("__v", lambda s: s[value]).alias("vectors"))
+
+
 def split_summary(each: DataFrame) -> DataFrame:
     """Micro accuracy, and mean and median over samples."""
     return each.agg((F.sum("right") / F.sum("total")).alias("micro"), F.avg("accuracy").alias("mean"), F.median("accuracy").alias("median"), F.count("*").alias("samples"))

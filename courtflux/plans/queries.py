@@ -104,7 +104,7 @@ def e7(t: Tables) -> DataFrame:
     return possession.apply_segments(t.players, _segs(t)).select(*FRAME, "player_id", "is_possession")
 
 
-@query("e8_team_near", sql("""WITH asked AS (SELECT video_id, player_id, frame_id AS at FROM players WHERE frame_id % 10 = 0), known AS (SELECT * FROM players WHERE frame_id % 4 = 1)
+@query("e8_team_near", sql("""WITH asked AS (SELECT video_id, player_id, frame_id AS at FROM players), known AS (SELECT * FROM players WHERE frame_id % 4 = 1)
 SELECT a.video_id, a.player_id, a.at, arg_min(k.frame_id % 2 + 2 * k.team_id + CAST((k.frame_id - k.frame_id % 8) / 8 AS BIGINT) % 5, abs(k.frame_id - a.at) * 2 + CASE WHEN k.frame_id > a.at THEN 1 ELSE 0 END) AS team_id
 FROM asked a JOIN known k ON k.video_id = a.video_id AND k.player_id = a.player_id AND k.frame_id BETWEEN a.at - 5 AND a.at + 5 GROUP BY 1, 2, 3""", "players"))
 def e8(t: Tables) -> DataFrame:
@@ -151,7 +151,7 @@ def a1(t: Tables) -> DataFrame:
     return readers.frame_map(_meta(t))
 
 
-@query("a2_nearest_logical", f"WITH {_MAP} SELECT m.video_id, p AS physical, arg_min(f.logical, abs(f.physical - p) * 100000 + f.logical) AS logical FROM meta m, LATERAL (SELECT unnest(range(0, 60, 7)) AS p) a JOIN fm f ON f.video_id = m.video_id GROUP BY 1, 2")
+@query("a2_nearest_logical", f"WITH {_MAP} SELECT m.video_id, p AS physical, arg_min(f.logical, abs(f.physical - p) * 100000 + f.logical) AS logical FROM meta m, LATERAL (SELECT unnest(range(0, src_total)) AS p) a JOIN fm f ON f.video_id = m.video_id GROUP BY 1, 2")
 def a2(t: Tables) -> DataFrame:
     asked = _meta(t).select("video_id", F.explode(F.sequence(F.lit(0).cast("long"), F.col("src_total").cast("long") - 1)).alias("physical"))
     return readers.nearest_logical(readers.frame_map(_meta(t)), asked)
@@ -193,25 +193,6 @@ def c11(t: Tables) -> DataFrame:
     return _court(t).select(*FRAME, "det_idx", F.round(F.col("court_x") + 1e-9, 6).alias("court_x"), F.round(F.col("court_y") + 1e-9, 6).alias("court_y"))
 
 
-@query("c12_keypoint_slots")
-def c12(t: Tables) -> DataFrame:
-    return court.keypoint_slots(_homographies(t), "nba").select(*FRAME, "point", F.round("px", 6).alias("px"), F.round("py", 6).alias("py"))
-
-
-@query("c14_frame_embeddings")
-def c14(t: Tables) -> DataFrame:
-    b = t.balls.select(*FRAME, ((F.col("x1") + F.col("x2")) / 2 / WIDTH).alias("bx"), ((F.col("y1") + F.col("y2")) / 2 / HEIGHT).alias("by"), F.col("confidence").alias("conf"))
-    rims = detect.left_right_rims(t.det.where("class_id = 10").withColumn("court_x", F.lit(None).cast("double")).withColumn("x_rel", F.col("x1") / WIDTH))
-    return court.frame_embedding(t.det.select(*FRAME).distinct(), b, rims, court.keypoint_slots(_homographies(t), "nba"))
-
-
-@query("f22_grid_errors")
-def f22(t: Tables) -> DataFrame:
-    h = _homographies(t)
-    pairs = h.withColumnRenamed("h", "gt").withColumn("pred", F.transform("gt", lambda x, i: F.when(i == 2, x + 0.002).otherwise(x)))
-    return court.error_summary(court.grid_errors(pairs, "nba"))
-
-
 # -- filters, top-k, suppression -----------------------------------------------------------------------------------------------
 
 
@@ -271,12 +252,6 @@ def d12(t: Tables) -> DataFrame:
     return ball.remove_outliers(t.det.where("det_idx in (0, 3)"), WIDTH, HEIGHT).select(*FRAME, "det_idx")
 
 
-@query("d13_ball_gate")
-def d13(t: Tables) -> DataFrame:
-    c = t.det.where("det_idx in (0, 3)").select(*FRAME, F.col("det_idx").cast("int").alias("cand_idx"), ((F.col("x1") + F.col("x2")) / 2).alias("x"), ((F.col("y1") + F.col("y2")) / 2).alias("y"), F.col("confidence").alias("score"))
-    return ball.gated(c)
-
-
 # -- joins ---------------------------------------------------------------------------------------------------------------------
 
 _IN = "(i.x1 >= o.x1 AND i.y1 >= o.y1 AND i.x2 <= o.x2 AND i.y2 <= o.y2)"
@@ -363,7 +338,7 @@ def g4(t: Tables) -> DataFrame:
     return shots.shot_events(t.labels)
 
 
-@query("g5_frame_labels", sql("SELECT video_id, frame_id, CASE WHEN label = 2 THEN 2 ELSE label END AS label FROM labels WHERE label <> 2 OR TRUE", "labels"))
+@query("g5_frame_labels", sql("SELECT video_id, f AS frame_id, coalesce(label, 0) AS label FROM (SELECT video_id, unnest(range(0, count(*))) AS f FROM labels GROUP BY video_id) LEFT JOIN (SELECT video_id, frame_id AS f, label FROM labels WHERE label > 0) USING (video_id, f)", "labels"))
 def g5(t: Tables) -> DataFrame:
     """Every run of one label as an event, and back to frame labels."""
     runs = smooth.islands(t.labels.where("label > 0"), ["video_id"], "frame_id", (F.col("frame_id") == smooth.lagged("frame_id", ["video_id"], "frame_id") + 1) & (F.col("label") == smooth.lagged("label", ["video_id"], "frame_id")))
@@ -409,7 +384,7 @@ def f5(t: Tables) -> DataFrame:
     return p.select("label", F.posexplode("pooled").alias("i", "x")).withColumn("x", F.round("x", 6))
 
 
-@query("f7_gallery_distances", sql(f"WITH g AS (SELECT * FROM vectors WHERE vec_id < 400 AND vec_id % 2 = 0) SELECT a.label AS a, b.label AS b, round(min({_COS}), 6) AS least FROM g a JOIN g b ON a.label < b.label GROUP BY 1, 2", "vectors"))
+@query("f7_gallery_distances", sql(f"SELECT a.label AS a, b.label AS b, round(min({_COS}), 6) AS least FROM vectors a JOIN vectors b ON a.label < b.label GROUP BY 1, 2", "vectors"))
 def f7(t: Tables) -> DataFrame:
     return teams.gallery_distances(t.vectors).withColumn("least", F.round("least", 6))
 
@@ -420,12 +395,12 @@ def f19(t: Tables) -> DataFrame:
     return teams.split_accuracy(rows, "video_id").select("video_id", F.col("right").alias("right_n"), "total")
 
 
-@query("f21_reid_scores", sql("""WITH r AS (SELECT q.vec_id AS q, g.label = q.label AS hit, row_number() OVER (PARTITION BY q.vec_id ORDER BY list_distance(CAST(q.embedding AS DOUBLE[]), CAST(g.embedding AS DOUBLE[])), g.vec_id) AS rk FROM vectors q JOIN vectors g ON q.vec_id % 10 = 0 AND g.vec_id % 10 <> 0),
+@query("f21_reid_scores", sql("""WITH r AS (SELECT q.vec_id AS q, g.label = q.label AS hit, row_number() OVER (PARTITION BY q.vec_id ORDER BY list_distance(CAST(q.embedding AS DOUBLE[]), CAST(g.embedding AS DOUBLE[])), g.vec_id) AS rk FROM vectors q JOIN vectors g ON q.vec_id % 50 = 0 AND g.vec_id <> q.vec_id),
 h AS (SELECT q, rk, row_number() OVER (PARTITION BY q ORDER BY rk) AS n FROM r WHERE hit), e AS (SELECT q, avg(CAST(n AS DOUBLE) / rk) AS ap, min(rk) AS first FROM h GROUP BY 1)
 SELECT count(*) AS queries, round(avg(ap), 6) AS map, round(avg(CASE WHEN first <= 1 THEN 1e0 ELSE 0e0 END), 6) AS rank1, round(avg(CASE WHEN first <= 5 THEN 1e0 ELSE 0e0 END), 6) AS rank5, round(avg(CASE WHEN first <= 10 THEN 1e0 ELSE 0e0 END), 6) AS rank10 FROM e""", "vectors"))
 def f21(t: Tables) -> DataFrame:
     v = t.vectors.select(F.col("vec_id").alias("id"), F.col("label").alias("pid"), F.col("embedding").alias("v"))
-    s = metrics.reid_scores(metrics.reid_ranks(v.where("id % 10 = 0"), v.where("id % 10 <> 0")))
+    s = metrics.reid_scores(metrics.reid_ranks(v.where("id % 50 = 0"), v))
     return s.select("queries", *(F.round(c, 6).alias(c) for c in ("map", "rank1", "rank5", "rank10")))
 
 
@@ -442,17 +417,6 @@ def f24(t: Tables) -> DataFrame:
     return t.det.groupBy("video_id").agg(F.countDistinct("frame_id").alias("frames"), F.countDistinct("class_id").alias("classes"), F.count("*").alias("boxes"))
 
 
-@query("f10_detection_ap")
-def f10(t: Tables) -> DataFrame:
-    gt = t.players
-    return metrics.average_precision_at(gt, _poses(t).withColumn("confidence", F.expr("CAST((x1 * 31 + y1) % 1000 AS DOUBLE) / 1000")), 0.5)
-
-
-@query("f9_detection_scores")
-def f9(t: Tables) -> DataFrame:
-    return metrics.detection_scores(t.players, _poses(t).withColumn("confidence", F.expr("CAST((x1 * 31 + y1) % 1000 AS DOUBLE) / 1000")))
-
-
 # -- sequences -----------------------------------------------------------------------------------------------------------------
 
 
@@ -511,7 +475,10 @@ def b1(t: Tables) -> DataFrame:
     rows, segs, passes = possession.possession(_court(t), t.balls, FPS)
     meta = t.det.groupBy("video_id").agg((F.max("frame_id") + 1).alias("total_frames")).select("video_id", F.lit(FPS).alias("fps"), F.lit(WIDTH).alias("width"), F.lit(HEIGHT).alias("height"), "total_frames")
     shot = possession.shooters(segs.select("video_id", F.col("seg_idx").alias("shot_idx"), "start_frame", "end_frame"), segs, FPS)
-    return sinks.annotation_documents(meta, rows.withColumn("track_number", F.col("player_id") + 10), t.balls, passes, shot, step=5)
+    none = F.lit(None).cast("long")
+    numbers = rows.where("player_id >= 0").select("video_id", "player_id", (F.col("player_id") + 10).alias("track_number")).distinct()
+    mates = enrich.look_up(rows.where("player_id >= 0"), "team_id")
+    return sinks.annotation_documents(meta, rows.withColumn("track_number", F.col("player_id") + 10), t.balls, sinks.pass_rows(passes, numbers, FPS), sinks.shot_rows(shot.withColumn("is_make", F.lit(False)).withColumn("make_start", none).withColumn("make_end", none), numbers, mates, FPS), step=5)
 
 
 # -- identities ----------------------------------------------------------------------------------------------------------------
@@ -554,26 +521,13 @@ def i14(t: Tables) -> DataFrame:
     return court.fit_frames(slots.join(F.broadcast(pts), "point").selectExpr("video_id", "frame_id", "px AS sx", "py AS sy", "u AS dx", "v AS dy"))
 
 
-@query("f15_track_scores")
-def f15(t: Tables) -> DataFrame:
-    gt = t.players.withColumnRenamed("player_id", "id")
-    pred = gt.withColumn("id", F.expr("CASE WHEN frame_id % 100 < 50 THEN id ELSE id + 10 END")).where("frame_id % 17 <> 0")
-    return metrics.track_scores(gt, pred)
-
-
-@query("f18_remapped_ids")
-def f18(t: Tables) -> DataFrame:
-    gt = t.players.select(*FRAME, F.col("player_id").alias("id"), "x1", "y1", "x2", "y2")
-    return metrics.remap_ids(gt, gt.withColumn("id", F.col("id") * 3)).select(*FRAME, "id", "new_id")
-
-
 
 
 
 # -- timelines, counts, further metrics ----------------------------------------------------------------------------------------
 
 
-@query("f8_class_accuracy", sql("SELECT label, count(*) AS n, round(avg(CASE WHEN label = pred THEN 1e0 ELSE 0e0 END), 6) AS accuracy FROM (SELECT label, CASE WHEN frame_id % 4 = 0 THEN 0 ELSE label END AS pred FROM labels) GROUP BY ROLLUP (label)", "labels"))
+@query("f8_class_accuracy", sql("SELECT label, grouping(label) = 1 AS overall, count(*) AS n, round(avg(CASE WHEN label = pred THEN 1e0 ELSE 0e0 END), 6) AS accuracy FROM (SELECT label, CASE WHEN frame_id % 4 = 0 THEN 0 ELSE label END AS pred FROM labels) GROUP BY ROLLUP (label)", "labels"))
 def f8(t: Tables) -> DataFrame:
     rows = t.labels.selectExpr("label", "CASE WHEN frame_id % 4 = 0 THEN 0 ELSE label END AS pred")
     return metrics.class_accuracy(rows).withColumn("accuracy", F.round("accuracy", 6))
@@ -620,7 +574,7 @@ def e24(t: Tables) -> DataFrame:
     return overlay(frames.where("frame_id % 7 = 3").selectExpr("video_id", "frame_id - 5 AS start", "frame_id AS end"), frames.where("frame_id % 10 = 0"))
 
 
-@query("o8_viewer_counts", sql("""WITH p AS (SELECT video_id, frame_id, count(*) AS n FROM players WHERE frame_id % 3 <> 1 GROUP BY 1, 2), b AS (SELECT video_id, frame_id, count(*) AS n FROM balls GROUP BY 1, 2), m AS (SELECT video_id, max(frame_id) + 1 AS total_frames FROM det GROUP BY 1)
+@query("o8_viewer_counts", sql("""WITH p AS (SELECT video_id, frame_id, count(*) AS n FROM players GROUP BY 1, 2), b AS (SELECT video_id, frame_id, count(*) AS n FROM balls GROUP BY 1, 2), m AS (SELECT video_id, max(frame_id) + 1 AS total_frames FROM det GROUP BY 1)
 SELECT m.video_id, (SELECT max(n) FROM p WHERE p.video_id = m.video_id) AS max_players, (SELECT max(n) FROM b WHERE b.video_id = m.video_id) AS max_balls, round((SELECT sum(n) FROM p WHERE p.video_id = m.video_id) / CAST(total_frames AS DOUBLE), 6) AS mean_players FROM m""", "players", "balls"))
 def o8(t: Tables) -> DataFrame:
     from .timeline import viewer_counts
@@ -669,7 +623,7 @@ def o6(t: Tables) -> DataFrame:
     return unfinished(frames.select("video_id").distinct(), frames.where("physical % 20 = 0"), frames.where("(physical + video_id) % 40 < 20 OR video_id % 2 = 0"))
 
 
-@query("d17_annotation_faults", sql("""WITH a AS (SELECT video_id, frame_id AS shot_start_frame, frame_id + det_idx - 4 AS shot_end_frame, det_idx FROM det WHERE frame_id % 25 = 0)
+@query("d17_annotation_faults", sql("""WITH a AS (SELECT video_id, frame_id AS shot_start_frame, frame_id + det_idx - 4 AS shot_end_frame, det_idx FROM det)
 SELECT video_id, shot_start_frame, det_idx, shot_start_frame >= shot_end_frame AS bad_order, shot_start_frame < 10 OR shot_end_frame > 200 AS outside FROM a""", "det"))
 def d17(t: Tables) -> DataFrame:
     none = F.lit(None).cast("long")
@@ -682,9 +636,3 @@ def d17(t: Tables) -> DataFrame:
 def e16(t: Tables) -> DataFrame:
     gt = t.players.withColumnRenamed("player_id", "id")
     return metrics.optimal_frame_pairs(gt, _poses(t).withColumn("id", F.col("det_idx")), 0.3)
-
-
-@query("f11_mean_average_precision")
-def f11(t: Tables) -> DataFrame:
-    pred = _poses(t).withColumn("confidence", F.expr("CAST((x1 * 31 + y1) % 1000 AS DOUBLE) / 1000"))
-    return metrics.mean_average_precision(t.players, pred)

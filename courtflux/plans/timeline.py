@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..runtime import scratch
+
 
 def timeline(passes: DataFrame, shots: DataFrame, comments: DataFrame) -> DataFrame:
     """Events (video_id, frame) by frame, then comments before passes before shots, with their place."""
@@ -20,6 +22,23 @@ def game_events(passes: DataFrame, shots: DataFrame) -> DataFrame:
     return rows.orderBy("video_id", "start", "end", F.col("kind") != "pass")
 
 
+def placed(ordered: DataFrame) -> DataFrame:
+    """The rows of a sorted table with their ``place`` from 0: counts of the partitions before, and places within them."""
+    spark = ordered.sparkSession
+    kept = scratch(spark)
+    ordered.withColumn("__p", F.spark_partition_id()).withColumn("__i", F.monotonically_increasing_id()).write.parquet(kept)
+    rows = spark.read.parquet(kept)
+    sizes = rows.groupBy("__p").agg(F.count("*").alias("__n"), F.min("__i").alias("__first"))
+    base = sizes.withColumn("__base", F.coalesce(F.sum("__n").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    return rows.join(F.broadcast(base), "__p").withColumn("place", F.col("__base") + F.col("__i") - F.col("__first")).drop("__p", "__i", "__n", "__first", "__base")
+
+
+def all_frames(a: DataFrame, b: DataFrame) -> DataFrame:
+    """The union of two tables' frames, with ``in_a`` and ``in_b``."""
+    parts = [d.select("video_id", "frame_id", F.lit(x).alias("in_a"), F.lit(not x).alias("in_b")) for d, x in ((a, True), (b, False))]
+    return parts[0].unionByName(parts[1]).groupBy("video_id", "frame_id").agg(F.bool_or("in_a").alias("in_a"), F.bool_or("in_b").alias("in_b"))
+
+
 def comment_frames(comments: DataFrame, fps: float) -> DataFrame:
     """Comments at frames, half up as the viewer rounds."""
     return comments.withColumn("frame", F.floor(F.col("timestamp_sec") * fps + 0.5))
@@ -75,6 +94,29 @@ def with_columns_of(df: DataFrame, schema: str) -> DataFrame:
     return df.sparkSession.createDataFrame([], schema).unionByName(df, allowMissingColumns=True)
 
 
+def inserted(jobs: DataFrame, rows: DataFrame) -> DataFrame:
+    """Jobs with new ones (id, video_name, display_name): queued, and stamped with the time in UTC unless they bring one."""
+    stamp = F.date_format(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    own = F.coalesce(F.col("created_at"), stamp) if "created_at" in rows.columns else stamp
+    new = rows.withColumn("created_at", own).withColumn("status", F.lit("queued")).withColumn("error", F.lit(None).cast("string"))
+    return jobs.unionByName(new.select(*jobs.columns))
+
+
+def job(jobs: DataFrame, job_id: str) -> DataFrame:
+    return jobs.where(F.col("id") == job_id)
+
+
+def comments_of(comments: DataFrame, job_id: str) -> DataFrame:
+    """A job's comments by their time in the video."""
+    return comments.where(F.col("job_id") == job_id).orderBy("timestamp_sec", "id")
+
+
+def progress(jobs: DataFrame, steps: DataFrame) -> DataFrame:
+    """The last reported stage of each job (rows job_id, at, stage, pct); "" and 0 where none is."""
+    last = steps.groupBy(F.col("job_id").alias("id")).agg(F.max_by(F.struct("stage", "pct"), F.struct("at", "pct")).alias("x"))
+    return jobs.join(last, "id", "left").select(*jobs.columns, F.coalesce("x.stage", F.lit("")).alias("stage"), F.coalesce("x.pct", F.lit(0.0)).alias("pct"))
+
+
 def updated(jobs: DataFrame, job_id: str, status: str, error: str | None = None) -> DataFrame:
     hit = F.col("id") == job_id
     message = F.substring(F.lit(error), -500, 500) if error else F.col("error")
@@ -93,8 +135,8 @@ def recovered(jobs: DataFrame, files: DataFrame) -> DataFrame:
 
 
 def valid_upload(df: DataFrame) -> DataFrame:
-    """Rows with a known tracker, at most 2 GB and a comment of 1 to 2000 characters (or none)."""
-    return df.where(F.col("tracker").isin("flow", "hungarian", "appearance") & (F.col("size") <= 2 << 30) & (F.col("comment").isNull() | F.length("comment").between(1, 2000)))
+    """Rows with a file name, a known tracker, at most 2 GB and a comment of 1 to 2000 characters that isn't blank (or none)."""
+    return df.where(F.col("name").isNotNull() & F.col("tracker").isin("flow", "hungarian", "appearance") & (F.col("size") <= 2 << 30) & (F.col("comment").isNull() | ((F.length("comment") <= 2000) & (F.trim("comment") != ""))))
 
 
 # -- annotations ---------------------------------------------------------------------------------------------------------------
@@ -138,6 +180,28 @@ def evaluated(predictions: DataFrame) -> DataFrame:
 # -- logs ----------------------------------------------------------------------------------------------------------------------
 
 
+LOG_SCHEMA = "frame_id long, level string, source string, message string"
+
+
+def log_append(entries: DataFrame, path: str) -> None:
+    """Adds entries to a log; appends are new files, so writers don't disturb each other."""
+    entries.select(F.col("frame_id").cast("long"), "level", "source", "message").write.mode("append").parquet(path)
+
+
+def log_read(spark, path: str) -> DataFrame:
+    return spark.read.schema(LOG_SCHEMA).parquet(path)
+
+
+def log_segments(logs: DataFrame, gap: int = 1) -> DataFrame:
+    """Runs of frames that have entries of one source and level, at most ``gap`` frames apart."""
+    from ..operators.relops import islands, lagged
+
+    keys = ["source", "level"]
+    frames = logs.select(*keys, "frame_id").distinct()
+    runs = islands(frames, keys, "frame_id", F.col("frame_id") - lagged("frame_id", keys, "frame_id") <= gap)
+    return runs.groupBy(*keys, "island").agg(F.min("frame_id").alias("start"), F.max("frame_id").alias("end")).drop("island")
+
+
 def log_entries(logs: DataFrame, low: int, high: int) -> DataFrame:
     """A frame range's entries as lines."""
     from ..functions.text import log_line

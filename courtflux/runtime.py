@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import atexit
 import io
 import os
+import shutil
 import tempfile
+import uuid
 import zipfile
+from contextlib import suppress
 from pathlib import Path
 
 from pyspark.sql import SparkSession
@@ -28,3 +32,41 @@ def ship(spark: SparkSession) -> None:
         f.write(buffer.getvalue())
     spark.sparkContext.addPyFile(path)
     _shipped.add(app)
+
+
+_folders: dict[str, set[str]] = {}
+_local: dict[str, str] = {}
+
+
+def scratch(spark: SparkSession) -> str:
+    """The path of a new folder in the cluster's shared folder (``spark.checkpoint.dir``); it goes when the driver ends.
+
+    Only a local session may do without a shared folder: there it is one of this machine.
+    """
+    app = spark.sparkContext.applicationId
+    root = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not root:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        if app not in _local:
+            _local[app] = tempfile.mkdtemp(prefix="courtflux-")
+            atexit.register(shutil.rmtree, _local[app], ignore_errors=True)
+        root = _local[app]
+    path = f"{root.rstrip('/')}/courtflux-{uuid.uuid4().hex}"
+    if app not in _folders:
+        _folders[app] = set()
+        atexit.register(_drop_all, spark, app)
+    _folders[app].add(path)
+    return path
+
+
+def drop(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    _folders.get(spark.sparkContext.applicationId, set()).discard(path)
+
+
+def _drop_all(spark: SparkSession, app: str) -> None:
+    for path in list(_folders.pop(app, ())):
+        with suppress(Exception):  # a session that was stopped has no file system any more
+            drop(spark, path)

@@ -125,6 +125,12 @@ def numeric_names(df: DataFrame, column: str) -> DataFrame:
     return df.where(F.col(column).rlike("^[0-9]+$")).withColumn(column, F.col(column).cast("long")).orderBy(column)
 
 
+def label_points(spark: SparkSession, path: str, width: int, height: int) -> DataFrame:
+    """Lines `cls cx cy` (normalised) as pixels, toward zero."""
+    t = fields(lines(spark, path), r"\s+", ["cls", "cx", "cy"])
+    return t.select("path", F.col("cls").cast("long").alias("class_id"), (F.col("cx") * width).cast("long").alias("px"), (F.col("cy") * height).cast("long").alias("py"))
+
+
 # -- JSON ----------------------------------------------------------------------------------------------------------------------
 
 
@@ -181,6 +187,43 @@ def clip_list(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("sep", ";").option("header", True).csv(path)
 
 
+def all_stores(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The JSON label stores of all nested folders as one table."""
+    return spark.read.schema(schema).option("recursiveFileLookup", True).json(path)
+
+
+def large_enough(pictures: DataFrame, key: str, least: int) -> DataFrame:
+    """Pictures whose sides (width, height) reach ``least``, with a new ``index`` from 0 in the order of a whole-number key.
+
+    Keys are numbered within ranges, and the ranges' counts summed, so that no task sorts all rows.
+    """
+    from pyspark.sql.window import Window
+
+    kept = pictures.where(F.least("width", "height") >= least).withColumn("__range", F.floor(F.col(key) / 65536))
+    sizes = kept.groupBy("__range").agg(F.count("*").alias("__n"))
+    base = sizes.withColumn("__base", F.coalesce(F.sum("__n").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("__n")
+    place = F.row_number().over(Window.partitionBy("__range").orderBy(key))
+    return kept.withColumn("__place", place).join(base, "__range").withColumn("index", F.col("__base") + F.col("__place") - 1).drop("__range", "__place", "__base")
+
+
+def predictions(df: DataFrame, columns: dict[str, str], classes: dict[int, int] | None = None) -> DataFrame:
+    """Any model's output as detections: its columns (keys) by our names, boxes as whole pixels toward zero, its class ids by ours (others drop)."""
+    named = df.select(*(F.col(own).alias(name) for own, name in columns.items()))
+    if classes is not None:
+        to = F.create_map(*(F.lit(x) for pair in classes.items() for x in pair))
+        named = named.withColumn("class_id", F.try_element_at(to, F.col("class_id").cast("int")).cast("long")).where("class_id is not null")
+    return named.withColumns({c: F.col(c).cast("long") for c in ("x1", "y1", "x2", "y2")})
+
+
+def keypoint_labels(points: DataFrame, share: float = 0.02, margin: float = 0.0, classes: dict[int, int] | None = None) -> DataFrame:
+    """Label rows of projected model points (point, px, py): small boxes inside the picture, the points' ids mapped to a data set's (others drop)."""
+    boxes = keypoint_boxes(points, share, margin)
+    if classes is None:
+        return boxes.withColumn("class_id", F.col("point").cast("long"))
+    to = F.create_map(*(F.lit(x) for pair in classes.items() for x in pair))
+    return boxes.withColumn("class_id", F.try_element_at(to, F.col("point").cast("int")).cast("long")).where("class_id is not null")
+
+
 def class_ids(names: list[str] | dict[int, str]) -> dict[str, int]:
     """Name -> id of a data set's class names, given as a list or by id."""
     return {n: int(i) for i, n in (names.items() if isinstance(names, dict) else enumerate(names))}
