@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -15,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..runtime import ship
+from ..runtime import drop, scratch, ship
 
 #: Bytes of text that one step of a vectorised Python function handles; bounds its temporary arrays.
 SLICE_BYTES = 2 << 20
@@ -27,18 +23,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder's path in the cluster's shared folder; a local one only where none is named."""
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.courtflux.scratch", None)
-    if not root:
-        root = tempfile.mkdtemp(prefix="courtflux-")
-        atexit.register(shutil.rmtree, root, ignore_errors=True)
-        spark.conf.set("spark.courtflux.scratch", root)
-    return f"{root.rstrip('/')}/courtflux-{uuid.uuid4().hex}"
+    """A new folder's path in the cluster's shared folder; a local one only in a local session that names none."""
+    return scratch(spark)
 
 
 def drop_dir(spark: SparkSession, path: str) -> None:
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    drop(spark, path)
 
 
 def written(df: DataFrame, compression: str = "zstd", path: str | None = None) -> DataFrame:
@@ -111,14 +101,14 @@ def as_batch(columns: dict, schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(arrays, schema=schema)
 
 
-def keep_rows(df: DataFrame, decide: Callable[[pa.RecordBatch], np.ndarray]) -> DataFrame:
+def keep_rows(df: DataFrame, decide: Callable[[pa.RecordBatch], np.ndarray], most: int = SLICE_BYTES) -> DataFrame:
     """The rows of ``df``, all columns as they are, for which ``decide`` says true; no shuffle."""
 
     ship(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, most=most):
                 yield part.filter(pa.array(decide(part), pa.bool_()))
 
     return df.mapInArrow(run, df.schema)

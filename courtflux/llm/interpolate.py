@@ -9,9 +9,14 @@ and bigrams, as sorted 64-bit hashes with the block's training counts, to hash b
 corpus counts in the same order. A key travels once per block, never once per token, and a hot word is one key of each block. Blocks then
 join their answers by the table's bucketing, so texts are not shuffled.
 
+A block sends to ``FAN`` buckets of words and of bigrams at most, so rows grow with the blocks, not with blocks times buckets. Where a
+corpus needs more buckets than that, a bucket's requests are gathered into groups of bounded size; a group merges its keys and asks
+``FAN`` smaller buckets in turn, and its answer is dealt back to the requests in it. Each turn divides a bucket's keys by ``FAN``.
+
 Defined results: null and empty texts are one end token. A null id counts as the empty text for the remainder. Words that training never
 had have c = 0; an unknown context gives its weight to the word and uniform estimates. Without training tokens, N = V = 0 and both scores
-are 0. Repeated rows are scored alike, and counted as often as they stand there.
+are 0. Repeated rows are scored alike, and counted as often as they stand there. An empty table gives an empty one. A text of any length
+is one block's at most, whole. Only doc_id and text are read, so other columns don't clash.
 """
 
 from __future__ import annotations
@@ -33,7 +38,9 @@ from ..runtime import ship
 from . import common as C
 
 BLOCK_BYTES = 16 << 20  # text of a block
-BUCKET_BYTES = 24 << 20  # keys of a bucket
+BUCKET_BYTES = 24 << 20  # keys of a bucket, and of a group
+FAN = 512  # buckets that a block, or a group, sends words or bigrams to
+DEEPEST = 6  # levels of buckets, more than the 32 bits of a range can be cut into
 LEVELS = 24  # buckets of context counts: 0, 1, 2-3, 4-7, ...
 STEPS = 40
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -140,19 +147,29 @@ def opened(row: dict) -> Block:
     return Block(unpack(row["words"]).view(np.uint64), unpack(row["ids"]), unpack(row["sizes"]), unpack(row["train"]))
 
 
-def cut(keys: np.ndarray, buckets: int) -> np.ndarray:
-    """Where each bucket's keys begin and end among sorted ones; buckets are equal ranges of the upper 32 bits."""
-    edges = (np.arange(buckets + 1, dtype=np.uint64) << np.uint64(32)) // np.uint64(buckets)
-    return np.searchsorted(keys >> np.uint64(32), edges)
+def cut(keys: np.ndarray, buckets: int, low: int = 0, high: int = 1 << 32) -> np.ndarray:
+    """Where each bucket's keys begin and end among sorted ones; buckets are equal ranges of the upper 32 bits within [low, high)."""
+    edges = [low + (high - low) * i // buckets for i in range(buckets + 1)]
+    return np.searchsorted(keys >> np.uint64(32), np.array(edges, np.uint64))
 
 
 # -- counts --------------------------------------------------------------------------------------------------------------------
 
 
+REQUEST = "bucket long, kind int, low long, high long, block long, keys binary, n binary"
+
+
+def _parts(first: int, kind: int, low: int, high: int, buckets: int, block: int, keys: np.ndarray, n: np.ndarray) -> Iterator[tuple]:
+    """Requests to the buckets that [low, high) is cut into, numbered from ``first`` on; none where there are no keys."""
+    ends = cut(keys, buckets, low, high)
+    for k, (a, z) in enumerate(zip(ends, ends[1:])):
+        if z > a:
+            yield first + k, kind, low + (high - low) * k // buckets, low + (high - low) * (k + 1) // buckets, block, pack(keys[a:z]), pack(small(n[a:z]))
+
+
 def requests(blocks: DataFrame, buckets: dict[str, int]) -> DataFrame:
-    """bucket, block, keys and training counts: words in the first ``buckets["w"]`` buckets, bigrams in the others."""
-    schema = "bucket int, block long, keys binary, n binary"
-    out = C.arrow_schema(blocks.sparkSession, schema)
+    """bucket, kind (0 for words, 1 for bigrams), the range of its keys, block, keys and training counts; words have the first buckets."""
+    out = C.arrow_schema(blocks.sparkSession, REQUEST)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -161,43 +178,89 @@ def requests(blocks: DataFrame, buckets: dict[str, int]) -> DataFrame:
                 b = opened(row)
                 by = np.argsort(b.words)
                 pairs, at = b.pairs()
-                for first, keys, n in ((0, b.words[by], b.word_counts()[by]), (buckets["w"], pairs, np.bincount(at[b.of_train], minlength=len(pairs)))):
-                    ends = cut(keys, buckets["p" if first else "w"])
-                    for k, (a, z) in enumerate(zip(ends, ends[1:])):
-                        if z > a:
-                            yield C.as_batch({"bucket": [first + k], "block": [row["block"]], "keys": [pack(keys[a:z])], "n": [pack(small(n[a:z]))]}, out)
+                for kind, first, keys, n in ((0, 0, b.words[by], b.word_counts()[by]), (1, buckets["w"], pairs, np.bincount(at[b.of_train], minlength=len(pairs)))):
+                    for part in _parts(first, kind, 0, 1 << 32, buckets["p" if kind else "w"], row["block"], keys, n):
+                        yield C.as_batch(dict(zip(out.names, ([x] for x in part))), out)
+
+    return blocks.select("block", "sizes", "train", "words", "ids").mapInArrow(run, REQUEST)
 
-    return blocks.select("block", "sizes", "train", "words", "ids").mapInArrow(run, schema)
 
+def _summed(keys: list[np.ndarray], n: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct keys of some requests, sorted, with their sums, and each request's keys' places among them."""
+    distinct, at = np.unique(np.concatenate(keys), return_inverse=True)
+    return distinct, np.bincount(at, np.concatenate(n).astype(np.float64), len(distinct)).astype(np.uint64), at
 
-def answers(asked: DataFrame, buckets: dict[str, int]) -> DataFrame:
-    """block, bucket and corpus counts of the block's keys; and for each bucket of words, under block -1, its N and V."""
+
+def _opened(group: pa.Table) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray]:
+    keys = [unpack(x) for x in group.column("keys").to_pylist()]
+    return keys, [unpack(x).astype(np.uint64) for x in group.column("n").to_pylist()], np.cumsum(np.fromiter(map(len, keys), np.int64, len(keys)))[:-1]
+
+
+def answers(asked: DataFrame, bucket_bytes: int = BUCKET_BYTES, fan: int = FAN, depth: int = 0) -> DataFrame:
+    """block, bucket and corpus counts of the block's keys; and for each bucket of words, under block -1, its N and V (words 0, bigrams 1: ``kind``).
+
+    ``asked`` is a table in the shared folder. Buckets whose requests have over ``bucket_bytes`` of packed keys go a level down.
+    """
+    spark = asked.sparkSession
+    many = 0
+    if depth < DEEPEST:
+        sizes = asked.groupBy("bucket").agg(F.sum(F.octet_length("keys")).alias("bytes"), F.first("low").alias("l"), F.first("high").alias("h"))
+        large = C.written(sizes.where(F.col("bytes") > bucket_bytes).where("h - l > 1").select("bucket", "bytes"))
+        many = large.agg(F.count("*")).first()[0]
 
     def total(group: pa.Table) -> pa.Table:
-        bucket = group.column("bucket")[0].as_py()
-        keys = [unpack(x) for x in group.column("keys").to_pylist()]
-        n = [unpack(x).astype(np.uint64) for x in group.column("n").to_pylist()]
-        sizes = np.fromiter(map(len, keys), np.int64, len(keys))
-        distinct, at = np.unique(np.concatenate(keys), return_inverse=True)
-        sums = np.bincount(at, np.concatenate(n).astype(np.float64), len(distinct)).astype(np.uint64)
-        back = np.split(sums[at], np.cumsum(sizes)[:-1])
-        blocks = group.column("block").to_pylist()
-        packed = [pack(small(x)) for x in back]
-        if bucket < buckets["w"]:
+        keys, n, cuts = _opened(group)
+        _, sums, at = _summed(keys, n)
+        blocks, kind = group.column("block").to_pylist(), group.column("kind")[0].as_py()
+        packed = [pack(small(x)) for x in np.split(sums[at], cuts)]
+        if kind == 0:
             blocks.append(-1)
             packed.append(pack(np.array([sums.sum(), (sums > 0).sum()], np.uint64)))
-        return pa.table({"block": pa.array(blocks, pa.int64()), "bucket": pa.array([bucket] * len(blocks), pa.int32()), "n": pa.array(packed, pa.binary())})
+        return pa.table({"block": pa.array(blocks, pa.int64()), "bucket": pa.array([group.column("bucket")[0].as_py()] * len(blocks), pa.int64()), "kind": pa.array([kind] * len(blocks), pa.int32()), "n": pa.array(packed, pa.binary())})
+
+    reply = "block long, bucket long, kind int, n binary"
+    if not many:
+        return asked.groupBy("bucket").applyInArrow(total, reply)
+    direct = asked.join(large.select("bucket"), "bucket", "left_anti").groupBy("bucket").applyInArrow(total, reply)
+    # Groups of a large bucket's requests, by hash, of about ``bucket_bytes`` each.
+    grouped = asked.join(large, "bucket").withColumn("member", F.pmod(F.xxhash64("block", F.lit(depth)), F.ceil(2 * F.col("bytes") / bucket_bytes))).drop("bytes")
+    down = C.arrow_schema(spark, REQUEST)
+
+    def merge(group: pa.Table) -> pa.Table:
+        keys, n, _ = _opened(group)
+        distinct, sums, _ = _summed(keys, n)
+        bucket, kind, low, high, member = (group.column(c)[0].as_py() for c in ("bucket", "kind", "low", "high", "member"))
+        rows = list(_parts(bucket * fan, kind, low, high, min(fan, high - low), member, distinct, sums))
+        return pa.table([pa.array(list(c), f.type) for c, f in zip(zip(*rows), down)], schema=down)
+
+    sub = C.written(grouped.groupBy("bucket", "member").applyInArrow(merge, REQUEST), "none")
+    back = C.written(answers(sub, bucket_bytes, fan, depth + 1), "none")
+    # A merged group's counts, in the order of its keys, dealt to its requests.
+    whole = back.where("block >= 0").groupBy(F.floor(F.col("bucket") / fan).alias("bucket"), F.col("block").alias("member")).agg(F.array_sort(F.collect_list(F.struct("bucket", "n"))).alias("parts"))
+    ready = grouped.groupBy("bucket", "member").agg(F.collect_list(F.struct("kind", "block", "keys")).alias("own")).join(whole, ["bucket", "member"])
+    out = C.arrow_schema(spark, reply)
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                keys = [unpack(x["keys"]) for x in row["own"]]
+                counts = np.concatenate([unpack(x["n"]).astype(np.uint64) for x in row["parts"]])
+                _, at = np.unique(np.concatenate(keys), return_inverse=True)
+                each = np.split(counts[at], np.cumsum([len(k) for k in keys])[:-1])
+                yield C.as_batch({"block": [x["block"] for x in row["own"]], "bucket": [row["bucket"]] * len(keys), "kind": [x["kind"] for x in row["own"]], "n": [pack(small(x)) for x in each]}, out)
 
-    return asked.groupBy("bucket").applyInArrow(total, "block long, bucket int, n binary")
+    dealt = ready.select("bucket", "own", "parts").mapInArrow(deal, reply)
+    sums = back.where("block = -1").select("block", F.floor(F.col("bucket") / fan).alias("bucket"), "kind", "n")
+    return direct.unionByName(dealt).unionByName(sums)
 
 
-def answered(b: Block, got: list[dict], words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def answered(b: Block, got: list[dict]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of each token the corpus counts u of its word, C of its context (the training texts for a text's start) and c of the bigram."""
-    parts = sorted((x["bucket"], x["n"]) for x in got)
+    parts = sorted((x["bucket"], x["kind"], x["n"]) for x in got)
     by = np.argsort(b.words)
     u = np.empty(len(b.words), np.int64)
-    u[by] = np.concatenate([unpack(n).astype(np.int64) for k, n in parts if k < words])
-    c = np.concatenate([unpack(n).astype(np.int64) for k, n in parts if k >= words])
+    u[by] = np.concatenate([unpack(n).astype(np.int64) for _, kind, n in parts if kind == 0])
+    c = np.concatenate([unpack(n).astype(np.int64) for _, kind, n in parts if kind == 1])
     _, at = b.pairs()
     of = u[b.ids]
     context = np.empty(len(of), np.int64)
@@ -261,7 +324,7 @@ def expectation_maximisation(cells: np.ndarray, n: np.ndarray, uniform: float) -
 SCHEMA = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def scores(docs: DataFrame, block_bytes: int = BLOCK_BYTES, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+def scores(docs: DataFrame, block_bytes: int = BLOCK_BYTES, bucket_bytes: int = BUCKET_BYTES, fan: int = FAN) -> DataFrame:
     """Base and model log10 probability of every row's whole text."""
     spark = docs.sparkSession
     name = f"courtflux_blocks_{uuid.uuid4().hex}"
@@ -274,23 +337,27 @@ def scores(docs: DataFrame, block_bytes: int = BLOCK_BYTES, bucket_bytes: int =
         spark.sql(f"DROP TABLE {name}")
         return spark.createDataFrame([], SCHEMA)
     # A token's number takes two bytes packed; as many bigram keys of eight bytes are the most there can be.
-    buckets = {"w": max(least, ceil(size[2] / bucket_bytes)), "p": max(least, ceil(4 * size[1] / bucket_bytes))}
+    buckets = {k: min(fan, max(least, ceil(n / bucket_bytes))) for k, n in (("w", size[2]), ("p", 4 * size[1]))}
     asked = requests(made, buckets)
-    replies = C.written(answers(asked, buckets), "none")
+    if 4 * size[1] / buckets["p"] > bucket_bytes or size[2] / buckets["w"] > bucket_bytes:
+        replies = answers(C.written(asked, "none"), bucket_bytes, fan)
+    else:
+        replies = answers(asked, bucket_bytes, fan, depth=DEEPEST)
+    replies = C.written(replies, "none")
     n = v = 0
     for x in replies.where("block = -1").select("n").collect():  # a row for each bucket of words
         a, b = unpack(x[0])
         n, v = n + int(a), v + int(b)
-    got = replies.where("block >= 0").groupBy("block").agg(F.collect_list(F.struct("bucket", "n")).alias("got"))  # bounded by the block
+    got = replies.where("block >= 0").groupBy("block").agg(F.collect_list(F.struct("bucket", "kind", "n")).alias("got"))  # bounded by the block
     joined = made.join(got, "block")
-    uniform, words = 1 / (v + 1), buckets["w"]
+    uniform = 1 / (v + 1)
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
                 row = batch.slice(i, 1).to_pylist()[0]
                 b = opened(row)
-                of, context, c = answered(b, row["got"], words)
+                of, context, c = answered(b, row["got"])
                 cell, k = held_out_cells(of[b.of_train], context[b.of_train], c[b.of_train], n)
                 yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(k)], names=["cell", "k"])
 
@@ -303,7 +370,7 @@ def scores(docs: DataFrame, block_bytes: int = BLOCK_BYTES, bucket_bytes: int =
             for i in range(batch.num_rows):
                 row = batch.slice(i, 1).to_pylist()[0]
                 b = opened(row)
-                of, context, c = answered(b, row["got"], words)
+                of, context, c = answered(b, row["got"])
                 if n:
                     base = np.log10((of + 1) / (n + v + 1))
                     w = weights[level(context)]

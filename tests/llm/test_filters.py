@@ -1,5 +1,7 @@
 """Toxicity, quality rules, language identification, near-duplicates."""
 
+import math
+import pickle
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -73,26 +75,76 @@ def test_quality(spark, docs, corpus, no_docs):
     assert quality.quality(no_docs).count() == 0 and quality.keep_good(no_docs).count() == 0
 
 
-def test_kneser_ney():
-    """Probabilities of each context sum to 1, and follow the formula on a small example."""
-    codes, n = quality.packed(["abab ba", "aab ab"])
-    u, c = np.unique(codes, return_counts=True)
-    m = quality.Model(u, c, 4)
-    table, row = m.dense()
-    assert np.allclose((10.0**table).sum(1), 1, atol=1e-4)
-    grams, own, contexts, share = m.levels[0]
-    d = quality.discounts(c)
-    k = 3
-    ctx = int(u[k]) >> 7
-    same = (u >> 7) == ctx
-    assert np.isclose(own[k], (c[k] - d[min(c[k], 3)]) / c[same].sum())
-    assert np.isclose(share[np.searchsorted(contexts, ctx)], sum(d[min(x, 3)] for x in c[same]) / c[same].sum())
-
-
-def test_lower_order_when_too_large(docs):
-    m = quality.learn(docs, max_entries=10)
-    assert m.order == 2
-    assert np.isfinite(m.log10_perplexity("en", ["then the"])[0])
+def literal_kneser_ney(texts):
+    """log10 probability of a symbol after a context, by the recursion of modified Kneser-Ney on dictionaries."""
+    pad = "\0" * (quality.ORDER - 1)
+
+    def symbol(c):
+        if c == "\0":
+            return 0
+        if ord(c) >= 128:
+            return ord(c) % 128 + 128
+        return 48 if c.isdigit() else 32 if (ord(c) < 32 and c != "\n") or ord(c) == 127 else ord(c)
+
+    def grams(text):
+        s = [symbol(c) for c in pad + text.replace("\0", " ")]
+        return [tuple(s[i : i + quality.ORDER]) for i in range(len(text))]
+
+    counts = [Counter(g for t in texts for g in grams(t))]
+    while len(counts) < quality.ORDER:
+        counts.append(Counter(g[1:] for g in counts[-1]))
+    discount = []
+    for c in counts:
+        n = [0, *(sum(v == k for v in c.values()) for k in (1, 2, 3, 4))]
+        if all(n[1:]):
+            y = n[1] / (n[1] + 2 * n[2])
+            discount.append([0.0, *(min(max(k - (k + 1) * y * n[k + 1] / n[k], 0.05), k) for k in (1, 2, 3))])
+        else:
+            discount.append([0.0, 0.5, 1.0, 1.5])
+
+    def p(gram, level=0):
+        if not gram:
+            return 1 / 256
+        same = {g: v for g, v in counts[level].items() if g[:-1] == gram[:-1]}
+        if not same:
+            return p(gram[1:], level + 1)
+        d = {g: discount[level][min(v, 3)] for g, v in same.items()}
+        total = sum(same.values())
+        return (same.get(gram, 0) - d.get(gram, 0)) / total + sum(d.values()) / total * p(gram[1:], level + 1)
+
+    return lambda text: -sum(math.log10(p(g) + 1e-12) for g in grams(text)) / len(text)
+
+
+@given(st.lists(st.text(st.sampled_from("ab é\n1жя漢\x00\x1f"), min_size=1, max_size=30), min_size=1, max_size=6), st.lists(st.text(st.sampled_from("abc é\n12жя字z"), min_size=1, max_size=20), min_size=1, max_size=4))
+@settings(max_examples=60, deadline=None)
+def test_kneser_ney(learned, asked):
+    codes, n = np.unique(quality.packed(learned)[0], return_counts=True)
+    models = pickle.loads(pickle.dumps(quality.Models({"x": quality.Model(codes, n)})))
+    want = literal_kneser_ney(learned)
+    assert np.allclose(models.log10_perplexity("x", asked), [want(t) for t in asked], atol=1e-4)
+    assert np.isnan(models.log10_perplexity("y", asked)).all()
+
+
+def test_symbols_of_an_alphabet_stay_apart():
+    for letters in ("абвгдежзийклмнопрстуфхцчшщъыьэюя", "αβγδεζηθικλμνξοπρστυφχψω", "àáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿ"):
+        assert len(set(quality.packed([letters])[0] & 255)) == len(letters)
+
+
+def test_bands_literally(spark, docs, corpus):
+    """Verdicts from medians and deviations of the documents' own perplexities, without labels."""
+    got = quality.quality(docs).collect()
+    rows = [(r, len(t or "")) for r, t in ((r, {x[0]: x[1] for x in corpus[0]}.get(r.doc_id)) for r in got)]
+    lang = {x[0]: x[2] for x in corpus[0]}
+    for name in ("en", "fr"):
+        own = [(math.log10(r.perplexity), n, r) for r, n in rows if lang.get(r.doc_id) == name and not r.base_failed and r.perplexity is not None]
+        m = sorted(round(1000 * x) for x, _, _ in own)[math.ceil(len(own) / 2) - 1] / 1000
+        wide = [math.sqrt(1 + quality.SHORT / max(2 ** ((math.floor(2 * math.log2(n)) + 0.5) / 2), 1)) for _, n, _ in own]
+        off = sorted(abs(round(1000 * x) / 1000 - m) / w for (x, _, _), w in zip(own, wide))
+        s = max(quality.LEAST_SPREAD, 1.4826 * off[math.ceil(len(off) / 2) - 1])
+        for x, n, r in own:
+            z = (x - m) / (s * math.sqrt(1 + quality.SHORT / n))
+            if abs(z + quality.BELOW) > 0.05 and abs(z - quality.ABOVE) > 0.05:
+                assert r.kept == (-quality.BELOW <= z <= quality.ABOVE), (r.doc_id, z)
 
 
 def test_langid(spark, docs, corpus, no_docs):
