@@ -3,10 +3,14 @@
 A fingerprint has 64 bits; two within ``distance`` bits differ in at most that many of ``BLOCKS`` blocks, so they agree on all of some
 ``BLOCKS - distance`` blocks. Every choice of so many blocks gives a key, and close pairs meet under at least one key. Only distinct
 fingerprints are keyed; equal ones are one node. Under a key, links are found by a search that leaves each linked fingerprint once, so
-that a bucket of n emits under n links and never all pairs: links inside a component that the bucket already joined add nothing.
+that a bucket of n emits under n links and never all pairs: links inside a component that the bucket already joined add nothing. A key
+that over ``HOT`` fingerprints share is keyed once more, by the pigeonhole principle on the bits that it leaves open; such buckets agree on
+48 bits, so they hold 65,536 different fingerprints at most, whatever the corpus is.
 
 Defined results: a text without words has fingerprint 0 and links like any other; a text of fewer words than a shingle is one shingle.
-Null texts count as empty. Null ids take part and are never a component's id unless all ids are null. Repeated rows stay rows.
+Null texts count as empty. Null ids take part and are never a component's id unless all ids are null. Repeated rows stay rows. An empty
+table gives an empty one. Texts of any length are read whole. ``near_duplicates`` reads doc_id and text only; ``keep_one`` passes all
+columns on and names its own so that they don't clash with any of them.
 """
 
 from __future__ import annotations
@@ -26,6 +30,8 @@ from . import common as C
 from .components import connected
 
 BLOCKS, DISTANCE, WIDTH = 8, 4, 4
+#: Fingerprints of one key that are linked at once; more are keyed anew.
+HOT = 8192
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
@@ -81,45 +87,82 @@ def links_within(fps: np.ndarray, distance: int, wave: int = 64) -> list[tuple[i
     return out
 
 
-def close_links(fps: DataFrame, blocks: int = BLOCKS, distance: int = DISTANCE) -> DataFrame:
-    """Links (a, b) between distinct fingerprints (column fp, long) that have the same components as all close pairs."""
-    spark = fps.sparkSession
-    ship(spark)
-    masks = block_masks(blocks, distance)
-    signed = [m - (1 << 64) if m >> 63 else m for m in masks]
-    keys = F.array(*[F.struct(F.lit(i).alias("mask"), F.col("fp").bitwiseAND(F.lit(m).cast("long")).alias("key")) for i, m in enumerate(signed)])
-    keyed = fps.select("fp", F.explode(keys).alias("k")).select("k.mask", "k.key", "fp")
+def inner_masks(mask: int, distance: int) -> list[int]:
+    """``mask`` with the bits of every choice of all but ``distance`` of the 8 nearly equal parts of the bits that it leaves open."""
+    free = [i for i in range(64) if not mask >> i & 1]
+    cuts = [len(free) * i // 8 for i in range(9)]
+    parts = [sum(1 << i for i in free[a:z]) for a, z in zip(cuts, cuts[1:])]
+    return [mask | sum(chosen) for chosen in combinations(parts, 8 - distance)]
+
+
+def _signed(m: int) -> int:
+    return m - (1 << 64) if m >> 63 else m
+
+
+def _linked(keyed: DataFrame, distance: int, hot: int | None) -> DataFrame:
+    """Links (a, b) of rows (mask, key, fp) within each (mask, key); the fingerprints of a key with over ``hot`` come out as (mask, fp), unlinked."""
     dealt = keyed.repartition("mask", "key").sortWithinPartitions("mask", "key", "fp")
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def emit(found: list[tuple[int, int]]) -> pa.RecordBatch:
-            pairs = np.array(found, np.uint64).reshape(-1, 2).view(np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(pairs.min(1)), pa.array(pairs.max(1))], names=["a", "b"])
+        def emit(pairs: np.ndarray, mask: int | None = None) -> pa.RecordBatch:
+            masks = pa.nulls(len(pairs), pa.int32()) if mask is None else pa.array(np.full(len(pairs), mask, np.int32))
+            return pa.RecordBatch.from_arrays([masks, pa.array(pairs.min(1)), pa.array(pairs.max(1))], names=["mask", "a", "b"])
+
+        def alone(fps: np.ndarray, mask: int) -> pa.RecordBatch:
+            return emit(np.stack([fps, fps], 1), mask)
+
+        def joined(fps: np.ndarray) -> list[tuple[int, int]]:
+            return links_within(fps.view(np.uint64), distance)
+
+        open_key, held, size, spilt = None, [], 0, False
+
+        def close() -> Iterator[pa.RecordBatch]:
+            if held and (found := joined(np.concatenate(held))):
+                yield emit(np.array(found, np.uint64).view(np.int64))
 
-        open_key, open_fps = None, []
         for batch in batches:
             if not batch.num_rows:
                 continue
             mask, key, fp = (batch.column(i).to_numpy() for i in range(3))
             cut = np.flatnonzero((mask[1:] != mask[:-1]) | (key[1:] != key[:-1])) + 1
-            starts, stops = np.concatenate([[0], cut]), np.concatenate([cut, [len(fp)]])
             found: list[tuple[int, int]] = []
-            if open_key == (mask[0], key[0]):
-                open_fps.append(fp[: stops[0]])
-                starts, stops = starts[1:], stops[1:]
-            if len(starts):
-                if open_fps:
-                    found += links_within(np.concatenate(open_fps).view(np.uint64), distance)
-                many = np.flatnonzero(stops[:-1] - starts[:-1] > 1)
-                for i in many.tolist():
-                    found += links_within(fp[starts[i] : stops[i]].view(np.uint64), distance)
-                open_key, open_fps = (mask[-1], key[-1]), [fp[starts[-1] :]]
+            for a, z in zip([0, *cut.tolist()], [*cut.tolist(), len(fp)]):
+                if (mask[a], key[a]) != open_key:
+                    if held and size > 1:
+                        found += joined(np.concatenate(held))
+                    open_key, held, size, spilt = (mask[a], key[a]), [], 0, False
+                size += z - a
+                if hot is not None and size > hot:
+                    for part in held:
+                        yield alone(part, int(mask[a]))
+                    held, spilt = [], True
+                if spilt:
+                    yield alone(fp[a:z], int(mask[a]))
+                else:
+                    held.append(fp[a:z])
             if found:
-                yield emit(found)
-        if open_fps and (found := links_within(np.concatenate(open_fps).view(np.uint64), distance)):
-            yield emit(found)
+                yield emit(np.array(found, np.uint64).view(np.int64))
+        if size > 1:
+            yield from close()
+
+    return dealt.mapInArrow(link, "mask int, a long, b long")
 
-    return dealt.mapInArrow(link, "a long, b long").distinct()
+
+def close_links(fps: DataFrame, blocks: int = BLOCKS, distance: int = DISTANCE, hot: int = HOT) -> DataFrame:
+    """Links (a, b) between distinct fingerprints (column fp, long) that have the same components as all close pairs."""
+    ship(fps.sparkSession)
+    masks = block_masks(blocks, distance)
+    keys = F.array(*[F.struct(F.lit(i).alias("mask"), F.col("fp").bitwiseAND(F.lit(_signed(m)).cast("long")).alias("key")) for i, m in enumerate(masks)])
+    keyed = fps.select("fp", F.explode(keys).alias("k")).select("k.mask", "k.key", "fp")
+    first = C.written(_linked(keyed, distance, hot))
+    links = first.where("mask is null").select("a", "b")
+    if not first.where("mask is not null").isEmpty():
+        # Keys of a hot bucket: its own bits and those of each choice of the others, told apart by (outer, inner) number.
+        inner = F.array(*(F.array(*(F.lit(_signed(x)).cast("long") for x in inner_masks(m, distance))) for m in masks))
+        crowd = first.where("mask is not null").select("mask", F.col("a").alias("fp"), F.posexplode(F.get(inner, F.col("mask"))).alias("k", "bits"))
+        again = crowd.select((F.col("mask") * 1000 + F.col("k")).alias("mask"), F.col("fp").bitwiseAND(F.col("bits")).alias("key"), "fp")
+        links = links.unionAll(_linked(again, distance, None).select("a", "b"))
+    return links.distinct()
 
 
 def fingerprints(docs: DataFrame, width: int = WIDTH) -> DataFrame:
@@ -154,17 +197,19 @@ def keep_one(docs: DataFrame, width: int = WIDTH, blocks: int = BLOCKS, distance
     named = groups.join(roots, groups.fp == roots.node, "left").select("fp", F.coalesce("root", "fp").alias("root"), "least")
     chosen = named.groupBy("root").agg(F.min(F.struct(F.col("least").isNull().alias("none"), "least", "fp")).alias("x"))
     no_id = F.lit(-(1 << 63))
-    kept = C.written(chosen.select(F.coalesce("x.least", no_id).alias("__id"), F.col("x.fp").alias("__fp")))
+    names = set(docs.columns)
+    own_id, own_fp = (next(x for x in (f"__{n}{'_' * i}" for i in range(len(names) + 1)) if x not in names) for n in ("id", "fp"))
+    kept = C.written(chosen.select(F.coalesce("x.least", no_id).alias(own_id), F.col("x.fp").alias(own_fp)))
 
     def tag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in C.slices(batch):
                 fps = np.array([fingerprint(t, width) for t in C.utf8_list(part.column("text"))], np.uint64).view(np.int64)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(fps)], names=[*part.schema.names, "__fp"])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(fps)], names=[*part.schema.names, own_fp])
 
-    schema = StructType([*docs.schema.fields, StructField("__fp", LongType())])
-    tagged = docs.mapInArrow(tag, schema).withColumn("__id", F.coalesce("doc_id", no_id))
-    return tagged.join(kept, ["__id", "__fp"], "left_semi").dropDuplicates(["__id", "__fp"]).select(*docs.columns)
+    schema = StructType([*docs.schema.fields, StructField(own_fp, LongType())])
+    tagged = docs.mapInArrow(tag, schema).withColumn(own_id, F.coalesce("doc_id", no_id))
+    return tagged.join(kept, [own_id, own_fp], "left_semi").dropDuplicates([own_id, own_fp]).select(*docs.columns)
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

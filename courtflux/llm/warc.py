@@ -5,11 +5,16 @@ searching for separators. Conversion synthesises WARC record identifiers (UUIDs
 digests, and turns later captures of equal payloads into revisit records.
 
 Archives are files of gzip members, one record each, in any folder that Spark can write. Spark's text writer lays the members down as they
-are, an empty member (20 bytes that unpack to nothing) standing as its line separator; ``binaryFile`` reads them back file by file.
+are, an empty member (20 bytes that unpack to nothing) standing as its line separator; ``binaryFile`` reads them back file by file. A
+line holds members of ``LINE_BYTES`` or one more, and a file ``PER_FILE`` lines, so files are bounded by bytes whatever the records' sizes.
+
+Records that can't be parsed (a header line of the wrong number of fields, a length that is no number or beyond the member, a damaged
+member) don't stop a conversion: they are left out of it, with what lies behind them in their member, and ``rejected`` lists them.
 
 Defined results: null html is an empty payload; a null id is kept and never is what others refer to unless alone; of equal payloads of at
 least ``LEAST`` bytes every row with the smallest id is a response, so repeated rows of it stay responses; equal payloads with null ids
-only are all responses. White space and control characters of a url are percent-encoded; a null url is ``about:blank``.
+only are all responses. White space and control characters of a url are percent-encoded; a null url is ``about:blank``. An empty table
+gives no records. Pages of up to some 100 MB are stored whole. Only page_id, url and html are read, so other columns don't clash.
 """
 
 from __future__ import annotations
@@ -18,7 +23,7 @@ import gzip
 import hashlib
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import pyarrow as pa
@@ -31,8 +36,8 @@ from . import common as C
 
 #: Smaller payloads are stored each.
 LEAST = 100
-#: Records in an archive file.
-PER_FILE = 4000
+#: Bytes of unpacked records in a line of an archive file, and its lines.
+LINE_BYTES, PER_FILE = 2 << 20, 32
 #: Groups of equal payloads whose first captures are broadcast (under 200 bytes each); beyond, they are joined by a shuffle.
 MAX_BROADCAST = 100_000
 LEVEL = 5
@@ -67,9 +72,9 @@ def members(blob: bytes, step: int = 1 << 16) -> Iterator[bytes]:
 
 
 def write_members(df: DataFrame, path: str) -> None:
-    """The binary column ``value`` as files of ``PER_FILE + 1`` rows."""
+    """The binary column ``value`` as files of ``PER_FILE`` lines."""
     lines = df.select(F.col("value").cast("string").alias("value"))
-    lines.write.option("lineSep", EMPTY.decode("latin-1")).option("encoding", "ISO-8859-1").option("maxRecordsPerFile", PER_FILE + 1).text(path)
+    lines.write.option("lineSep", EMPTY.decode("latin-1")).option("encoding", "ISO-8859-1").option("maxRecordsPerFile", PER_FILE).text(path)
 
 
 def read_files(spark: SparkSession, path: str) -> DataFrame:
@@ -111,6 +116,47 @@ def http_response(page_id: int | None, payload: bytes) -> bytes:
     return f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n{own}\r\n".encode() + payload
 
 
+class Lines:
+    """Members gathered into lines of bounded bytes; each file begins with ``head(number of the file)``."""
+
+    def __init__(self, head: Callable[[int], bytes]):
+        self.head, self.done, self.held, self.size, self.offset = head, 0, [], 0, 0
+
+    def begin(self) -> None:
+        if not self.held and self.done % PER_FILE == 0:
+            self.offset = 0
+            self._put(self.head(self.done // PER_FILE))
+
+    def _put(self, data: bytes) -> None:
+        own = member(data)
+        self.held.append(own)
+        self.size += len(data)
+        self.offset += len(own)
+
+    def add(self, data: bytes) -> bytes | None:
+        """A finished line, if this record fills it. ``begin`` goes before each record."""
+        self._put(data)
+        return self.close() if self.size >= LINE_BYTES else None
+
+    def close(self) -> bytes | None:
+        if not self.held:
+            return None
+        line = b"".join(self.held)
+        self.held, self.size, self.done, self.offset = [], 0, self.done + 1, self.offset + len(EMPTY)
+        return line
+
+
+def lines_of(records: Iterator[bytes], lines: Lines) -> Iterator[pa.RecordBatch]:
+    def batch(line: bytes) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([line], pa.binary())], names=["value"])
+
+    for data in records:
+        if line := lines.add(data):
+            yield batch(line)
+    if line := lines.close():
+        yield batch(line)
+
+
 def parse_arc(data: bytes, fields: tuple[str, ...] | None = None) -> Iterator[tuple[tuple[str, ...], ArcRecord | None]]:
     """Records of unpacked ARC bytes, each with the field names in force; a version block sets them and gives no record."""
     at = 0
@@ -144,20 +190,18 @@ def write_arc(pages: DataFrame, path: str) -> None:
     """Each page as a record of a legacy archive; files of tasks with even numbers are of version 1, others of version 2."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task, n, offset = TaskContext.get().partitionId(), 0, 0
+        task = TaskContext.get().partitionId()
         version = 1 + task % 2
-        for batch in batches:
-            for part in C.slices(batch, "html"):
-                out = []
-                for page_id, url, html in zip(part.column("page_id").to_pylist(), part.column("url").to_pylist(), C.utf8_list(part.column("html"))):
-                    name = f"{task}-{n // PER_FILE}.arc.gz"
-                    if n % PER_FILE == 0:
-                        out.append(member(version_block(version, name)))
-                        offset = len(out[-1]) + len(EMPTY)
-                    out.append(member(arc_record(version, clean_url(url), http_response(page_id, html), name, offset)))
-                    offset += len(out[-1]) + len(EMPTY)
-                    n += 1
-                yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["value"])
+        lines = Lines(lambda k: version_block(version, f"{task}-{k}.arc.gz"))
+
+        def records() -> Iterator[bytes]:
+            for batch in batches:
+                for part in C.slices(batch, "html"):
+                    for page_id, url, html in zip(part.column("page_id").to_pylist(), part.column("url").to_pylist(), C.utf8_list(part.column("html"))):
+                        lines.begin()
+                        yield arc_record(version, clean_url(url), http_response(page_id, html), f"{task}-{lines.done // PER_FILE}.arc.gz", lines.offset)
+
+        yield from lines_of(records(), lines)
 
     ship(pages.sparkSession)
     write_members(pages.select("page_id", "url", "html").mapInArrow(run, "value binary"), path)
@@ -202,12 +246,46 @@ def split_http(block: bytes) -> tuple[bytes, dict[str, str], bytes]:
     """Header bytes, headers and payload of an HTTP response; without a header, all is payload."""
     if not block.startswith(b"HTTP/"):
         return b"", {}, block
-    stop = block.index(b"\r\n\r\n")
-    return block[: stop + 4], dict(x.split(": ", 1) for x in block[:stop].decode("utf-8", "replace").split("\r\n")[1:]), block[stop + 4 :]
+    stop = block.find(b"\r\n\r\n")
+    if stop < 0:
+        return b"", {}, block
+    return block[: stop + 4], dict(x.split(": ", 1) for x in block[:stop].decode("utf-8", "replace").split("\r\n")[1:] if ": " in x), block[stop + 4 :]
 
 
 def _page_id(headers: dict[str, str]) -> int | None:
-    return int(headers["X-Page-Id"]) if "X-Page-Id" in headers else None
+    own = headers.get("X-Page-Id", "")
+    return int(own) if own.removeprefix("-").isdecimal() else None
+
+
+def arc_records(blob: bytes) -> Iterator[tuple[int, ArcRecord | None, str | None]]:
+    """A file's records as (member, record, None), and what can't be parsed as (member, None, reason)."""
+    fields, at = None, -1
+    try:
+        for at, data in enumerate(members(blob)):
+            try:
+                for fields, rec in parse_arc(data, fields):
+                    if rec is not None:
+                        yield at, rec, None
+            except (ValueError, KeyError, IndexError) as e:
+                yield at, None, f"{type(e).__name__}: {e}"
+    except (ValueError, zlib.error) as e:  # what lies behind a damaged member can't be found
+        yield at + 1, None, f"{type(e).__name__}: {e}"
+
+
+def rejected(spark: SparkSession, path: str) -> DataFrame:
+    """path, member and reason of what the ARC files hold that can't be parsed."""
+    ship(spark)
+    schema = "path string, member long, reason string"
+    out = C.arrow_schema(spark, schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, blob in zip(batch.column("path").to_pylist(), batch.column("content")):
+                rows = [(name, at, reason) for at, _, reason in arc_records(blob.as_py()) if reason]
+                if rows:
+                    yield C.as_batch(dict(zip(out.names, map(list, zip(*rows)))), out)
+
+    return read_files(spark, path).mapInArrow(run, schema)
 
 
 def arc_captures(spark: SparkSession, path: str, blocks: bool) -> DataFrame:
@@ -225,18 +303,16 @@ def arc_captures(spark: SparkSession, path: str, blocks: bool) -> DataFrame:
 
         for batch in batches:
             for blob in batch.column("content"):
-                fields = None
-                for data in members(blob.as_py()):
-                    for fields, rec in parse_arc(data, fields):
-                        if rec is None:
-                            continue
-                        _, headers, payload = split_http(rec.block)
-                        row = (_page_id(headers), rec.url, rec.date, hashlib.sha256(payload).digest(), len(payload))
-                        rows.append(row + (rec.ip, rec.mime, rec.block) if blocks else row)
-                        held += len(rec.block) if blocks else 100
-                        if held > C.SLICE_BYTES:
-                            yield flush()
-                            rows, held = [], 0
+                for _, rec, _ in arc_records(blob.as_py()):
+                    if rec is None:
+                        continue
+                    _, headers, payload = split_http(rec.block)
+                    row = (_page_id(headers), rec.url, rec.date, hashlib.sha256(payload).digest(), len(payload))
+                    rows.append(row + (rec.ip, rec.mime, rec.block) if blocks else row)
+                    held += len(rec.block) if blocks else 100
+                    if held > C.SLICE_BYTES:
+                        yield flush()
+                        rows, held = [], 0
         if rows:
             yield flush()
 
@@ -252,25 +328,31 @@ def convert(spark: SparkSession, arc: str, warc: str, least: int = LEAST, max_br
         repeated = F.broadcast(repeated)
     all_rows = arc_captures(spark, arc, blocks=True).join(repeated, "digest", "left")
 
+    def warcinfo(task: int, k: int) -> bytes:
+        info = b"software: courtflux\r\nformat: WARC File Format 1.1\r\n"
+        return warc_record([("WARC-Type", "warcinfo"), ("WARC-Record-ID", record_id(f"{task}-{k}", CAPTURED, None, "info")), ("WARC-Date", iso(CAPTURED)), ("Content-Type", "application/warc-fields")], info)
+
+    def converted(r: dict) -> bytes:
+        digest = r["digest"].hex()
+        revisit = r["to_page"] is not None and r["to_page"] != r["page_id"]
+        head, _, _ = split_http(r["block"])
+        fields = [("WARC-Type", "revisit" if revisit else "response"), ("WARC-Record-ID", record_id(r["url"], r["date"], r["page_id"], digest)), ("WARC-Date", iso(r["date"])), ("WARC-Target-URI", r["url"]), ("WARC-IP-Address", r["ip"]), ("WARC-Payload-Digest", f"sha256:{digest}"), ("Content-Type", "application/http;msgtype=response" if head else r["mime"])]
+        if revisit:
+            fields += [("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To", record_id(r["to_url"], r["to_date"], r["to_page"], digest)), ("WARC-Refers-To-Target-URI", r["to_url"]), ("WARC-Refers-To-Date", iso(r["to_date"])), ("X-Refers-To-Page", str(r["to_page"]))]
+        return warc_record(fields, head if revisit else r["block"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = 0
-        for batch in batches:
-            for part in C.slices(batch, "block"):
-                out = []
-                for r in part.to_pylist():
-                    if n % PER_FILE == 0:
-                        info = b"software: courtflux\r\nformat: WARC File Format 1.1\r\n"
-                        name = f"{TaskContext.get().partitionId()}-{n // PER_FILE}"
-                        out.append(member(warc_record([("WARC-Type", "warcinfo"), ("WARC-Record-ID", record_id(name, CAPTURED, None, "info")), ("WARC-Date", iso(CAPTURED)), ("Content-Type", "application/warc-fields")], info)))
-                    n += 1
-                    digest = r["digest"].hex()
-                    revisit = r["to_page"] is not None and r["to_page"] != r["page_id"]
-                    head, _, _ = split_http(r["block"])
-                    fields = [("WARC-Type", "revisit" if revisit else "response"), ("WARC-Record-ID", record_id(r["url"], r["date"], r["page_id"], digest)), ("WARC-Date", iso(r["date"])), ("WARC-Target-URI", r["url"]), ("WARC-IP-Address", r["ip"]), ("WARC-Payload-Digest", f"sha256:{digest}"), ("Content-Type", "application/http;msgtype=response" if head else r["mime"])]
-                    if revisit:
-                        fields += [("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To", record_id(r["to_url"], r["to_date"], r["to_page"], digest)), ("WARC-Refers-To-Target-URI", r["to_url"]), ("WARC-Refers-To-Date", iso(r["to_date"])), ("X-Refers-To-Page", str(r["to_page"]))]
-                    out.append(member(warc_record(fields, head if revisit else r["block"])))
-                yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["value"])
+        task = TaskContext.get().partitionId()
+        lines = Lines(lambda k: warcinfo(task, k))
+
+        def records() -> Iterator[bytes]:
+            for batch in batches:
+                for part in C.slices(batch, "block"):
+                    for r in part.to_pylist():
+                        lines.begin()
+                        yield converted(r)
+
+        yield from lines_of(records(), lines)
 
     write_members(all_rows.mapInArrow(run, "value binary"), warc)
 

@@ -230,6 +230,48 @@ def test_links_within(base, flips):
     assert parts(links) == parts([(a, b) for a in fps for b in fps if a < b and (a ^ b).bit_count() <= 4])
 
 
+def test_hot_keys(spark):
+    """Keys that too many fingerprints share are keyed anew, and lose no link."""
+    rng = np.random.default_rng(4)
+    base = int(rng.integers(0, 2**63))
+    fps = {base ^ sum(1 << int(b) for b in rng.choice(64, int(k), replace=False)) for k in rng.integers(0, 12, 700)}
+    signed = sorted(f - (1 << 64) if f >> 63 else f for f in fps)
+    df = spark.createDataFrame([(f,) for f in signed], "fp long")
+
+    def parts(links):
+        par = {f: f for f in signed}
+
+        def find(v):
+            while par[v] != v:
+                v = par[v]
+            return v
+
+        for a, b in links:
+            par[find(a)] = find(b)
+        return {frozenset(f for f in signed if find(f) == r) for r in {find(f) for f in signed}}
+
+    close = [(a, b) for i, a in enumerate(signed) for b in signed[:i] if ((a ^ b) & (2**64 - 1)).bit_count() <= 4]
+    for hot in (3, 100, 8192):
+        assert parts([tuple(r) for r in simhash.close_links(df, hot=hot).collect()]) == parts(close)
+
+
+def test_inner_masks():
+    rng = np.random.default_rng(0)
+    for m in simhash.block_masks(8, 4)[::9]:
+        inner = simhash.inner_masks(m, 4)
+        free = [i for i in range(64) if not m >> i & 1]
+        assert all(x & m == m and x.bit_count() >= 48 for x in inner)
+        for _ in range(20):
+            flips = sum(1 << int(b) for b in rng.choice(free, 4, replace=False))
+            assert any(flips & x == 0 for x in inner)
+
+
+def test_keep_one_clashing_columns(docs):
+    clash = docs.withColumnsRenamed({"key": "__id", "fp": "__fp"})
+    kept = simhash.keep_one(clash)
+    assert kept.columns == clash.columns and sorted(str(r.doc_id) for r in kept.collect()) == sorted(str(r.doc_id) for r in simhash.keep_one(docs).collect())
+
+
 def test_block_masks():
     masks = simhash.block_masks(8, 4)
     assert len(masks) == 70
