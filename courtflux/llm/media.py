@@ -2,19 +2,23 @@
 
 An Aho-Corasick automaton locates magic bytes in a blob. For each place the format's validator confirms structure and lengths; the first
 confirmed format at offset 0 is the blob's type and corrects a wrong declared one, confirmed formats further in are embedded media that
-``carve`` gives as rows' arrays, for any binary column. Payloads are stored losslessly as 8-bit samples in one of three containers, chosen by the payload's checksum, so equal
-payloads are stored equally: WAV (mono), BMP (grey, 576 wide) and AU (linear 8 bit).
+``carve`` gives as rows' arrays, for any binary column. Formats: WAV, BMP, AU, PNG, GIF, JPEG, PDF, ZIP, Ogg, FLAC and ISO media (MP4).
+Payloads are stored losslessly as 8-bit samples in one of three containers, chosen by the payload's checksum, so equal payloads are stored
+equally: WAV (mono), BMP (grey, 576 wide) and AU (linear 8 bit).
 
 Defined results: null and empty payloads are one padded unit. A blob without a confirmed format at offset 0 (unknown, truncated, or media
 behind a prefix) keeps its declared type, else it is application/octet-stream; its payload is the whole blob. A null blob has a null type,
 payload, digests and feature, and no carved media. Bytes that only look like a signature are passed over. Places that lie
 inside a confirmed format's bytes are carved too if they are confirmed; of places at one offset the first in order of FORMATS counts.
-Repeated rows get equal results.
+Formats whose streams don't tell their length (FLAC) end where the blob or the next confirmed FLAC does. Repeated rows get equal results,
+an empty table gives an empty one, blobs of any length are read whole. ``carve`` passes all columns on and fails if one is named type,
+payload or carved already.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 import struct
 import zlib
 from collections.abc import Callable
@@ -143,8 +147,138 @@ def _gif(b: bytes, at: int) -> Found | None:
     return None
 
 
-#: Signatures, and the validators of their formats.
-FORMATS: dict[bytes, Callable[[bytes, int], Found | None]] = {b"RIFF": _wav, b"BM": _bmp, b".snd": _au, b"\x89PNG\r\n\x1a\n": _png, b"GIF87a": _gif, b"GIF89a": _gif}
+def _jpeg(b: bytes, at: int) -> Found | None:
+    """Segments by their lengths, then coded data up to a marker that is neither stuffing nor a restart, until the end marker."""
+    p, frame = at + 2, False
+    while p + 4 <= len(b):
+        if b[p] != 0xFF:
+            return None
+        kind = b[p + 1]
+        if kind == 0xFF:  # fill
+            p += 1
+            continue
+        if kind == 0xD9:
+            return Found("image/jpeg", at, p + 2, at, p + 2) if frame else None
+        if kind < 0xC0 or 0xD0 <= kind <= 0xD8:
+            return None
+        size = struct.unpack_from(">H", b, p + 2)[0]
+        if size < 2 or p + 2 + size > len(b):
+            return None
+        frame |= 0xC0 <= kind <= 0xCF and kind not in (0xC4, 0xC8, 0xCC)
+        p += 2 + size
+        if kind == 0xDA:
+            if not frame:
+                return None
+            while (p := b.find(b"\xff", p)) >= 0 and p + 1 < len(b) and (b[p + 1] == 0 or 0xD0 <= b[p + 1] <= 0xD7):
+                p += 2
+            if p < 0:
+                return None
+    return Found("image/jpeg", at, p + 2, at, p + 2) if frame and b[p : p + 2] == b"\xff\xd9" else None
+
+
+_END_OF_PDF = re.compile(rb"startxref\s+(\d{1,12})\s+%%EOF(\r\n|\r|\n)?")
+
+
+def _pdf(b: bytes, at: int) -> Found | None:
+    """Up to the last end mark, before the next document, whose cross-reference offset leads to a table or an object."""
+    nxt = b.find(b"%PDF-", at + 5)
+    end = None
+    for m in _END_OF_PDF.finditer(b, at, nxt if nxt >= 0 else len(b)):
+        to = at + int(m.group(1))
+        if to < m.start() and (b.startswith(b"xref", to) or b[to : to + 1].isdigit()):
+            end = m.end()
+    return None if end is None else Found("application/pdf", at, end, at, end)
+
+
+def _zip(b: bytes, at: int) -> Found | None:
+    """From the first local header to the end record whose directory lies where its offsets, counted from here, say."""
+    p = at
+    while (p := b.find(b"PK\x05\x06", p + 1)) >= 0:
+        if p + 22 > len(b):
+            return None
+        count, size, offset, comment = struct.unpack_from("<HIIH", b, p + 10)
+        if at + offset + size == p and p + 22 + comment <= len(b) and (not count or b.startswith(b"PK\x01\x02", at + offset)):
+            return Found("application/zip", at, p + 22 + comment, at, p + 22 + comment)
+    return None
+
+
+def _ogg(b: bytes, at: int) -> Found | None:
+    """Pages in sequence from one that begins streams, until all that began have ended."""
+    p, open_streams, number = at, set(), {}
+    while p + 27 <= len(b) and b.startswith(b"OggS\0", p):
+        flags, stream, sequence, segments = b[p + 5], *struct.unpack_from("<II", b, p + 14), b[p + 26]
+        stop = p + 27 + segments + sum(b[p + 27 : p + 27 + segments])
+        if p + 27 + segments > len(b) or stop > len(b) or (p == at and not flags & 2):
+            return None
+        if flags & 2:
+            if stream in number:
+                return None
+            open_streams.add(stream)
+        elif stream not in open_streams or sequence != number[stream] + 1:
+            return None
+        number[stream] = sequence
+        p = stop
+        if flags & 4:
+            open_streams.discard(stream)
+            if not open_streams:
+                return Found("audio/ogg", at, p, at, p)
+    return None
+
+
+def _flac(b: bytes, at: int) -> Found | None:
+    """Metadata blocks by their lengths, the first of them the stream's description, then a frame's mark; it ends with the blob."""
+    p, first = at + 4, True
+    while p + 4 <= len(b):
+        kind, size = b[p] & 127, int.from_bytes(b[p + 1 : p + 4], "big")
+        if first != (kind == 0) or kind == 127 or (first and size != 34) or p + 4 + size > len(b):
+            return None
+        last, p, first = b[p] & 128, p + 4 + size, False
+        if last:
+            if not (p + 2 <= len(b) and b[p] == 0xFF and b[p + 1] & 0xFE == 0xF8):
+                return None
+            nxt = p
+            while (nxt := b.find(b"fLaC", nxt)) >= 0:
+                if _flac(b, nxt):
+                    break
+                nxt += 4
+            end = nxt if nxt >= 0 else len(b)
+            return Found("audio/flac", at, end, at, end)
+    return None
+
+
+_BOXES = {b"ftyp", b"moov", b"mdat", b"free", b"skip", b"wide", b"meta", b"uuid", b"moof", b"mfra", b"sidx", b"styp", b"pdin"}
+
+
+def _iso_media(b: bytes, at: int) -> Found | None:
+    """Boxes by their lengths, from the file type on; one that describes the media must be among them."""
+    p, described = at, False
+    while p + 8 <= len(b):
+        size, name = struct.unpack_from(">I4s", b, p)
+        head = 8
+        if size == 1 and p + 16 <= len(b):
+            size, head = struct.unpack_from(">Q", b, p + 8)[0], 16
+        if name not in _BOXES or (name == b"ftyp") != (p == at) or (size and size < head) or p + size > len(b):
+            break
+        described |= name in (b"moov", b"meta", b"moof")
+        p = p + size if size else len(b)
+    return Found("video/mp4", at, p, at, p) if described else None
+
+
+#: Signatures, the validators of their formats, and how far behind the format's start the signature stands.
+FORMATS: dict[bytes, tuple[Callable[[bytes, int], Found | None], int]] = {
+    b"RIFF": (_wav, 0),
+    b"BM": (_bmp, 0),
+    b".snd": (_au, 0),
+    b"\x89PNG\r\n\x1a\n": (_png, 0),
+    b"GIF87a": (_gif, 0),
+    b"GIF89a": (_gif, 0),
+    b"\xff\xd8\xff": (_jpeg, 0),
+    b"%PDF-": (_pdf, 0),
+    b"PK\x03\x04": (_zip, 0),
+    b"OggS": (_ogg, 0),
+    b"fLaC": (_flac, 0),
+    b"ftyp": (_iso_media, 4),
+}
 WRITERS: tuple[tuple[str, Callable[[bytes], bytes]], ...] = (("audio/wav", to_wav), ("image/bmp", to_bmp), ("audio/basic", to_au))
 
 
@@ -163,7 +297,9 @@ def sniff(blob: bytes) -> list[Found]:
     found = {}
     for end, (size, i) in signatures().iter(blob.decode("latin-1")):
         at = end + 1 - size
-        if at not in found and (x := checks[i](blob, at)):
+        check, back = checks[i]
+        at -= back
+        if at >= 0 and at not in found and (x := check(blob, at)):
             found[at] = x
     return [found[k] for k in sorted(found)]
 

@@ -71,10 +71,10 @@ def members(blob: bytes, step: int = 1 << 16) -> Iterator[bytes]:
             yield data
 
 
-def write_members(df: DataFrame, path: str) -> None:
-    """The binary column ``value`` as files of ``PER_FILE`` lines."""
+def write_members(df: DataFrame, path: str, per_file: int = PER_FILE) -> None:
+    """The binary column ``value`` as files of ``per_file`` lines."""
     lines = df.select(F.col("value").cast("string").alias("value"))
-    lines.write.option("lineSep", EMPTY.decode("latin-1")).option("encoding", "ISO-8859-1").option("maxRecordsPerFile", PER_FILE).text(path)
+    lines.write.option("lineSep", EMPTY.decode("latin-1")).option("encoding", "ISO-8859-1").option("maxRecordsPerFile", per_file).text(path)
 
 
 def read_files(spark: SparkSession, path: str) -> DataFrame:
@@ -119,13 +119,18 @@ def http_response(page_id: int | None, payload: bytes) -> bytes:
 class Lines:
     """Members gathered into lines of bounded bytes; each file begins with ``head(number of the file)``."""
 
-    def __init__(self, head: Callable[[int], bytes]):
+    def __init__(self, head: Callable[[int], bytes], limits: tuple[int, int]):
         self.head, self.done, self.held, self.size, self.offset = head, 0, [], 0, 0
+        self.line_bytes, self.per_file = limits
+
+    @property
+    def file(self) -> int:
+        return self.done // self.per_file
 
     def begin(self) -> None:
-        if not self.held and self.done % PER_FILE == 0:
+        if not self.held and self.done % self.per_file == 0:
             self.offset = 0
-            self._put(self.head(self.done // PER_FILE))
+            self._put(self.head(self.file))
 
     def _put(self, data: bytes) -> None:
         own = member(data)
@@ -136,7 +141,7 @@ class Lines:
     def add(self, data: bytes) -> bytes | None:
         """A finished line, if this record fills it. ``begin`` goes before each record."""
         self._put(data)
-        return self.close() if self.size >= LINE_BYTES else None
+        return self.close() if self.size >= self.line_bytes else None
 
     def close(self) -> bytes | None:
         if not self.held:
@@ -186,25 +191,25 @@ def parse_arc(data: bytes, fields: tuple[str, ...] | None = None) -> Iterator[tu
         at = start + size
 
 
-def write_arc(pages: DataFrame, path: str) -> None:
+def write_arc(pages: DataFrame, path: str, limits: tuple[int, int] = (LINE_BYTES, PER_FILE)) -> None:
     """Each page as a record of a legacy archive; files of tasks with even numbers are of version 1, others of version 2."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get().partitionId()
         version = 1 + task % 2
-        lines = Lines(lambda k: version_block(version, f"{task}-{k}.arc.gz"))
+        lines = Lines(lambda k: version_block(version, f"{task}-{k}.arc.gz"), limits)
 
         def records() -> Iterator[bytes]:
             for batch in batches:
                 for part in C.slices(batch, "html"):
                     for page_id, url, html in zip(part.column("page_id").to_pylist(), part.column("url").to_pylist(), C.utf8_list(part.column("html"))):
                         lines.begin()
-                        yield arc_record(version, clean_url(url), http_response(page_id, html), f"{task}-{lines.done // PER_FILE}.arc.gz", lines.offset)
+                        yield arc_record(version, clean_url(url), http_response(page_id, html), f"{task}-{lines.file}.arc.gz", lines.offset)
 
         yield from lines_of(records(), lines)
 
     ship(pages.sparkSession)
-    write_members(pages.select("page_id", "url", "html").mapInArrow(run, "value binary"), path)
+    write_members(pages.select("page_id", "url", "html").mapInArrow(run, "value binary"), path, limits[1])
 
 
 # -- WARC ----------------------------------------------------------------------------------------------------------------------
@@ -319,7 +324,7 @@ def arc_captures(spark: SparkSession, path: str, blocks: bool) -> DataFrame:
     return read_files(spark, path).mapInArrow(run, schema)
 
 
-def convert(spark: SparkSession, arc: str, warc: str, least: int = LEAST, max_broadcast: int = MAX_BROADCAST) -> None:
+def convert(spark: SparkSession, arc: str, warc: str, least: int = LEAST, max_broadcast: int = MAX_BROADCAST, limits: tuple[int, int] = (LINE_BYTES, PER_FILE)) -> None:
     """Writes the ARC files' records as WARC files."""
     light = arc_captures(spark, arc, blocks=False).where(F.col("size") >= least)
     first = F.struct(F.col("page_id").isNull().alias("none"), "page_id", "url", "date")
@@ -343,7 +348,7 @@ def convert(spark: SparkSession, arc: str, warc: str, least: int = LEAST, max_br
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get().partitionId()
-        lines = Lines(lambda k: warcinfo(task, k))
+        lines = Lines(lambda k: warcinfo(task, k), limits)
 
         def records() -> Iterator[bytes]:
             for batch in batches:
@@ -354,7 +359,7 @@ def convert(spark: SparkSession, arc: str, warc: str, least: int = LEAST, max_br
 
         yield from lines_of(records(), lines)
 
-    write_members(all_rows.mapInArrow(run, "value binary"), warc)
+    write_members(all_rows.mapInArrow(run, "value binary"), warc, limits[1])
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:

@@ -1,5 +1,7 @@
 """Archives with faults, and files bounded by bytes."""
 
+import numpy as np
+
 from courtflux.llm import common, warc
 
 
@@ -27,19 +29,15 @@ def test_faults_are_left_out_and_listed(spark):
     assert sorted(r.page_id for r in warc.read_warc(spark, out).collect()) == [0, 1, 2]
 
 
-def test_files_are_bounded_by_bytes(spark, monkeypatch):
-    import numpy as np
-
-    monkeypatch.setattr(warc, "LINE_BYTES", 3000)
-    monkeypatch.setattr(warc, "PER_FILE", 4)
+def test_files_are_bounded_by_bytes(spark):
     rng = np.random.default_rng(1)
     rows = [(i, f"http://h/{i}", rng.bytes(int(rng.integers(0, 2500))).hex()) for i in range(60)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(2)
     path = common.shared_dir(spark)
-    warc.write_arc(pages, path)
+    warc.write_arc(pages, path, (3000, 4))
     sizes = [len(r.content) for r in warc.read_files(spark, path).collect()]
     assert len(sizes) > 4 and max(sizes) < 4 * (3000 + 5200)
     assert warc.rejected(spark, path).count() == 0
     got = {r.page_id: r.size for r in warc.arc_captures(spark, path, False).collect()}
     assert got == {i: len(h) for i, _, h in rows}
-    assert {r.page_id for r in warc.archive(pages).collect()} == set(got)
+    assert {r.page_id for r in warc.archive(pages, limits=(3000, 4)).collect()} == set(got)
