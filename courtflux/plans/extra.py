@@ -642,3 +642,34 @@ def o7(t: Tables) -> DataFrame:
     stored = h.where("frame_id % 2 = 0").select(*FRAME, F.transform("h", lambda x: x * 9).alias("h"))
     got = court.homographies_of(points, stored)
     return got.select(*FRAME, "stored", F.round(F.get("h", F.lit(0)), 3).alias("h0"))
+
+
+# -- events --------------------------------------------------------------------------------------------------------------------
+
+
+@query("k_windowed_counts", "SELECT CAST(floor(epoch(ts) / 300) AS BIGINT) * 300 AS start, event_type, count(*) AS n, round(sum(value), 4) AS value FROM events GROUP BY 1, 2")
+def k_windows(t: Tables) -> DataFrame:
+    """Events by windows of five minutes, as the stream counts them."""
+    from ..streaming.online import windowed_counts
+
+    w = windowed_counts(t.read("events").withColumn("ts", F.col("ts").cast("timestamp")))
+    return w.select(F.unix_timestamp("start").alias("start"), "event_type", "n", F.round("value", 4).alias("value"))
+
+
+@query("k_sliding_counts", "SELECT w AS start, event_type, count(*) AS n FROM (SELECT event_type, unnest([CAST(floor(epoch(ts) / 300) AS BIGINT) * 300, CAST(floor(epoch(ts) / 300) AS BIGINT) * 300 - 300]) AS w FROM events) GROUP BY 1, 2")
+def k_sliding(t: Tables) -> DataFrame:
+    from ..streaming.online import windowed_counts
+
+    w = windowed_counts(t.read("events").withColumn("ts", F.col("ts").cast("timestamp")), window="10 minutes", slide="5 minutes")
+    return w.select(F.unix_timestamp("start").alias("start"), "event_type", "n")
+
+
+@query("k_sessions", """WITH x AS (SELECT user_id, epoch_us(ts) AS us, CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) <= 1800000000 THEN 0 ELSE 1 END AS new FROM events),
+s AS (SELECT user_id, us, sum(new) OVER (PARTITION BY user_id ORDER BY us ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS k FROM x)
+SELECT user_id, min(us) AS start, max(us) + 1800000000 AS "end", count(*) AS n FROM s GROUP BY user_id, k""")
+def k_sessions(t: Tables) -> DataFrame:
+    """Each user's events by sessions that half an hour without events ends."""
+    from ..streaming.online import sessions
+
+    s = sessions(t.read("events").withColumn("ts", F.col("ts").cast("timestamp")))
+    return s.select("user_id", F.unix_micros("start").alias("start"), F.unix_micros("end").alias("end"), "n")
