@@ -5,6 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 
+#: Defaults.
 @dataclass(frozen=True)
 class Config:
     # detection

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections import defaultdict, deque
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -18,6 +18,7 @@ from ..runtime import ship
 from .assign import Flow, assignment
 
 
+#: The defaults of the configurations here are those of the published pipeline's settings.
 @dataclass(frozen=True)
 class FlowConfig:
     tracks: int = 10
@@ -280,128 +281,142 @@ def cosine(a: np.ndarray, b: np.ndarray) -> float:
 
 
 _MOVE = np.eye(4) + np.eye(4, k=2)
-_SEE = np.eye(2, 4)
 _DRIFT = np.diag([0.0625, 0.0625, 0.25, 0.25])
 _NOISE = np.diag([0.09, 0.09])
 
 
-@dataclass
-class Hypothesis:
-    """One player of the court tracker: a constant-velocity filter in metres, the last box, and recent vectors."""
-
-    id: int
-    first: Seen
-    cfg: CourtConfig
-    hits: int = 1
-    age: int = 0
-    confirmed: bool = False
-    dead: bool = False
-    reid: deque = field(default_factory=deque)
-    color: deque = field(default_factory=deque)
-
-    def __post_init__(self) -> None:
-        self.mean = np.array([*self.first.court, 0.0, 0.0])
-        self.cov = np.diag([1.0, 1.0, 5.0, 5.0])
-        self.bottom, self.height = float(self.first.box[3]), self.first.height
-        self.reid, self.color = deque(maxlen=self.cfg.gallery), deque(maxlen=self.cfg.gallery)
-        self._keep(self.first)
-
-    def _keep(self, d: Seen) -> None:
-        if d.reid is not None:
-            self.reid.append(d.reid)
-        if d.color is not None:
-            self.color.append(d.color)
-
-    def predict(self) -> None:
-        if self.age >= self.cfg.still_after:
-            self.mean[2:] = 0
-        self.mean, self.cov = _MOVE @ self.mean, _MOVE @ self.cov @ _MOVE.T + _DRIFT
-        self.age += 1
-
-    def surprise(self, z: np.ndarray) -> float:
-        """Squared Mahalanobis distance."""
-        d = z - self.mean[:2]
-        return float(d @ np.linalg.solve(_SEE @ self.cov @ _SEE.T + _NOISE, d))
-
-    def cropped(self, d: Seen) -> bool:
-        h = max(d.height, 1.0)
-        return abs(d.box[3] - self.bottom) > self.cfg.bottom_jump * h or h < (1 - self.cfg.shrink) * self.height
-
-    def cost(self, d: Seen) -> float:
-        """Weighted mean of place, appearance and colour; infinite beyond the gates."""
-        c = self.cfg
-        if d.court is None or np.hypot(*(self.mean[:2] - d.court)) > min(c.gate_base + c.gate_step * self.age, c.gate_most):
-            return np.inf
-        far = self.surprise(d.court)
-        parts = [(c.w_spatial, 0.5 if self.cropped(d) or far > c.update_gate else min(far / c.chi2, 1.0))]
-        if self.reid and d.reid is not None:
-            parts.append((c.w_app, cosine(np.mean(self.reid, 0), d.reid)))
-        if self.color and d.color is not None:
-            x = cosine(np.mean(self.color, 0), d.color)
-            if len(self.color) >= c.color_least and x > c.color_gate:
-                return np.inf
-            parts.append((c.w_color, x))
-        return sum(w * x for w, x in parts) / sum(w for w, _ in parts)
-
-    def update(self, d: Seen) -> None:
-        bad = self.cropped(d)
-        self.bottom, self.height = float(d.box[3]), max(d.height, 1.0)
-        if not bad:
-            if self.surprise(d.court) <= self.cfg.update_gate:
-                gain = self.cov @ _SEE.T @ np.linalg.inv(_SEE @ self.cov @ _SEE.T + _NOISE)
-                self.mean = self.mean + gain @ (d.court - self.mean[:2])
-                self.cov = (np.eye(4) - gain @ _SEE) @ self.cov
-            self._keep(d)
-        self.hits, self.age = self.hits + 1, 0
-        self.confirmed |= self.hits >= self.cfg.confirm
-
-    def miss(self) -> None:
-        self.dead = not self.confirmed or self.age > self.cfg.max_age
-
-
 class CourtTracker:
-    """Hypotheses matched by age, freshest first; a row gets the id of a confirmed hypothesis, else -1."""
+    """Players on the court as rows of arrays: constant-velocity filters in metres, last boxes, and recent vectors.
+
+    A frame is one prediction of all rows and one cost matrix of all rows and detections; rows are then matched by age, freshest first. A
+    detection gets the id of a confirmed row, else -1.
+    """
 
     def __init__(self, cfg: CourtConfig = CourtConfig()):
-        self.cfg, self.all, self.next = cfg, [], 1
+        self.cfg, self.next = cfg, 1
+        self.id, self.hits, self.age, self.sure = np.empty(0, int), np.empty(0, int), np.empty(0, int), np.empty(0, bool)
+        self.mean, self.cov = np.empty((0, 4)), np.empty((0, 4, 4))
+        self.bottom, self.height = np.empty(0), np.empty(0)
+        self.looks: list[tuple[deque, deque]] = []  # of each row, the recent ReID and colour vectors
+
+    def _predict(self) -> None:
+        self.mean[self.age >= self.cfg.still_after, 2:] = 0
+        self.mean = self.mean @ _MOVE.T
+        self.cov = _MOVE @ self.cov @ _MOVE.T + _DRIFT
+        self.age = self.age + 1
+
+    def _spread(self, rows: np.ndarray) -> np.ndarray:
+        return self.cov[rows, :2, :2] + _NOISE
+
+    def _cropped(self, rows: np.ndarray, bottom: np.ndarray, height: np.ndarray) -> np.ndarray:
+        """Whether boxes (broadcast against rows) end elsewhere than, or are much lower than, the rows' last ones."""
+        h = np.maximum(height, 1.0)
+        return (np.abs(bottom - self.bottom[rows]) > self.cfg.bottom_jump * h) | (h < (1 - self.cfg.shrink) * self.height[rows])
+
+    def _away(self, kind: int, rows: np.ndarray, vectors: list) -> np.ndarray:
+        """Cosine distances of the rows' mean vectors and the detections'; nan where either has none."""
+        out = np.full((len(rows), len(vectors)), np.nan)
+        have, there = [k for k, r in enumerate(rows) if self.looks[r][kind]], [k for k, v in enumerate(vectors) if v is not None]
+        if have and there:
+            mean = np.stack([np.mean(self.looks[rows[k]][kind], 0) for k in have])
+            own = np.stack([vectors[k] for k in there])
+            n = np.linalg.norm(mean, axis=1)[:, None] * np.linalg.norm(own, axis=1)
+            out[np.ix_(have, there)] = np.where(n < 1e-8, 1.0, 1 - mean @ own.T / np.maximum(n, 1e-12))
+        return out
 
-    def _usual_height(self) -> float | None:
-        h = [t.height for t in self.all if t.confirmed]
-        return float(np.median(h)) if h else None
+    def _costs(self, at: np.ndarray, box: np.ndarray, height: np.ndarray, seen: list[Seen]) -> np.ndarray:
+        """Weighted means of place, appearance and colour for all rows and detections; infinite beyond the gates."""
+        c, rows = self.cfg, np.arange(len(self.id))
+        d = at[None] - self.mean[:, None, :2]
+        surprise = np.einsum("rdi,rij,rdj->rd", d, np.linalg.inv(self._spread(rows)), d)
+        with np.errstate(invalid="ignore"):
+            near = np.hypot(d[..., 0], d[..., 1]) <= np.minimum(c.gate_base + c.gate_step * self.age, c.gate_most)[:, None]
+            odd = self._cropped(rows[:, None], box[None, :, 3], height[None]) | (surprise > c.update_gate)
+        place = np.where(odd, 0.5, np.minimum(surprise / c.chi2, 1.0))
+        total, weight = c.w_spatial * place, np.full(place.shape, c.w_spatial)
+        for kind, w in ((0, c.w_app), (1, c.w_color)):
+            x = self._away(kind, rows, [s.reid if kind == 0 else s.color for s in seen])
+            known = ~np.isnan(x)
+            total, weight = total + np.where(known, w * np.nan_to_num(x), 0), weight + np.where(known, w, 0)
+            if kind == 1:
+                full = np.array([len(look[1]) >= c.color_least for look in self.looks], bool)
+                near &= ~(full[:, None] & known & (np.nan_to_num(x) > c.color_gate))
+        return np.where(near, total / weight, np.inf)
+
+    def _update(self, rows: np.ndarray, at: np.ndarray, box: np.ndarray, height: np.ndarray, seen: list[Seen]) -> None:
+        c = self.cfg
+        bad = self._cropped(rows, box[:, 3], height)
+        self.bottom[rows], self.height[rows] = box[:, 3], np.maximum(height, 1.0)
+        d = at - self.mean[rows, :2]
+        inverse = np.linalg.inv(self._spread(rows))
+        fits = ~bad & (np.einsum("ri,rij,rj->r", d, inverse, d) <= c.update_gate)
+        gain = self.cov[rows][:, :, :2] @ inverse
+        moved = self.mean[rows] + np.einsum("rij,rj->ri", gain, d)
+        narrowed = self.cov[rows] - gain @ self.cov[rows][:, :2, :]
+        self.mean[rows[fits]], self.cov[rows[fits]] = moved[fits], narrowed[fits]
+        for r, x in zip(rows[~bad], (s for s, out in zip(seen, bad) if not out)):
+            self._keep(r, x)
+        self.hits[rows] += 1
+        self.age[rows] = 0
+        self.sure[rows] |= self.hits[rows] >= c.confirm
+
+    def _keep(self, row: int, x: Seen) -> None:
+        for held, v in zip(self.looks[row], (x.reid, x.color)):
+            if v is not None:
+                held.append(v)
+
+    def _begin(self, some: np.ndarray, at: np.ndarray, box: np.ndarray, height: np.ndarray, seen: list[Seen]) -> None:
+        k = len(some)
+        grown = lambda x, new: np.concatenate([x, new])
+        self.id, self.next = grown(self.id, self.next + np.arange(k)), self.next + k
+        self.hits, self.age, self.sure = grown(self.hits, np.ones(k, int)), grown(self.age, np.zeros(k, int)), grown(self.sure, np.zeros(k, bool))
+        self.mean = grown(self.mean, np.concatenate([at[some], np.zeros((k, 2))], 1))
+        self.cov = grown(self.cov, np.broadcast_to(np.diag([1.0, 1.0, 5.0, 5.0]), (k, 4, 4)))
+        self.bottom, self.height = grown(self.bottom, box[some, 3]), grown(self.height, height[some])
+        for i in some:
+            self.looks.append((deque(maxlen=self.cfg.gallery), deque(maxlen=self.cfg.gallery)))
+            self._keep(len(self.looks) - 1, seen[i])
+
+    def _leave(self, keep: np.ndarray) -> None:
+        for name in ("id", "hits", "age", "sure", "mean", "cov", "bottom", "height"):
+            setattr(self, name, getattr(self, name)[keep])
+        self.looks = [x for x, k in zip(self.looks, keep) if k]
+
+    def _whole(self, height: np.ndarray) -> np.ndarray:
+        """Whether boxes are about as high as confirmed rows' usually are."""
+        return height >= (1 - self.cfg.shrink) * np.median(self.height[self.sure]) if self.sure.any() else np.ones(len(height), bool)
 
     def step(self, seen: list[Seen]) -> list[int]:
-        c, ids = self.cfg, [-1] * len(seen)
-        any_mask = any(d.masked for d in seen)
-        inside = lambda d: d.court is not None and abs(d.court[0]) <= c.half_length and abs(d.court[1]) <= c.half_width
-        usual = self._usual_height()
-        whole = lambda d, u: u is None or d.height >= (1 - c.shrink) * u
-        free = [i for i, d in enumerate(seen) if inside(d) and (not any_mask or d.masked) and whole(d, usual)]
-        for t in self.all:
-            t.predict()
-        matched = set()
-        for age in sorted({t.age for t in self.all}):
-            level = sorted((t for t in self.all if t.age == age), key=lambda t: not t.confirmed)
-            if not free:
-                break
-            cost = np.array([[t.cost(seen[i]) for i in free] for t in level])
-            rows, cols = assignment(np.where(np.isfinite(cost), cost, 1e6))
-            hits = [(level[r], free[k]) for r, k in zip(rows, cols) if np.isfinite(cost[r, k])]
-            for t, i in hits:
-                matched.add(t.id)
-                t.update(seen[i])
-                if t.confirmed:
-                    ids[i] = t.id
-                free.remove(i)
-        for t in self.all:
-            if t.id not in matched:
-                t.miss()
-        usual = self._usual_height()
-        for i in free:
-            if whole(seen[i], usual):
-                self.all.append(Hypothesis(self.next, seen[i], c))
-                self.next += 1
-        self.all = [t for t in self.all if not t.dead]
-        return ids
+        c, ids = self.cfg, np.full(len(seen), -1)
+        box = np.array([d.box for d in seen]).reshape(-1, 4)
+        at = np.array([(np.nan, np.nan) if d.court is None else d.court for d in seen]).reshape(-1, 2)
+        height = box[:, 3] - box[:, 1]
+        masked = np.array([bool(d.masked) for d in seen], bool)
+        with np.errstate(invalid="ignore"):
+            free = (np.abs(at[:, 0]) <= c.half_length) & (np.abs(at[:, 1]) <= c.half_width)
+        free &= (masked | ~masked.any()) & self._whole(height)
+        self._predict()
+        hit = np.zeros(len(self.id), bool)
+        if len(self.id) and free.any():
+            cost = self._costs(at, box, height, seen)
+            for age in np.unique(self.age):
+                level, open_ = np.flatnonzero(self.age == age), np.flatnonzero(free)
+                level = level[np.argsort(~self.sure[level], kind="stable")]
+                if not len(open_):
+                    break
+                part = cost[np.ix_(level, open_)]
+                r, k = (np.asarray(x, int) for x in assignment(np.where(np.isfinite(part), part, 1e6)))
+                met = np.isfinite(part[r, k])
+                rows, own = level[r[met]], open_[k[met]]
+                if len(rows):
+                    hit[rows], free[own] = True, False
+                    self._update(rows, at[own], box[own], height[own], [seen[i] for i in own])
+                    ids[own] = np.where(self.sure[rows], self.id[rows], -1)
+        dead = ~hit & (~self.sure | (self.age > c.max_age))
+        new = np.flatnonzero(free & self._whole(height))
+        self._leave(~dead)
+        self._begin(new, at, box, height, seen)
+        return ids.tolist()
 
 
 @dataclass(frozen=True)
