@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from ..runtime import ship
 from . import common as C
 
-BLOCK_BYTES = 16 << 20  # text of a block
+BLOCK_BYTES = 8 << 20  # text of a block
 BUCKET_BYTES = 24 << 20  # keys of a bucket, and of a group
 FAN = 512  # buckets that a block, or a group, sends words or bigrams to
 DEEPEST = 6  # levels of buckets, more than the 32 bits of a range can be cut into
