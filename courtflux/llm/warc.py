@@ -40,7 +40,7 @@ LEAST = 100
 LINE_BYTES, PER_FILE = 2 << 20, 32
 #: Groups of equal payloads whose first captures are broadcast (under 200 bytes each); beyond, they are joined by a shuffle.
 MAX_BROADCAST = 100_000
-LEVEL = 5
+LEVEL = 2
 #: Captures of pages get this date, as pages have none.
 CAPTURED = "20240101000000"
 EMPTY = gzip.compress(b"", mtime=0)
@@ -329,9 +329,7 @@ def convert(spark: SparkSession, arc: str, warc: str, least: int = LEAST, max_br
     light = arc_captures(spark, arc, blocks=False).where(F.col("size") >= least)
     first = F.struct(F.col("page_id").isNull().alias("none"), "page_id", "url", "date")
     repeated = C.written(light.groupBy("digest").agg(F.count("*").alias("n"), F.min(first).alias("first")).where("n > 1 and not first.none").select("digest", "first.page_id", "first.url", "first.date").toDF("digest", "to_page", "to_url", "to_date"))
-    if repeated.count() <= max_broadcast:
-        repeated = F.broadcast(repeated)
-    all_rows = arc_captures(spark, arc, blocks=True).join(repeated, "digest", "left")
+    few = repeated.count() <= max_broadcast
 
     def warcinfo(task: int, k: int) -> bytes:
         info = b"software: courtflux\r\nformat: WARC File Format 1.1\r\n"
@@ -346,20 +344,39 @@ def convert(spark: SparkSession, arc: str, warc: str, least: int = LEAST, max_br
             fields += [("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To", record_id(r["to_url"], r["to_date"], r["to_page"], digest)), ("WARC-Refers-To-Target-URI", r["to_url"]), ("WARC-Refers-To-Date", iso(r["to_date"])), ("X-Refers-To-Page", str(r["to_page"]))]
         return warc_record(fields, head if revisit else r["block"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        for batch in batches:
+            for part in C.slices(batch, "block"):
+                yield from part.to_pylist()
+
+    def run(rows: Callable[[Iterator[pa.RecordBatch]], Iterator[dict]], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get().partitionId()
         lines = Lines(lambda k: warcinfo(task, k), limits)
 
         def records() -> Iterator[bytes]:
-            for batch in batches:
-                for part in C.slices(batch, "block"):
-                    for r in part.to_pylist():
-                        lines.begin()
-                        yield converted(r)
+            for r in rows(batches):
+                lines.begin()
+                yield converted(r)
 
         yield from lines_of(records(), lines)
 
-    write_members(all_rows.mapInArrow(run, "value binary"), warc, limits[1])
+    if few:  # records go from file to file, their repeats looked up
+        known = C.broadcast_value(spark, {bytes(r.digest): (r.to_page, r.to_url, r.to_date) for r in repeated.collect()})
+
+        def looked_up(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+            for batch in batches:
+                for blob in batch.column("content"):
+                    for _, rec, _ in arc_records(blob.as_py()):
+                        if rec is not None:
+                            _, headers, payload = split_http(rec.block)
+                            digest = hashlib.sha256(payload).digest()
+                            to = known.value.get(digest, (None, None, None))
+                            yield {"page_id": _page_id(headers), "url": rec.url, "date": rec.date, "digest": digest, "ip": rec.ip, "mime": rec.mime, "block": rec.block, "to_page": to[0], "to_url": to[1], "to_date": to[2]}
+
+        made = read_files(spark, arc).mapInArrow(lambda batches: run(looked_up, batches), "value binary")
+    else:  # a join; a digest that many records share is one key, whose rows adaptive execution splits
+        made = arc_captures(spark, arc, blocks=True).join(repeated, "digest", "left").mapInArrow(lambda batches: run(joined, batches), "value binary")
+    write_members(made, warc, limits[1])
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
