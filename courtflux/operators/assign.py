@@ -10,7 +10,8 @@ import numpy as np
 def assignment(cost: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Rows and columns of an assignment of least total cost that pairs as many as the smaller side has.
 
-    Shortest augmenting paths with dual prices, one row at a time; each step relaxes a whole row.
+    Where the rows' cheapest columns differ they are the answer. Else shortest augmenting paths with dual prices, one row at a time; each
+    step relaxes a whole row.
     """
     c = np.asarray(cost, float)
     if c.size == 0:
@@ -19,6 +20,12 @@ def assignment(cost: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     if turned:
         c = c.T
     n, m = c.shape
+    cheapest = c.argmin(1)
+    if len(set(cheapest.tolist())) == n:
+        if not turned:
+            return np.arange(n), cheapest
+        by = np.argsort(cheapest)
+        return cheapest[by], by
     u, v = np.zeros(n), np.zeros(m)
     owner = np.full(m, -1)
     for row in range(n):

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -89,6 +91,20 @@ def from_points(src: np.ndarray, dst: np.ndarray) -> np.ndarray:
     return np.linalg.svd(np.concatenate([a, b], -2))[2][..., -1, :].reshape(*src.shape[:-2], 3, 3)
 
 
+def from_four(src: np.ndarray, dst: np.ndarray) -> np.ndarray:
+    """Homographies of batches of four point pairs, up to scale: through the projective frames that both fours span; 0 where three lie on a line."""
+
+    def frame(p: np.ndarray) -> np.ndarray:
+        q = np.concatenate([p, np.ones((*p.shape[:-1], 1))], -1)
+        a, b, c, d = (q[..., i, :] for i in range(4))
+        scale = [(np.cross(x, y) * d).sum(-1, keepdims=True) for x, y in ((b, c), (c, a), (a, b))]
+        return np.stack([x * k for x, k in zip((a, b, c), scale)], -1)
+
+    m = frame(src)
+    a, b, c = (m[..., i] for i in range(3))
+    return frame(dst) @ np.stack([np.cross(b, c), np.cross(c, a), np.cross(a, b)], -2)
+
+
 def ransac(src: np.ndarray, dst: np.ndarray, tries: int = 1000, eps: float = 0.005, seed: int = 0) -> np.ndarray | None:
     """The homography of four of the pairs with the best soft agreement of directions over all; null under four pairs."""
     n = len(src)
@@ -96,7 +112,7 @@ def ransac(src: np.ndarray, dst: np.ndarray, tries: int = 1000, eps: float = 0.0
         return None
     rng = np.random.default_rng(seed)
     pick = rng.random((tries, n)).argsort(1)[:, :4]
-    h = from_points(src[pick], dst[pick])
+    h = from_four(src[pick], dst[pick])
     a, b = np.c_[src, np.ones(n)], np.c_[dst, np.ones(n)]
     to = a @ np.swapaxes(h, 1, 2)
     cos = (to * b).sum(-1) / np.maximum(np.linalg.norm(to, axis=-1) * np.linalg.norm(b, axis=-1), 1e-12)
@@ -150,16 +166,31 @@ def best_segments(own: list[np.ndarray | None], maps: list[np.ndarray], score) -
     return solve(0, len(own))[0] if own else []
 
 
-def fit_frames(points: DataFrame, seed: int = 0) -> DataFrame:
-    """A homography for each frame from its keypoints (sx, sy) -> (dx, dy); frames are independent, seeded by their keys."""
+#: Frames of a video that are fitted in one call.
+BLOCK = 64
+
+
+def _by_frame(points: DataFrame, fit: Callable[[np.ndarray, np.ndarray, int], np.ndarray | None], seed: int) -> DataFrame:
+    """A homography (or null) of each frame's keypoints (sx, sy) -> (dx, dy); ``fit`` gets a seed from the frame's keys."""
     ship(points.sparkSession)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        key = pdf[["video_id", "frame_id"]].iloc[0]
-        h = ransac(pdf[["sx", "sy"]].to_numpy(float), pdf[["dx", "dy"]].to_numpy(float), seed=seed + int(key.video_id) * 1_000_003 + int(key.frame_id))
-        return pd.DataFrame({"video_id": [key.video_id], "frame_id": [key.frame_id], "h": [None if h is None else h.ravel().tolist()]})
+        pdf = pdf.sort_values("frame_id", kind="stable")
+        frame, video = pdf.frame_id.to_numpy(), int(pdf.video_id.iloc[0])
+        src, dst = pdf[["sx", "sy"]].to_numpy(float), pdf[["dx", "dy"]].to_numpy(float)
+        cuts = np.flatnonzero(frame[1:] != frame[:-1]) + 1
+        out = []
+        for f, x, y in zip(frame[np.concatenate([[0], cuts])].tolist(), np.split(src, cuts), np.split(dst, cuts)):
+            h = fit(x, y, seed + video * 1_000_003 + int(f))
+            out.append((video, f, None if h is None else h.ravel().tolist()))
+        return pd.DataFrame(out, columns=["video_id", "frame_id", "h"])
+
+    return points.groupBy("video_id", F.floor(F.col("frame_id") / BLOCK)).applyInPandas(run, "video_id long, frame_id long, h array<double>")
 
-    return points.groupBy(*FRAME).applyInPandas(run, "video_id long, frame_id long, h array<double>")
+
+def fit_frames(points: DataFrame, seed: int = 0) -> DataFrame:
+    """A homography for each frame from its keypoints (sx, sy) -> (dx, dy); frames are independent, seeded by their keys."""
+    return _by_frame(points, lambda src, dst, own: ransac(src, dst, seed=own), seed)
 
 
 def homographies_of(points: DataFrame, stored: DataFrame, seed: int = 0) -> DataFrame:
@@ -171,23 +202,20 @@ def homographies_of(points: DataFrame, stored: DataFrame, seed: int = 0) -> Data
 
 def least_squares(points: DataFrame, keep: float = 0.02, tries: int = 200, seed: int = 0) -> DataFrame:
     """The baseline homography of each frame: that of four pairs with the most pairs within ``keep``, fitted anew to all of those."""
-    ship(points.sparkSession)
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        key = pdf[["video_id", "frame_id"]].iloc[0]
-        src, dst = pdf[["sx", "sy"]].to_numpy(float), pdf[["dx", "dy"]].to_numpy(float)
-        h = None
-        if len(src) >= 4:
-            rng = np.random.default_rng(seed + int(key.video_id) * 1_000_003 + int(key.frame_id))
-            pick = rng.random((tries, len(src))).argsort(1)[:, :4]
-            near = [np.hypot(*(apply(m, src) - dst).T) <= keep for m in from_points(src[pick], dst[pick])]
-            inside = near[int(np.argmax([x.sum() for x in near]))]
-            if inside.sum() >= 4:
-                h = from_points(src[inside], dst[inside])
-                h = (h / h[2, 2]).ravel().tolist() if abs(h[2, 2]) > 1e-12 else h.ravel().tolist()
-        return pd.DataFrame({"video_id": [key.video_id], "frame_id": [key.frame_id], "h": [h]})
-
-    return points.groupBy(*FRAME).applyInPandas(run, "video_id long, frame_id long, h array<double>")
+    def fit(src: np.ndarray, dst: np.ndarray, own: int) -> np.ndarray | None:
+        if len(src) < 4:
+            return None
+        rng = np.random.default_rng(own)
+        pick = rng.random((tries, len(src))).argsort(1)[:, :4]
+        near = [np.hypot(*(apply(m, src) - dst).T) <= keep for m in from_four(src[pick], dst[pick])]
+        inside = near[int(np.argmax([x.sum() for x in near]))]
+        if inside.sum() < 4:
+            return None
+        h = from_points(src[inside], dst[inside])
+        return h / h[2, 2] if abs(h[2, 2]) > 1e-12 else h
+
+    return _by_frame(points, fit, seed)
 
 
 def replace_segments(frames: DataFrame, points: DataFrame, eps: float = 0.05) -> DataFrame:

@@ -113,11 +113,51 @@ def smoothed_chunk(xy: np.ndarray, least: int = 4) -> np.ndarray:
     return k.smooth(*k.filter(np.where(there[:, None], xy, 0.0), there))[0][:, :2]
 
 
+def smoothed_chunks(chunks: list[np.ndarray], least: int = 4) -> list[np.ndarray]:
+    """``smoothed_chunk`` of many chunks at once.
+
+    Covariances, and so gains, depend on neither observations nor gaps: they are found once for the longest chunk, and each step then
+    moves the means of all chunks.
+    """
+    out = list(chunks)
+    some = [i for i, xy in enumerate(chunks) if (~np.isnan(xy[:, 0])).sum() >= least]
+    if not some:
+        return out
+    size = np.array([len(chunks[i]) for i in some])
+    seen = np.full((len(some), size.max(), 2), np.nan)
+    first = np.empty((len(some), 2, 2))
+    for k, i in enumerate(some):
+        seen[k, : size[k]] = chunks[i]
+        first[k] = chunks[i][~np.isnan(chunks[i][:, 0])][:2]
+    model = position_model(first[0, 0], first[0, 1])
+    p, gains, back, before = model.cov, [], [], None
+    eye = np.eye(4)
+    for _ in range(size.max()):
+        p0 = model.a @ p @ model.a.T + model.q
+        if before is not None:
+            back.append(before @ model.a.T @ np.linalg.inv(p0))
+        gain = p0 @ model.h.T @ np.linalg.inv(model.h @ p0 @ model.h.T + model.r)
+        p = before = (eye - gain @ model.h) @ p0
+        gains.append(gain)
+    m = np.concatenate([first[:, 0], first[:, 1] - first[:, 0]], 1)
+    means, ahead = np.empty((size.max(), len(some), 4)), np.empty((size.max(), len(some), 4))
+    for t, gain in enumerate(gains):
+        ahead[t] = m @ model.a.T
+        step = np.nan_to_num(seen[:, t] - ahead[t, :, :2])  # no step without an observation
+        m = means[t] = ahead[t] + step @ gain.T
+    for t in range(size.max() - 2, -1, -1):
+        inside = t < size - 1
+        means[t, inside] += (means[t + 1, inside] - ahead[t + 1, inside]) @ back[t].T
+    for k, i in enumerate(some):
+        out[i] = means[: size[k], k, :2]
+    return out
+
+
 def smooth_positions(rows: DataFrame, cfg: Config = DEFAULT, compat: bool = False) -> DataFrame:
     """Rows (video_id, player_id, frame_id, y2, court_x, court_y) with smoothed positions where there is one.
 
     Untracked rows (player_id -1) are left alone; ``compat`` smooths them as one pseudo-player, the last row of a frame standing for it.
-    A chunk is one task's group: its length is bounded by a player's presence.
+    A video is one task's group, and all its chunks are smoothed together.
     """
     ship(rows.sparkSession)
     some = rows if compat else rows.where("player_id <> -1")
@@ -125,11 +165,13 @@ def smooth_positions(rows: DataFrame, cfg: Config = DEFAULT, compat: bool = Fals
     dense = dense_chunks(clean_outliers(one, cfg), cfg)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("frame_id")
-        xy = smoothed_chunk(pdf[["court_x", "court_y"]].to_numpy(float))
+        pdf = pdf.sort_values(["player_id", "chunk", "frame_id"])
+        xy, key = pdf[["court_x", "court_y"]].to_numpy(float), pdf[["player_id", "chunk"]].to_numpy()
+        cuts = np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1
+        xy = np.concatenate(smoothed_chunks(np.split(xy, cuts)))
         return pdf[["video_id", "player_id", "frame_id"]].assign(sx=xy[:, 0], sy=xy[:, 1])
 
-    got = dense.groupBy(*KEYS, "chunk").applyInPandas(run, "video_id long, player_id long, frame_id long, sx double, sy double").where("sx is not null and not isnan(sx)")
+    got = dense.groupBy("video_id").applyInPandas(run, "video_id long, player_id long, frame_id long, sx double, sy double").where("sx is not null and not isnan(sx)")
     joined = rows.join(got, [*KEYS, "frame_id"], "left")
     return joined.withColumn("court_x", F.coalesce("sx", "court_x")).withColumn("court_y", F.coalesce("sy", "court_y")).drop("sx", "sy")
 

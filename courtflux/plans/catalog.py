@@ -1,6 +1,5 @@
 """All queries of the library and their SQL."""
 
-from . import extra, files  # noqa: F401  (they add theirs)
 from .queries import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]

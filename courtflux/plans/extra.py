@@ -423,6 +423,30 @@ def f22(t: Tables) -> DataFrame:
 # -- the ball ------------------------------------------------------------------------------------------------------------------
 
 
+@query("d12_ball_chain", sql("""WITH c AS (SELECT video_id, frame_id, det_idx, (x1 + x2) / 2e0 / 1920 AS x, (y1 + y2) / 2e0 / 1080 AS y, 0.02e0 * 0 - 0.01e0 * confidence AS own, dense_rank() OVER (PARTITION BY video_id ORDER BY frame_id) AS i FROM det WHERE det_idx IN (0, 3) AND confidence >= 0.3),
+g AS (SELECT video_id, i, list({'x': x, 'y': y, 'own': own, 'key': frame_id * 100 + det_idx} ORDER BY det_idx) AS c FROM c GROUP BY 1, 2), n AS (SELECT video_id, max(i) AS n FROM g GROUP BY 1),
+w AS (SELECT video_id, CAST(0 AS BIGINT) AS i, [] :: STRUCT(i BIGINT, x DOUBLE, y DOUBLE, cost DOUBLE, path BIGINT[])[] AS st FROM n
+ UNION ALL SELECT w.video_id, g.i, list_concat(list_filter(w.st, lambda e: e.i >= g.i - 50), list_transform(g.c, lambda k: list_transform(list_sort(list_concat(
+   CASE WHEN g.i <= 50 THEN [{'t': (g.i - 1) * 0.5e0 + k.own, 'o': -1, 'path': [] :: BIGINT[]}] ELSE [] END,
+   list_transform(list_filter(w.st, lambda e: e.i >= g.i - 50), lambda e, o: {'t': e.cost + (g.i - e.i - 1) * 0.5e0 + 3e0 * sqrt(pow(k.x - e.x, 2) + pow(k.y - e.y, 2)) + k.own, 'o': CAST(o AS INTEGER), 'path': e.path}))),
+   lambda b: {'i': g.i, 'x': k.x, 'y': k.y, 'cost': b.t, 'path': list_append(b.path, k.key)})[1]))
+ FROM w JOIN g ON g.video_id = w.video_id AND g.i = w.i + 1),
+fin AS (SELECT w.video_id, list_sort(list_transform(list_filter(w.st, lambda e: e.i >= n.n + 1 - 50), lambda e, o: {'t': e.cost + (n.n - e.i) * 0.5e0, 'o': o, 'path': e.path}))[1].path AS path FROM w JOIN n ON n.video_id = w.video_id AND n.n = w.i)
+SELECT video_id, CAST((k - k % 100) / 100 AS BIGINT) AS frame_id, k % 100 AS det_idx FROM (SELECT video_id, unnest(path) AS k FROM fin)""", "det", recursive=True))
+def d12(t: Tables) -> DataFrame:
+    return ball.remove_outliers(t.det.where("det_idx in (0, 3)"), WIDTH, HEIGHT).select(*FRAME, "det_idx")
+
+
+@query("i14_homographies", sql(f"""WITH {_SLOTS}, n AS (SELECT video_id, frame_id, count(*) AS n FROM slots GROUP BY 1, 2)
+SELECT video_id, frame_id, {", ".join(f"CASE WHEN n >= 4 THEN round(CAST({x} AS DOUBLE), 4) END AS h{i}" for i, x in enumerate("abcdefgij"))} FROM n JOIN hm USING (video_id, frame_id)""", "homographies"))
+def i14(t: Tables) -> DataFrame:
+    """From a homography's own key points the homography again, in every frame that shows four of them."""
+    slots = court.keypoint_slots(_homographies(t), "nba")
+    pts = court.points_table(t.spark, "nba").select("point", "u", "v")
+    got = court.fit_frames(slots.join(F.broadcast(pts), "point").selectExpr(*FRAME, "px AS sx", "py AS sy", "u AS dx", "v AS dy"))
+    return got.select(*FRAME, *((F.round(F.get("h", F.lit(i)), 4) + 0.0).alias(f"h{i}") for i in range(9)))
+
+
 @query("d13_ball_gate", sql("""WITH RECURSIVE c AS (SELECT video_id, frame_id, list({'i': det_idx, 'x': (x1 + x2) / 2e0, 'y': (y1 + y2) / 2e0, 's': confidence} ORDER BY confidence DESC, det_idx) AS c FROM det WHERE det_idx IN (0, 3) GROUP BY 1, 2),
 n AS (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY frame_id) AS r FROM c),
 w AS (SELECT DISTINCT video_id, CAST(0 AS BIGINT) AS r, CAST(NULL AS BIGINT) AS frame_id, CAST(NULL AS STRUCT(i BIGINT, x DOUBLE, y DOUBLE, s DOUBLE)) AS got, CAST(NULL AS STRUCT(i BIGINT, x DOUBLE, y DOUBLE, s DOUBLE)) AS last FROM n

@@ -247,11 +247,6 @@ def d15(t: Tables) -> DataFrame:
     return detect.vote_numbers(votes, Config(ocr_conf=0.5)).withColumn("confidence", F.round("confidence", 6))
 
 
-@query("d12_ball_chain")
-def d12(t: Tables) -> DataFrame:
-    return ball.remove_outliers(t.det.where("det_idx in (0, 3)"), WIDTH, HEIGHT).select(*FRAME, "det_idx")
-
-
 # -- joins ---------------------------------------------------------------------------------------------------------------------
 
 _IN = "(i.x1 >= o.x1 AND i.y1 >= o.y1 AND i.x2 <= o.x2 AND i.y2 <= o.y2)"
@@ -514,13 +509,6 @@ def i13(t: Tables) -> DataFrame:
     return teams.team_ids(v)
 
 
-@query("i14_homographies")
-def i14(t: Tables) -> DataFrame:
-    slots = court.keypoint_slots(_homographies(t), "nba")
-    pts = court.points_table(t.spark, "nba").select("point", "u", "v")
-    return court.fit_frames(slots.join(F.broadcast(pts), "point").selectExpr("video_id", "frame_id", "px AS sx", "py AS sy", "u AS dx", "v AS dy"))
-
-
 
 
 
@@ -636,3 +624,6 @@ def d17(t: Tables) -> DataFrame:
 def e16(t: Tables) -> DataFrame:
     gt = t.players.withColumnRenamed("player_id", "id")
     return metrics.optimal_frame_pairs(gt, _poses(t).withColumn("id", F.col("det_idx")), 0.3)
+
+
+from . import extra, files  # noqa: E402, F401  (they add theirs)
