@@ -3,7 +3,7 @@
 A text's lattice has an edge for each piece of the vocabulary at each place; a segmentation is a path and its probability the product of its
 pieces' weights, normalised. The vocabulary's scores are merge ranks, so a piece weighs ``(1 + rank) ** -THETA``; characters beyond the
 vocabulary fall back to their bytes. No piece joins two units (a word with the spaces before it, or a line break), which is checked when a
-vocabulary is opened, so backward masses are found for each distinct unit of some texts at once.
+vocabulary is opened, so backward masses are found for each distinct unit of some texts at once; units that recur keep theirs.
 
 The k paths of largest Gumbel-perturbed log probability are a sample without replacement. A best-first search finds them: the agenda holds
 sets of paths (a shared beginning, a place, and the edges excluded there) under the exact perturbed maximum of each; the set with the
@@ -22,8 +22,9 @@ from __future__ import annotations
 import heapq
 import math
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 from functools import lru_cache
+from itertools import islice
 from zlib import crc32
 
 import numpy as np
@@ -96,6 +97,9 @@ class Vocabulary:
         self.seen = np.zeros(1 << 20, bool)
         self.seen[self.hash[:-1] >> np.uint64(44)] = True
         self.near = np.searchsorted(self.hash[:-1], np.arange(1 << 18, dtype=np.uint64) << np.uint64(46)).astype(np.int32)
+        self.raw_size = np.fromiter(map(len, self.raw), np.int64, size)
+        self.raw_start, self.raw_bytes = np.cumsum(self.raw_size) - self.raw_size, np.frombuffer(b"".join(self.raw), np.uint8)
+        self.common = Common(self)
 
     def find(self, m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Which of the hashes are pieces', and their numbers in ``weight``."""
@@ -133,6 +137,15 @@ class Vocabulary:
         text = b"".join(map(self.raw.__getitem__, ids)).decode("utf-8", "replace")
         return text[1:] if text.startswith(" ") else text
 
+    def decoded(self, ids: list[np.ndarray]) -> list[bytes]:
+        """The bytes of the pieces of each of many segmentations, the space that stands before a text included."""
+        flat = np.concatenate(ids) if ids else np.empty(0, np.int64)
+        size = self.raw_size[flat]
+        ends = np.cumsum(size)
+        every = self.raw_bytes[np.repeat(self.raw_start[flat] - (ends - size), size) + np.arange(int(size.sum()))].tobytes()
+        cut = np.concatenate([[0], ends])[np.cumsum([0, *map(len, ids)])].tolist()
+        return [every[a:z] for a, z in zip(cut, cut[1:])]
+
     def expand(self, ids: np.ndarray) -> np.ndarray:
         if len(ids) and ids.min() < 0:
             ids = np.array([j for i in ids.tolist() for j in ((i,) if i >= 0 else self.fallback[-i - 1])], np.int64)
@@ -219,12 +232,62 @@ class Lattices:
         self.q = q
 
 
+class Common:
+    """Lattices of units that recur: those of at least two of ``LOOK`` slices in a row, looked at anew every ``EVERY`` slices.
+
+    They only save work: a unit's lattice is the same wherever it is made. They stand at the beginning of buffers, behind which each
+    slice puts the lattices of its other units, so what one slice got is overwritten by the next.
+    """
+
+    LOOK, EVERY = 4, 256
+    EDGES = ("step", "id", "cum", "q", "log_q")
+
+    def __init__(self, v: Vocabulary):
+        self.v, self.turn, self.seen = v, 0, Counter()
+        self._keep([])
+
+    def _keep(self, units: list[str]) -> None:
+        self.index = {u: i for i, u in enumerate(units)}
+        self.buffers = dict(vars(Lattices(self.v, units)))
+        self.nodes, self.edges = len(self.buffers["edge_start"]) - 1, int(self.buffers["edge_start"][-1])
+
+    def _behind(self, name: str, kept: int, new: np.ndarray) -> np.ndarray:
+        have = self.buffers[name]
+        if kept + len(new) > len(have):
+            self.buffers[name] = np.empty(2 * (kept + len(new)), have.dtype)
+            self.buffers[name][:kept] = have[:kept]
+            have = self.buffers[name]
+        have[kept : kept + len(new)] = new
+        return have[: kept + len(new)]
+
+    def lattices_of(self, index: dict[str, int]) -> Lattices:
+        """Of the units in ``index``, which begins with ``self.index``."""
+        own, out = Lattices(self.v, list(islice(index, len(self.index), None))), object.__new__(Lattices)
+        out.length = self._behind("length", len(self.index), own.length)
+        out.first = self._behind("first", len(self.index), own.first + self.nodes)
+        out.edge_start = self._behind("edge_start", self.nodes + 1, own.edge_start[1:] + self.edges)
+        for name in self.EDGES:
+            setattr(out, name, self._behind(name, self.edges, getattr(own, name)))
+        return out
+
+    def note(self, index: dict[str, int]) -> None:
+        """Told of each slice's units, when it is done with."""
+        if self.turn < self.LOOK:
+            self.seen.update(index.keys())
+        self.turn += 1
+        if self.turn == self.LOOK:
+            self._keep([u for u, n in self.seen.items() if n > 1])
+            self.seen = Counter()
+        elif self.turn == self.EVERY:
+            self.turn = 0
+
+
 class Texts:
     """The lattices of some texts, by their units."""
 
     def __init__(self, v: Vocabulary, texts: list[str], keys: list[int | None]):
         self.v, self.keys = v, keys
-        index: defaultdict[str, int] = defaultdict()
+        index: defaultdict[str, int] = defaultdict(None, v.common.index)
         index.default_factory = index.__len__
         units: list[int] = []
         count = []
@@ -232,7 +295,8 @@ class Texts:
             own = v.split(t)
             units += map(index.__getitem__, own)
             count.append(len(own))
-        x = Lattices(v, list(index))
+        x = v.common.lattices_of(index)
+        self.index = index
         self.unit = np.array(units, np.int64)
         self.start = np.concatenate([[0], np.cumsum(count)]).astype(np.int64)
         self.first, self.len = x.first[self.unit], x.length[self.unit]
@@ -395,16 +459,20 @@ def segmentations(docs: DataFrame, k: int = K, theta: float = THETA, model: str
         v = vocabulary(model, theta)
         texts, keys = C.text_list(part.column("text")), part.column(key).to_pylist()
         x = Texts(v, texts, keys)
-        cols: dict[str, list] = {c: [] for c in ("doc_id", "rank", "n_pieces", "ids_crc32", "log_prob", "perturbed", "inclusion", "decoded_ok", "ids")}
+        cols: dict[str, list] = {c: [] for c in ("doc_id", "rank", "n_pieces", "ids_crc32", "log_prob", "perturbed", "inclusion")}
+        every, plain = [], []
         for text, row_key, (found, least) in zip(texts, keys, top_k(x, k)):
-            plain = text.replace(SPACE, " ")
+            own = (" " + text.replace(SPACE, " ")).encode() if text else b""
             for rank, (value, path) in enumerate(found, 1):
                 ids = v.expand(x.id[path.edges])
                 log_prob = float(path.before[-1])
                 inclusion = 1.0 if least == -math.inf else -math.expm1(-math.exp(min(700.0, log_prob - least)))
-                for c, y in zip(cols, (row_key, rank, len(ids), crc32(ids.astype("<u4").tobytes()), log_prob, value, inclusion, v.decode(ids.tolist()) == plain, ids.tolist() if with_ids else None)):
+                for c, y in zip(cols, (row_key, rank, len(ids), crc32(ids.astype("<u4").tobytes()), log_prob, value, inclusion)):
                     cols[c].append(y)
-        return cols
+                every.append(ids)
+                plain.append(own)
+        v.common.note(x.index)
+        return cols | {"decoded_ok": [a == b for a, b in zip(v.decoded(every), plain)], "ids": [ids.tolist() for ids in every] if with_ids else None}
 
     schema = "doc_id long, rank int, n_pieces long, ids_crc32 long, log_prob double, perturbed double, inclusion double, decoded_ok boolean"
     return C.map_text(docs, [key, "text"], schema + ", ids array<int>" * with_ids, f, SLICE_BYTES)
