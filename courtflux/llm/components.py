@@ -17,7 +17,10 @@ def _sum(edges: DataFrame) -> tuple:
 
 
 def large_star(edges: DataFrame) -> DataFrame:
-    """For each node the larger neighbours move to its smallest neighbour (itself included)."""
+    """For each node the larger neighbours move to its smallest neighbour (itself included).
+
+    A hub's edges are many rows of one key against one row: adaptive execution splits them, and the minimum is partial before the shuffle.
+    """
     both = edges.select("a", "b").unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
     return both.where("b > a").join(least, "a").where("b != m").select(F.col("m").alias("a"), "b").distinct()

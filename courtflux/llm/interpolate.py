@@ -330,11 +330,18 @@ def scores(docs: DataFrame, block_bytes: int = BLOCK_BYTES, bucket_bytes: int =
     name = f"courtflux_blocks_{uuid.uuid4().hex}"
     least = int(spark.conf.get("spark.sql.shuffle.partitions"))
     writer = blocks_of(docs, block_bytes).write.format("parquet").option("compression", "none").option("path", C.shared_dir(spark))
-    writer.bucketBy(least, "block").saveAsTable(name)
-    made = spark.table(name)
+    try:
+        writer.bucketBy(least, "block").saveAsTable(name)
+        return _scored(spark.table(name), least, bucket_bytes, fan)
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")  # the name alone; the files stay in the shared folder for the result
+
+
+def _scored(made: DataFrame, least: int, bucket_bytes: int, fan: int) -> DataFrame:
+    """The scores of a table of blocks."""
+    spark = made.sparkSession
     size = made.agg(F.count("*"), F.sum(F.octet_length("ids")), F.sum(F.octet_length("words"))).first()
     if not size[0]:
-        spark.sql(f"DROP TABLE {name}")
         return spark.createDataFrame([], SCHEMA)
     # A token's number takes two bytes packed; as many bigram keys of eight bytes are the most there can be.
     buckets = {k: min(fan, max(least, ceil(n / bucket_bytes))) for k, n in (("w", size[2]), ("p", 4 * size[1]))}
@@ -382,9 +389,7 @@ def scores(docs: DataFrame, block_bytes: int = BLOCK_BYTES, bucket_bytes: int =
                 rows = len(b.sizes)
                 yield C.as_batch({"doc_id": row["doc_ids"], "held_out": ~b.train, "n_tokens": b.sizes, "n_known": np.add.reduceat((of > 0).astype(np.int64), b.start), "train_tokens": [n] * rows, "base_score": np.add.reduceat(base, b.start), "score": np.add.reduceat(model, b.start)}, out)
 
-    result = joined.mapInArrow(score, SCHEMA)
-    spark.sql(f"DROP TABLE {name}")  # the name alone; the files stay in the shared folder for the result
-    return result
+    return joined.mapInArrow(score, SCHEMA)
 
 
 def op7_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:

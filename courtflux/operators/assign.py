@@ -99,6 +99,8 @@ class Flow:
                 d, a = heappop(heap)
                 if d > dist[a] + 1e-12:
                     continue
+                if a == t:  # what lies farther is priced as if it lay here
+                    break
                 base = d + price[a]
                 for k in self.out[a]:
                     if self.cap[k] > 0:
@@ -109,9 +111,9 @@ class Flow:
                             heappush(heap, (nd, b))
             if dist[t] == inf:
                 break
+            most_far = dist[t]
             for a in range(self.n):
-                if dist[a] < inf:
-                    price[a] += dist[a]
+                price[a] += min(dist[a], most_far)
             b = t
             while b != s:
                 k = via[b]

@@ -182,6 +182,11 @@ def true_positives(gt: DataFrame, pred: DataFrame) -> DataFrame:
     return pred.select(*FRAME, "det_idx", "confidence").join(both, [*FRAME, "det_idx"], "left").withColumn("hits", flags).drop("near")
 
 
+def coverage(detections: DataFrame) -> DataFrame:
+    """Frames, classes and boxes of each video."""
+    return detections.groupBy("video_id").agg(F.countDistinct("frame_id").alias("frames"), F.countDistinct("class_id").alias("classes"), F.count("*").alias("boxes"))
+
+
 # -- segments ------------------------------------------------------------------------------------------------------------------
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -194,3 +194,28 @@ def track_segments(rows: DataFrame, length: int) -> DataFrame:
     """Numbers each track's stretches of ``length`` frames from its first frame on."""
     first = F.min("frame_id").over(Window.partitionBy(*KEYS))
     return rows.withColumn("segment", F.floor((F.col("frame_id") - first) / length))
+
+
+def seeded(keys: list[str], seed: int) -> Column:
+    """A number in [0, 1) that depends on the keys and a seed only: for random choices that a lost task repeats."""
+    return F.pmod(F.xxhash64(*keys, F.lit(seed)), F.lit(1 << 30)) / (1 << 30)
+
+
+def padded_clips(frames: DataFrame, start: Column, length: int, slots: int, dropped: Column | None = None) -> DataFrame:
+    """A clip of each video for training: ``length`` frames from ``start`` on, less those that ``dropped`` says, as ``slots`` slots.
+
+    A slot without a frame has nulls and is not ``there``. ``start`` and ``dropped`` may draw by ``seeded``.
+    """
+    own = frames.withColumn("slot", F.col("frame_id") - start).where(F.col("slot").between(0, length - 1))
+    videos = own.select("video_id").distinct().withColumn("slot", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(slots - 1).cast("long"))))
+    kept = own if dropped is None else own.where(~dropped)
+    return videos.join(kept.withColumn("there", F.lit(True)), ["video_id", "slot"], "left").withColumn("there", F.coalesce("there", F.lit(False)))
+
+
+def identity_batch(images: DataFrame, identities: int, each: int, seed: int) -> DataFrame:
+    """A batch of P identities with K images each (rows pid, path): both drawn by hashes; identities with fewer images are left out."""
+    from .relops import top_k
+
+    enough = images.groupBy("pid").agg(F.count("*").alias("__n")).where(F.col("__n") >= each).select("pid")
+    chosen = enough.orderBy(seeded(["pid"], seed), "pid").limit(identities)
+    return top_k(images.join(F.broadcast(chosen), "pid", "left_semi"), ["pid"], [seeded(["path"], seed + 1), F.col("path")], each)

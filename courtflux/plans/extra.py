@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions import geometry as G
 from ..functions import text as X
 from ..functions import vectors as V
-from ..operators import ball, court, detect, enrich, metrics, shots, smooth, stitch, teams
+from ..operators import ball, court, detect, enrich, metrics, shots, smooth, stitch, teams, tracking
 from ..runtime import scratch
 from ..sources import readers, sinks
 from . import timeline as T
@@ -355,11 +356,78 @@ def f18(t: Tables) -> DataFrame:
     return metrics.remap_ids(gt, pred, 0.9).select(*FRAME, "id", "new_id")
 
 
+@query("g18_clips", sql("""SELECT v.video_id, f AS slot, CASE WHEN (frame_id * 7 + v.video_id) % 10 < 3 THEN NULL ELSE frame_id END AS frame_id, coalesce((frame_id * 7 + v.video_id) % 10 >= 3, FALSE) AS there
+FROM (SELECT video_id, unnest(range(0, 48)) AS f FROM (SELECT DISTINCT video_id FROM balls WHERE frame_id BETWEEN 20 AND 59)) v LEFT JOIN (SELECT video_id, frame_id FROM balls WHERE frame_id BETWEEN 20 AND 59) s ON s.video_id = v.video_id AND s.frame_id = f + 20""", "balls"))
+def g18(t: Tables) -> DataFrame:
+    """Clips of 40 frames without some of them, padded to 48."""
+    clips = smooth.padded_clips(t.balls.select(*FRAME), F.lit(20).cast("long"), 40, 48, F.expr("(frame_id * 7 + video_id) % 10 < 3"))
+    return clips.select("video_id", "slot", "frame_id", "there")
+
+
+@query("f24_coverage", sql("SELECT video_id, count(DISTINCT frame_id) AS frames, count(DISTINCT class_id) AS classes, count(*) AS boxes FROM det GROUP BY 1", "det"))
+def f24(t: Tables) -> DataFrame:
+    return metrics.coverage(t.det)
+
+
 @query("m5_evaluated", sql("SELECT video_id, frame_id, det_idx, CASE WHEN det_idx % 4 = 0 THEN -1 ELSE player_id END AS id FROM players WHERE det_idx % 4 <> 0", "players"))
 def m5(t: Tables) -> DataFrame:
     return T.evaluated(t.players.selectExpr(*FRAME, "det_idx", "CASE WHEN det_idx % 4 = 0 THEN -1 ELSE player_id END AS player_id"))
 
 
+# -- identities of players that move smoothly and look alike over time: each has one id, and each id one player ----------------
+
+
+def _smooth(t: Tables) -> DataFrame:
+    """Players in lanes with their own vectors, numbers and places on the court; every eleventh row is missing."""
+    step = F.expr("abs(frame_id % 100 - 50)")
+    x1, y1 = 100 + (F.col("det_idx") - 4) * 220 + step, 300 + (F.col("det_idx") * 53) % 300 + step
+    one = F.expr("transform(sequence(4, 11), i -> CASE WHEN i = det_idx THEN 1D ELSE 0.05D * (frame_id % 3) END)")
+    rows = t.players.where("(frame_id * 8 + det_idx) % 11 <> 0").select(*FRAME, "det_idx", F.col("player_id").alias("truth"), x1.alias("x1"), y1.alias("y1"), (x1 + 60).alias("x2"), (y1 + 140).alias("y2"), "confidence")
+    placed = rows.withColumn("court_x", (F.col("x1") + 30) / WIDTH * 28 - 14).withColumn("court_y", F.col("y2") / HEIGHT * 15 - 7.5)
+    return placed.withColumn("color", one).withColumn("reid", one).withColumn("num", F.expr("CASE WHEN frame_id % 4 = 0 THEN det_idx + 10 END"))
+
+
+def _identities(rows: DataFrame) -> DataFrame:
+    """For each player its rows that have an id, how many ids they have, and how many players share those."""
+    shared = F.size(F.collect_set("truth").over(Window.partitionBy("video_id", "player_id")))
+    known = rows.where("player_id >= 1").withColumn("players", shared.cast("long"))
+    return known.groupBy("video_id", "truth").agg(F.count("*").alias("n"), F.countDistinct("player_id").alias("ids"), F.max("players").alias("players"))
+
+
+def _nearly_all(t: Tables, each: DataFrame) -> DataFrame:
+    """Whether a player's rows have an id but for one in fifty, as tracks begin and end with some that have none."""
+    total = _smooth(t).groupBy("video_id", "truth").agg(F.count("*").alias("total"))
+    return each.join(total, ["video_id", "truth"]).select("video_id", "truth", "ids", "players", (50 * F.col("n") >= 49 * F.col("total")).alias("nearly_all"))
+
+
+def _expected(where: str) -> str:
+    return sql(f"SELECT video_id, player_id AS truth, count(*) AS n, CAST(1 AS BIGINT) AS ids, CAST(1 AS BIGINT) AS players FROM players WHERE (frame_id * 8 + det_idx) % 11 <> 0 AND {where} GROUP BY 1, 2", "players")
+
+
+@query("i2_flow_known", _expected("TRUE").replace("count(*) AS n", "TRUE AS nearly_all"))
+def i2_known(t: Tables) -> DataFrame:
+    """The flow tracker's defaults with vectors: extended costs, skips and occlusion links take part."""
+    return _nearly_all(t, _identities(tracking.track_flow(_smooth(t), FPS, tracking.FlowConfig(tracks=8))))
+
+
+@query("i6_court_known", _expected("TRUE").replace("count(*) AS n", "TRUE AS nearly_all"))
+def i6_known(t: Tables) -> DataFrame:
+    """The court tracker with vectors; rows before a track is confirmed have no id."""
+    return _nearly_all(t, _identities(tracking.track_court(_smooth(t))))
+
+
+@query("i9_appearance_known", _expected("TRUE"))
+def i9_known(t: Tables) -> DataFrame:
+    return _identities(tracking.track_appearance(_smooth(t).withColumn("player_id", F.lit(-1).cast("long"))))
+
+
+@query("i11_stitched_known", _expected("frame_id % 90 < 80"))
+def i11_known(t: Tables) -> DataFrame:
+    """Tracks that break off every 90 frames, stitched by place, vectors and numbers."""
+    broken = _smooth(t).where("frame_id % 90 < 80").withColumn("player_id", F.expr("1 + truth + 10 * CAST((frame_id - frame_id % 90) / 90 AS BIGINT)"))
+    return _identities(stitch.stitch(broken, FPS, stitch.StitchConfig(players=8)))
+
+
 # -- the court -----------------------------------------------------------------------------------------------------------------
 
 def _cofactors() -> str:

@@ -407,11 +407,6 @@ def f23(t: Tables) -> DataFrame:
     return s.select("dataset", "n", *(F.round(c, 6).alias(c) for c in ("accuracy", "ned", "confidence", "length")))
 
 
-@query("f24_coverage", sql("SELECT video_id, count(DISTINCT frame_id) AS frames, count(DISTINCT class_id) AS classes, count(*) AS boxes FROM det GROUP BY 1", "det"))
-def f24(t: Tables) -> DataFrame:
-    return t.det.groupBy("video_id").agg(F.countDistinct("frame_id").alias("frames"), F.countDistinct("class_id").alias("classes"), F.count("*").alias("boxes"))
-
-
 # -- sequences -----------------------------------------------------------------------------------------------------------------
 
 
