@@ -43,21 +43,21 @@ class Notice(NamedTuple):
 
 #: Short notices, lower-cased words, with the edits allowed and the words that must stand as they are.
 NOTICES = (
-    Notice("apache-2.0", "licensed under the apache license version 2 0", 4, ("apache", "2", "0")),
-    Notice("gpl-3.0", "gnu general public license version 3", 3, ("gnu", "3")),
-    Notice("gpl-2.0", "gnu general public license version 2", 3, ("gnu", "2")),
-    Notice("lgpl", "gnu lesser general public license", 3, ("gnu",)),
-    Notice("agpl", "gnu affero general public license", 3, ("gnu",)),
+    Notice("apache-2.0", "licensed under the apache license version 2 0", 4, ("2", "0")),
+    Notice("gpl-3.0", "gnu general public license version 3", 3, ("3",)),
+    Notice("gpl-2.0", "gnu general public license version 2", 3, ("2",)),
+    Notice("lgpl", "gnu lesser general public license", 3),
+    Notice("agpl", "gnu affero general public license", 3),
     Notice("mit", "released under the mit license", 3, ("mit",)),
     Notice("mit", "permission is hereby granted free of charge to any person", 5),
     Notice("bsd", "redistribution and use in source and binary forms", 4),
     Notice("bsd", "released under the bsd license", 3, ("bsd",)),
     Notice("isc", "released under the isc license", 3, ("isc",)),
-    Notice("mpl-2.0", "mozilla public license version 2 0", 3, ("mozilla", "2", "0")),
-    Notice("mpl", "mozilla public license", 2, ("mozilla",)),
-    Notice("cc-by-nc", "licensed under cc by nc 4 0", 2, ("cc", "by", "nc")),
-    Notice("cc-by-sa", "licensed under cc by sa 4 0", 2, ("cc", "by", "sa")),
-    Notice("cc-by-nd", "licensed under cc by nd 4 0", 2, ("cc", "by", "nd")),
+    Notice("mpl-2.0", "mozilla public license version 2 0", 3, ("2", "0")),
+    Notice("mpl", "mozilla public license", 2),
+    Notice("cc-by-nc", "licensed under cc by nc 4 0", 2, ("nc",)),
+    Notice("cc-by-sa", "licensed under cc by sa 4 0", 2, ("sa",)),
+    Notice("cc-by-nd", "licensed under cc by nd 4 0", 2, ("nd",)),
     Notice("cc-by-nc", "creative commons attribution noncommercial", 3),
     Notice("cc-by-sa", "creative commons attribution sharealike", 3),
     Notice("cc-by-nd", "creative commons attribution noderivatives", 3),
@@ -66,7 +66,7 @@ NOTICES = (
     Notice("unlicense", "released into the public domain", 3),
     Notice("mit", "mit license", 2, ("mit",), True),
     Notice("apache", "apache license", 2, ("apache",), True),
-    Notice("gpl", "gnu general public license", 3, ("gnu",), True),
+    Notice("gpl", "gnu general public license", 3, (), True),
     Notice("cc-by", "cc by", 0, (), True),
 )
 
