@@ -14,7 +14,7 @@ from ..runtime import scratch
 from ..sources import readers, sinks
 from . import timeline as T
 from .derive import Tables, sql
-from .queries import _COS, _POSES, FPS, FRAME, HEIGHT, SHOTS, WIDTH, _homographies, _iou, _poses, query
+from .queries import _COS, _COURT, _POSES, FPS, FRAME, HEIGHT, SHOTS, WIDTH, _court, _homographies, _iou, _poses, query
 
 
 def _round(df: DataFrame, *names: str, places: int = 6) -> DataFrame:
@@ -488,6 +488,37 @@ def f22(t: Tables) -> DataFrame:
     return _round(court.error_summary(court.grid_errors(pairs, "nba")), "rmse", "mean", "median")
 
 
+#: Positions with outliers and gaps, the filter's steps forward and the smoother's back; the two axes have the same 2 x 2 covariances.
+_KALMAN = f"""{_COURT}, cl AS (SELECT video_id, player_id, frame_id, row_number() OVER (PARTITION BY video_id, player_id ORDER BY frame_id) AS t,
+ CASE WHEN abs(y2 - median(y2) OVER (PARTITION BY video_id, player_id ORDER BY frame_id ROWS BETWEEN 15 PRECEDING AND 15 FOLLOWING)) > 30 THEN NULL ELSE court_x END AS ox,
+ CASE WHEN abs(y2 - median(y2) OVER (PARTITION BY video_id, player_id ORDER BY frame_id ROWS BETWEEN 15 PRECEDING AND 15 FOLLOWING)) > 30 THEN NULL ELSE court_y END AS oy FROM court),
+ob AS (SELECT *, row_number() OVER (PARTITION BY video_id, player_id ORDER BY t) AS k FROM cl WHERE ox IS NOT NULL),
+st AS (SELECT a.video_id, a.player_id, a.ox AS x, b.ox - a.ox AS vx, a.oy AS y, b.oy - a.oy AS vy FROM ob a JOIN ob b ON a.video_id = b.video_id AND a.player_id = b.player_id AND a.k = 1 AND b.k = 2),
+fw AS (SELECT video_id, player_id, CAST(0 AS BIGINT) AS t, x, vx, y, vy, 0.1e0 AS p, 0e0 AS c, 0.5e0 AS v, x AS x0, vx AS vx0, y AS y0, vy AS vy0, 1e0 AS p0, 0e0 AS c0, 1e0 AS v0 FROM st
+ UNION ALL SELECT video_id, player_id, t, x0 + p0 / (p0 + 0.1e0) * coalesce(ox - x0, 0), vx0 + c0 / (p0 + 0.1e0) * coalesce(ox - x0, 0), y0 + p0 / (p0 + 0.1e0) * coalesce(oy - y0, 0), vy0 + c0 / (p0 + 0.1e0) * coalesce(oy - y0, 0),
+  (1 - p0 / (p0 + 0.1e0)) * p0, (1 - p0 / (p0 + 0.1e0)) * c0, v0 - c0 / (p0 + 0.1e0) * c0, x0, vx0, y0, vy0, p0, c0, v0
+  FROM (SELECT fw.video_id, fw.player_id, cl.t, cl.ox, cl.oy, x + vx AS x0, vx AS vx0, y + vy AS y0, vy AS vy0, p + 2 * c + v + 0.01e0 AS p0, c + v AS c0, v + 0.1e0 AS v0 FROM fw JOIN cl ON cl.video_id = fw.video_id AND cl.player_id = fw.player_id AND cl.t = fw.t + 1)),
+kept AS (SELECT *, max(t) OVER (PARTITION BY video_id, player_id) AS n FROM fw WHERE t > 0),
+gain AS (SELECT a.*, b.x0 AS nx, b.vx0 AS nvx, b.y0 AS ny, b.vy0 AS nvy, ((a.p + a.c) * b.v0 - a.c * b.c0) / (b.p0 * b.v0 - b.c0 * b.c0) AS j11, (a.c * b.p0 - (a.p + a.c) * b.c0) / (b.p0 * b.v0 - b.c0 * b.c0) AS j12,
+ ((a.c + a.v) * b.v0 - a.v * b.c0) / (b.p0 * b.v0 - b.c0 * b.c0) AS j21, (a.v * b.p0 - (a.c + a.v) * b.c0) / (b.p0 * b.v0 - b.c0 * b.c0) AS j22 FROM kept a JOIN kept b ON a.video_id = b.video_id AND a.player_id = b.player_id AND b.t = a.t + 1),
+bw AS (SELECT video_id, player_id, t, x, vx, y, vy FROM kept WHERE t = n
+ UNION ALL SELECT g.video_id, g.player_id, g.t, g.x + j11 * (bw.x - nx) + j12 * (bw.vx - nvx), g.vx + j21 * (bw.x - nx) + j22 * (bw.vx - nvx), g.y + j11 * (bw.y - ny) + j12 * (bw.vy - nvy), g.vy + j21 * (bw.y - ny) + j22 * (bw.vy - nvy)
+  FROM bw JOIN gain g ON g.video_id = bw.video_id AND g.player_id = bw.player_id AND g.t = bw.t - 1)"""
+
+
+@query("g11_smooth_positions", sql(f"WITH {_KALMAN} SELECT cl.video_id, cl.frame_id, cl.player_id, round(bw.x + 1e-9, 6) AS court_x, round(bw.y + 1e-9, 6) AS court_y FROM bw JOIN cl ON cl.video_id = bw.video_id AND cl.player_id = bw.player_id AND cl.t = bw.t", "players", "homographies", recursive=True))
+def g11(t: Tables) -> DataFrame:
+    """Every third frame has no position; the smoother gives one."""
+    got = smooth.smooth_positions(_court(t)).select(*FRAME, "player_id", "court_x", "court_y")
+    return got.withColumns({c: F.round(F.col(c) + 1e-9, 6) for c in ("court_x", "court_y")})
+
+
+@query("e16_optimal_pairs", sql(f"WITH {_POSES} SELECT p.video_id, p.frame_id, p.player_id AS gt_id, q.det_idx AS pred_id FROM players p JOIN poses q ON p.video_id = q.video_id AND p.frame_id = q.frame_id AND q.det_idx = 11 - p.det_idx WHERE {_iou('p', 'q')} >= 0.3", "players"))
+def e16(t: Tables) -> DataFrame:
+    """Poses are moved boxes of the players: each one's own is its best."""
+    return metrics.optimal_frame_pairs(t.players.withColumnRenamed("player_id", "id"), _poses(t).withColumn("id", F.col("det_idx")), 0.3)
+
+
 # -- the ball ------------------------------------------------------------------------------------------------------------------
 
 

@@ -421,11 +421,6 @@ def g7(t: Tables) -> DataFrame:
     return smooth.clean_outliers(_court(t)).select("video_id", "player_id", "frame_id", F.round(F.col("court_x") + 1e-9, 6).alias("court_x"))
 
 
-@query("g11_smooth_positions")
-def g11(t: Tables) -> DataFrame:
-    return smooth.smooth_positions(_court(t)).select(*FRAME, "player_id", "court_x", "court_y")
-
-
 @query("g12_interpolated_balls", sql("""WITH b AS (SELECT * FROM balls WHERE frame_id % 5 IN (0, 1) AND frame_id % 70 < 66), n AS (SELECT *, lead(frame_id) OVER w AS f2, lead(x1) OVER w AS a, lead(y1) OVER w AS b, lead(x2) OVER w AS c, lead(y2) OVER w AS d FROM b WINDOW w AS (PARTITION BY video_id ORDER BY frame_id))
 SELECT video_id, frame_id, confidence, x1, y1, x2, y2 FROM b UNION ALL
 SELECT video_id, frame_id + k, 0e0, CAST(round_even(x1 + (a - x1) * (k / CAST(f2 - frame_id AS DOUBLE)), 0) AS BIGINT), CAST(round_even(y1 + (b - y1) * (k / CAST(f2 - frame_id AS DOUBLE)), 0) AS BIGINT),
@@ -615,10 +610,4 @@ def d17(t: Tables) -> DataFrame:
     return f.select("video_id", "shot_start_frame", "det_idx", F.array_contains("faults", "shot_order").alias("bad_order"), F.array_contains("faults", "shot_outside_clip").alias("outside"))
 
 
-@query("e16_optimal_pairs")
-def e16(t: Tables) -> DataFrame:
-    gt = t.players.withColumnRenamed("player_id", "id")
-    return metrics.optimal_frame_pairs(gt, _poses(t).withColumn("id", F.col("det_idx")), 0.3)
-
-
 from . import extra, files  # noqa: E402, F401  (they add theirs)
