@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import forest, warc
+from . import forest, lloyd, warc
 from .interpolate import op7_interpolation
 from .langid import op5_langid
 from .licenses import op3_licenses
@@ -29,10 +29,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_segmentations": op9_segmentations,
     "op10_simhash": op10_simhash,
     "op11_forest": forest.op11_forest,
+    "op12_lloyd": lloyd.op12_lloyd,
 }
 
 #: Queries without SQL have methods beyond it; the tests compare them with brute force.
 ORACLE_SQL: dict[str, str] = {
     "op4_warc": warc.ORACLE,
     "op11_forest": forest.ORACLE,
+    "op12_lloyd": lloyd.ORACLE,
 }
