@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import forest, lloyd, warc
+from . import forest, lloyd, ranked, warc
 from .interpolate import op7_interpolation
 from .langid import op5_langid
 from .licenses import op3_licenses
@@ -30,6 +30,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_simhash": op10_simhash,
     "op11_forest": forest.op11_forest,
     "op12_lloyd": lloyd.op12_lloyd,
+    "op13_ranked": ranked.op13_ranked,
 }
 
 #: Queries without SQL have methods beyond it; the tests compare them with brute force.
@@ -37,4 +38,5 @@ ORACLE_SQL: dict[str, str] = {
     "op4_warc": warc.ORACLE,
     "op11_forest": forest.ORACLE,
     "op12_lloyd": lloyd.ORACLE,
+    "op13_ranked": ranked.ORACLE,
 }
