@@ -21,9 +21,10 @@ import hashlib
 import re
 import struct
 import zlib
+from bisect import bisect_left
 from collections.abc import Callable
 from functools import cache
-from typing import NamedTuple
+from typing import NamedTuple, TypeVar
 
 import ahocorasick
 import numpy as np
@@ -36,6 +37,7 @@ from pyspark.sql.types import BinaryType, StringType, StructField, StructType, _
 from ..runtime import ship
 from . import common as C
 
+T = TypeVar("T")
 UNIT = 576  # samples in a row of a stored picture
 
 
@@ -73,6 +75,18 @@ def to_au(x: bytes) -> bytes:
 # -- validators: at the place of a signature, the format's extent, or None -----------------------------------------------------
 
 
+def of_blob(f: Callable[[bytes], T]) -> Callable[[bytes], T]:
+    """``f`` once for a blob, however many places ask: what it gave last is kept with its blob."""
+    last: list[tuple[bytes, T]] = []
+
+    def kept(b: bytes) -> T:
+        if not last or last[0][0] is not b:
+            last[:] = [(b, f(b))]
+        return last[0][1]
+
+    return kept
+
+
 def _wav(b: bytes, at: int) -> Found | None:
     if b[at + 8 : at + 12] != b"WAVE":
         return None
@@ -192,14 +206,22 @@ def _pdf(b: bytes, at: int) -> Found | None:
 
 def _zip(b: bytes, at: int) -> Found | None:
     """From the first local header to the end record whose directory lies where its offsets, counted from here, say."""
-    p = at
-    while (p := b.find(b"PK\x05\x06", p + 1)) >= 0:
-        if p + 22 > len(b):
-            return None
+    end = _zip_ends(b).get(at)
+    return None if end is None else Found("application/zip", at, end, at, end)
+
+
+@of_blob
+def _zip_ends(b: bytes) -> dict[int, int]:
+    """Where archives begin, by their end records, and end; of several end records of one beginning the first counts."""
+    found: dict[int, int] = {}
+    p = b.find(b"PK\x05\x06")
+    while 0 <= p <= len(b) - 22:
         count, size, offset, comment = struct.unpack_from("<HIIH", b, p + 10)
-        if at + offset + size == p and p + 22 + comment <= len(b) and (not count or b.startswith(b"PK\x01\x02", at + offset)):
-            return Found("application/zip", at, p + 22 + comment, at, p + 22 + comment)
-    return None
+        at = p - size - offset
+        if at >= 0 and p + 22 + comment <= len(b) and (not count or b.startswith(b"PK\x01\x02", p - size)):
+            found.setdefault(at, p + 22 + comment)
+        p = b.find(b"PK\x05\x06", p + 1)
+    return found
 
 
 def _ogg(b: bytes, at: int) -> Found | None:
@@ -226,24 +248,49 @@ def _ogg(b: bytes, at: int) -> Found | None:
 
 
 def _flac(b: bytes, at: int) -> Found | None:
-    """Metadata blocks by their lengths, the first of them the stream's description, then a frame's mark; it ends with the blob."""
-    p, first = at + 4, True
-    while p + 4 <= len(b):
-        kind, size = b[p] & 127, int.from_bytes(b[p + 1 : p + 4], "big")
-        if first != (kind == 0) or kind == 127 or (first and size != 34) or p + 4 + size > len(b):
-            return None
-        last, p, first = b[p] & 128, p + 4 + size, False
-        if last:
-            if not (p + 2 <= len(b) and b[p] == 0xFF and b[p + 1] & 0xFE == 0xF8):
-                return None
-            nxt = p
-            while (nxt := b.find(b"fLaC", nxt)) >= 0:
-                if _flac(b, nxt):
-                    break
-                nxt += 4
-            end = nxt if nxt >= 0 else len(b)
-            return Found("audio/flac", at, end, at, end)
-    return None
+    """A confirmed stream up to the next confirmed one, or the blob's end."""
+    starts = _flac_starts(b)
+    k = bisect_left(starts, at)
+    if k == len(starts) or starts[k] != at:
+        return None
+    end = starts[k + 1] if k + 1 < len(starts) else len(b)
+    return Found("audio/flac", at, end, at, end)
+
+
+@of_blob
+def _flac_starts(b: bytes) -> list[int]:
+    """Marks with metadata blocks of right lengths, the first of them the stream's description, then a frame's mark.
+
+    Blocks that several marks lead to are walked once.
+    """
+    ends_well: dict[int, bool] = {}
+
+    def walk(p: int) -> bool:
+        path = []
+        while p not in ends_well:
+            path.append(p)
+            kind, size = (b[p] & 127, int.from_bytes(b[p + 1 : p + 4], "big")) if p + 4 <= len(b) else (127, 0)
+            after = p + 4 + size
+            if kind in (0, 127) or after > len(b):
+                ends_well[p] = False
+            elif b[p] & 128:
+                ends_well[p] = _frame(after)
+            else:
+                p = after
+        for q in path:
+            ends_well[q] = ends_well[p]
+        return ends_well[p]
+
+    def _frame(p: int) -> bool:
+        return p + 2 <= len(b) and b[p] == 0xFF and b[p + 1] & 0xFE == 0xF8
+
+    starts, at = [], b.find(b"fLaC")
+    while at >= 0:
+        p = at + 4
+        if b[p + 1 : p + 4] == b"\0\0\x22" and b[p] & 127 == 0 and p + 38 <= len(b) and (_frame(p + 38) if b[p] & 128 else walk(p + 38)):
+            starts.append(at)
+        at = b.find(b"fLaC", at + 4)
+    return starts
 
 
 _BOXES = {b"ftyp", b"moov", b"mdat", b"free", b"skip", b"wide", b"meta", b"uuid", b"moof", b"mfra", b"sidx", b"styp", b"pdin"}

@@ -162,6 +162,13 @@ def lines_of(records: Iterator[bytes], lines: Lines) -> Iterator[pa.RecordBatch]
         yield batch(line)
 
 
+def _declared(length: str) -> int:
+    """A declared length: plain digits alone, so that a reader always moves on."""
+    if not (length.isascii() and length.isdigit()):
+        raise ValueError(f"{length[:20]!r} is no length")
+    return int(length)
+
+
 def parse_arc(data: bytes, fields: tuple[str, ...] | None = None) -> Iterator[tuple[tuple[str, ...], ArcRecord | None]]:
     """Records of unpacked ARC bytes, each with the field names in force; a version block sets them and gives no record."""
     at = 0
@@ -173,7 +180,9 @@ def parse_arc(data: bytes, fields: tuple[str, ...] | None = None) -> Iterator[tu
         parts = data[at:eol].decode("utf-8", "replace").strip("\r").split(" ")
         start = eol + 1
         if parts[0].startswith("filedesc:"):
-            size = int(parts[-1])
+            size = _declared(parts[-1])
+            if start + size > len(data):
+                raise ValueError("a version block is cut short")
             lines = data[start : start + size].decode("utf-8", "replace").split("\n")
             version = lines[0].split(" ")[0]
             fields = tuple(lines[1].strip().split(" ")) if len(lines) > 1 and lines[1].strip() else (V2 if version == "2" else V1)
@@ -184,7 +193,7 @@ def parse_arc(data: bytes, fields: tuple[str, ...] | None = None) -> Iterator[tu
             if len(parts) != len(fields):
                 raise ValueError(f"{len(parts)} fields in a header line of {len(fields)}")
             named = dict(zip(fields, parts))
-            size = int(named["Archive-length"])
+            size = _declared(named["Archive-length"])
             if start + size > len(data):
                 raise ValueError("an ARC record is cut short")
             yield fields, ArcRecord(named["URL"], named["IP-address"], named["Archive-date"], named["Content-type"], at, data[start : start + size])

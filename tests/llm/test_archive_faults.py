@@ -1,6 +1,9 @@
 """Archives with faults, and files bounded by bytes."""
 
+from itertools import islice
+
 import numpy as np
+import pytest
 
 from courtflux.llm import common, warc
 
@@ -41,3 +44,23 @@ def test_files_are_bounded_by_bytes(spark):
     got = {r.page_id: r.size for r in warc.arc_captures(spark, path, False).collect()}
     assert got == {i: len(h) for i, _, h in rows}
     assert {r.page_id for r in warc.archive(pages, limits=(3000, 4)).collect()} == set(got)
+
+
+@pytest.mark.parametrize("length", ["-46", "+5", " 5", "5_0", "٥", "", "1" * 5000])
+def test_lengths_are_plain_digits(length):
+    """A negative length would lead back to its own header line, for ever."""
+    head = "http://h/x 0.0.0.0 20240101000000 text/html "
+    with pytest.raises(ValueError):
+        list(islice(warc.parse_arc((head + length + "\n").encode() + b"x" * 50, warc.V1), 1000))
+    with pytest.raises(ValueError):
+        list(islice(warc.parse_arc(f"filedesc://a 0.0.0.0 20240101000000 text/plain {length}\n1 0 x\n".encode()), 1000))
+
+
+def test_a_negative_length_is_rejected(spark):
+    line = b"http://h/x 0.0.0.0 20240101000000 text/html -46\n"
+    good = warc.arc_record(1, "http://h/1", warc.http_response(1, b"payload" * 20), "n", 0)
+    path = common.shared_dir(spark)
+    blob = bytearray(b"".join(map(warc.member, [warc.version_block(1, "a"), line, good])))
+    warc.write_members(spark.createDataFrame([(blob,)], "value binary").coalesce(1), path)
+    assert [r.page_id for r in warc.arc_captures(spark, path, False).collect()] == [1]
+    assert [r.member for r in warc.rejected(spark, path).collect()] == [1]

@@ -2,6 +2,7 @@
 
 import io
 import struct
+import time
 import zipfile
 
 import pytest
@@ -76,3 +77,29 @@ def test_nested(spark):
     assert bytes(rows[1].carved[1].bytes) == inner and blob[rows[1].carved[2].start : rows[1].carved[2].end] == ogg()
     assert (rows[2].type, rows[2].carved, rows[3].type, rows[3].carved) == ("x", [], None, [])
     assert rows[4].type == "application/octet-stream" and rows[4].carved == []
+
+
+def test_many_streams_in_a_blob():
+    """1,200 streams follow each other without a call inside a call, and unconfirmed marks end none."""
+    one = flac()
+    found = media.sniff(one * 1200)
+    assert [(f.start, f.end) for f in found] == [(i * len(one), (i + 1) * len(one)) for i in range(1200)]
+    marked = flac(b"\xff\xf8" + b"fLaC" * 5)
+    assert [(f.start, f.end) for f in media.sniff(marked + one)] == [(0, len(marked)), (len(marked), len(marked) + len(one))]
+
+
+def test_blocks_are_walked_once():
+    """Many marks lead to one long run of empty blocks."""
+    jump = lambda n: b"fLaC" + b"\x00\x00\x00\x22" + bytes(34) + b"\x01" + n.to_bytes(3, "big")
+    size, marks = len(jump(0)), 2000
+    blob = b"".join(jump((marks - 1 - i) * size) for i in range(marks)) + b"\x01\0\0\0" * 200_000 + b"\x81\0\0\0\xff\xf8"
+    began = time.perf_counter()
+    assert len(media.sniff(blob)) == marks and time.perf_counter() - began < 5
+
+
+def test_many_entries_of_an_archive():
+    """Every local header asks for the end records, which are looked for once."""
+    blob = zipped({f"{i}": b"x" * 2000 for i in range(20_000)})
+    began = time.perf_counter()
+    assert [(f.kind, f.start, f.end) for f in media.sniff(blob + blob)] == [("application/zip", 0, len(blob)), ("application/zip", len(blob), 2 * len(blob))]
+    assert time.perf_counter() - began < 10
