@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 from ..functions import geometry as G
 from ..runtime import ship
 from .detect import FRAME
-from .relops import paired
 
 #: Fixed values by court type, in metres: half length and width; corner mark, its length, key width, free-throw line, rim, arc, box line.
 COURTS = {
@@ -132,40 +131,6 @@ def distance(a: np.ndarray, b: np.ndarray, image_side: bool = True) -> float:
     return float(total)
 
 
-def chain(steps: list[np.ndarray | None]) -> list[np.ndarray]:
-    """Products of frame-to-frame maps from the first frame on; a missing step carries the map before."""
-    out = [np.eye(3)]
-    for s in steps:
-        out.append(out[-1] if s is None else s @ out[-1])
-    return out
-
-
-def best_segments(own: list[np.ndarray | None], maps: list[np.ndarray], score) -> list[np.ndarray | None]:
-    """Each frame's homography, or one carried over from a frame of its segment where that scores better.
-
-    Segments are halved and joined upwards: a joined segment takes, if its score grows, the one frame's homography that explains it best,
-    carried to each of its frames by the chain of maps.
-    """
-    inv = [np.linalg.inv(m) for m in maps]
-
-    def solve(a: int, z: int) -> tuple[list[np.ndarray | None], float]:
-        if z - a == 1:
-            return [own[a]], score(a, own[a])
-        mid = (a + z) // 2
-        left, right = solve(a, mid), solve(mid, z)
-        now, value = left[0] + right[0], left[1] + right[1]
-        for k in range(a, z):
-            if own[k] is None:
-                continue
-            moved = [own[k] @ maps[k] @ inv[t] for t in range(a, z)]
-            total = sum(score(t, h) for t, h in zip(range(a, z), moved))
-            if total > value:
-                now, value = moved, total
-        return now, value
-
-    return solve(0, len(own))[0] if own else []
-
-
 #: Frames of a video that are fitted in one call.
 BLOCK = 64
 
@@ -218,31 +183,6 @@ def least_squares(points: DataFrame, keep: float = 0.02, tries: int = 200, seed:
     return _by_frame(points, fit, seed)
 
 
-def replace_segments(frames: DataFrame, points: DataFrame, eps: float = 0.05) -> DataFrame:
-    """``best_segments`` of each video: frames (own homography h or null, and the map ``step`` from the frame before, null for none) scored
-    by how many of their keypoints (sx, sy) -> (dx, dy) the homography brings near their place. A video is one task's group."""
-    ship(frames.sparkSession)
-
-    def run(f: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
-        f = f.sort_values("frame_id")
-        own = [None if h is None else np.asarray(h, float).reshape(3, 3) for h in f.h]
-        steps = [None if h is None else np.asarray(h, float).reshape(3, 3) for h in f.step.iloc[1:]]
-        by = {k: (x[["sx", "sy"]].to_numpy(float), x[["dx", "dy"]].to_numpy(float)) for k, x in p.groupby("frame_id")}
-        ids = f.frame_id.tolist()
-
-        def score(t: int, h: np.ndarray | None) -> float:
-            if h is None or ids[t] not in by:
-                return 0.0
-            src, dst = by[ids[t]]
-            d = ((apply(h, src) - dst) ** 2).sum(1)
-            return float(np.exp(-d / eps**2).sum())
-
-        got = best_segments(own, chain(steps), score)
-        return pd.DataFrame({"video_id": f.video_id.to_numpy(), "frame_id": ids, "h": [None if h is None else (h / h[2, 2]).ravel().tolist() for h in got]})
-
-    return paired(frames.select(*FRAME, "h", "step"), points.select(*FRAME, "sx", "sy", "dx", "dy"), "video_id", run, "video_id long, frame_id long, h array<double>")
-
-
 def grid_errors(pairs: DataFrame, court: str, side: int = 20) -> DataFrame:
     """For (gt, pred) homographies the errors in metres of the grid points that the frame shows, as rows."""
     length, width = SIZES[court]

@@ -42,6 +42,48 @@ def band_join(left: DataFrame, right: DataFrame, on: Sequence[str], left_at: str
     return spread.join(there, cond, how).drop("__b", "__rb", *(f"__r_{c}" for c in on))
 
 
+def dyadic_nodes(a: Column, b: Column, levels: int) -> Column:
+    """The nodes (level, node) of a binary tree over the integers that make up [a, b] exactly: at most two a level; node n of level l holds n * 2^l to (n + 1) * 2^l - 1.
+
+    On a level the nodes that lie inside run from ``lo`` to ``hi``; those whose parents don't lie inside are ends of that run.
+    """
+    size = lambda level: F.call_function("shiftleft", F.lit(1).cast("long"), level)
+    lo = lambda level: F.floor((a + size(level) - 1) / size(level))
+    hi = lambda level: F.floor((b + 1) / size(level)) - 1
+
+    def of(level: Column) -> Column:
+        ends = F.array_distinct(F.array(lo(level), hi(level)))
+        some = F.filter(ends, lambda k: (lo(level) <= hi(level)) & ~F.floor(k / 2).between(lo(level + 1), hi(level + 1)))
+        return F.transform(some, lambda k: F.struct(level.alias("level"), k.alias("node")))
+
+    return F.flatten(F.transform(F.sequence(F.lit(0), F.lit(levels)), of))
+
+
+def points_in_spans(points: DataFrame, spans: DataFrame, on: Sequence[str], at: str, a: str, b: str) -> DataFrame:
+    """Pairs of a point and a span [a, b] (ends included) that holds it, for spans of any length, as an equi-join that makes each pair once.
+
+    A span goes to the nodes that make it up and a point to the nodes above it, of which a span has exactly one: some 2 log2 of its length rows
+    a span, and a row a point and level. Rows with a null in any of these columns, and spans that end before they begin, have no pairs.
+    """
+    longest = spans.agg(F.max(F.col(b) - F.col(a) + 1)).first()[0]
+    levels = max(0, int(longest or 0).bit_length() - 1)
+    spread = spans.where(F.col(a) <= F.col(b)).withColumn("__n", F.explode(dyadic_nodes(F.col(a), F.col(b), levels)))
+    above = F.transform(F.sequence(F.lit(0), F.lit(levels)), lambda level: F.struct(level.alias("level"), F.floor(F.col(at) / F.call_function("shiftleft", F.lit(1).cast("long"), level)).alias("node")))
+    there = points.where(F.col(at).isNotNull()).withColumn("__n", F.explode(above))
+    return there.join(spread, [*on, "__n"]).drop("__n")
+
+
+def overlapping(left: DataFrame, right: DataFrame, on: Sequence[str], a: tuple[str, str], b: tuple[str, str]) -> DataFrame:
+    """Pairs of spans of any length (ends included) that share a frame: of two such spans exactly one begins in the other, or both begin together.
+
+    The sides have no column in common besides ``on``. Rows with nulls in keys or ends have no pairs.
+    """
+    l, r = left.where(F.col(a[0]) <= F.col(a[1])), right.where(F.col(b[0]) <= F.col(b[1]))
+    late_right = points_in_spans(r, l, on, b[0], *a)
+    late_left = points_in_spans(l, r, on, a[0], *b).where(F.col(a[0]) > F.col(b[0]))
+    return late_right.unionByName(late_left)
+
+
 def paired(left: DataFrame, right: DataFrame, key: str, run: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
     """``run`` on both tables' rows of each key, as one grouped map over their union.
 

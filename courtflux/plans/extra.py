@@ -190,14 +190,6 @@ def e23(t: Tables) -> DataFrame:
     return _round(enrich.match_masks(t.players, masks), "iou")
 
 
-@query("e19_overlapping_spans", sql("""WITH s AS (SELECT video_id, frame_id, frame_id * 3 % 240 AS a, frame_id * 3 % 240 + det_idx AS b, det_idx % 2 AS side FROM det WHERE det_idx IN (4, 5))
-SELECT x.video_id, x.a, x.b, count(*) AS n FROM s x JOIN s y ON x.video_id = y.video_id AND x.side = 0 AND y.side = 1 AND x.a <= y.b AND y.a <= x.b GROUP BY 1, 2, 3""", "det"))
-def e19(t: Tables) -> DataFrame:
-    s = t.det.where("det_idx in (4, 5)").selectExpr("video_id", "frame_id * 3 % 240 AS a", "frame_id * 3 % 240 + det_idx AS b", "det_idx % 2 AS side")
-    pairs = stitch.overlapping(s.where("side = 0"), s.where("side = 1").selectExpr("video_id", "a AS c", "b AS d"), ["video_id"], ("a", "b"), ("c", "d"), 8)
-    return pairs.groupBy("video_id", "a", "b").agg(F.count("*").alias("n"))
-
-
 @query("e21_all_frames", sql("SELECT DISTINCT video_id, frame_id, det_idx IS NOT NULL AS has_gt, p IS NOT NULL AS has_pred FROM (SELECT video_id, frame_id, 1 AS det_idx FROM balls WHERE frame_id % 3 = 0 GROUP BY 1, 2) g FULL JOIN (SELECT video_id, frame_id, 1 AS p FROM balls WHERE frame_id % 5 = 0 GROUP BY 1, 2) q USING (video_id, frame_id)", "balls"))
 def e21(t: Tables) -> DataFrame:
     """The union of two tables' frames (H5)."""

@@ -12,7 +12,7 @@ import zipfile
 from contextlib import suppress
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
 
@@ -60,6 +60,13 @@ def scratch(spark: SparkSession) -> str:
     return path
 
 
+def written(df: DataFrame) -> DataFrame:
+    """``df`` as a table in the shared folder: cuts the lineage, is made once however often it is read, and outlives lost executors."""
+    path = scratch(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def drop(spark: SparkSession, path: str) -> None:
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)

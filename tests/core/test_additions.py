@@ -59,24 +59,6 @@ def _points(h, rng, n=12):
     return [(float(x), float(y), float(u), float(v)) for (x, y), (u, v) in zip(src, court.apply(h, src))]
 
 
-def test_segments_are_replaced(spark):
-    """A frame without or with a wrong homography takes a neighbour's, carried by the maps."""
-    rng = np.random.default_rng(2)
-    base = np.array([[1.1, 0.02, -0.4], [0.01, 0.9, -0.45], [0.01, 0.03, 1.0]])
-    step = np.array([[1, 0, 0.01], [0, 1, -0.02], [0, 0, 1.0]])
-    true = [base]
-    for _ in range(5):
-        true.append(true[-1] @ np.linalg.inv(step))
-    own = [*true]
-    own[2], own[4] = None, np.eye(3)
-    frames = [(0, t, None if h is None else [float(x) for x in h.ravel()], None if t == 0 else step.ravel().tolist()) for t, h in enumerate(own)]
-    pts = [(0, t, *p) for t, h in enumerate(true) for p in _points(h, rng)]
-    f = spark.createDataFrame(frames, "video_id long, frame_id long, h array<double>, step array<double>")
-    p = spark.createDataFrame(pts, "video_id long, frame_id long, sx double, sy double, dx double, dy double")
-    got = {r.frame_id: np.array(r.h).reshape(3, 3) for r in court.replace_segments(f, p).collect()}
-    assert all(np.allclose(got[t], true[t] / true[t][2, 2], atol=1e-6) for t in range(6))
-
-
 def test_baseline_homography(spark):
     """Outliers don't matter, and few points give none."""
     rng = np.random.default_rng(3)

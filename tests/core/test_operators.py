@@ -320,9 +320,6 @@ def test_homographies():
     assert np.allclose(court.apply(got, src[1:]), dst[1:], atol=1e-6) and court.ransac(src[:3], dst[:3]) is None
     assert court.distance(h, h) < 1e-9 < court.distance(h, np.eye(3))
     assert len(court.court_points("nba")) == 33 and all(court.mirrored(court.mirrored(i)) == i for i in range(33))
-    maps = court.chain([np.eye(3), None])
-    own = [h, np.eye(3), h]
-    assert np.allclose(court.best_segments(own, maps, lambda t, x: -np.abs(x - h).sum())[1], h)
 
 
 def test_timeline(spark):
