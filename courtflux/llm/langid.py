@@ -4,8 +4,8 @@ Each learned language has a binary codeword. For each bit a logistic classifier
 square roots of relative frequencies) predicts which half of the languages a text is of; decoding sums the losses of each codeword's
 bits, weighted by how well each bit was told apart in training, and takes the least. The gap to the next codeword flags ambiguity.
 
-Learned from a bounded sample: of each of the ``LANGUAGES`` most frequent languages (of equals the first by name) rows with low hashes of
-ids and texts, ``SAMPLE`` over the number of languages of them expected (all if it has fewer). Defined results: ``und`` with score 0 for
+Learned from a bounded sample: of each language rows with low hashes of ids and texts, ``SAMPLE`` over the number of languages of them
+expected (all if it has fewer; repeated rows count once), so that ``SAMPLE`` bounds the rows and no language is left out for its rank. Defined results: ``und`` with score 0 for
 null texts and texts without a letter, and for all if nothing could be learned. Of equal losses the first language in order of name wins,
 and the row is ambiguous. Repeated rows get equal results; an empty table gives an empty one. Texts of any length are read whole. Only
 doc_id, text and lang are read, so other columns don't clash.
@@ -26,8 +26,6 @@ from . import common as C
 BITS = 12
 #: Documents that are learned from, shared equally among the languages.
 SAMPLE = 4000
-#: Languages that are learned, the most frequent ones.
-LANGUAGES = 500
 STEPS, RATE, L2, SEED = 150, 4.0, 1e-4, 42
 AMBIGUOUS = 0.6
 LETTER = regex.compile(r"\p{L}")
@@ -117,16 +115,17 @@ def fit(x: np.ndarray, names: list[str]) -> Model:
 
 def learn(docs: DataFrame, sample: int = SAMPLE) -> Model:
     known = docs.select("doc_id", "text", "lang").where("lang is not null and text is not null").where(C.crc_of_id() % 4 != 2)
-    counts = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
-    share = [(r["lang"], sample / len(counts) / r["count"]) for r in counts]
-    sizes = docs.sparkSession.createDataFrame(share, "lang string, share double")  # at most LANGUAGES rows
-    # Rows are drawn by hashes, so a language's share is its bound over its count.
-    drawn = known.join(F.broadcast(sizes), "lang").where((F.xxhash64("doc_id", "text", F.lit(5)) % 1_000_000 + 1_000_000) % 1_000_000 < F.col("share") * 1_000_000)
+    # A row's hash decides whether it is drawn: a language's share of hashes is its bound over its count. Texts don't move until then.
+    keyed = known.withColumn("h", F.xxhash64("doc_id", "text", F.lit(5)))
+    counts = keyed.groupBy("lang").count()
+    share = counts.select("lang", (F.lit(sample) / F.lit(max(1, counts.count())) / F.col("count")).alias("share"))
+    drawn = keyed.select("lang", "h").join(share, "lang").where((F.col("h") % 1_000_000 + 1_000_000) % 1_000_000 < F.col("share") * 1_000_000).select("h").distinct()
+    some = keyed.join(F.broadcast(C.written(drawn)), "h").dropDuplicates(["lang", "h"])  # about ``sample`` hashes
 
     def f(part: pa.RecordBatch) -> dict:
-        return {"doc_id": part.column("doc_id"), "lang": part.column("lang"), "x": [r.astype(np.float16).tobytes() for r in counted(C.text_list(part.column("text")))]}
+        return {"h": part.column("h"), "lang": part.column("lang"), "x": [r.astype(np.float16).tobytes() for r in counted(C.text_list(part.column("text")))]}
 
-    got = C.map_text(drawn, ["doc_id", "text", "lang"], "doc_id long, lang string, x binary", f).toArrow().sort_by([("lang", "ascending"), ("doc_id", "ascending")])
+    got = C.map_text(some, ["h", "text", "lang"], "h long, lang string, x binary", f).toArrow().sort_by([("lang", "ascending"), ("h", "ascending")])
     x = np.frombuffer(b"".join(got.column("x").to_pylist()), np.float16).astype(np.float32).reshape(-1, 1 << BITS)
     return fit(x, got.column("lang").to_pylist())
 

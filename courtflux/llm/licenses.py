@@ -47,6 +47,7 @@ NOTICES = (
     Notice("gpl-3.0", "gnu general public license version 3", 3, ("3",)),
     Notice("gpl-2.0", "gnu general public license version 2", 3, ("2",)),
     Notice("lgpl", "gnu lesser general public license", 3),
+    Notice("lgpl", "gnu library general public license", 3),
     Notice("agpl", "gnu affero general public license", 3),
     Notice("mit", "released under the mit license", 3, ("mit",)),
     Notice("mit", "permission is hereby granted free of charge to any person", 5),
@@ -58,7 +59,11 @@ NOTICES = (
     Notice("cc-by-nc", "licensed under cc by nc 4 0", 2, ("nc",)),
     Notice("cc-by-sa", "licensed under cc by sa 4 0", 2, ("sa",)),
     Notice("cc-by-nd", "licensed under cc by nd 4 0", 2, ("nd",)),
+    Notice("cc-by-nc-sa", "licensed under cc by nc sa 4 0", 2, ("nc", "sa")),
+    Notice("cc-by-nc-nd", "licensed under cc by nc nd 4 0", 2, ("nc", "nd")),
     Notice("cc-by-nc", "creative commons attribution noncommercial", 3),
+    Notice("cc-by-nc-sa", "creative commons attribution noncommercial sharealike", 4),
+    Notice("cc-by-nc-nd", "creative commons attribution noncommercial noderivatives", 4),
     Notice("cc-by-sa", "creative commons attribution sharealike", 3),
     Notice("cc-by-nd", "creative commons attribution noderivatives", 3),
     Notice("cc-by", "creative commons attribution", 2),
@@ -67,7 +72,28 @@ NOTICES = (
     Notice("mit", "mit license", 2, ("mit",), True),
     Notice("apache", "apache license", 2, ("apache",), True),
     Notice("gpl", "gnu general public license", 3, (), True),
+    Notice("apache-2.0", "apache 2 0 license", 1, ("apache", "2", "0"), True),
+    Notice("apache-2.0", "apache license 2 0", 1, ("apache", "2", "0"), True),
+    Notice("isc", "isc license", 0, ("isc",), True),
+    Notice("cc-by-nc-sa", "cc by nc sa", 0, (), True),
+    Notice("cc-by-nc-nd", "cc by nc nd", 0, (), True),
+    Notice("cc-by-nc", "cc by nc", 0, (), True),
+    Notice("cc-by-sa", "cc by sa", 0, (), True),
+    Notice("cc-by-nd", "cc by nd", 0, (), True),
     Notice("cc-by", "cc by", 0, (), True),
+    Notice("mit", "spdx license identifier mit", 2, ("mit",)),
+    Notice("isc", "spdx license identifier isc", 2, ("isc",)),
+    Notice("unlicense", "spdx license identifier unlicense", 2, ("unlicense",)),
+    Notice("apache-2.0", "spdx license identifier apache 2 0", 2, ("apache", "2", "0")),
+    Notice("mpl-2.0", "spdx license identifier mpl 2 0", 2, ("mpl", "2", "0")),
+    Notice("gpl-2.0", "spdx license identifier gpl 2 0", 2, ("gpl", "2", "0")),
+    Notice("gpl-3.0", "spdx license identifier gpl 3 0", 2, ("gpl", "3", "0")),
+    Notice("lgpl", "spdx license identifier lgpl 2 1", 2, ("lgpl", "2", "1")),
+    Notice("lgpl", "spdx license identifier lgpl 3 0", 2, ("lgpl", "3", "0")),
+    Notice("agpl", "spdx license identifier agpl 3 0", 2, ("agpl", "3", "0")),
+    Notice("bsd", "spdx license identifier bsd 2 clause", 2, ("bsd", "2")),
+    Notice("bsd", "spdx license identifier bsd 3 clause", 2, ("bsd", "3")),
+    Notice("cc0", "spdx license identifier cc0 1 0", 2, ("cc0", "1", "0")),
 )
 
 #: Maps bytes to lower case and what is no part of a word to spaces: words are [0-9a-z] and all beyond ASCII.

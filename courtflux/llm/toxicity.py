@@ -4,7 +4,8 @@ A document's terms are its distinct lower-cased words and their five-byte prefix
 adds a weight for each term and the products of latent vectors for each pair of terms, so that pairs such as an insult beside a
 group's name count beyond their sum. Terms take part that are linked to the label alone (likelihood ratio of ``MIN_G2`` or more) or in a
 pair: among the rows that hold one of the pair, the other is linked to the label (``PAIR_G2``, as millions of pairs are tried). Pairs are
-looked for among the linked terms and those most frequent in toxic rows, ``CANDIDATES`` in all. Other terms keep weight 0.
+looked for among the linked terms and those most frequent in toxic rows, ``CANDIDATES`` in all, and only if ``MIN_PAIRS`` rows hold
+both. Other terms keep weight 0. A row that is repeated weighs in a step as often as it is there, 64 times at most.
 
 Defined results: a null or empty text has no terms and gets the score of the intercept alone. A tie of 0.5 predicts 1. Repeated rows
 get equal scores. Without any labelled row of both kinds the score is the smoothed share of toxic labels. Duplicate labels of one id

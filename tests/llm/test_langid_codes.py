@@ -1,6 +1,7 @@
 """Codewords, decoding by brute force, ties, and rows without ids."""
 
 import math
+import time
 
 import numpy as np
 
@@ -47,7 +48,15 @@ def test_rows_without_ids(spark):
     assert model.langs == ["de", "fr"] and model.predict(["haus 7", "maison 9"])[0] == ["de", "fr"]
 
 
-def test_the_most_frequent_languages(spark, monkeypatch):
-    monkeypatch.setattr(langid, "LANGUAGES", 2)
-    rows = [(4 * i, f"{lang * 3} {i}", lang) for lang, n in (("a", 5), ("b", 9), ("c", 9), ("d", 1)) for i in range(100, 100 + n)]
-    assert langid.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string")).langs == ["b", "c"]
+def test_rare_languages_are_learned(spark):
+    """No rank leaves a language out, and rows that are repeated count once."""
+    rows = [(4 * i, f"{lang * 3} {i}", lang) for lang, n in (("a", 5), ("b", 90), ("c", 90), ("d", 1)) for i in range(100, 100 + n)]
+    rows += [(400, "ddd", "d")] * 300
+    model = langid.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"), sample=3000)
+    assert model.langs == ["a", "b", "c", "d"] and model.predict(["aaa", "ddd", "ccc 1"])[0] == ["a", "d", "c"]
+
+
+def test_thousands_of_languages():
+    """As a dirty column may hold; the sample bounds them."""
+    began = time.perf_counter()
+    assert len(langid.codewords(3000)) == 3000 and time.perf_counter() - began < 20

@@ -79,7 +79,21 @@ def test_every_match_is_found(notice):
     [
         ("released under the BSD license", {"bsd"}),
         ("released under the ISC license", {"isc"}),
-        ("ISC license", set()),
+        ("ISC license", {"isc"}),
+        ("a discus license", set()),
+        ("CC BY-NC-SA 4.0", {"cc-by", "cc-by-nc-sa"}),
+        ("CC-BY-NC-ND 4.0", {"cc-by", "cc-by-nc-nd"}),
+        ("licensed under CC BY-NC-SA 4.0", {"cc-by", "cc-by-nc-sa"}),
+        ("CC BY-SA 3.0 and CC BY 4.0", {"cc-by", "cc-by-sa"}),
+        ("creative commons attribution noncommercial sharealike", {"cc-by-nc-sa"}),
+        ("Creative Commons Attribution-NonCommercial-NoDerivatives", {"cc-by-nc-nd"}),
+        ("Apache 2.0 license", {"apache-2.0"}),
+        ("the Apache License 2.0", {"apache", "apache-2.0"}),
+        ("GNU Library General Public License", {"lgpl"}),
+        ("SPDX-License-Identifier: MIT", {"mit"}),
+        ("SPDX-License-Identifer: Apache-2.0", {"apache-2.0"}),
+        ("SPDX-License-Identifier: GPL-3.0-or-later", {"gpl-3.0"}),
+        ("SPDX-License-Identifier: BSD-3-Clause", {"bsd"}),
         ("licensed under CC BY-ND 4.0", {"cc-by", "cc-by-nd"}),
         ("Mozilla Public License Version 1.1", {"mpl"}),
         ("Mozilla Public License Version 2.0", {"mpl-2.0"}),
