@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import chains, court
+from ..operators import chains, court, stitch, tracking
 from ..operators.relops import overlapping
 from ..runtime import scratch, written
 from ..streaming.events import court_tracked, gated_balls, replayed
 from ..streaming.joblog import JobLog
 from .derive import Tables, sql
 from .extra import _identities, _nearly_all, _smooth
-from .queries import FRAME, ORACLE, query
+from .queries import FPS, FRAME, ORACLE, query
 
 # -- spans ---------------------------------------------------------------------------------------------------------------------
 
@@ -210,3 +210,72 @@ def i6_streamed(t: Tables) -> DataFrame:
     rows = _timed(smooth)
     got = replayed(rows.drop("truth"), court_tracked, _end(rows.drop("truth"))).where("video_id >= 0")
     return _nearly_all(t, _identities(smooth.join(got, [*FRAME, "det_idx"])))
+
+
+# -- trackers on players that cross, hide and leave ----------------------------------------------------------------------------
+
+#: 1 and 2 cross, 2 hidden behind 1 for five frames; 4 is hidden for 40 beside 3 and comes back for 30; 5 leaves by the picture's left side and comes back after 40;
+#: 6 is gone from the middle of the court for 40 and comes back for 20; 7 and 8, of one team's colours, run through each other. Every row is a player's.
+_SCENE = """SELECT video_id, frame_id, det_idx, truth, x1, y1, x1 + 40 AS x2, y1 + 120 AS y2, confidence FROM (
+ SELECT video_id, frame_id, det_idx, player_id AS truth, confidence,
+  CASE player_id WHEN 1 THEN 300 + 6 * w WHEN 2 THEN 300 + 6 * (50 - w) WHEN 3 THEN 900 + 2 * w WHEN 4 THEN 920 + 2 * w
+   WHEN 5 THEN CASE WHEN frame_id < 60 THEN 4 * greatest(0, 38 - frame_id) ELSE 4 * greatest(0, frame_id - 81) END WHEN 6 THEN 700 + w WHEN 7 THEN 1200 + 6 * w ELSE 1200 + 6 * (50 - w) END AS x1,
+  CASE WHEN player_id <= 2 THEN 200 WHEN player_id <= 4 THEN 330 WHEN player_id = 5 THEN 460 WHEN player_id = 6 THEN 590 ELSE 720 END AS y1
+ FROM (SELECT *, abs(frame_id % 100 - 50) AS w FROM players) p
+ WHERE NOT (player_id = 2 AND frame_id % 50 BETWEEN 23 AND 27) AND NOT (player_id = 4 AND (frame_id BETWEEN 40 AND 79 OR frame_id >= 110)) AND NOT (player_id IN (5, 6) AND frame_id BETWEEN 40 AND 79) AND NOT (player_id = 6 AND frame_id >= 100)) s"""
+#: Rows whose nearest box of the frame before is another player's: where a tracker that looks at places alone goes wrong.
+_MISLED = "SELECT a.video_id, a.truth, a.frame_id, arg_min(b.truth, pow(a.x1 - b.x1, 2) + pow(a.y1 - b.y1, 2) + b.truth / 100e0) <> a.truth AS off FROM s a JOIN s b ON a.video_id = b.video_id AND a.frame_id = b.frame_id + 1 GROUP BY 1, 2, 3"
+
+
+def _scene(t: Tables) -> DataFrame:
+    rows = t.spark.sql(_SCENE.replace("FROM players", "FROM {players}"), players=t.players)
+    look = F.expr("transform(sequence(1, 8), i -> CASE WHEN i = truth THEN 1D ELSE 0.05D * (frame_id % 3) END)")
+    team = F.expr("transform(sequence(1, 4), i -> CASE WHEN i = (truth + 1) DIV 2 THEN 1D ELSE 0.1D END)")
+    return rows.withColumn("reid", look).withColumn("color", team).withColumn("court_x", (F.col("x1") + 20) / 1920 * 28 - 14).withColumn("court_y", F.col("y2") / 1080 * 15 - 7.5)
+
+
+def _scene_sql(ids: str, rows: str = "TRUE", slack: int = 0) -> str:
+    """Per player the ids it has, how many players share them, whether all of ``rows`` have one (but ``slack`` an id), and how often places mislead."""
+    return sql(f"""WITH s AS ({_SCENE}), m AS ({_MISLED})
+SELECT s.video_id, s.truth, {ids} AS ids, CAST(1 AS BIGINT) AS players, {"TRUE AS nearly_all" if slack else "count(*) AS n"}, any_value(k.misled) AS misled
+FROM s JOIN (SELECT video_id, CAST(sum(CASE WHEN off THEN 1 ELSE 0 END) AS BIGINT) AS misled FROM m GROUP BY 1) k USING (video_id) WHERE {rows} GROUP BY 1, 2""", "players")
+
+
+def _told(t: Tables, tracked: DataFrame, slack: int = 0) -> DataFrame:
+    s = _scene(t)
+    a, b = s.select("video_id", "frame_id", "truth", "x1", "y1"), s.select("video_id", (F.col("frame_id") + 1).alias("frame_id"), F.col("truth").alias("t"), F.col("x1").alias("x"), F.col("y1").alias("y"))
+    near = a.join(b, FRAME).groupBy("video_id", "frame_id", "truth").agg(F.min_by("t", F.pow(F.col("x1") - F.col("x"), 2) + F.pow(F.col("y1") - F.col("y"), 2) + F.col("t") / 100.0).alias("t"))
+    misled = near.groupBy("video_id").agg(F.sum(F.when(F.col("t") != F.col("truth"), 1).otherwise(0)).alias("misled"))
+    got = _identities(tracked).join(misled, "video_id")
+    if not slack:
+        return got
+    total = s.groupBy("video_id", "truth").agg(F.count("*").alias("total"))
+    return got.join(total, ["video_id", "truth"]).select("video_id", "truth", "ids", "players", (F.col("total") - F.col("n") <= slack * F.col("ids")).alias("nearly_all"), "misled")
+
+
+@query("i2_flow_scene", _scene_sql("CAST(1 AS BIGINT)", "NOT (truth = 6 AND frame_id > 60)"))
+def i2_scene(t: Tables) -> DataFrame:
+    """The flow keeps those who cross, links 4 behind 3 and 5 off the picture, and starts no track in the middle of the court (6)."""
+    return _told(t, tracking.track_flow(_scene(t), FPS, tracking.FlowConfig(tracks=8)))
+
+
+_TWICE = "CASE WHEN truth IN (4, 5, 6) AND min(frame_id) < 40 AND max(frame_id) > 64 THEN CAST(2 AS BIGINT) ELSE CAST(1 AS BIGINT) END"
+
+
+@query("i6_court_scene", _scene_sql(_TWICE, slack=3))
+def i6_scene(t: Tables) -> DataFrame:
+    """The court tracker keeps those who cross or hide for a few frames; those who are away for over ``max_age`` frames come back as others."""
+    return _told(t, tracking.track_court(_scene(t)), slack=3)
+
+
+@query("i9_appearance_scene", _scene_sql(_TWICE))
+def i9_scene(t: Tables) -> DataFrame:
+    return _told(t, tracking.track_appearance(_scene(t).withColumn("player_id", F.lit(-1).cast("long"))))
+
+
+@query("i11_split_scene", sql(f"WITH s AS ({_SCENE}) SELECT video_id, truth, count(*) AS n, CAST(1 AS BIGINT) AS ids, CAST(1 AS BIGINT) AS players FROM s GROUP BY 1, 2", "players"))
+def i11_scene(t: Tables) -> DataFrame:
+    """Tracklets in which 7 and 8 change places at frame 50, and which break off where 4, 5 and 6 are away: split, then merged into eight."""
+    mixed = F.expr("CASE WHEN frame_id >= 50 AND truth IN (7, 8) THEN 15 - truth WHEN frame_id > 64 AND truth IN (4, 5, 6) THEN 10 + truth ELSE truth END")
+    rows = _scene(t).withColumn("player_id", mixed.cast("long"))
+    return _identities(stitch.stitch(rows, FPS, stitch.StitchConfig(players=8)))
