@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import chains, court, stitch, tracking
 from ..operators.relops import overlapping
 from ..runtime import scratch, written
+from ..sources import lmdb, npz
 from ..streaming.events import court_tracked, gated_balls, replayed
 from ..streaming.joblog import JobLog
 from .derive import Tables, sql
@@ -279,3 +280,36 @@ def i11_scene(t: Tables) -> DataFrame:
     mixed = F.expr("CASE WHEN frame_id >= 50 AND truth IN (7, 8) THEN 15 - truth WHEN frame_id > 64 AND truth IN (4, 5, 6) THEN 10 + truth ELSE truth END")
     rows = _scene(t).withColumn("player_id", mixed.cast("long"))
     return _identities(stitch.stitch(rows, FPS, stitch.StitchConfig(players=8)))
+
+
+# -- files of other systems ----------------------------------------------------------------------------------------------------
+
+
+def _local(path: str) -> str:
+    return path.removeprefix("file://")
+
+
+@query("a18_lmdb_labels", "SELECT c_custkey AS index, c_name || repeat('x', CAST(c_custkey % 3000 AS INT)) AS label FROM customer")
+def a18_lmdb(t: Tables) -> DataFrame:
+    """Labels written as LMDB environments and read back by their pages; among keys of other kinds."""
+    c = t.read("customer")
+    label = F.concat("c_name", F.expr("repeat('x', CAST(c_custkey % 3000 AS INT))"))
+    rows = c.select(F.format_string("label-%09d", "c_custkey").cast("binary").alias("key"), label.cast("binary").alias("value"))
+    images = c.select(F.format_string("image-%09d", "c_custkey").cast("binary").alias("key"), F.col("c_name").cast("binary").alias("value"))
+    folder = _local(scratch(t.spark))
+    lmdb.write_lmdb(rows.unionAll(images), folder, 4)
+    return lmdb.labels(t.spark, folder)
+
+
+@query("b5_npz_samples", sql("""SELECT video_id, frame_id, CASE WHEN h.m IS NOT NULL THEN h.m + 1e0 END AS h0, b.x1, b.confidence FROM (SELECT DISTINCT video_id, frame_id FROM det) f
+ LEFT JOIN homographies h USING (video_id, frame_id) LEFT JOIN (SELECT video_id, frame_id, CAST(x1 AS DOUBLE) AS x1, confidence FROM balls WHERE confidence > 0.01) b USING (video_id, frame_id)""", "homographies", "balls"))
+def b5_npz(t: Tables) -> DataFrame:
+    """Samples of videos written as NPZ files and read back, those without a homography or ball masked."""
+    h = t.homographies.select(*FRAME, F.array(F.col("m") + 1.0, *(F.lit(float(i)) for i in range(1, 9))).alias("h"))
+    b = t.balls.where("confidence > 0.01").select(*FRAME, F.array(*(F.col(c).cast("double") for c in ("x1", "y1", "x2", "y2"))).alias("ball"), F.col("confidence").alias("ball_conf"))
+    none = {"rim": F.lit(None).cast("array<double>"), "rim_conf": F.lit(None).cast("double")}
+    frames = t.det.select(*FRAME).distinct().join(h, FRAME, "left").join(b, FRAME, "left").withColumns(none).withColumn("path", F.format_string("v%d.npz", "video_id"))
+    folder = scratch(t.spark)
+    npz.write_samples(frames, folder)
+    got = npz.read_samples(t.spark, folder).withColumn("video_id", F.expr("CAST(substring(path, 2, length(path) - 5) AS BIGINT)"))
+    return got.select(*FRAME, F.get("h", F.lit(0)).alias("h0"), F.get("ball", F.lit(0)).alias("x1"), F.col("ball_conf").alias("confidence"))

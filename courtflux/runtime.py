@@ -6,12 +6,15 @@ import atexit
 import io
 import os
 import shutil
+import sys
 import tempfile
 import uuid
 import zipfile
-from contextlib import suppress
+from collections.abc import Iterator
+from contextlib import contextmanager, suppress
 from pathlib import Path
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
@@ -34,6 +37,24 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(app)
 
 
+@contextmanager
+def by_value() -> Iterator[None]:
+    """Within it, code of this package is pickled itself instead of by name, for Spark's driver-side workers, which don't have what ``ship`` sends."""
+    package = sys.modules[__name__.split(".")[0]]
+    cloudpickle.register_pickle_by_value(package)
+    try:
+        yield
+    finally:
+        cloudpickle.unregister_pickle_by_value(package)
+
+
+def register_source(spark: SparkSession, source: type) -> None:
+    """Makes a Python data source of this package known to the session."""
+    ship(spark)
+    with by_value():
+        spark.dataSource.register(source)
+
+
 _folders: dict[str, set[str]] = {}
 _local: dict[str, str] = {}
 

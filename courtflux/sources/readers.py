@@ -2,12 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from pathlib import PurePosixPath
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from .. import schemas as S
 
@@ -233,40 +229,3 @@ def keypoint_boxes(frames: DataFrame, share: float = 0.02, margin: float = 0.0)
     """Projected model points (px, py in [0, 1]) as small label boxes inside the picture."""
     inside = F.col("px").between(margin, 1 - margin) & F.col("py").between(margin, 1 - margin)
     return frames.where(inside).withColumn("w", F.lit(share)).withColumn("h", F.lit(share))
-
-
-# -- NPZ -----------------------------------------------------------------------------------------------------------------------
-
-
-class NpzSource(DataSource):
-    """Frames of shot samples in NPZ files: `spark.read.format("shot_npz").option("paths", "a.npz,b.npz")`; a partition for each file.
-
-    The files must be reachable from the executors by those paths.
-    """
-
-    @classmethod
-    def name(cls) -> str:
-        return "shot_npz"
-
-    def schema(self) -> str:
-        return "path string, frame_id long, h array<double>, rim array<double>, rim_conf double, ball array<double>, ball_conf double"
-
-    def reader(self, schema) -> DataSourceReader:
-        return _NpzReader(self.options["paths"].split(","))
-
-
-class _NpzReader(DataSourceReader):
-    def __init__(self, paths: list[str]):
-        self.paths = paths
-
-    def partitions(self) -> list[InputPartition]:
-        return [InputPartition(p) for p in self.paths]
-
-    def read(self, partition: InputPartition) -> Iterator[tuple]:
-        import numpy as np
-
-        with np.load(partition.value) as z:
-            for t in range(len(z["homography"])):
-                h = z["homography"][t].ravel().tolist() if z["homography_mask"][t] > 0.5 else None
-                parts = [(z[f"{k}_bbox"][t].tolist(), float(z[f"{k}_conf"][t])) if z[f"{k}_conf"][t] > 1e-6 else (None, None) for k in ("rim", "ball")]
-                yield (str(PurePosixPath(partition.value)), t, h, *parts[0], *parts[1])

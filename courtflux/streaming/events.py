@@ -12,20 +12,18 @@ operators. They are for streams: on a batch DataFrame no time passes, and nothin
 
 from __future__ import annotations
 
-import sys
 from collections import deque
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from ..operators.ball import gate
 from ..operators.tracking import CourtConfig, CourtTracker, seen_of
-from ..runtime import scratch, written
+from ..runtime import by_value, scratch, written
 
 _ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -228,12 +226,8 @@ def _by_video(stream: DataFrame, frames: Frames, schema: str, lateness: str) ->
     some = stream.select("video_id", "frame_id", "det_idx", "ts", *(F.col(n).cast(t).alias(n) if n in stream.columns else F.lit(None).cast(t).alias(n) for n, t in frames.columns.items()))
     grouped = some.withWatermark("ts", lateness).groupBy("video_id")
     # Spark also asks the processor for its state's columns in a driver's worker, which doesn't have the shipped package: it gets the code itself.
-    package = sys.modules[__name__.split(".")[0]]
-    cloudpickle.register_pickle_by_value(package)
-    try:
+    with by_value():
         return grouped.transformWithStateInPandas(frames, f"video_id long, frame_id long, {schema}", "append", "eventTime")
-    finally:
-        cloudpickle.unregister_pickle_by_value(package)
 
 
 def court_tracked(stream: DataFrame, cfg: CourtConfig = CourtConfig(), lateness: str = "1 second", idle_ms: int = 60_000) -> DataFrame:

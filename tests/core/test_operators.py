@@ -15,7 +15,7 @@ from courtflux.functions import text as X
 from courtflux.functions import vectors as V
 from courtflux.operators import assign, ball, court, detect, enrich, metrics, possession, relops, shots, smooth, stitch, teams, tracking
 from courtflux.plans import timeline
-from courtflux.sources import readers, sinks
+from courtflux.sources import npz, readers, sinks
 
 
 def one(spark, *cols):
@@ -348,7 +348,7 @@ def test_readers(spark, tmp_path):
     both, alone = readers.discover(files)
     assert [r.stem for r in both.collect()] == ["a"] and [r.stem for r in alone.collect()] == ["b"]
     np.savez(tmp_path / "s.npz", homography=np.zeros((2, 3, 3)), homography_mask=np.array([1, 0]), rim_bbox=np.zeros((2, 4)), rim_conf=np.array([0, 0.5]), ball_bbox=np.ones((2, 4)), ball_conf=np.array([0.5, 0]))
-    spark.dataSource.register(readers.NpzSource)
+    spark.dataSource.register(npz.NpzSource)
     rows = spark.read.format("shot_npz").option("paths", str(tmp_path / "s.npz")).load().orderBy("frame_id").collect()
     assert [(r.h is None, r.rim is None, r.ball is None) for r in rows] == [(False, True, False), (True, False, True)]
 
