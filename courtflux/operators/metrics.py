@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 
 from ..functions import geometry as G
 from ..functions.text import normalized_edit_similarity
-from ..runtime import ship
+from ..runtime import ship, written
 from .assign import assignment
 from .detect import FRAME
 from .enrich import prefixed
@@ -94,17 +94,18 @@ def detection_scores(gt: DataFrame, pred: DataFrame, least: float = 0.5, by: lis
 def precision_curve(matches: DataFrame, total: int | DataFrame, by: list[str] = ()) -> DataFrame:
     """Cumulative precision and recall by falling confidence, within each value of ``by``.
 
-    Running sums are taken within coarse confidence bins and added to the bins' totals, so that no window holds all rows. ``total`` is
-    the number of ground-truth boxes, or a table of it (column total, and those of ``by`` that it depends on).
+    Rows are sorted into ranges of confidence and, where that is equal, of frames; running sums are taken within ranges and added to the sums of
+    those before, so that no window holds all rows, whatever their confidences. ``total`` is the number of ground-truth boxes, or a table of
+    it (column total, and those of ``by`` that it depends on).
     """
     by = list(by)
-    m = matches.withColumn("bin", F.floor(F.col("confidence") * 1024))
-    bins = m.groupBy(*by, "bin").agg(F.sum(F.col("hit").cast("long")).alias("h"), F.count("*").alias("c"))
-    over = Window.partitionBy(*by).orderBy(F.desc("bin")).rowsBetween(Window.unboundedPreceding, -1)
-    base = bins.select(*by, "bin", F.coalesce(F.sum("h").over(over), F.lit(0)).alias("h0"), F.coalesce(F.sum("c").over(over), F.lit(0)).alias("c0"))
     ties = [F.col(c) for c in (*FRAME, "det_idx")]
-    w = Window.partitionBy(*by, "bin").orderBy(F.desc("confidence"), *ties).rowsBetween(Window.unboundedPreceding, 0)
-    run = m.withColumn("h1", F.sum(F.col("hit").cast("long")).over(w)).withColumn("c1", F.count("*").over(w)).join(F.broadcast(base), [*by, "bin"])
+    m = written(matches.repartitionByRange(*by, F.desc("confidence"), *ties).withColumn("part", F.spark_partition_id()))
+    parts = m.groupBy(*by, "part").agg(F.sum(F.col("hit").cast("long")).alias("h"), F.count("*").alias("c"))
+    over = Window.partitionBy(*by).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    base = parts.select(*by, "part", F.coalesce(F.sum("h").over(over), F.lit(0)).alias("h0"), F.coalesce(F.sum("c").over(over), F.lit(0)).alias("c0"))
+    w = Window.partitionBy(*by, "part").orderBy(F.desc("confidence"), *ties).rowsBetween(Window.unboundedPreceding, 0)
+    run = m.withColumn("h1", F.sum(F.col("hit").cast("long")).over(w)).withColumn("c1", F.count("*").over(w)).join(base, [*by, "part"])
     run = run.withColumn("total", F.lit(total)) if isinstance(total, int) else _beside(run, total, [c for c in by if c in total.columns])
     tp, n = F.col("h0") + F.col("h1"), F.col("c0") + F.col("c1")
     return run.select(*by, "confidence", *FRAME, "det_idx", (tp / n).alias("precision"), (tp / F.greatest("total", F.lit(1))).alias("recall"))

@@ -7,8 +7,9 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from ..runtime import ship
+from ..runtime import ship, written
 
 
 def pooled(rows: DataFrame, value: str = "color", keys: tuple[str, ...] = ("video_id", "player_id")) -> DataFrame:
@@ -81,8 +82,6 @@ def split_summary(each: DataFrame) -> DataFrame:
 def weighted_histogram(pixels: DataFrame, keys: list[str], value: str, weight: str, bins: int, top: float) -> DataFrame:
     """Weights by bin, as shares of each key's sum."""
     b = F.least(F.floor(F.col(value) * bins / top), F.lit(bins - 1))
-    from pyspark.sql.window import Window
-
     each = pixels.groupBy(*keys, b.alias("bin")).agg(F.sum(weight).alias("w"))
     return each.withColumn("share", F.col("w") / F.sum("w").over(Window.partitionBy(*keys)))
 
@@ -122,11 +121,18 @@ def least_distance(a: list, b: list) -> float:
 def gallery_distances(vectors: DataFrame, block: int = 2048) -> DataFrame:
     """a, b, least: the least cosine distance of all vectors of two labels, for each a < b.
 
-    Vectors are gathered into blocks of one label and ``block`` consecutive ids; each pair of blocks is one matrix product.
+    Vectors are gathered into blocks of one label and ``block`` consecutive ids, and blocks are numbered; a pair of numbers fetches its two
+    blocks by equal keys, and is one matrix product.
     """
     ship(vectors.sparkSession)
-    blocks = vectors.where("label is not null").groupBy("label", F.floor(F.col("vec_id") / block).alias("part")).agg(F.collect_list(F.struct("embedding")).alias("rows"))
-    pairs = blocks.select(F.col("label").alias("a"), F.col("rows").alias("ra")).join(blocks.select(F.col("label").alias("b"), F.col("rows").alias("rb")), F.col("a") < F.col("b"))
+    gathered = vectors.where("label is not null").groupBy("label", F.floor(F.col("vec_id") / block).alias("part")).agg(F.collect_list(F.struct("embedding")).alias("rows"))
+    blocks = written(gathered)
+    numbered = written(blocks.select("label", "part").withColumn("n", F.row_number().over(Window.orderBy("label", "part"))))  # a row a block
+    last = numbered.count()
+    pairs = numbered.where(F.col("n") < last).select(F.col("label").alias("a"), F.col("part").alias("pa"), F.explode(F.sequence(F.col("n") + 1, F.lit(last))).alias("nb"))
+    pairs = pairs.join(numbered.select(F.col("n").alias("nb"), F.col("label").alias("b"), F.col("part").alias("pb")), "nb").where("a <> b")
+    pairs = pairs.join(blocks.select(F.col("label").alias("a"), F.col("part").alias("pa"), F.col("rows").alias("ra")), ["a", "pa"])
+    pairs = pairs.join(blocks.select(F.col("label").alias("b"), F.col("part").alias("pb"), F.col("rows").alias("rb")), ["b", "pb"]).select("a", "b", "ra", "rb")
 
     def run(batches):
         for batch in batches:

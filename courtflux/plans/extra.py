@@ -205,11 +205,12 @@ def f3(t: Tables) -> DataFrame:
     return stitch.summaries(rows).select("video_id", "player_id", F.col("jersey").alias("number"))
 
 
-@query("f6_windowed_means", sql("""SELECT player_id, frame_id, round(avg(CAST(embedding[1] AS DOUBLE)) OVER w, 6) AS m0, round(avg(CAST(embedding[64] AS DOUBLE)) OVER w, 6) AS m63, count(*) OVER w AS n
- FROM vectors WINDOW w AS (PARTITION BY player_id ORDER BY frame_id ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING)""", "vectors"))
+@query("f6_windowed_means", sql("""SELECT video_id, player_id, frame_id, round(avg(CAST(embedding[1] AS DOUBLE)) OVER w, 6) AS m0, round(avg(CAST(embedding[64] AS DOUBLE)) OVER w, 6) AS m63, count(*) OVER w AS n
+ FROM (SELECT *, CAST((frame_id - frame_id % 20) / 20 AS BIGINT) AS video_id FROM vectors) WINDOW w AS (PARTITION BY video_id, player_id ORDER BY frame_id ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING)""", "vectors"))
 def f6(t: Tables) -> DataFrame:
-    m = V.windowed_means(t.vectors, ["player_id"], "frame_id", "embedding", 3)
-    return m.select("player_id", "frame_id", F.round(F.get("mean", F.lit(0)), 6).alias("m0"), F.round(F.get("mean", F.lit(63)), 6).alias("m63"), "n")
+    rows = t.vectors.withColumn("video_id", F.expr("CAST((frame_id - frame_id % 20) / 20 AS BIGINT)"))
+    m = V.windowed_means(rows, ["video_id", "player_id"], "frame_id", "embedding", 3)
+    return m.select("video_id", "player_id", "frame_id", F.round(F.get("mean", F.lit(0)), 6).alias("m0"), F.round(F.get("mean", F.lit(63)), 6).alias("m63"), "n")
 
 
 @query("f7_robust_distances", sql(f"""WITH d AS (SELECT a.player_id AS a, b.player_id AS b, {_COS} AS d FROM vectors a JOIN vectors b ON a.player_id < b.player_id AND a.label = b.label AND a.frame_id - b.frame_id BETWEEN -8 AND 8)
@@ -724,12 +725,12 @@ def o9_segments(t: Tables) -> DataFrame:
     return T.log_segments(logs)
 
 
-@query("o13_track_vectors", sql("SELECT player_id, count(*) AS n, string_agg(CAST(frame_id AS VARCHAR), ',' ORDER BY frame_id) AS frames FROM vectors WHERE player_id <> 3 AND vec_id % 5 <> 0 GROUP BY 1", "vectors"))
+@query("o13_track_vectors", sql("SELECT CAST((frame_id - frame_id % 20) / 20 AS BIGINT) AS video_id, player_id, count(*) AS n, string_agg(CAST(frame_id AS VARCHAR), ',' ORDER BY frame_id) AS frames FROM vectors WHERE player_id <> 3 AND vec_id % 5 <> 0 GROUP BY 1, 2", "vectors"))
 def o13(t: Tables) -> DataFrame:
-    """Each track's vectors in frame order: untracked rows and null vectors don't count."""
-    rows = t.vectors.selectExpr("CAST(0 AS BIGINT) AS video_id", "CASE WHEN player_id = 3 THEN -1 ELSE player_id END AS player_id", "frame_id", "CASE WHEN vec_id % 5 <> 0 THEN embedding END AS vec")
+    """Each track's vectors in frame order, for videos of twenty frames: untracked rows and null vectors don't count."""
+    rows = t.vectors.selectExpr("CAST((frame_id - frame_id % 20) / 20 AS BIGINT) AS video_id", "CASE WHEN player_id = 3 THEN -1 ELSE player_id END AS player_id", "frame_id", "CASE WHEN vec_id % 5 <> 0 THEN embedding END AS vec")
     got = teams.track_vectors(rows, "vec")
-    return got.select("player_id", F.size("vectors").cast("long").alias("n"), F.array_join("frames", ",").alias("frames"))
+    return got.select("video_id", "player_id", F.size("vectors").cast("long").alias("n"), F.array_join("frames", ",").alias("frames"))
 
 
 @query("o14_sample_teams", sql("""WITH s AS (SELECT video_id * 250 + frame_id AS sample, team_id AS gt, (x1 + det_idx * det_idx) % 2 AS pred, det_idx FROM players WHERE det_idx < 5 OR frame_id % 3 = 0),
