@@ -52,6 +52,8 @@ def test_lengths_are_plain_digits(length):
     head = "http://h/x 0.0.0.0 20240101000000 text/html "
     with pytest.raises(ValueError):
         list(islice(warc.parse_arc((head + length + "\n").encode() + b"x" * 50, warc.V1), 1000))
+    if " " in length:  # the line's last word is a length there
+        return
     with pytest.raises(ValueError):
         list(islice(warc.parse_arc(f"filedesc://a 0.0.0.0 20240101000000 text/plain {length}\n1 0 x\n".encode()), 1000))
 
