@@ -276,17 +276,18 @@ def confirmed(groups: DataFrame, sets: DataFrame, similarity: tuple[int, int] =
 def full_sets(docs: DataFrame, wanted: DataFrame, width: int = WIDTH) -> DataFrame:
     """digest and shingles (sorted hashes) of the wanted nodes (digest, least: an id of theirs)."""
     ship(docs.sparkSession)
-    rows = docs.select("doc_id", "text").join(wanted, F.col("doc_id").eqNullSafe(F.col("least"))).select("digest", "text")
+    ids = wanted.select("least").distinct()
+    rows = docs.select("doc_id", "text").join(ids, F.col("doc_id").eqNullSafe(F.col("least")), "left_semi").select("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = _Hashes()
         for batch in batches:
             for part in C.slices(batch):
                 sets = [shingle_set(t, hashes, width).tobytes() for t in C.utf8_list(part.column("text"))]
-                keep = [xxhash.xxh3_128_digest(s) == d for s, d in zip(sets, part.column("digest").to_pylist())]  # ids may repeat
-                yield pa.RecordBatch.from_arrays([part.column("digest"), pa.array(sets, pa.binary())], names=["digest", "shingles"]).filter(pa.array(keep, pa.bool_()))
+                yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_128_digest(s) for s in sets], pa.binary()), pa.array(sets, pa.binary())], names=["digest", "shingles"])
 
-    return rows.mapInArrow(run, "digest binary, shingles binary")
+    # Ids may repeat or be null, so their rows are told apart by their sets.
+    return rows.mapInArrow(run, "digest binary, shingles binary").join(wanted.select("digest"), "digest", "left_semi").dropDuplicates(["digest"])
 
 
 def near_duplicates(docs: DataFrame, width: int = WIDTH, similarity: tuple[int, int] = SIMILARITY, crowd: int = CROWD, heavy: int = HEAVY) -> DataFrame:
