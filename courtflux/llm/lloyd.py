@@ -7,8 +7,8 @@ above, and points of a net are apart from each other by more than its radius. Tr
 each round.
 
 A round builds the centroids' tree in the same way (they are few, and known to be), and descends both trees together: a pair of nodes is
-dropped if its least distance is above the largest distance that another pair promises to the same vectors. A node that one centroid is left
-for is done as a whole, by its stored range; where points are left with several, they are compared exactly, the smaller number first. Per block
+dropped if its least distance is above the largest distance that another pair promises to the same vectors, and a centroid if the whole node lies
+on the nearer side of the plane between it and the node's nearest one. A node that one centroid is left for is done as a whole, by its stored range; where points are left with several, they are compared exactly, the smaller number first. Per block
 and centroid one row of sums goes to Spark's aggregation; ``clusters`` rows reach the driver.
 
 Defined results: rows whose vector is null, has another length, or a null or non-finite component are left out. Components are kept within
@@ -161,6 +161,14 @@ def assign(tree: Tree, centres: Tree, numbers: np.ndarray, seen: dict[str, int]
         promised = np.repeat(np.minimum.reduceat(d + reach + slack, begin), count)
         # Each centroid node has a centroid within its radius of its point, so some centroid is within d + reach of all vectors of v.
         keep = d - reach - slack <= promised
+        # Of centroids themselves, one that is farther than the nearest, by more than the node reaches over the plane between them, is nearest to none.
+        ends = centres.children[q] == 0
+        nearest = np.lexsort((np.where(ends, d, np.inf), v))[begin]
+        gap = middle[centres.lo[q]] - middle[np.repeat(centres.lo[q[nearest]], count)]
+        gap = np.sqrt(np.einsum("ij,ij->i", gap, gap))
+        best = np.repeat(np.where(ends[nearest], d[nearest], np.inf), count)
+        behind = d * d - best * best > 2 * gap * tree.radius[v] + 1e-7 * (d * d + 1)
+        keep &= ~(ends & behind)
         v, q = v[keep], q[keep]
         begin = np.flatnonzero(np.concatenate([[True], v[1:] != v[:-1]]))
         count = np.diff(np.concatenate([begin, [len(v)]]))
