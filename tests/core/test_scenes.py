@@ -36,14 +36,6 @@ def test_links_of_the_flow(scene):
     assert ids(without, "truth = 5 and frame_id < 40") != ids(without, "truth = 5 and frame_id > 60")
 
 
-def test_places_alone_are_not_enough(scene):
-    """Without vectors the players who run through each other, or stand beside each other, are taken for one another."""
-    plain = scene.drop("reid", "color")
-    for got in (tracking.track_court(plain), tracking.track_appearance(plain.withColumn("player_id", F.lit(-1).cast("long")))):
-        pairs = {(r.truth, r.player_id) for r in got.where("player_id >= 1").select("truth", "player_id").distinct().collect()}
-        assert len({p for _, p in pairs}) < len(pairs)
-
-
 def test_a_split_is_needed(scene):
     mixed = F.expr("CASE WHEN frame_id >= 50 AND truth IN (7, 8) THEN 15 - truth ELSE truth END").cast("long")
     rows = scene.withColumn("player_id", mixed)
