@@ -70,6 +70,13 @@ def test_equal_to_all_pairs(spark, crowd, heavy):
     assert 10 < len({r[2] for r in got}) < len(rows) - 15
 
 
+def test_ids_that_repeat_or_are_null(spark):
+    """Many rows of one id, and many without any, are told apart by their sets."""
+    rows = [(None if i % 2 else 7, t) for i, (_, t) in enumerate(near_corpus(9, 8, 4))]
+    got, key = result(forest.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)))
+    assert got == sorted(brute(rows), key=key)
+
+
 def test_a_dense_group_gives_few_links(spark):
     """Of 120 near copies under one prefix, each is linked once; none is lost when the last crowd is cut into pieces."""
     rng = random.Random(1)
