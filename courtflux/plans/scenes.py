@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import chains, court, stitch, tracking
+from ..operators import chains, court, em, smooth, stitch, tables, tracking
 from ..operators.relops import overlapping
 from ..runtime import scratch, written
 from ..sources import lmdb, npz
@@ -313,3 +314,62 @@ def b5_npz(t: Tables) -> DataFrame:
     npz.write_samples(frames, folder)
     got = npz.read_samples(t.spark, folder).withColumn("video_id", F.expr("CAST(substring(path, 2, length(path) - 5) AS BIGINT)"))
     return got.select(*FRAME, F.get("h", F.lit(0)).alias("h0"), F.get("ball", F.lit(0)).alias("x1"), F.col("ball_conf").alias("confidence"))
+
+
+# -- one model of all tracks ---------------------------------------------------------------------------------------------------
+
+#: Horizontal places of the ball, a frame in nine without one; the model is a random walk that is pulled back, seen with noise.
+_WALK = "SELECT video_id, frame_id, CAST(0 AS BIGINT) AS player_id, CASE WHEN frame_id % 9 <> 4 THEN (x1 - 400) / 200e0 END AS z FROM balls"
+_EM_ROUNDS = 2
+
+
+def _em_sql() -> str:
+    """Filter, smoother and new parameters of each round, for a state of one dimension, as recursive tables."""
+    parts = [f"n AS (SELECT video_id, z, row_number() OVER (PARTITION BY video_id ORDER BY frame_id) AS t FROM ({_WALK}) w)"]
+    parts.append("k0 AS (SELECT 1e0 AS a, 1e0 AS q, 1e0 AS r, 0e0 AS mean, 1e0 AS cov)")
+    for i in range(_EM_ROUNDS):
+        parts.append(f"""f{i} AS (SELECT DISTINCT video_id, CAST(0 AS BIGINT) AS t, mean AS m, cov AS p, 0e0 AS m0, 0e0 AS p0, 0e0 AS ll, CAST(NULL AS DOUBLE) AS z, a, q, r FROM n, k{i}
+ UNION ALL SELECT video_id, t, CASE WHEN z IS NULL THEN m0 ELSE m0 + p0 / (p0 + r) * (z - m0) END, CASE WHEN z IS NULL THEN p0 ELSE p0 * r / (p0 + r) END, m0, p0,
+  CASE WHEN z IS NULL THEN 0e0 ELSE -0.5e0 * (ln(2 * pi() * (p0 + r)) + pow(z - m0, 2) / (p0 + r)) END, z, a, q, r
+ FROM (SELECT n.video_id, n.t, n.z, f.a * f.m AS m0, f.a * f.a * f.p + f.q AS p0, f.a, f.q, f.r FROM f{i} f JOIN n ON n.video_id = f.video_id AND n.t = f.t + 1))""")
+        parts.append(f"""s{i} AS (SELECT f.video_id, f.t, f.m AS s, f.p AS v, CAST(NULL AS DOUBLE) AS crossed FROM f{i} f JOIN (SELECT video_id, max(t) AS t FROM n GROUP BY 1) e USING (video_id, t)
+ UNION ALL SELECT f.video_id, f.t, f.m + g * (s - y.m0), f.p + g * g * (v - y.p0), v * g + s * (f.m + g * (s - y.m0))
+ FROM (SELECT x.video_id, x.t, x.s, x.v, y.m0, y.p0, f.p * f.a / y.p0 AS g FROM s{i} x JOIN f{i} y USING (video_id, t) JOIN f{i} f ON f.video_id = x.video_id AND f.t = x.t - 1) y JOIN f{i} f ON f.video_id = y.video_id AND f.t = y.t - 1)""")
+        parts.append(f"""u{i} AS (SELECT sum(crossed) AS x, sum(CASE WHEN crossed IS NOT NULL THEN v + s * s END) AS before, sum(CASE WHEN t > 0 THEN v + s * s END) AS after, count(crossed) AS steps,
+  avg(CASE WHEN z IS NOT NULL THEN pow(z - s, 2) + v END) AS r, avg(CASE WHEN t = 0 THEN s END) AS mean, avg(CASE WHEN t = 0 THEN v + s * s END) AS first, sum(ll) AS ll FROM s{i} JOIN f{i} USING (video_id, t))""")
+        parts.append(f"k{i + 1} AS (SELECT x / before AS a, (after - x * x / before) / steps AS q, r, mean, first - mean * mean AS cov FROM u{i})")
+    rows = [f"SELECT '{c}' AS name, round({c}, 5) + 0e0 AS value FROM k{_EM_ROUNDS}" for c in ("a", "q", "r", "mean", "cov")]
+    rows += [f"SELECT 'likelihood{i}', round(ll / (SELECT count(z) FROM n), 5) FROM u{i}" for i in range(_EM_ROUNDS)]
+    return sql(f"WITH {', '.join(parts)} {' UNION ALL '.join(rows)}", "balls", recursive=True)
+
+
+@query("g10_fitted_model", _em_sql())
+def g10(t: Tables) -> DataFrame:
+    """One model of all videos' balls, and the rounds' log-likelihoods for each observation."""
+    walk = t.spark.sql(_WALK.replace("FROM balls", "FROM {balls}"), balls=t.balls)
+    one = np.eye(1)
+    model, path = em.fit(walk, smooth.Kalman(one, one, one, one, np.zeros(1), one), ["z"], _EM_ROUNDS, fixed=("h",))
+    seen = walk.where("z IS NOT NULL").agg(F.count("*").alias("n"))
+    found = em.parameters(t.spark, model).where("name <> 'h'").select("name", "value")
+    likely = t.spark.createDataFrame([(f"likelihood{i}", x) for i, x in enumerate(path)], "name string, value double")
+    return found.unionAll(likely.join(F.broadcast(seen)).select("name", F.col("value") / F.col("n"))).select("name", (F.round("value", 5) + 0.0).alias("value"))
+
+
+# -- trackers in SQL -----------------------------------------------------------------------------------------------------------
+
+
+def _by_function(t: Tables, tracker: str) -> DataFrame:
+    tables.register(t.spark)
+    return t.spark.sql(f"SELECT * FROM track(TABLE(SELECT * FROM {{scene}}), '{tracker}')", scene=_scene(t))
+
+
+@query("l_track_court", ORACLE["i6_court_scene"])
+def l_court(t: Tables) -> DataFrame:
+    """The court tracker as a table function."""
+    return _told(t, _by_function(t, "court"), slack=3)
+
+
+@query("l_track_appearance", ORACLE["i9_appearance_scene"])
+def l_appearance(t: Tables) -> DataFrame:
+    """The appearance tracker as a table function."""
+    return _told(t, _by_function(t, "appearance"))
