@@ -538,4 +538,4 @@ def track_appearance(rows: DataFrame, cfg: AppearanceConfig = AppearanceConfig()
         pdf = pdf.sort_values(["frame_id", "det_idx"]).reset_index(drop=True)
         return pdf.assign(player_id=solve(pdf))
 
-    return rows.groupBy("video_id").applyInPandas(run, rows.schema if "player_id" in rows.columns else rows.schema.add("player_id", "long"))
+    return rows.groupBy("video_id").applyInPandas(run, rows.schema if "player_id" in rows.columns else rows.select("*").schema.add("player_id", "long"))

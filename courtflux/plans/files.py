@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions import text as X
 from ..runtime import scratch
-from ..sources import readers, sinks
+from ..sources import corpora, readers, sinks
 from .derive import Tables, sql
 from .queries import FRAME, HEIGHT, WIDTH, query
 from . import timeline as T
@@ -111,11 +112,11 @@ def _documents(rows: DataFrame, value: Column) -> str:
 
 
 @query("a11_team_entries", sql("""SELECT 'v' || video_id || '.png' AS image_path, count(*) AS boxes, CAST(sum(x1) AS BIGINT) AS x, string_agg(CAST(team_id AS VARCHAR), '' ORDER BY frame_id, det_idx) AS labels
- FROM players WHERE frame_id < 30 GROUP BY video_id ORDER BY image_path LIMIT 4""", "players"))
+ FROM players GROUP BY video_id ORDER BY image_path LIMIT 4""", "players"))
 def a11(t: Tables) -> DataFrame:
     """The first four entries by image (D20), with all their boxes."""
     some = F.array_sort(F.collect_list(F.struct("frame_id", "det_idx", "x1", "y1", "x2", "y2", "team_id")))
-    each = t.players.where("frame_id < 30").groupBy("video_id").agg(some.alias("b"))
+    each = t.players.groupBy("video_id").agg(some.alias("b"))
     entry = F.struct(F.concat(F.lit("v"), F.col("video_id").cast("string"), F.lit(".png")).alias("image_path"), F.transform("b", lambda s: F.array(*(s[c] for c in ("x1", "y1", "x2", "y2")))).alias("bboxes"), F.transform("b", lambda s: s["team_id"]).alias("team_labels"))
     got = readers.team_entries(t.spark, _documents(each, F.to_json(F.array(entry))), 4)
     total = F.aggregate("bboxes", F.lit(0).cast("long"), lambda s, x: s + x[0])
@@ -176,9 +177,19 @@ def a18(t: Tables) -> DataFrame:
     return t.read("customer").select("c_custkey", X.label(X.ascii_only(raw), charset, 30).alias("label")).where("label is not null")
 
 
-@query("a19_class_ids", "SELECT * FROM (VALUES ('ball', CAST(0 AS BIGINT)), ('number', 1), ('player', 2)) v(name, id)")
+@query("a19_class_ids", """SELECT CAST(n_regionkey AS BIGINT) AS dataset, n_name AS name, CASE WHEN n_regionkey % 3 = 2 THEN n_nationkey + 5 ELSE row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) - 1 END AS id FROM nation""")
 def a19(t: Tables) -> DataFrame:
-    return t.spark.createDataFrame(sorted(readers.class_ids({0: "ball", 1: "number", 2: "player"}).items()), "name string, id long")
+    """Class names of data sets given as a list, as a list in one line, or by id."""
+    own = F.row_number().over(Window.partitionBy("n_regionkey").orderBy("n_nationkey"))
+    names = t.read("nation").select("n_regionkey", "n_nationkey", "n_name", own.alias("k"))
+    each = names.groupBy("n_regionkey").agg(F.array_sort(F.collect_list(F.struct("k", "n_nationkey", "n_name"))).alias("c"))
+    block = F.concat(F.lit("names:\n"), F.array_join(F.transform("c", lambda x: F.concat(F.lit("- "), x["n_name"])), "\n"))
+    line = F.concat(F.lit("names: ["), F.array_join(F.transform("c", lambda x: F.concat(F.lit("'"), x["n_name"], F.lit("'"))), ", "), F.lit("]"))
+    by_id = F.concat(F.lit("names:\n"), F.array_join(F.transform("c", lambda x: F.concat(F.lit("  "), (x["n_nationkey"] + 5).cast("string"), F.lit(": "), x["n_name"])), "\n"))
+    kind = F.col("n_regionkey") % 3
+    text = F.concat(F.lit("path: /data\ntrain: images\n"), F.when(kind == 0, block).when(kind == 1, line).otherwise(by_id), F.lit("\nnc: 5\n"))
+    path = _files(each.select(F.col("n_regionkey").alias("video"), text.alias("value")), "video")
+    return readers.class_names(t.spark, path).select(_video().alias("dataset"), "name", "id")
 
 
 @query("a20_clip_list", "SELECT CAST(s_suppkey AS VARCHAR) AS id, s_name AS title, CASE WHEN s_nationkey = 0 THEN NULL ELSE CAST(s_nationkey AS VARCHAR) END AS place FROM supplier")
@@ -195,6 +206,124 @@ def a22(t: Tables) -> DataFrame:
     return readers.large_enough(rows, "old", 32).select("old", F.col("index").alias("new"))
 
 
+#: Four boxes of each frame as the words of a picture.
+_WORDS = """SELECT video_id, frame_id, det_idx, x1, y1, dense_rank() OVER (PARTITION BY video_id ORDER BY frame_id) - 1 AS image,
+ row_number() OVER (PARTITION BY video_id, frame_id ORDER BY det_idx) - 1 AS place, {label} AS word FROM {det} WHERE det_idx BETWEEN 4 AND 7"""
+_TEXTOCR = "CASE WHEN (frame_id + det_idx) % 6 = 0 THEN '.' ELSE 'w ' || CAST(x1 AS STRING) END"
+_COCO = """CASE (frame_id + det_idx) % 8 WHEN 0 THEN '#' WHEN 1 THEN 'a#' WHEN 2 THEN '*' || CAST(x1 AS STRING) WHEN 3 THEN 'A&amp;' || CAST(x1 AS STRING) WHEN 4 THEN '  ' ELSE ' w' || CAST(x1 AS STRING) END"""
+_LSVT = """CASE (frame_id + det_idx) % 7 WHEN 0 THEN 'Story #' WHEN 1 THEN 'a#' WHEN 2 THEN 'LOFTINESS*' WHEN 3 THEN 'x中' ELSE 'w' || CAST(x1 AS STRING) END"""
+_PAGE = "lpad(CAST(frame_id AS STRING), 4, '0')"
+
+
+def _words(t: Tables, label: str) -> DataFrame:
+    return t.spark.sql(_WORDS.format(label=label, det="{det}"), det=t.det)
+
+
+def _words_sql(label: str, body: str) -> str:
+    return sql(f"WITH words AS ({_WORDS.format(label=label, det='det').replace('STRING', 'VARCHAR')}) {body}", "det")
+
+
+def _map(key: str, value: str) -> Column:
+    """A map in the order of its keys."""
+    return F.map_from_entries(F.array_sort(F.collect_set(F.struct(F.expr(key).alias("k"), F.expr(value).alias("v")))))
+
+
+def _keyed_files(words: DataFrame, image: str, ann: str) -> str:
+    """A document a video: images, annotations and each image's list of them, in maps by id."""
+    key = f"concat('f', {_PAGE})"
+    ids = F.array_sort(F.collect_list(F.concat_ws("_", F.expr(_PAGE), F.col("det_idx").cast("string")))).alias("ids")
+    lists = words.groupBy("video_id", "frame_id").agg(ids).groupBy("video_id").agg(_map(key, "ids").alias("imgToAnns"))
+    whole = words.groupBy("video_id").agg(_map(key, image).alias("imgs"), F.map_from_entries(F.collect_list(F.struct(F.concat_ws("_", F.expr(_PAGE), F.col("det_idx").cast("string")).alias("k"), F.expr(ann).alias("v")))).alias("anns"))
+    return _documents(whole.join(lists, "video_id"), F.to_json(F.struct("imgs", "imgToAnns", "anns")))
+
+
+def _crops(got: DataFrame, *more: str) -> DataFrame:
+    video = F.regexp_extract("document", r"video=(\d+)", 1).cast("long").alias("video_id")
+    return got.select(video, F.col("image").cast("long").alias("image"), "label", *more)
+
+
+_PLACED = ("place", "x1", "y1", "x2", "y2")
+
+
+def _longs(df: DataFrame, *names: str) -> DataFrame:
+    return df.withColumns({n: F.col(n).cast("long") for n in names})
+
+
+@query("a22_textocr", _words_sql(_TEXTOCR, """SELECT video_id, image, place, word AS label, greatest(x1 - 151, 0) AS x1, y1, greatest(x1 - 151, 0) + 61 AS x2, y1 + 21 AS y2,
+ CASE det_idx WHEN 4 THEN 0 WHEN 5 THEN 180 WHEN 6 THEN -90 ELSE 90 END AS turn FROM words WHERE word <> '.'"""))
+def a22_textocr(t: Tables) -> DataFrame:
+    """Level and upright words that begin at each of the four corners."""
+    x, y = "x1 - 150.5D", "y1 + 0.25D"
+    w, h = "CASE WHEN det_idx < 6 THEN 60D ELSE 20D END", "CASE WHEN det_idx < 6 THEN 20D ELSE 60D END"
+    corner = {"tl": f"{x}, {y}", "tr": f"{x} + {w}, {y}", "br": f"{x} + {w}, {y} + {h}", "bl": f"{x}, {y} + {h}"}
+    start = {4: ("tl", "tr", "br", "bl"), 5: ("br", "bl", "tl", "tr"), 6: ("bl", "tl", "tr", "br"), 7: ("tr", "br", "bl", "tl")}
+    points = " ".join(f"WHEN {k} THEN array({', '.join(corner[c] for c in v)})" for k, v in start.items())
+    ann = f"named_struct('utf8_string', word, 'bbox', array({x}, {y}, 60.5D, 20.25D), 'points', CASE det_idx {points} END)"
+    got = corpora.textocr(t.spark, _keyed_files(_words(t, _TEXTOCR), f"named_struct('id', concat('f', {_PAGE}), 'file_name', concat(frame_id, '.jpg'))", ann))
+    return _longs(_crops(got, *_PLACED, "turn"), *_PLACED, "turn")
+
+
+@query("a22_coco_text", _words_sql(_COCO, """SELECT video_id, image, place, replace(trim(word), '&amp;', '&') AS label, greatest(x1 - 160, 0) - CASE WHEN x1 > 160 THEN least(2, x1 - 160) ELSE 0 END AS x1, y1 - 2 AS y1,
+ least(600, greatest(x1 - 162, 0) + 35) AS x2, y1 + 23 AS y2 FROM words WHERE frame_id % 2 = 0 AND det_idx <> 5 AND frame_id % 7 <> 3 AND (frame_id + det_idx) % 5 <> 0 AND (frame_id + det_idx) % 8 NOT IN (1, 2, 4)"""))
+def a22_coco_text(t: Tables) -> DataFrame:
+    """One split's legible English print, in pictures 600 pixels wide."""
+    image = f"named_struct('id', concat('f', {_PAGE}), 'file_name', concat(frame_id, '.jpg'), 'set', CASE WHEN frame_id % 2 = 0 THEN 'train' ELSE 'val' END, 'width', 600, 'height', 1080)"
+    ann = """named_struct('utf8_string', word, 'bbox', array(x1 - 159.5D, y1 + 0.5D, 30.5D, 20.5D), 'class', CASE WHEN det_idx = 5 THEN 'handwritten' ELSE 'machine printed' END,
+      'language', CASE WHEN frame_id % 7 = 3 THEN 'not english' ELSE 'english' END, 'legibility', CASE WHEN (frame_id + det_idx) % 5 = 0 THEN 'illegible' ELSE 'legible' END)"""
+    return _longs(_crops(corpora.coco_text(t.spark, _keyed_files(_words(t, _COCO), image, ann), "train"), *_PLACED), *_PLACED)
+
+
+@query("a22_open_images", _words_sql(_TEXTOCR, """SELECT video_id, image, place, word AS label, greatest(x1 - 151, 0) AS x1, y1, greatest(x1 - 151, 0) + 61 AS x2, y1 + 21 AS y2
+ FROM words WHERE (frame_id + det_idx) % 5 <> 0 AND frame_id % 7 <> 3"""))
+def a22_open_images(t: Tables) -> DataFrame:
+    words = _words(t, _TEXTOCR)
+    ann = """named_struct('image_id', frame_id + 1000, 'bbox', array(x1 - 150.5D, y1 + 0.25D, 60.5D, 20.25D), 'attributes',
+      named_struct('transcription', word, 'legible', (frame_id + det_idx) % 5 <> 0, 'language', CASE WHEN frame_id % 7 = 3 THEN 'other' ELSE 'english' END))"""
+    in_order = F.array_sort(F.collect_list(F.struct("frame_id", "det_idx", F.expr(ann).alias("a"))))
+    images = F.array_sort(F.collect_set(F.struct((F.col("frame_id") + 1000).alias("id"), F.concat(F.col("frame_id").cast("string"), F.lit(".jpg")).alias("file_name"))))
+    each = words.groupBy("video_id").agg(images.alias("images"), in_order.alias("o")).withColumn("annotations", F.transform("o", lambda x: x["a"]))
+    got = corpora.open_images(t.spark, _documents(each, F.to_json(F.struct("images", "annotations"))))
+    return _longs(_crops(got, *_PLACED), *_PLACED)
+
+
+@query("a22_lsvt", _words_sql(_LSVT, """SELECT video_id, image, place, word AS label, x1 - 5 AS x1, y1 AS y1, x1 + 60 AS x2, y1 + 27 AS y2
+ FROM words WHERE (frame_id + det_idx) % 7 NOT IN (1, 2, 3) AND (frame_id + det_idx) % 5 <> 0"""))
+def a22_lsvt(t: Tables) -> DataFrame:
+    """Polygons of five points, pictures by name."""
+    ann = """named_struct('transcription', word, 'illegibility', (frame_id + det_idx) % 5 = 0,
+      'points', array(array(x1, y1), array(x1 + 30, y1 + 3), array(x1 + 60, y1 + 1), array(x1 + 58, y1 + 20), array(x1 - 5, y1 + 27)))"""
+    each = _words(t, _LSVT).groupBy("video_id", "frame_id").agg(F.array_sort(F.collect_list(F.struct("det_idx", F.expr(ann).alias("a")))).alias("o")).withColumn("anns", F.transform("o", lambda x: x["a"]))
+    doc = each.groupBy("video_id").agg(_map(f"concat('gt_', {_PAGE})", "anns").alias("m"))
+    return _longs(_crops(corpora.lsvt(t.spark, _documents(doc, F.to_json("m"))), *_PLACED), *_PLACED)
+
+
+@query("a22_art", _words_sql(_LSVT, f"""SELECT video_id, image, trim(word) AS label, 'gt_' || {_PAGE.replace('STRING', 'VARCHAR')} || '.jpg' AS file_name FROM words WHERE place = 0 AND frame_id % 3 <> 1 AND (frame_id + det_idx) % 5 <> 0 AND NOT contains(word, '#')"""))
+def a22_art(t: Tables) -> DataFrame:
+    """Each picture's first word, if in Latin script."""
+    ann = "named_struct('transcription', word, 'language', CASE WHEN frame_id % 3 = 1 THEN 'Chinese' ELSE 'Latin' END, 'illegibility', (frame_id + det_idx) % 5 = 0)"
+    each = _words(t, _LSVT).groupBy("video_id", "frame_id").agg(F.array_sort(F.collect_list(F.struct("det_idx", F.expr(ann).alias("a")))).alias("o")).withColumn("anns", F.transform("o", lambda x: x["a"]))
+    doc = each.groupBy("video_id").agg(_map(f"concat('gt_', {_PAGE})", "anns").alias("m"))
+    return _crops(corpora.art(t.spark, _documents(doc, F.to_json("m"))), "file_name")
+
+
+@query("a22_label_lines", """SELECT 'mlt' AS corpus, c_custkey || '.jpg' AS file_name, c_name || ', ' || c_mktsegment AS label FROM customer WHERE c_custkey % 4 <> 1 AND c_custkey % 5 <> 2
+ UNION ALL SELECT 'coco', 'val_words/' || c_custkey || '.jpg', c_name FROM customer WHERE c_custkey % 6 <> 3
+ UNION ALL SELECT 'files', 'IMG/' || n_nationkey || '.png', n_name FROM nation""")
+def a22_lines(t: Tables) -> DataFrame:
+    """Lists of lines, broken ones among them, and a file for each label."""
+    c = t.read("customer")
+    mlt = scratch(t.spark)
+    c.selectExpr("concat(c_custkey, '.jpg,', CASE c_custkey % 4 WHEN 0 THEN 'Latin' WHEN 1 THEN 'Arabic' WHEN 2 THEN 'Symbols' ELSE 'Latin' END, ',', CASE WHEN c_custkey % 5 = 2 THEN '  ' ELSE concat(c_name, ', ', c_mktsegment, ' ') END)").write.text(mlt)
+    coco = scratch(t.spark)
+    c.selectExpr("CASE WHEN c_custkey % 6 = 3 THEN concat(c_custkey, ' no label') ELSE concat(c_custkey, ', |', c_name, '|') END").write.text(coco)
+    own = _files(t.read("nation").selectExpr("n_nationkey AS n", "concat(n_name, '\nmore') AS value"), "n")
+    docs = t.spark.read.text(own, wholetext=True, recursiveFileLookup=True).select(F.concat(F.regexp_extract(F.input_file_name(), "n=([0-9]+)", 1), F.lit(".txt")).alias("name"), "value")
+    one = corpora.first_lines(docs, "png")
+    named = {"mlt": corpora.mlt19(t.spark, mlt), "coco": corpora.coco_words(t.spark, coco, "val"), "files": one}
+    parts = [d.select(F.lit(k).alias("corpus"), "file_name", "label") for k, d in named.items()]
+    return parts[0].unionAll(parts[1]).unionAll(parts[2])
+
+
 @query("b2_document_lines", sql("SELECT video_id, count(DISTINCT frame_id) AS frames, count(*) AS boxes FROM balls GROUP BY 1", "balls"))
 def b2(t: Tables) -> DataFrame:
     """Documents written, a line each without spaces, and read back."""

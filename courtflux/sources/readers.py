@@ -220,9 +220,21 @@ def keypoint_labels(points: DataFrame, share: float = 0.02, margin: float = 0.0,
     return boxes.withColumn("class_id", F.try_element_at(to, F.col("point").cast("int")).cast("long")).where("class_id is not null")
 
 
-def class_ids(names: list[str] | dict[int, str]) -> dict[str, int]:
-    """Name -> id of a data set's class names, given as a list or by id."""
-    return {n: int(i) for i, n in (names.items() if isinstance(names, dict) else enumerate(names))}
+def class_names(spark: SparkSession, path: str) -> DataFrame:
+    """(path, name, id) of the data set descriptions below a path: ``names`` as a list of lines, as a list in one line, or as lines by id.
+
+    The entry ends at the next line that begins in the first column without a dash. Quotes around names go; a file without names gives no rows.
+    """
+    docs = spark.read.text(path, wholetext=True, recursiveFileLookup=True).withColumn("path", F.input_file_name())
+    entry = F.regexp_extract("value", r"(?m)^names:([^\n]*(?:\n(?:[ \t-][^\n]*)?)*)", 1)
+    line = F.regexp_extract("e", r"^\s*\[([^\]]*)\]", 1)
+    parts = F.when(F.length(line) > 0, F.split(line, ",")).otherwise(F.split("e", "\n"))
+    full = F.filter(F.transform(parts, lambda x: F.trim(F.regexp_replace(x, r"^\s*-\s*", ""))), lambda x: x != "")
+    each = docs.withColumn("e", entry).select("path", F.posexplode(full).alias("at", "item"))
+    number = F.regexp_extract("item", r"^(\d+)\s*:\s*(.*)$", 1)
+    name = F.when(number != "", F.regexp_extract("item", r"^(\d+)\s*:\s*(.*)$", 2)).otherwise(F.col("item"))
+    bare = F.regexp_replace(name, r"""^(['"])(.*)\1$""", "$2")
+    return each.select("path", bare.alias("name"), F.when(number != "", number.cast("long")).otherwise(F.col("at").cast("long")).alias("id"))
 
 
 def keypoint_boxes(frames: DataFrame, share: float = 0.02, margin: float = 0.0) -> DataFrame:
