@@ -124,6 +124,33 @@ def inverse(h: Column) -> Column:
     return F.when(F.abs(det) > 1e-12, F.array(*(x / det for x in cof)))
 
 
+def product(a: Column, b: Column) -> Column:
+    """The product of two 3x3 matrices (row-major arrays)."""
+    x, y = ([F.get(m, F.lit(i)) for i in range(9)] for m in (a, b))
+    return F.array(*(x[3 * i] * y[j] + x[3 * i + 1] * y[3 + j] + x[3 * i + 2] * y[6 + j] for i in range(3) for j in range(3)))
+
+
+def homography_distance(a: Column, b: Column, image_side: bool = True) -> Column:
+    """How far two homographies turn nine probe vectors, both ways; probes in the picture (or on the court). Null if one is null or singular."""
+    own = F.struct(a.alias("a"), b.alias("b"), inverse(a).alias("ia"), inverse(b).alias("ib"))
+    at = (0.0, 0.5, 1.0) if image_side else (-0.5, 0.0, 0.5)
+    probes = F.array(*(F.array(F.lit(x), F.lit(y), F.lit(1.0)) for x in at for y in at))
+
+    def turned(d: Column) -> Column:
+        def one(total: Column, v: Column) -> Column:
+            x = [F.get(v, F.lit(i)) for i in range(3)]
+            w = [F.get(d, F.lit(3 * i)) * x[0] + F.get(d, F.lit(3 * i + 1)) * x[1] + F.get(d, F.lit(3 * i + 2)) * x[2] for i in range(3)]
+            dot = w[0] * x[0] + w[1] * x[1] + w[2] * x[2]
+            size = lambda c: F.sqrt(c[0] * c[0] + c[1] * c[1] + c[2] * c[2])
+            return total + 1 - dot / (size(w) * size(x))
+
+        return F.aggregate(probes, F.lit(0.0), one)
+
+    ways = lambda s: F.array(product(s["ia"], s["b"]), product(s["ib"], s["a"])) if image_side else F.array(product(s["b"], s["ia"]), product(s["a"], s["ib"]))
+    both = F.get(F.transform(F.array(own), ways), F.lit(0))
+    return F.aggregate(F.transform(both, turned), F.lit(0.0), lambda s, x: s + x)
+
+
 def metres_to_unit(x: Column, y: Column, length: float, breadth: float) -> tuple[Column, Column]:
     return x / length + 0.5, y / breadth + 0.5
 

@@ -1,6 +1,6 @@
 """All queries of the library and their SQL."""
 
-from . import scenes  # noqa: F401  registers its queries
+from . import further, scenes  # noqa: F401  register their queries
 from .queries import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]

@@ -172,6 +172,26 @@ def validation_ids(ids: list, share: float = 0.2, seed: int = 42) -> list:
     return order[: max(1, int(len(order) * share))]
 
 
+def validation_split(rows: DataFrame, keys: list[str], share: float = 0.2, seed: int = 42) -> DataFrame:
+    """Rows with ``validation``: true for exactly a share of them (rounded down, at least one), drawn by hashes of the keys and a seed.
+
+    Ranges of hashes are counted and only the range in which the share ends is sorted, so no task holds more than that. The keys must tell rows apart.
+    """
+    from ..operators.smooth import seeded
+
+    bins = 1 << 16
+    drawn = rows.withColumn("__u", seeded(keys, seed)).withColumn("__bin", F.floor(F.col("__u") * bins))
+    sizes = drawn.groupBy("__bin").agg(F.count("*").alias("__n"))  # at most ``bins`` rows
+    upto = F.sum("__n").over(Window.orderBy("__bin").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    most = F.greatest(F.lit(1), F.floor(F.sum("__n").over(Window.partitionBy()) * F.lit(share)))
+    known = sizes.withColumn("__upto", upto).withColumn("__left", most - F.col("__upto") + F.col("__n")).drop("__upto")
+    at = drawn.join(F.broadcast(known), "__bin")
+    sure = at.where("__left >= __n OR __left <= 0").withColumn("validation", F.col("__left") > 0)
+    cut = at.where("__left < __n AND __left > 0")
+    rank = F.row_number().over(Window.partitionBy("__bin").orderBy("__u", *keys))
+    return sure.unionByName(cut.withColumn("validation", rank <= F.col("__left"))).drop("__u", "__bin", "__n", "__left")
+
+
 def evaluated(predictions: DataFrame) -> DataFrame:
     """Predictions as evaluation takes them: without untracked rows."""
     return predictions.where("player_id >= 0").withColumnRenamed("player_id", "id")
