@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 from ..runtime import ship
-from .assign import Flow, assignment
+from .assign import Paths, assignment
 
 
 #: The defaults of the configurations here are those of the published pipeline's settings.
@@ -157,21 +157,27 @@ def flow_tracks(v: Video, fps: float, cfg: FlowConfig = FlowConfig(), width: flo
     """Tracks as lists of rows, by the cheapest flow; later passes add the context of the tracks before."""
     n = len(v.frame)
     width = width if width is not None else float(v.box[:, 2].max())
-    ids = np.unique(v.frame)
-    early, late = np.isin(v.frame, ids[: cfg.first_frames]), np.isin(v.frame, ids[-cfg.last_frames :])
+    ids, cut = np.unique(v.frame, return_index=True)
+    early = np.isin(v.frame, ids[: cfg.first_frames])
     left, right = (v.box[:, 0] <= cfg.margin) & (width > 0), (v.box[:, 2] >= width - cfg.margin) & (width > 0)
     edge = left | right
-    li, lj = band_pairs(v.frame, 1, cfg.max_skip)
+    # Each row of a frame may follow all rows of the ``max_skip`` frames before: a matrix a frame.
+    low, cut = np.searchsorted(v.frame, ids - cfg.max_skip), np.append(cut, n)
+    rows = np.diff(cut)
+    many = np.repeat(cut[:-1] - low, rows)
+    lj = np.repeat(np.arange(n), many)
+    li = np.arange(len(lj)) - np.repeat(np.cumsum(many) - many, many) + np.repeat(np.repeat(low, rows), many)
+    at = np.cumsum(rows * (cut[:-1] - low))[:-1]
     links = link_costs(v, li, lj, fps, cfg)
     oof = []
     for side in (left, right):
-        rows = np.flatnonzero(side)
-        i, j = band_pairs(v.frame[rows], 1, int(ids[-1] - ids[0]) if len(ids) else 0)
-        oof.append(np.stack([rows[i], rows[j]]))
+        some = np.flatnonzero(side)
+        i, j = band_pairs(v.frame[some], 1, int(ids[-1] - ids[0]) if len(ids) else 0)
+        oof.append(np.stack([some[i], some[j]]))
     oi, oj = np.unique(np.concatenate(oof, 1), axis=1) if v.look is not None and n else np.empty((2, 0), int)
     away = v.cosine(v.look, oi, oj, 1.0) + cfg.w_color * v.cosine(v.color, oi, oj, 0.0) + cfg.oof_entry
-    # Nodes: source, start_out, then (in, out, away) of each detection in frame order, end_out, sink.
-    source, start_out, end_out, sink = 0, 1, 2 + 3 * n, 3 + 3 * n
+    start = np.minimum(np.where(early, cfg.enter, np.inf), np.where(edge, cfg.enter + cfg.oof_entry, np.inf))
+    flow = Paths(cut, low, start, np.where(edge, min(0.0, cfg.leave), cfg.leave), cfg.reward)
     tracks: list[list[int]] | None = None
     look = cfg.look_back
     for k in range(cfg.passes):
@@ -185,56 +191,14 @@ def flow_tracks(v: Video, fps: float, cfg: FlowConfig = FlowConfig(), width: flo
                 hi, hj = occlusion_links(v, tracks, fps, cfg)
                 cost = v.cosine(v.look, hi, hj, 1.0) + cfg.w_color * v.cosine(v.color, hi, hj, 0.0) + (v.frame[hj] - v.frame[hi]) * cfg.occlusion_penalty
                 hidden = (hi, hj, cost + context.cost(hi, hj, cfg))
-        g = Flow(4 + 3 * n)
-        g.edge(source, start_out, cfg.tracks, 0.0)
-        through = []
-        for d in range(n):
-            a = 2 + 3 * d
-            through.append(g.edge(a, a + 1, 1, -cfg.reward))
-            if early[d]:
-                g.edge(source, a, 1, cfg.enter)
-            if edge[d]:
-                g.edge(start_out, a, 1, cfg.enter + cfg.oof_entry)
-            if late[d]:
-                g.edge(a + 1, sink, 1, cfg.leave)
-            g.edge(a + 1, end_out, 1, 0.0 if edge[d] else cfg.leave)
-            g.edge(a + 1, a + 2, 1, 0.0)
-            g.edge(a + 2, sink, 1, cfg.leave)
-            g.edge(a + 2, end_out, 1, 0.0 if edge[d] else cfg.leave)
-        g.edge(end_out, sink, cfg.tracks, 0.0)
-        for i, j, c in zip(li.tolist(), lj.tolist(), (links + more).tolist()):
-            g.edge(3 + 3 * i, 2 + 3 * j, 1, c)
-        for i, j, c in zip(oi.tolist(), oj.tolist(), (away + far).tolist()):
-            g.edge(4 + 3 * i, 2 + 3 * j, 1, c)
-        for i, j, c in zip(*(x.tolist() for x in hidden)):
-            g.edge(3 + 3 * i, 2 + 3 * j, 1, c)
-        g.solve(source, sink, cfg.tracks)
-        tracks = _paths(g, through, n)
+        near = [c.reshape(m, -1) for m, c in zip(rows.tolist(), np.split(links + more, at))]
+        flow.price(near, *(np.concatenate(x) for x in zip((oi, oj, away + far), hidden)))
+        if tracks is None or len(tracks) < cfg.tracks or not flow.still_cheapest():
+            flow.solve(cfg.tracks)
+        tracks = flow.paths()
     return tracks or []
 
 
-def _paths(g: Flow, through: list[int], n: int) -> list[list[int]]:
-    """The detections along each unit of flow, in order of their first ones."""
-    used = [g.cap[k] == 0 for k in through]
-    nxt = [-1] * n
-    for d in range(n):
-        if used[d]:
-            for node in (3 + 3 * d, 4 + 3 * d):
-                for k in g.out[node]:
-                    b = g.to[k]
-                    if not k & 1 and g.cap[k] == 0 and 2 <= b < 2 + 3 * n and b % 3 == 2:
-                        nxt[d] = (b - 2) // 3
-    reached = {x for x in nxt if x >= 0}
-    out = []
-    for d in range(n):
-        if used[d] and d not in reached:
-            path = [d]
-            while nxt[path[-1]] >= 0:
-                path.append(nxt[path[-1]])
-            out.append(path)
-    return out
-
-
 # -- frame by frame ------------------------------------------------------------------------------------------------------------
 
 
@@ -485,7 +449,12 @@ def _per_video(rows: DataFrame, solve: Callable[[pd.DataFrame], np.ndarray]) ->
         pdf = pdf.sort_values(["frame_id", "det_idx"]).reset_index(drop=True)
         return pdf.assign(player_id=solve(pdf))[schema.names]
 
-    return rows.groupBy("video_id").applyInPandas(run, schema)
+    return _spread(rows).groupBy("video_id").applyInPandas(run, schema)
+
+
+def _spread(rows: DataFrame) -> DataFrame:
+    """``rows`` by video in as many tasks as the session shuffles to: a video's rows are few, but take long, so small partitions aren't merged."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "video_id")
 
 
 def track_flow(rows: DataFrame, fps: float = 30.0, cfg: FlowConfig = FlowConfig()) -> DataFrame:
@@ -538,4 +507,4 @@ def track_appearance(rows: DataFrame, cfg: AppearanceConfig = AppearanceConfig()
         pdf = pdf.sort_values(["frame_id", "det_idx"]).reset_index(drop=True)
         return pdf.assign(player_id=solve(pdf))
 
-    return rows.groupBy("video_id").applyInPandas(run, rows.schema if "player_id" in rows.columns else rows.select("*").schema.add("player_id", "long"))
+    return _spread(rows).groupBy("video_id").applyInPandas(run, rows.schema if "player_id" in rows.columns else rows.select("*").schema.add("player_id", "long"))
