@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -96,49 +97,65 @@ def weighted_moments(pixels: DataFrame, keys: list[str], value: str, weight: str
 # -- distances of galleries ----------------------------------------------------------------------------------------------------
 
 
-def least_distance(a: list, b: list) -> float:
-    """The least cosine distance of two lists of vectors, as ``vectors.cosine_distance`` gives it for each pair."""
-
-    def by_size(rows: list) -> tuple[dict[int, np.ndarray], bool]:
-        sizes: dict[int, list] = {}
-        odd = False
-        for x in rows:
-            v = None if x is None else np.array(x, float)  # a null element is nan
-            n = np.nan if v is None else np.sqrt(v @ v)
-            if np.isfinite(n) and n >= 1e-8:
-                sizes.setdefault(len(v), []).append(v / n)
-            else:
-                odd = True
-        return {k: np.array(v) for k, v in sizes.items()}, odd
-
-    (one, odd_a), (two, odd_b) = by_size(a), by_size(b)
-    near = [float(1 - (x @ two[k].T).max()) for k, x in one.items() if k in two]
-    if odd_a or odd_b or len(one.keys() | two.keys()) > 1:
-        near.append(1.0)
+def least_distance(a: dict[int, np.ndarray], b: dict[int, np.ndarray], odd: bool) -> float:
+    """The least cosine distance of two sets of unit vectors by their length; ``odd``: one of them also has some that are null or nearly zero."""
+    near = [1.0] if odd or len(a.keys() | b.keys()) > 1 else []
+    for k, x in a.items():
+        if k in b:
+            near += [float(1 - (x[i : i + 1024] @ b[k].T).max()) for i in range(0, len(x), 1024)]  # a part of the product at a time
     return min(near)
 
 
-def gallery_distances(vectors: DataFrame, block: int = 2048) -> DataFrame:
+def _packed(rows: list) -> tuple[list[int], list[bytes], bool]:
+    """Vectors by their length as bytes of doubles at unit length, and whether some are null or nearly zero, or have a null element."""
+    sizes: dict[int, list] = {}
+    for v in rows:
+        sizes.setdefault(-1 if v is None else len(v), []).append(v)
+    odd, out = bool(sizes.pop(-1, None)), {}
+    for k, some in sizes.items():
+        v = np.array(some, float)  # a null element is nan
+        n = np.sqrt(np.einsum("ij,ij->i", v, v))
+        good = np.isfinite(n) & (n >= 1e-8)
+        odd |= not good.all()
+        if good.any():
+            out[k] = (v[good] / n[good, None]).tobytes()
+    return list(out), list(out.values()), odd
+
+
+def gallery_distances(vectors: DataFrame, block: int = 16384) -> DataFrame:
     """a, b, least: the least cosine distance of all vectors of two labels, for each a < b.
 
-    Vectors are gathered into blocks of one label and ``block`` consecutive ids, and blocks are numbered; a pair of numbers fetches its two
-    blocks by equal keys, and is one matrix product.
+    A label's vectors are dealt into blocks of some ``block`` by the hash of their ids, packed once, and blocks are numbered; a pair of numbers
+    fetches its two blocks by equal keys, and is one matrix product, taken in parts. The job is a product of the vectors by nature; blocks are
+    sent once for each other block.
     """
     ship(vectors.sparkSession)
-    gathered = vectors.where("label is not null").groupBy("label", F.floor(F.col("vec_id") / block).alias("part")).agg(F.collect_list(F.struct("embedding")).alias("rows"))
-    blocks = written(gathered)
+    kind = vectors.schema["label"].dataType.simpleString()
+    known = vectors.where("label is not null")
+    counts = known.groupBy("label").agg(F.ceil(F.count("*") / block).alias("parts"))
+    dealt = known.join(counts, "label").select("label", F.pmod(F.xxhash64("vec_id"), F.col("parts")).alias("part"), "embedding")
+
+    def pack(t: pa.Table) -> pa.Table:
+        rows = t.column("embedding").combine_chunks()
+        rows = rows.chunk(0) if isinstance(rows, pa.ChunkedArray) else rows
+        wide = set(pa.compute.list_value_length(rows).to_pylist())
+        if len(wide) == 1 and None not in wide:
+            v = rows.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(rows), -1)
+            dims, data, odd = _packed(v) if v.shape[1] else _packed(rows.to_pylist())
+        else:
+            dims, data, odd = _packed(rows.to_pylist())
+        return pa.table({"label": t.column("label")[:1], "part": t.column("part")[:1], "dims": pa.array([dims], pa.list_(pa.int32())), "data": pa.array([data], pa.list_(pa.binary())), "odd": pa.array([odd])})
+
+    blocks = written(dealt.groupBy("label", "part").applyInArrow(pack, f"label {kind}, part long, dims array<int>, data array<binary>, odd boolean"))
     numbered = written(blocks.select("label", "part").withColumn("n", F.row_number().over(Window.orderBy("label", "part"))))  # a row a block
     last = numbered.count()
     pairs = numbered.where(F.col("n") < last).select(F.col("label").alias("a"), F.col("part").alias("pa"), F.explode(F.sequence(F.col("n") + 1, F.lit(last))).alias("nb"))
     pairs = pairs.join(numbered.select(F.col("n").alias("nb"), F.col("label").alias("b"), F.col("part").alias("pb")), "nb").where("a <> b")
-    pairs = pairs.join(blocks.select(F.col("label").alias("a"), F.col("part").alias("pa"), F.col("rows").alias("ra")), ["a", "pa"])
-    pairs = pairs.join(blocks.select(F.col("label").alias("b"), F.col("part").alias("pb"), F.col("rows").alias("rb")), ["b", "pb"]).select("a", "b", "ra", "rb")
+    asked = pairs.select("a", "pa", "b", "pb", F.explode(F.array(F.struct(F.col("a").alias("label"), F.col("pa").alias("part")), F.struct(F.col("b").alias("label"), F.col("pb").alias("part")))).alias("own"))
+    fetched = asked.select("a", "pa", "b", "pb", "own.label", "own.part").join(blocks, ["label", "part"])
 
-    def run(batches):
-        for batch in batches:
-            ra, rb = batch.column("ra"), batch.column("rb")
-            least = [least_distance([x["embedding"] for x in ra[i].as_py()], [x["embedding"] for x in rb[i].as_py()]) for i in range(batch.num_rows)]
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(least, pa.float64())], names=["a", "b", "least"])
+    def product(t: pa.Table) -> pa.Table:
+        sides = [{k: np.frombuffer(x, float).reshape(-1, k) for k, x in zip(t.column("dims")[i].as_py(), t.column("data")[i].as_py())} for i in range(2)]
+        return pa.table({"a": t.column("a")[:1], "b": t.column("b")[:1], "least": pa.array([least_distance(*sides, any(t.column("odd").to_pylist()))])})
 
-    kind = vectors.schema["label"].dataType.simpleString()
-    return pairs.mapInArrow(run, f"a {kind}, b {kind}, least double").groupBy("a", "b").agg(F.min("least").alias("least"))
+    return fetched.groupBy("a", "pa", "b", "pb").applyInArrow(product, f"a {kind}, b {kind}, least double").groupBy("a", "b").agg(F.min("least").alias("least"))
