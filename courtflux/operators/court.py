@@ -90,18 +90,25 @@ def from_points(src: np.ndarray, dst: np.ndarray) -> np.ndarray:
     return np.linalg.svd(np.concatenate([a, b], -2))[2][..., -1, :].reshape(*src.shape[:-2], 3, 3)
 
 
+def _cross(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """``np.cross`` of vectors of three, which is slow."""
+    x, y, z = (a[..., i] for i in range(3))
+    u, v, w = (b[..., i] for i in range(3))
+    return np.stack([y * w - z * v, z * u - x * w, x * v - y * u], -1)
+
+
 def from_four(src: np.ndarray, dst: np.ndarray) -> np.ndarray:
     """Homographies of batches of four point pairs, up to scale: through the projective frames that both fours span; 0 where three lie on a line."""
 
     def frame(p: np.ndarray) -> np.ndarray:
         q = np.concatenate([p, np.ones((*p.shape[:-1], 1))], -1)
         a, b, c, d = (q[..., i, :] for i in range(4))
-        scale = [(np.cross(x, y) * d).sum(-1, keepdims=True) for x, y in ((b, c), (c, a), (a, b))]
+        scale = [(_cross(x, y) * d).sum(-1, keepdims=True) for x, y in ((b, c), (c, a), (a, b))]
         return np.stack([x * k for x, k in zip((a, b, c), scale)], -1)
 
     m = frame(src)
     a, b, c = (m[..., i] for i in range(3))
-    return frame(dst) @ np.stack([np.cross(b, c), np.cross(c, a), np.cross(a, b)], -2)
+    return frame(dst) @ np.stack([_cross(b, c), _cross(c, a), _cross(a, b)], -2)
 
 
 def first_four(x: np.ndarray) -> np.ndarray:
@@ -118,12 +125,12 @@ def ransac(src: np.ndarray, dst: np.ndarray, tries: int = 1000, eps: float = 0.0
     if n < 4:
         return None
     rng = np.random.default_rng(seed)
-    pick = rng.random((tries, n)).argsort(1)[:, :4]
+    pick = first_four(rng.random((tries, n)))
     h = from_four(src[pick], dst[pick])
-    a, b = np.c_[src, np.ones(n)], np.c_[dst, np.ones(n)]
-    to = a @ np.swapaxes(h, 1, 2)
-    cos = (to * b).sum(-1) / np.maximum(np.linalg.norm(to, axis=-1) * np.linalg.norm(b, axis=-1), 1e-12)
-    best = h[np.exp(-(1 - np.abs(cos)) / eps**2).sum(1).argmax()]
+    a, b = np.stack([*src.T, np.ones(n)]), np.stack([*dst.T, np.ones(n)])
+    x, y, w = (h.reshape(-1, 3) @ a).reshape(tries, 3, n).swapaxes(0, 1)  # by component: tries beside points
+    cos = (x * b[0] + y * b[1] + w) / np.maximum(np.sqrt((x * x + y * y + w * w)) * np.sqrt((b * b).sum(0)), 1e-12)
+    best = h[np.exp((np.abs(cos) - 1) / eps**2).sum(1).argmax()]
     return best / best[2, 2] if abs(best[2, 2]) > 1e-12 else best
 
 
@@ -158,7 +165,9 @@ def _by_frame(points: DataFrame, fit: Callable[[np.ndarray, np.ndarray, int], np
             out.append((video, f, None if h is None else h.ravel().tolist()))
         return pd.DataFrame(out, columns=["video_id", "frame_id", "h"])
 
-    return points.groupBy("video_id", F.floor(F.col("frame_id") / BLOCK)).applyInPandas(run, "video_id long, frame_id long, h array<double>")
+    # Points are few beside the work they make, so small partitions aren't merged.
+    keyed = points.withColumn("__block", F.floor(F.col("frame_id") / BLOCK)).repartition(int(points.sparkSession.conf.get("spark.sql.shuffle.partitions")), "video_id", "__block")
+    return keyed.groupBy("video_id", "__block").applyInPandas(run, "video_id long, frame_id long, h array<double>")
 
 
 def fit_frames(points: DataFrame, seed: int = 0) -> DataFrame:

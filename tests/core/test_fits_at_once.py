@@ -26,3 +26,13 @@ def test_baseline(monkeypatch):
 def test_first_four():
     x = np.random.default_rng(2).random((50, 33))
     assert (court.first_four(x) == x.argsort(1)[:, :4]).all() and (court.first_four(x[:, :5]) == x[:, :5].argsort(1)[:, :4]).all()
+
+
+def test_ransac_without_slow_steps(monkeypatch):
+    """Neither all of a try's points are sorted nor ``np.cross`` called; the homography is the exact one."""
+    fit = lambda src, dst: court.ransac(src, dst, seed=3)
+    src = np.random.default_rng(4).random((33, 2))
+    dst = court.apply(H, src)
+    dst[::4] += 0.3
+    monkeypatch.setattr(np, "cross", None)
+    assert np.allclose(fit(src, dst), H, atol=1e-9) and fit(src[:3], dst[:3]) is None
