@@ -37,6 +37,8 @@ MAGIC, VERSION, NO_PAGE, LONGEST_KEY = 0xBEEFC0DE, 1, (1 << 64) - 1, 511
 NODE_MOST = ((PAGE - HEAD) // 2 & ~1) - 2
 #: Bytes of a file for each partition.
 PARTITION_BYTES = 64 << 20
+#: Bytes of keys and values for each environment that is written.
+FILE_BYTES = 64 << 20
 
 
 class Pages:
@@ -283,7 +285,10 @@ def read_lmdb(spark: SparkSession, path: str, prefix: str = "", partition_bytes:
     return spark.read.format("lmdb_pages").option("prefix", prefix).option("partitionBytes", partition_bytes).load(path)
 
 
-def write_lmdb(rows: DataFrame, path: str, partitions: int = 8, mode: str = "append") -> None:
+def write_lmdb(rows: DataFrame, path: str, partitions: int = 8, mode: str = "append", file_bytes: int = FILE_BYTES) -> None:
+    """Rows (key, value) as ``partitions`` environments, more where these would have over ``file_bytes`` each: a task's work doesn't grow with the table."""
+    size = rows.agg(F.sum(F.length("key") + F.length("value"))).first()[0] or 0
+    partitions = max(partitions, -(-size // file_bytes))
     register_source(rows.sparkSession, LmdbSource)
     os.makedirs(path.removeprefix("file://"), exist_ok=True)
     sorted_for_lmdb(rows, partitions).write.format("lmdb_pages").mode(mode).save(path.removeprefix("file://"))
