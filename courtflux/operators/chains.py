@@ -17,7 +17,7 @@ from pyspark.sql.window import Window
 
 from ..functions import geometry as G
 from ..runtime import ship, written
-from .court import from_four
+from .court import fours, from_four
 from .detect import FRAME
 from .relops import paired
 
@@ -183,8 +183,8 @@ def homogeneous(p: np.ndarray) -> np.ndarray:
 
 
 def hypotheses(src: np.ndarray, dst: np.ndarray, seed: tuple[int, ...], tries: int = TRIES) -> np.ndarray:
-    """Homographies of fours of the points."""
-    pick = np.random.default_rng(seed).random((tries, len(src))).argsort(1)[:, :4]
+    """Homographies of fours of the points, of every four if these are no more than ``tries``."""
+    pick = fours(len(src), tries, seed)
     return from_four(src[pick], dst[pick])
 
 
@@ -192,9 +192,11 @@ def votes(h: np.ndarray, src: np.ndarray, dst: np.ndarray, eps: float = 0.005) -
     """Of each hypothesis the soft agreement of directions over the points; points are taken in parts."""
     total = np.zeros(len(h))
     for at in range(0, len(src), 512):
-        to = homogeneous(src[at : at + 512]) @ np.swapaxes(h, 1, 2)
-        cos = np.abs((_unit(to) * _unit(homogeneous(dst[at : at + 512]))).sum(-1))
-        total += np.exp(-(1 - cos) / eps**2).sum(1)
+        a, b = homogeneous(src[at : at + 512]).T, homogeneous(dst[at : at + 512]).T
+        x, y, w = (h.reshape(-1, 3) @ a).reshape(len(h), 3, -1).swapaxes(0, 1)  # by component: hypotheses beside points
+        size = np.maximum(np.sqrt(x * x + y * y + w * w), 1e-12) * np.sqrt((b * b).sum(0))
+        cos = np.abs(x * b[0] + y * b[1] + w) / size
+        total += np.exp((cos - 1) / eps**2).sum(1)
     return total
 
 

@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import cache
+from itertools import combinations
+from math import comb
 
 import numpy as np
 import pandas as pd
@@ -119,16 +122,27 @@ def first_four(x: np.ndarray) -> np.ndarray:
     return np.take_along_axis(some, np.take_along_axis(x, some, 1).argsort(1), 1)
 
 
+@cache
+def _all_fours(n: int) -> np.ndarray:
+    return np.array(list(combinations(range(n), 4)))
+
+
+def fours(n: int, tries: int, seed: int | tuple[int, ...]) -> np.ndarray:
+    """Fours of n places: every four once if that makes at most ``tries``, else so many drawn ones."""
+    if comb(n, 4) <= tries:
+        return _all_fours(n)
+    return first_four(np.random.default_rng(seed).random((tries, n)))
+
+
 def ransac(src: np.ndarray, dst: np.ndarray, tries: int = 1000, eps: float = 0.005, seed: int = 0) -> np.ndarray | None:
     """The homography of four of the pairs with the best soft agreement of directions over all; null under four pairs."""
     n = len(src)
     if n < 4:
         return None
-    rng = np.random.default_rng(seed)
-    pick = first_four(rng.random((tries, n)))
+    pick = fours(n, tries, seed)
     h = from_four(src[pick], dst[pick])
     a, b = np.stack([*src.T, np.ones(n)]), np.stack([*dst.T, np.ones(n)])
-    x, y, w = (h.reshape(-1, 3) @ a).reshape(tries, 3, n).swapaxes(0, 1)  # by component: tries beside points
+    x, y, w = (h.reshape(-1, 3) @ a).reshape(len(h), 3, n).swapaxes(0, 1)  # by component: fours beside points
     cos = (x * b[0] + y * b[1] + w) / np.maximum(np.sqrt((x * x + y * y + w * w)) * np.sqrt((b * b).sum(0)), 1e-12)
     best = h[np.exp((np.abs(cos) - 1) / eps**2).sum(1).argmax()]
     return best / best[2, 2] if abs(best[2, 2]) > 1e-12 else best
@@ -188,8 +202,7 @@ def least_squares(points: DataFrame, keep: float = 0.02, tries: int = 200, seed:
     def fit(src: np.ndarray, dst: np.ndarray, own: int) -> np.ndarray | None:
         if len(src) < 4:
             return None
-        rng = np.random.default_rng(own)
-        pick = first_four(rng.random((tries, len(src))))
+        pick = fours(len(src), tries, own)
         to = np.c_[src, np.ones(len(src))] @ np.swapaxes(from_four(src[pick], dst[pick]), 1, 2)  # of all fours at once
         off = to[..., :2] / np.where(np.abs(to[..., 2:]) < 1e-12, 1e-12, to[..., 2:]) - dst
         near = np.hypot(off[..., 0], off[..., 1]) <= keep

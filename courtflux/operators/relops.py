@@ -95,7 +95,9 @@ def paired(left: DataFrame, right: DataFrame, key: str, run: Callable[[pd.DataFr
     def each(rows: pd.DataFrame) -> pd.DataFrame:
         return run(*(rows.loc[rows["__side"] == i, c].reset_index(drop=True) for i, c in enumerate(own)))
 
-    return both.groupBy(key).applyInPandas(each, schema)
+    # Rows are few beside the work they make, so small partitions aren't merged.
+    spread = both.repartition(int(both.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+    return spread.groupBy(key).applyInPandas(each, schema)
 
 
 def islands(df: DataFrame, keys: Sequence[str], order: str, same: Column, name: str = "island") -> DataFrame:

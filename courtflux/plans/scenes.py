@@ -132,7 +132,7 @@ def i15(t: Tables) -> DataFrame:
     off = F.when(F.col("wrong"), F.expr("0.3 + CAST((frame_id * 17 + k * 5) % 13 AS DOUBLE) / 20")).otherwise(0.0)
     pts = seen.select(*FRAME, (F.col("qx") + F.col("frame_id") * _MOVE[0]).alias("sx"), (F.col("qy") + F.col("frame_id") * _MOVE[1]).alias("sy"), (u + off).alias("dx"), (v - off).alias("dy"))
     step = F.array(*(F.lit(x) for x in (1.0, 0.0, _MOVE[0], 0.0, 1.0, _MOVE[1], 0.0, 0.0, 1.0)))
-    own = court.fit_frames(pts)
+    own = written(court.fit_frames(pts))  # read three times
     frames = t.det.select(*FRAME).distinct().join(own, FRAME, "left").withColumn("step", step)
     got = chains.replace_segments(frames, pts, block=64).join(own.withColumnRenamed("h", "own"), FRAME, "left")
     true = F.array(*(F.expr(x.replace("frame_id", "CAST(frame_id AS DOUBLE)")) for x in _true_sql()))
