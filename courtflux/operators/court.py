@@ -11,9 +11,10 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions import geometry as G
-from ..runtime import ship
+from ..runtime import ship, written
 from .detect import FRAME
 
 #: Fixed values by court type, in metres: half length and width; corner mark, its length, key width, free-throw line, rim, arc, box line.
@@ -217,20 +218,64 @@ def least_squares(points: DataFrame, keep: float = 0.02, tries: int = 200, seed:
 
 def grid_errors(pairs: DataFrame, court: str, side: int = 20) -> DataFrame:
     """For (gt, pred) homographies the errors in metres of the grid points that the frame shows, as rows."""
+    ship(pairs.sparkSession)
     length, width = SIZES[court]
     n = side - 1
-    inv = pairs.where("pred is not null").withColumn("inv", G.inverse(F.col("gt"))).where("inv is not null")
-    cells = inv.select("*", F.explode(F.sequence(F.lit(0), F.lit(side * side - 1))).alias("cell"))
-    at = cells.withColumn("u", F.col("cell") % side / n - 0.5).withColumn("v", F.floor(F.col("cell") / side) / n - 0.5)
-    x, y = G.project(F.col("inv"), F.col("u"), F.col("v"))
-    shown = at.withColumn("px", x).withColumn("py", y).where(F.col("px").between(0, 1) & F.col("py").between(0, 1))
-    pu, pv = G.project(F.col("pred"), F.col("px"), F.col("py"))
-    return shown.withColumn("error", F.hypot((F.col("u") - pu) * length, (F.col("v") - pv) * width)).drop("inv", "px", "py", "cell")
+    cell = np.arange(side * side)
+    at = np.stack([cell % side / n - 0.5, cell // side / n - 0.5, np.ones(side * side)])
+
+    # In numpy: as columns the grid's projections, one within the other, make code too long to compile.
+    @F.pandas_udf("array<double>")
+    def errors(gt: pd.Series, pred: pd.Series) -> pd.Series:
+        out = []
+        for i in range(0, len(gt), 256):
+            m, h = (np.array([[np.nan if x is None else x for x in m] for m in c.iloc[i : i + 256]], float).reshape(-1, 3, 3) for c in (gt, pred))
+            with np.errstate(all="ignore"):
+                rest = np.stack([_cross(m[:, 1], m[:, 2]), _cross(m[:, 2], m[:, 0]), _cross(m[:, 0], m[:, 1])], -1)
+                det = (m[:, 0] * rest[:, :, 0]).sum(-1)
+                p = rest / np.where(np.abs(det) > 1e-12, det, np.nan)[:, None, None] @ at
+                p = p / p[:, 2:]
+                q = h @ p
+                error = np.hypot((at[0] - q[:, 0] / q[:, 2]) * length, (at[1] - q[:, 1] / q[:, 2]) * width)
+                error[~((p[:, :2] >= 0) & (p[:, :2] <= 1)).all(1)] = -1
+            out += list(error)
+        return pd.Series(out, dtype=object)
+
+    shown = pairs.where("gt is not null and pred is not null").withColumn("errors", errors("gt", "pred")).select(*pairs.columns, F.posexplode("errors").alias("cell", "error")).where("error <> -1")
+    return shown.select(*pairs.columns, (F.col("cell") % side / n - 0.5).alias("u"), (F.floor(F.col("cell") / side) / n - 0.5).alias("v"), "error")
+
+
+#: Buckets of errors that are counted on the way to a median, for each doubling.
+FINE = 1024
 
 
 def error_summary(errors: DataFrame, key: str = "video_id") -> DataFrame:
-    """RMSE, mean and median for each video, and over all (``overall``)."""
-    return errors.rollup(key).agg((F.grouping(key) == 1).alias("overall"), F.sqrt(F.avg(F.col("error") * F.col("error"))).alias("rmse"), F.avg("error").alias("mean"), F.median("error").alias("median"), F.count("*").alias("points"))
+    """RMSE, mean and median for each video, and over all (``overall``); null errors count as points alone, nan is above all numbers.
+
+    The medians are exact: errors are counted by buckets of their size, and only the buckets that hold the middle ones are sorted, so no
+    group's errors are held at once.
+    """
+    e = F.col("error")
+    size = F.when(F.isnan(e), F.lit(2.0**40)).when(e == 0, F.lit(-(2.0**40))).otherwise(F.floor(F.log2(F.abs(e)) * FINE) * 2.0 + 1)
+    bucket = F.when(e.isNotNull(), F.when(e < 0, -size).otherwise(size)).alias("bucket")
+    rows = errors.select(F.col(key).alias("k"), "error", bucket)
+    of_key = rows.groupBy("k", "bucket").agg(F.count("error").alias("n"), F.sum("error").alias("s"), F.sum(e * e).alias("s2"), F.count("*").alias("points"))
+    sums = written(of_key.withColumn("overall", F.lit(False)))
+    whole = sums.groupBy("bucket").agg(*(F.sum(c).alias(c) for c in ("n", "s", "s2", "points"))).withColumn("overall", F.lit(True)).withColumn("k", F.lit(None).cast(rows.schema["k"].dataType))
+    counted = sums.unionByName(whole)
+    group = Window.partitionBy("overall", "k")
+    before = F.sum("n").over(group.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))
+    placed = counted.where("bucket is not null").select("overall", "k", "bucket", "n", F.coalesce(before, F.lit(0)).alias("before"), F.sum("n").over(group).alias("total"))
+    middle = written(placed.selectExpr("*", "(total - 1) div 2 AS lo", "total div 2 AS hi").where("before <= hi AND lo < before + n").drop("n", "total"))  # one or two rows a group
+    each = rows.withColumnRenamed("k", "of").withColumnRenamed("bucket", "b")
+    own = middle.where("not overall").join(each, F.expr("k <=> of AND bucket = b"))
+    inside = own.unionByName(middle.where("overall").join(each, F.expr("bucket = b"))).drop("of", "b")
+    rank = F.row_number().over(Window.partitionBy("overall", "k", "bucket").orderBy("error")) - 1 + F.col("before")
+    median = inside.withColumn("rank", rank).where("rank IN (lo, hi)").groupBy("overall", "k").agg(F.avg("error").alias("median"))
+    n, total = F.sum("n"), counted.groupBy("overall", "k")
+    summed = total.agg(F.sqrt(F.sum("s2") / n).alias("rmse"), (F.sum("s") / n).alias("mean"), F.sum("points").alias("points"))
+    found = median.select(F.col("overall").alias("o"), F.col("k").alias("of"), "median")
+    return summed.join(found, F.expr("overall = o AND k <=> of"), "left").select(F.col("k").alias(key), "overall", "rmse", "mean", "median", "points")
 
 
 # -- augmentation --------------------------------------------------------------------------------------------------------------
