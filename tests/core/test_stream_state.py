@@ -1,0 +1,11 @@
+"""Frames that are handed over at once read and write the court tracker's state once."""
+
+from courtflux.operators.tracking import CourtConfig, CourtTracker
+from courtflux.streaming import events
+
+
+def test_state_once_for_many_frames(monkeypatch):
+    calls = []
+    monkeypatch.setattr(events.CourtPlayers, "_load", lambda self: calls.append("load") or CourtTracker(self.cfg))
+    monkeypatch.setattr(events.CourtPlayers, "_save", lambda self, t, had: calls.append("save"))
+    assert events.CourtPlayers(1, CourtConfig()).frames([[], [], []]) == [[], [], []] and calls == ["load", "save"]
