@@ -93,10 +93,6 @@ class Frames(StatefulProcessor):
     def frame(self, rows: list[dict]) -> list[tuple]:
         raise NotImplementedError
 
-    def frames(self, each: list[list[dict]]) -> list[list[tuple]]:
-        """What the frames give that are handed over at once, in order."""
-        return [self.frame(rows) for rows in each]
-
     def forget(self) -> None:
         raise NotImplementedError
 
@@ -127,10 +123,9 @@ class Frames(StatefulProcessor):
             if at <= now:
                 ready.setdefault(f, []).append({"frame_id": f, "det_idx": d, "at": at} | dict(zip(self.columns, values)))
         out = []
-        order = sorted(ready, key=lambda f: (min(r["at"] for r in ready[f]), f))
-        each = [sorted(ready[f], key=lambda r: r["det_idx"]) for f in order]
-        for f, rows, got in zip(order, each, self.frames(each)):
-            out += [(key[0], f, *x) for x in got]
+        for f in sorted(ready, key=lambda f: (min(r["at"] for r in ready[f]), f)):
+            rows = sorted(ready[f], key=lambda r: r["det_idx"])
+            out += [(key[0], f, *x) for x in self.frame(rows)]
             for r in rows:
                 self.waiting.removeKey((f, r["det_idx"]))
             before = max(before, *(r["at"] for r in rows))
@@ -209,22 +204,17 @@ class CourtPlayers(Frames):
                     self.looks.removeKey((i, kind))
         for i, *row, looks in zip(t.id.tolist(), t.hits.tolist(), t.age.tolist(), t.sure.tolist(), t.mean.tolist(), t.cov.reshape(len(t.cov), 16).tolist(), t.bottom.tolist(), t.height.tolist(), t.looks):
             self.filters.updateValue((i,), tuple(row))
-            for kind in (0, 1):
-                if looks[kind]:
-                    self.looks.updateValue((i, kind), ([[float(v) for v in x] for x in looks[kind]],))
+            if row[1] == 0:  # vectors change in frames in which the player was seen
+                for kind in (0, 1):
+                    if looks[kind]:
+                        self.looks.updateValue((i, kind), ([[float(v) for v in x] for x in looks[kind]],))
 
-    def frames(self, each: list[list[dict]]) -> list[list[tuple]]:
-        """State is read and written once for all of them: each access is a call to the JVM."""
-        if not each:
-            return []
+    def frame(self, rows: list[dict]) -> list[tuple]:
         tracker = self._load()
         had = set(tracker.id.tolist())
-        out = []
-        for rows in each:
-            ids = tracker.step([seen_of(r) for r in rows])
-            out.append([(r["det_idx"], int(i)) for r, i in zip(rows, ids)])
+        ids = tracker.step([seen_of(r) for r in rows])
         self._save(tracker, had)
-        return out
+        return [(r["det_idx"], int(i)) for r, i in zip(rows, ids)]
 
     def forget(self) -> None:
         self.next.clear()
