@@ -9,6 +9,7 @@ rules. ``image`` counts a document's images and ``place`` an image's annotations
 from __future__ import annotations
 
 import html
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -53,22 +54,35 @@ def polygon_box(points: Column) -> dict[str, Column]:
     return {"x1": F.array_min(side(0)), "y1": F.array_min(side(1)), "x2": F.array_max(side(0)), "y2": F.array_max(side(1))}
 
 
+def _let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then`` of a value that is worked out once; an expression that is named several times is worked out as often, in lambdas for each element."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def quarter_turn(points: Column, left: Column, top: Column) -> Column:
     """Degrees (0, 90, 180, -90) by which a word's crop is turned to read level, from the polygon that begins at its reading start.
 
     ``points`` is a flat list x, y, x, y ... . The text runs from the middle of its first and last point to that of the two points farthest
     from there (of points equally far the later ones). Null under four points.
     """
-    at = F.transform(F.sequence(F.lit(0), F.floor(F.size(points) / 2).cast("int") - 1), lambda i: F.struct(F.get(points, 2 * i).alias("x"), F.get(points, 2 * i + 1).alias("y")))
+    index = F.sequence(F.lit(0), F.floor(F.size(points) / 2).cast("int") - 1)
     square = lambda p, x, y: (p["x"] - x) * (p["x"] - x) + (p["y"] - y) * (p["y"] - y)
-    first, last = F.element_at(at, 1), F.element_at(at, -1)
-    mx, my = (first["x"] + last["x"]) / 2, (first["y"] + last["y"]) / 2
-    far = F.slice(F.array_sort(F.transform(at, lambda p, i: F.struct(square(p, mx, my).alias("d"), i.alias("i"), p.alias("p")))), -2, 2)
-    a, b = F.element_at(far, 1)["p"], F.element_at(far, 2)["p"]
-    level = F.abs((a["x"] + b["x"]) / 2 - mx) >= F.abs((a["y"] + b["y"]) / 2 - my)
-    ahead = square(first, left, top) + square(last, left, top) <= square(a, left, top) + square(b, left, top)
-    turn = F.when(ahead, F.when(level, 0).otherwise(90)).otherwise(F.when(level, 180).otherwise(-90))
-    return F.when(F.size(points) >= 8, turn)
+    middle = lambda a, b: F.struct(((a["x"] + b["x"]) / 2).alias("x"), ((a["y"] + b["y"]) / 2).alias("y"))
+
+    def farthest(at: Column, m: Column) -> Column:
+        return F.slice(F.array_sort(F.transform(at, lambda p, i: F.struct(square(p, m["x"], m["y"]).alias("d"), i.alias("i"), p.alias("p")))), -2, 2)
+
+    def turn(first: Column, last: Column, m: Column, a: Column, b: Column) -> Column:
+        level = _let(middle(a, b), lambda to: F.abs(to["x"] - m["x"]) >= F.abs(to["y"] - m["y"]))
+        ahead = square(first, left, top) + square(last, left, top) <= square(a, left, top) + square(b, left, top)
+        return F.when(ahead, F.when(level, 0).otherwise(90)).otherwise(F.when(level, 180).otherwise(-90))
+
+    def of_points(at: Column) -> Column:
+        first, last = F.element_at(at, 1), F.element_at(at, -1)
+        return _let(middle(first, last), lambda m: _let(farthest(at, m), lambda far: turn(first, last, m, F.element_at(far, 1)["p"], F.element_at(far, 2)["p"])))
+
+    at = F.transform(index, lambda i: F.struct(F.get(points, 2 * i).alias("x"), F.get(points, 2 * i + 1).alias("y")))
+    return F.when(F.size(points) >= 8, _let(at, of_points))
 
 
 def _keyed(docs: DataFrame, wanted: Column | None = None) -> DataFrame:
