@@ -91,3 +91,30 @@ def test_tables(spark):
             h, r = got[1, t]
             assert np.abs(np.array(h) - (true[t] / true[t, 2, 2]).ravel()).max() < near and abs(r - 3) < 1e-2
     assert refine.refine(frames.where("video_id > 5"), points).count() == 0
+
+
+def test_chains_at_once_are_chains_alone(monkeypatch):
+    """Chains of one frame and more, an untied frame, fixed frames, far points: each as if alone, and arrays are made once for all of them."""
+    rng, parts = np.random.default_rng(6), []
+    for n, wrong in ((1, 0), (12, 0), (7, 3), (2, 0), (20, 5)):
+        _, start, c, _ = _chain(rng, n=n)
+        c.dst[rng.choice(len(c.dst), wrong, replace=False), :2] += 0.6
+        if n == 12:
+            c.on[4] = False
+        parts.append((start, c, np.arange(n) % 6 == 3))
+    alone = [refine.refined(h, c, fixed) for h, c, fixed in parts]
+    sizes = [len(h) for h, _, _ in parts]
+    begins = np.cumsum([0, *sizes[:-1]])
+    between = [np.eye(3)[None], np.zeros(1, bool)]
+    back, on = ([x for _, c, _ in parts for x in (getattr(c, name), gap)][:-1] for name, gap in zip(("back", "on"), between))
+    whole = Chain(*(np.concatenate([getattr(c, name) for _, c, _ in parts]) for name in ("src", "dst")), np.concatenate([c.of + b for (_, c, _), b in zip(parts, begins)]), np.concatenate(back), np.concatenate(on))
+    made = []
+    solve = refine.normal_equations
+    monkeypatch.setattr(refine, "normal_equations", lambda *a: made.append(1) or solve(*a))
+    got = refine.refined(np.concatenate([h for h, _, _ in parts]), whole, np.concatenate([f for _, _, f in parts]), begins=begins)
+    assert np.allclose(got, np.concatenate(alone), atol=1e-8) and len(made) <= 10
+
+
+def test_inverses_of_singular_matrices():
+    m = np.array([np.eye(3), np.diag([1.0, 2.0, 0.0]), np.zeros((3, 3)), [[1, 2, 3], [0, 1, 4], [5, 6, 0]]], float)
+    assert np.allclose(refine._inverse(m), np.linalg.pinv(m))
