@@ -1,7 +1,7 @@
 """Frames by event time: typed state, timers as the buffer that puts late rows in order, and a court tracker whose filters are state columns.
 
-A video's rows wait in a map state, one entry a row, until the watermark passes their frame's time; then its timer hands over the whole frame,
-frames in order of time. So results don't depend on how rows are cut into micro-batches, on their order, or on rows that come twice (of
+A video's rows wait in a list state until the watermark passes their frame's time; one timer, at the earliest of them, then hands over whole frames,
+in order of time, and is set anew for those that wait on. Each access to state is a call to the JVM, so there are a few a video and micro-batch. So results don't depend on how rows are cut into micro-batches, on their order, or on rows that come twice (of
 one (frame_id, det_idx) the last counts). Rows behind the watermark are dropped by Spark. A video's state goes once the watermark is ``idle``
 past its last frame. State lives in RocksDB (``use_rocksdb``), so it is not bounded by an executor's memory, and its columns can be read
 with the state data source. The watermark is the stream's: a video whose clock is far behind others' loses rows.
@@ -83,7 +83,7 @@ class Frames(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getMapState("waiting", "frame_id long, det_idx long", ", ".join(["at long", *(f"{n} {t}" for n, t in self.columns.items())]))
+        self.waiting = handle.getListState("waiting", ", ".join(["frame_id long", "det_idx long", "at long", *(f"{n} {t}" for n, t in self.columns.items())]))
         self.done = handle.getValueState("done", "frame_at long, last_at long")
         self.open(handle)
 
@@ -93,22 +93,26 @@ class Frames(StatefulProcessor):
     def frame(self, rows: list[dict]) -> list[tuple]:
         raise NotImplementedError
 
+    def frames(self, each: list[list[dict]]) -> list[list[tuple]]:
+        """What the frames give that are handed over at once, in order."""
+        return [self.frame(rows) for rows in each]
+
     def forget(self) -> None:
         raise NotImplementedError
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         before, last = self.done.get() if self.done.exists() else (-1, -1)
-        times = set()
+        waits, times = [], set()
         for part in rows:
             part = part[part.ts.notna()]
             at = (part.ts.to_numpy("datetime64[us]").astype("int64") // 1000).tolist()
             for t, f, d, *values in zip(at, part.frame_id.tolist(), part.det_idx.tolist(), *(part[n] for n in self.columns)):
                 if t > before:  # frames that were handed over are closed
-                    self.waiting.updateValue((int(f), int(d)), (t, *map(_plain, values)))
+                    waits.append((int(f), int(d), t, *map(_plain, values)))
                     times.add(t)
-        for t in sorted(times):
-            self.handle.registerTimer(t)
         if times:
+            self.waiting.appendList(waits)
+            self.handle.registerTimer(min(times))
             self.done.update((before, max(last, *times)))
             self.handle.registerTimer(max(last, *times) + self.idle_ms)
         return iter([])
@@ -118,17 +122,22 @@ class Frames(StatefulProcessor):
         before, last = self.done.get() if self.done.exists() else (-1, -1)
         if expiredTimerInfo.getExpiryTimeInMs() <= before and now < last + self.idle_ms:
             return  # the frames up to the watermark were handed over by an earlier timer
+        held = {(f, d): (f, d, at, *values) for f, d, at, *values in self.waiting.get()}  # of rows that come twice the last
         ready: dict[int, list[dict]] = {}
-        for (f, d), (at, *values) in ((k, tuple(v)) for k, v in list(self.waiting.iterator())):
+        for f, d, at, *values in held.values():
             if at <= now:
                 ready.setdefault(f, []).append({"frame_id": f, "det_idx": d, "at": at} | dict(zip(self.columns, values)))
-        out = []
-        for f in sorted(ready, key=lambda f: (min(r["at"] for r in ready[f]), f)):
-            rows = sorted(ready[f], key=lambda r: r["det_idx"])
-            out += [(key[0], f, *x) for x in self.frame(rows)]
-            for r in rows:
-                self.waiting.removeKey((f, r["det_idx"]))
-            before = max(before, *(r["at"] for r in rows))
+        order = sorted(ready, key=lambda f: (min(r["at"] for r in ready[f]), f))
+        each = [sorted(ready[f], key=lambda r: r["det_idx"]) for f in order]
+        out = [(key[0], f, *x) for f, got in zip(order, self.frames(each)) for x in got]
+        if ready:
+            before = max(before, *(r["at"] for rows in each for r in rows))
+            rest = [row for row in held.values() if row[2] > now]
+            if rest:
+                self.waiting.put(rest)
+                self.handle.registerTimer(min(row[2] for row in rest))
+            else:
+                self.waiting.clear()
         if now >= last + self.idle_ms:
             self.forget()
             self.done.clear()
@@ -151,12 +160,15 @@ class BallGate(Frames):
     def open(self, handle: StatefulProcessorHandle) -> None:
         self.last = handle.getValueState("last", "x double, y double")
 
-    def frame(self, rows: list[dict]) -> list[tuple]:
-        got = gate(((r["x"], r["y"], r["score"]) for r in rows), tuple(self.last.get()) if self.last.exists() else None, self.most)
-        if got is None:
-            return []
-        self.last.update((float(got[0]), float(got[1])))
-        return [tuple(map(float, got))]
+    def frames(self, each: list[list[dict]]) -> list[list[tuple]]:
+        last, out = tuple(self.last.get()) if each and self.last.exists() else None, []
+        for rows in each:
+            got = gate(((r["x"], r["y"], r["score"]) for r in rows), last, self.most)
+            last = last if got is None else (float(got[0]), float(got[1]))
+            out.append([] if got is None else [tuple(map(float, got))])
+        if any(out):
+            self.last.update(last)
+        return out
 
     def forget(self) -> None:
         self.last.clear()
