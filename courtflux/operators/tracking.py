@@ -282,7 +282,9 @@ class CourtTracker:
         out = np.full((len(rows), len(vectors)), np.nan)
         have, there = [k for k, r in enumerate(rows) if self.looks[r][kind]], [k for k, v in enumerate(vectors) if v is not None]
         if have and there:
-            mean = np.stack([np.mean(self.looks[rows[k]][kind], 0) for k in have])
+            held = [self.looks[rows[k]][kind] for k in have]
+            n = np.array([len(x) for x in held])
+            mean = np.add.reduceat([v for x in held for v in x], np.cumsum(n) - n, axis=0) / n[:, None]  # of all rows at once
             own = np.stack([vectors[k] for k in there])
             n = np.linalg.norm(mean, axis=1)[:, None] * np.linalg.norm(own, axis=1)
             out[np.ix_(have, there)] = np.where(n < 1e-8, 1.0, 1 - mean @ own.T / np.maximum(n, 1e-12))

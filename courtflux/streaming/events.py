@@ -1,10 +1,11 @@
 """Frames by event time: typed state, timers as the buffer that puts late rows in order, and a court tracker whose filters are state columns.
 
 A video's rows wait in a list state until the watermark passes their frame's time; one timer, at the earliest of them, then hands over whole frames,
-in order of time, and is set anew for those that wait on. Each access to state is a call to the JVM, so there are a few a video and micro-batch. So results don't depend on how rows are cut into micro-batches, on their order, or on rows that come twice (of
+in order of time, and is set anew for those that wait on. Each access to state is a call to the JVM, so there are a few a video and micro-batch, and
+waiting rows go there by parts of many, each part's columns in Arrow's stream format, as a row by itself takes longer than its tracking. So results don't depend on how rows are cut into micro-batches, on their order, or on rows that come twice (of
 one (frame_id, det_idx) the last counts). Rows behind the watermark are dropped by Spark. A video's state goes once the watermark is ``idle``
-past its last frame. State lives in RocksDB (``use_rocksdb``), so it is not bounded by an executor's memory, and its columns can be read
-with the state data source. The watermark is the stream's: a video whose clock is far behind others' loses rows.
+past its last frame. State lives in RocksDB (``use_rocksdb``), so it is not bounded by an executor's memory, and its columns (of waiting rows the
+packed parts) can be read with the state data source. The watermark is the stream's: a video whose clock is far behind others' loses rows.
 
 Defined results: rows without a time never come out; a frame's time is that of its earliest row. Null numbers and vectors are as in the batch
 operators. They are for streams: on a batch DataFrame no time passes, and nothing comes out. ``replayed`` runs one over a table.
@@ -17,6 +18,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
@@ -33,12 +35,34 @@ def use_rocksdb(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", _ROCKSDB)
 
 
+#: Rows of a packed part.
+PART = 10_000
+_ARROW = {"long": pa.int64(), "double": pa.float64(), "boolean": pa.bool_(), "array<double>": pa.list_(pa.float64())}
+
+
+def packed(columns: list[list], types: list[str]) -> list[tuple[bytes]]:
+    """Columns of plain values as parts of rows that one binary state column takes."""
+    schema, parts = pa.schema([(str(i), _ARROW[t]) for i, t in enumerate(types)]), []
+    for k in range(0, len(columns[0]), PART):
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, schema) as out:
+            out.write_batch(pa.record_batch([pa.array(c[k : k + PART], _ARROW[t]) for c, t in zip(columns, types)], schema=schema))
+        parts.append((sink.getvalue().to_pybytes(),))
+    return parts
+
+
+def unpacked(parts: Iterator[tuple[bytes]]) -> Iterator[tuple]:
+    """The rows of packed parts, in their order."""
+    for (part,) in parts:
+        yield from zip(*(c.to_pylist() for c in pa.ipc.open_stream(part).read_all().columns))
+
+
 def _plain(x):
-    """A value of a pandas row as state columns take it."""
+    """A value of a pandas row as packed parts take it."""
     if x is None or x is pd.NaT or (isinstance(x, (float, np.floating)) and np.isnan(x)):
         return None
     if isinstance(x, (np.ndarray, list, tuple)):
-        return [float(v) for v in x]
+        return np.asarray(x, float)
     return x.item() if isinstance(x, np.generic) else x
 
 
@@ -83,7 +107,8 @@ class Frames(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", ", ".join(["frame_id long", "det_idx long", "at long", *(f"{n} {t}" for n, t in self.columns.items())]))
+        self.types = ["long", "long", "long", *self.columns.values()]  # frame_id, det_idx, the time, and the columns
+        self.waiting = handle.getListState("waiting", "rows binary")
         self.done = handle.getValueState("done", "frame_at long, last_at long")
         self.open(handle)
 
@@ -111,7 +136,7 @@ class Frames(StatefulProcessor):
                     waits.append((int(f), int(d), t, *map(_plain, values)))
                     times.add(t)
         if times:
-            self.waiting.appendList(waits)
+            self.waiting.appendList(packed(list(zip(*waits)), self.types))
             self.handle.registerTimer(min(times))
             self.done.update((before, max(last, *times)))
             self.handle.registerTimer(max(last, *times) + self.idle_ms)
@@ -122,7 +147,7 @@ class Frames(StatefulProcessor):
         before, last = self.done.get() if self.done.exists() else (-1, -1)
         if expiredTimerInfo.getExpiryTimeInMs() <= before and now < last + self.idle_ms:
             return  # the frames up to the watermark were handed over by an earlier timer
-        held = {(f, d): (f, d, at, *values) for f, d, at, *values in self.waiting.get()}  # of rows that come twice the last
+        held = {(f, d): (f, d, at, *values) for f, d, at, *values in unpacked(self.waiting.get())}  # of rows that come twice the last
         ready: dict[int, list[dict]] = {}
         for f, d, at, *values in held.values():
             if at <= now:
@@ -134,7 +159,7 @@ class Frames(StatefulProcessor):
             before = max(before, *(r["at"] for rows in each for r in rows))
             rest = [row for row in held.values() if row[2] > now]
             if rest:
-                self.waiting.put(rest)
+                self.waiting.put(packed(list(zip(*rest)), self.types))
                 self.handle.registerTimer(min(row[2] for row in rest))
             else:
                 self.waiting.clear()
@@ -193,7 +218,7 @@ class CourtPlayers(Frames):
         self.looks = handle.getMapState("looks", "id long, kind int", "vectors array<array<double>>")
 
     def _load(self) -> CourtTracker:
-        """The tracker as it was after the frame before; its rows are in order of ids."""
+        """The tracker as it was after the last frame that was handed over; its rows are in order of ids."""
         t = CourtTracker(self.cfg)
         rows = sorted((k[0], *v) for k, v in self.filters.iterator())
         if self.next.exists():
@@ -216,17 +241,21 @@ class CourtPlayers(Frames):
                     self.looks.removeKey((i, kind))
         for i, *row, looks in zip(t.id.tolist(), t.hits.tolist(), t.age.tolist(), t.sure.tolist(), t.mean.tolist(), t.cov.reshape(len(t.cov), 16).tolist(), t.bottom.tolist(), t.height.tolist(), t.looks):
             self.filters.updateValue((i,), tuple(row))
-            if row[1] == 0:  # vectors change in frames in which the player was seen
-                for kind in (0, 1):
-                    if looks[kind]:
-                        self.looks.updateValue((i, kind), ([[float(v) for v in x] for x in looks[kind]],))
+            for kind in (0, 1):
+                if looks[kind]:
+                    self.looks.updateValue((i, kind), ([x.tolist() for x in looks[kind]],))
 
-    def frame(self, rows: list[dict]) -> list[tuple]:
+    def frames(self, each: list[list[dict]]) -> list[list[tuple]]:
+        """The state is read before the first of them and written after the last, not for each."""
+        if not each:
+            return []
         tracker = self._load()
-        had = set(tracker.id.tolist())
-        ids = tracker.step([seen_of(r) for r in rows])
+        had, out = set(tracker.id.tolist()), []
+        for rows in each:
+            ids = tracker.step([seen_of(r) for r in rows])
+            out.append([(r["det_idx"], int(i)) for r, i in zip(rows, ids)])
         self._save(tracker, had)
-        return [(r["det_idx"], int(i)) for r, i in zip(rows, ids)]
+        return out
 
     def forget(self) -> None:
         self.next.clear()
