@@ -17,7 +17,7 @@ from pyspark.sql.window import Window
 
 from ..functions import geometry as G
 from ..runtime import ship, written
-from .court import fours, from_four
+from .court import drawn_fours, from_four
 from .detect import FRAME
 from .relops import paired
 
@@ -184,22 +184,57 @@ def homogeneous(p: np.ndarray) -> np.ndarray:
 
 def hypotheses(src: np.ndarray, dst: np.ndarray, seed: tuple[int, ...], tries: int = TRIES) -> np.ndarray:
     """Homographies of fours of the points, of every four if these are no more than ``tries``."""
-    pick = fours(len(src), tries, seed)
+    pick = drawn_fours(len(src), tries, seed)
     return from_four(src[pick], dst[pick])
 
 
 def votes(h: np.ndarray, src: np.ndarray, dst: np.ndarray, eps: float = 0.005) -> np.ndarray:
     """Of each hypothesis the soft agreement of directions over the points; points are taken in parts."""
-    total = np.zeros(len(h))
-    for at in range(0, len(src), 512):
-        a, b = homogeneous(src[at : at + 512]).T, homogeneous(dst[at : at + 512]).T
-        x, y, w = (h.reshape(-1, 3) @ a).reshape(len(h), 3, -1).swapaxes(0, 1)  # by component: hypotheses beside points
-        size = np.maximum(np.sqrt(x * x + y * y + w * w), 1e-12) * np.sqrt((b * b).sum(0))
-        cos = np.abs(x * b[0] + y * b[1] + w) / size
-        total += np.exp((cos - 1) / eps**2).sum(1)
+    total, rows = np.zeros(len(h)), np.ascontiguousarray(h.reshape(-1, 9).T)
+    part = max(1, (1 << 14) // max(len(h), 1))  # of points: arrays that stay in a processor's cache
+    for at in range(0, len(src), part):
+        a, b = homogeneous(src[at : at + part]), homogeneous(dst[at : at + part])
+        x, y, w = a @ rows[:3], a @ rows[3:6], a @ rows[6:]  # by component: points beside hypotheses
+        cos = x * b[:, :1]
+        cos += y * b[:, 1:2]
+        cos += w
+        np.abs(cos, out=cos)
+        x *= x  # from here on in place
+        y *= y
+        w *= w
+        x += y
+        x += w
+        np.maximum(np.sqrt(x, out=x), 1e-12, out=x)
+        x *= np.sqrt((b * b).sum(1, keepdims=True))
+        cos /= x
+        cos -= 1
+        cos /= eps**2
+        np.maximum(cos, -700, out=cos)  # about 1e-304; ``exp`` of less takes ten times as long
+        total += np.exp(cos, out=cos).sum(0)
     return total
 
 
+def most_voted(h: np.ndarray, src: np.ndarray, dst: np.ndarray, eps: float = 0.005) -> int:
+    """The hypothesis with the most ``votes``, the first of equal ones.
+
+    A point's vote is at most 1, so hypotheses that the points left can't bring up to the votes of a promising one are not counted to the end.
+    """
+    n, done = len(src), 3 * len(src) // 8
+    left, total = np.arange(len(h)), votes(h, src[:done], dst[:done], eps)
+    top = total.argmax()
+    least = total[top] + votes(h[top : top + 1], src[done:], dst[done:], eps)[0]
+    if n < 16 or not np.isfinite(total).all() or not np.isfinite(least):  # too few to save anything, or numbers that nothing compares with
+        return int(votes(h, src, dst, eps).argmax())
+    while True:
+        some = total + (n - done) >= least - 1e-9 * n  # sums in another order differ by less
+        left, total = left[some], total[some]
+        if done == n:
+            return int(left[total.argmax()])
+        more = min(n, done + -(-n // 8))
+        total = total + votes(h[left], src[done:more], dst[done:more], eps)
+        done = more
+
+
 def rewards(h: np.ndarray, src: np.ndarray, dst: np.ndarray, of: np.ndarray, n: int, eps: float) -> np.ndarray:
     """Each frame's sum over its points (``of`` tells whose) of how well its homography turns them; nan matrices earn nothing."""
     to = np.einsum("pij,pj->pi", h[of], homogeneous(src))
@@ -237,38 +272,48 @@ def refit_block(h: np.ndarray, chain: np.ndarray, step: np.ndarray, frame: np.nd
     ``h``: the frames' own (nan: none); ``chain``: first frame to each; ``step``: from the frame before (nan: none); ``of``: each point's row
     in ``frame``; ``rank``: the points' hashes. The pooled homographies follow the chain, so they have no jumps between them.
     """
-    h, back = h.copy(), np.linalg.pinv(chain)
+    h, back, turned = h.copy(), np.linalg.pinv(chain), inverses(step)
     size = 2
     while size <= most:
-        segment = frame // size
-        for s in np.unique(segment):
-            rows, own = np.flatnonzero(segment == s), np.flatnonzero(segment[of] == s)
-            if len(rows) < 2 or len(own) < 4:
+        segment, at = np.unique(frame // size, return_inverse=True)
+        cuts = np.searchsorted(at, np.arange(len(segment) + 1))
+        ends = np.searchsorted(at[of], np.arange(len(segment) + 1))
+        to = chain[cuts[at]] @ back  # from each frame to its segment's first
+        carried, best, tried = moved(to[of], src), np.full((len(segment), 3, 3), np.nan), np.zeros(len(segment), bool)
+        for k, s in enumerate(segment.tolist()):
+            own = slice(ends[k], ends[k + 1])
+            if cuts[k + 1] - cuts[k] < 2 or ends[k + 1] - ends[k] < 4:
                 continue
-            to = chain[rows[0]] @ back[rows]  # from each frame to the segment's first
-            x, y, at = src[own], dst[own], of[own] - rows[0]
-            carried = moved(to[at], x)
-            few = np.lexsort((at, rank[own]))[:SAMPLE]
-            hyp = hypotheses(carried[few], y[few], (video, int(s), size))
-            new = normal(hyp[votes(hyp, carried, y).argmax()] @ to)
-            gain = rewards(new, x, y, at, len(rows), weights.eps) - rewards(h[rows], x, y, at, len(rows), weights.eps)
-            if gain.sum() + weights.jump * jumps(h[rows], step[rows], frame[rows])[1:].sum() > 0:
-                h[rows] = new
+            x, y = carried[own], dst[own]
+            few = np.lexsort((of[own], rank[own]))[:SAMPLE]
+            hyp = hypotheses(x[few], y[few], (video, s, size))
+            best[k], tried[k] = hyp[most_voted(hyp, x, y)], True
+        new = normal(best[at] @ to)
+        gain = rewards(new, src, dst, of, len(h), weights.eps) - rewards(h, src, dst, of, len(h), weights.eps)
+        jump = weights.jump * jumps(h, step, frame, inverse=turned)
+        jump[cuts[:-1]] = 0  # those into a segment are not its own
+        better = (tried & (np.bincount(at, gain + jump) > 0))[at]
+        h[better] = new[better]
         size *= 2
     return h
 
 
-def jumps(h: np.ndarray, step: np.ndarray, frame: np.ndarray, before: np.ndarray | None = None) -> np.ndarray:
+def inverses(step: np.ndarray) -> np.ndarray:
+    """The pseudo-inverses of matrices; nan where one is missing."""
+    good, out = np.isfinite(step).all((1, 2)), np.full_like(step, np.nan)
+    out[good] = np.linalg.pinv(step[good])
+    return out
+
+
+def jumps(h: np.ndarray, step: np.ndarray, frame: np.ndarray, before: np.ndarray | None = None, inverse: np.ndarray | None = None) -> np.ndarray:
     """How far each frame's homography is from what that of the frame before and the map between them say; 0 where one is missing.
 
-    ``before``: the homographies of the frames before; else they are the rows above.
+    ``before``: the homographies of the frames before; else they are the rows above. ``inverse``: the steps' inverses, if they are known.
     """
     if before is None:
         before = np.concatenate([np.full((1, 3, 3), np.nan), h[:-1]])
         before[1:][frame[1:] != frame[:-1] + 1] = np.nan
-    good, inverse = np.isfinite(step).all((1, 2)), np.full_like(step, np.nan)
-    inverse[good] = np.linalg.pinv(step[good])
-    return distances(h, before @ inverse)
+    return distances(h, before @ (inverses(step) if inverse is None else inverse))
 
 
 def moved(m: np.ndarray, p: np.ndarray) -> np.ndarray:

@@ -104,15 +104,23 @@ def _cross(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def from_four(src: np.ndarray, dst: np.ndarray) -> np.ndarray:
     """Homographies of batches of four point pairs, up to scale: through the projective frames that both fours span; 0 where three lie on a line."""
 
-    def frame(p: np.ndarray) -> np.ndarray:
-        q = np.concatenate([p, np.ones((*p.shape[:-1], 1))], -1)
-        a, b, c, d = (q[..., i, :] for i in range(4))
-        scale = [(_cross(x, y) * d).sum(-1, keepdims=True) for x, y in ((b, c), (c, a), (a, b))]
-        return np.stack([x * k for x, k in zip((a, b, c), scale)], -1)
+    def frame(p: np.ndarray) -> list[list[np.ndarray]]:
+        """The columns of the frames' matrices, each by component: numbers of all fours beside one another."""
+        q = np.ascontiguousarray(p.reshape(-1, 8).T)
+        a, b, c, d = ((q[2 * i], q[2 * i + 1]) for i in range(4))
+        scale = [(x[1] - y[1]) * d[0] + (y[0] - x[0]) * d[1] + (x[0] * y[1] - x[1] * y[0]) for x, y in ((b, c), (c, a), (a, b))]
+        return [[x[0] * k, x[1] * k, k] for x, k in zip((a, b, c), scale)]
 
-    m = frame(src)
-    a, b, c = (m[..., i] for i in range(3))
-    return frame(dst) @ np.stack([_cross(b, c), _cross(c, a), _cross(a, b)], -2)
+    def cross(u: list[np.ndarray], v: list[np.ndarray]) -> list[np.ndarray]:
+        return [u[1] * v[2] - u[2] * v[1], u[2] * v[0] - u[0] * v[2], u[0] * v[1] - u[1] * v[0]]
+
+    (a, b, c), to = frame(src), frame(dst)
+    rows = (cross(b, c), cross(c, a), cross(a, b))
+    out = np.empty((src.size // 8, 3, 3))
+    for i in range(3):
+        for j in range(3):
+            out[:, i, j] = to[0][i] * rows[0][j] + to[1][i] * rows[1][j] + to[2][i] * rows[2][j]
+    return out.reshape(*src.shape[:-2], 3, 3)
 
 
 def first_four(x: np.ndarray) -> np.ndarray:
@@ -135,6 +143,17 @@ def fours(n: int, tries: int, seed: int | tuple[int, ...]) -> np.ndarray:
     return first_four(np.random.default_rng(seed).random((tries, n)))
 
 
+def drawn_fours(n: int, tries: int, seed: int | tuple[int, ...]) -> np.ndarray:
+    """As ``fours``, but a drawn one takes four numbers, however many places there are: each is drawn from the places that are left."""
+    if comb(n, 4) <= tries:
+        return _all_fours(n)
+    pick = np.random.default_rng(seed).integers(0, n - np.arange(4), (tries, 4))
+    for k in range(1, 4):
+        for before in np.sort(pick[:, :k], 1).T:  # places taken before, smallest first, are passed over
+            pick[:, k] += pick[:, k] >= before
+    return pick
+
+
 def ransac(src: np.ndarray, dst: np.ndarray, tries: int = 1000, eps: float = 0.005, seed: int = 0) -> np.ndarray | None:
     """The homography of four of the pairs with the best soft agreement of directions over all; null under four pairs."""
     n = len(src)
